@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, lines, mixing, quality
+from . import bpe, fingerprints, lines, mixing, quality, simhash
 from .common import table
 
 
@@ -23,6 +23,14 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents"))
 
@@ -31,6 +39,8 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_source_mix": op2_source_mix,
     "op3_fingerprints": op3_fingerprints,
+    "op5_simhash": op5_simhash,
+    "op8_bpe": op8_bpe,
     "op10_quality_rules": op10_quality_rules,
 }
 
