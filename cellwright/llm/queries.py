@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, lines, mixing, quality, simhash
+from . import bpe, fingerprints, lines, mixing, quality, simhash, token_counts
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_source_mix": op2_source_mix,
     "op3_fingerprints": op3_fingerprints,
+    "op4_token_counts": op4_token_counts,
     "op5_simhash": op5_simhash,
     "op8_bpe": op8_bpe,
     "op10_quality_rules": op10_quality_rules,
