@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, lines, mixing, quality, simhash, token_counts
+from . import bpe, fingerprints, language, lines, lm_score, mixing, quality, simhash, token_counts
 from .common import table
 
 
@@ -31,10 +31,23 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    told = language.identify(docs.select("doc_id", "text"), language.train(docs))
+    return told.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents that are labelled as good; background: all."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id").distinct().withColumn("is_target", F.lit(True))
+    return lm_score.score(docs, lm_score.train(docs.join(good, "doc_id", "left")))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents"))
 
@@ -45,7 +58,9 @@ QUERIES = {
     "op3_fingerprints": op3_fingerprints,
     "op4_token_counts": op4_token_counts,
     "op5_simhash": op5_simhash,
+    "op6_language": op6_language,
     "op8_bpe": op8_bpe,
+    "op9_lm_score": op9_lm_score,
     "op10_quality_rules": op10_quality_rules,
 }
 

@@ -23,6 +23,7 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import regex
 
@@ -178,10 +179,11 @@ class Transducer:
                 yield [words.special[part]]
                 continue
             for piece in pieces(part):
-                out: list[int] = []
-                for t in words.pretokens(piece):
-                    out += known.get(t) or self.pretoken(t)
-                yield out
+                split = words.pretokens(piece)
+                found = list(map(known.get, split))
+                if None in found:
+                    found = [x if x is not None else self.pretoken(t) for x, t in zip(found, split)]
+                yield list(chain.from_iterable(found))
 
     def decode(self, ids: Iterable[list[int]]) -> Iterator[str]:
         """Text of ids, a piece at a time: bytes of a character that is not whole yet are held."""
