@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, language, lines, lm_score, mixing, quality, simhash, token_counts
+from . import bpe, fingerprints, html_extract, language, lines, lm_score, mixing, quality, simhash, token_counts
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_simhash": op5_simhash,
     "op6_language": op6_language,
+    "op7_html_text": op7_html_text,
     "op8_bpe": op8_bpe,
     "op9_lm_score": op9_lm_score,
     "op10_quality_rules": op10_quality_rules,
