@@ -1,6 +1,435 @@
-"""The registered queries of the grid engine, and their SQL."""
+"""The registered queries of the grid engine, and the same results as SQL.
+
+There are no gridded tables among the inputs, so points, cells and grids are derived from the
+tables there are: points from lineitem, whole levels of cells from the running order keys.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import cells as C
+from ..functions import projection, text
+from ..operators import align, psf, pyramid, resample, select
+from . import metadata
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+LON = "((l_orderkey * 7919 + l_linenumber * 104729) % 360000) / 1000e0 - 180e0 + 0.000123e0"
+LAT = "((l_partkey * 15013 + l_suppkey * 31) % 170000) / 1000e0 - 85e0 + 0.000321e0"
+KEYS = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
+POINTS = f"(select {KEYS}, {LON} as lon, {LAT} as lat, l_extendedprice as price, cast(l_quantity as int) as class, l_discount as discount from lineitem)"
+#: A whole level-5 sphere where there are enough orders; every eleventh value is missing.
+LEVEL5 = "(select o_orderkey as cell_id, case when o_orderkey % 11 = 0 then null else o_totalprice end as price, cast(floor(o_totalprice) as bigint) % 5 as class, cast(o_custkey % 128 as int) as flags from orders where o_orderkey < 12288)"
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", f"{LON} as lon", f"{LAT} as lat", "l_extendedprice as price", "cast(l_quantity as int) as class", "l_discount as discount")
+
+
+def level5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The level-5 cells, with missing values as NaN, as a store would hold them."""
+    orders = read(spark, sf_dir, "orders").filter("o_orderkey < 12288")
+    return orders.selectExpr("o_orderkey as cell_id", "case when o_orderkey % 11 = 0 then double('NaN') else o_totalprice end as price", "cast(floor(o_totalprice) as bigint) % 5 as class", "cast(o_custkey % 128 as int) as flags")
+
+
+def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One point for each customer."""
+    return read(spark, sf_dir, "customer").selectExpr("0 as input_id", "c_custkey as point_idx", "(c_custkey * 7919 % 36000) / 100e0 - 180e0 + 0.00123e0 as lon", "(c_custkey * 15013 % 17000) / 100e0 - 85e0 + 0.00321e0 as lat", "c_acctbal as balance", "cast(c_nationkey as int) as nation")
+
+
+SITES = "(select c_custkey as point_idx, (c_custkey * 7919 % 36000) / 100e0 - 180e0 + 0.00123e0 as lon, (c_custkey * 15013 % 17000) / 100e0 - 85e0 + 0.00321e0 as lat, c_acctbal as balance, cast(c_nationkey as int) as nation from customer)"
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+# Geometry -------------------------------------------------------------------------------------
+
+
+@query(f"select {KEYS}, lon, lat, cell_id from {C.steps_sql(POINTS, C.cell_steps('lon', 'lat', 8), ['cell_id'])} p")
+def cell_assign(spark, sf_dir):
+    return C.with_cell(points(spark, sf_dir), 8).selectExpr(*KEYS.split(", "), "lon", "lat", "cell_id")
+
+
+@query(f"select {KEYS}, lon, lat, cell_id from {C.steps_sql(POINTS, C.cell_steps('lon', 'lat', 8, C.WGS84), ['cell_id'])} p")
+def cell_assign_wgs84(spark, sf_dir):
+    return C.with_cell(points(spark, sf_dir), 8, C.WGS84).selectExpr(*KEYS.split(", "), "lon", "lat", "cell_id")
+
+
+@query(f"select cell_id, round(lon, 8) as lon, round(lat, 8) as lat from {C.steps_sql(LEVEL5, C.center_steps('cell_id', 5), ['lon', 'lat'])} p")
+def cell_center(spark, sf_dir):
+    return C.with_center(level5(spark, sf_dir), 5).select("cell_id", F.round("lon", 8).alias("lon"), F.round("lat", 8).alias("lat"))
+
+
+@query(f"select cell_id, round(lon, 8) as lon, round(lat, 8) as lat from {C.steps_sql(LEVEL5, C.center_steps('cell_id', 5, C.WGS84), ['lon', 'lat'])} p")
+def cell_center_wgs84(spark, sf_dir):
+    return C.with_center(level5(spark, sf_dir), 5, C.WGS84).select("cell_id", F.round("lon", 8).alias("lon"), F.round("lat", 8).alias("lat"))
+
+
+_V = [f"{c}{k}" for k in range(4) for c in ("lon", "lat")]
+
+
+@query(f"select cell_id, {', '.join(f'round({v}, 8) as {v}' for v in _V)} from {C.steps_sql(LEVEL5, C.vertex_steps('cell_id', 5), _V)} p")
+def cell_vertices(spark, sf_dir):
+    return C.with_vertices(level5(spark, sf_dir), 5).select("cell_id", *[F.round(v, 8).alias(v) for v in _V])
+
+
+@query(f"select cell_id, unnest(range(cell_id * 16, cell_id * 16 + 16)) as child_id from {LEVEL5} p")
+def cell_children(spark, sf_dir):
+    return C.children(level5(spark, sf_dir).select("cell_id"), 2)
+
+
+@query(f"select cell_id, cell_id >> 4 as parent_id from {LEVEL5} p")
+def cell_parent(spark, sf_dir):
+    return level5(spark, sf_dir).selectExpr("cell_id", f"{C.parent('cell_id', 2)} as parent_id")
+
+
+_N = [f"n{k}" for k in range(8)]
+
+
+@query(f"select cell_id, unnest([{', '.join(_N)}]) as neighbour_id, unnest(range(8)) as direction from {C.steps_sql(LEVEL5, C.neighbour_steps('cell_id', 5), _N)} p")
+def cell_neighbours(spark, sf_dir):
+    return C.with_neighbours(level5(spark, sf_dir), 5).select("cell_id", F.posexplode("neighbours").alias("direction", "neighbour_id")).selectExpr("cell_id", "neighbour_id", "cast(direction as bigint) as direction")
+
+
+@query(f"select cell_id, ring_id from {C.steps_sql(LEVEL5, C.ring_steps('cell_id', 5), ['ring_id'])} p")
+def cell_ring_ids(spark, sf_dir):
+    return C.with_ring_id(level5(spark, sf_dir), 5).select("cell_id", "ring_id")
+
+
+@query(f"select cell_id, (2 * cell_id + 1) << 48 as zuniq, 5 as level from {LEVEL5} p")
+def cell_zuniq(spark, sf_dir):
+    return level5(spark, sf_dir).selectExpr("cell_id", f"{C.zuniq('cell_id', 5)} as zuniq").selectExpr("cell_id", "zuniq", f"{C.zuniq_level('zuniq')} as level")
+
+
+_NEAR = "(select unnest([cell_id, " + ", ".join(_N) + "]) as cell_id from " + C.steps_sql("(select cast(unnest(range(96, 100)) as bigint) as cell_id)", C.neighbour_steps("cell_id", 3), _N) + " p)"
+
+
+@query(f"select distinct cell_id from {_NEAR} where cell_id >= 0")
+def ring_selection(spark, sf_dir):
+    return C.chunk_ring(spark, 24, 2, 3)
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(round_even(log2(6371000.0 * sqrt(pi() / 3) / l_extendedprice), 0) as int) as level, cast(floor(log2(6371000.0 * sqrt(pi() / 3) / l_extendedprice)) as int) as coarse from lineitem")
+def resolution_level(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", f"{C.resolution_level_sql('l_extendedprice')} as level", f"{C.resolution_level_sql('l_extendedprice', 'floor')} as coarse")
+
+
+# Binning and pyramids -------------------------------------------------------------------------
+
+_BIN4 = C.steps_sql(POINTS, C.cell_steps("lon", "lat", 4), ["cell_id"])
+
+
+@query(f"select cell_id, cell_id >> 4 as parent_id, count(*) as n, round(avg(price), 2) as price from {_BIN4} p group by 1, 2")
+def bin_mean(spark, sf_dir):
+    placed = C.with_cell(points(spark, sf_dir), 4).groupBy("cell_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("price"), 2).alias("price"))
+    return placed.selectExpr("cell_id", f"{C.parent('cell_id', 2)} as parent_id", "n", "price")
+
+
+_BIN5 = f"(select cell_id, cast(avg(balance) as float) as balance from {C.steps_sql(SITES, C.cell_steps('lon', 'lat', 4, C.WGS84), ['cell_id'])} p group by 1)"
+_NEAR4 = f"(select cell_id, unnest([{', '.join(_N)}]) as near from " + C.steps_sql("(select unnest(range(3072)) as cell_id)", C.neighbour_steps("cell_id", 4), _N) + " q)"
+
+
+@query(f"with b as {_BIN5}, f as (select a.cell_id, avg(cast(b.balance as double)) as balance from {_NEAR4} a join b on a.near = b.cell_id where a.cell_id not in (select cell_id from b) group by 1) select cell_id, round(cast(balance as double), 2) as balance from b union all select g.i as cell_id, round(cast(cast(balance as float) as double), 2) as balance from range(3072) g(i) left join f on f.cell_id = g.i where g.i not in (select cell_id from b)")
+def bin_mean_filled(spark, sf_dir):
+    filled = resample.fill_gaps(resample.bin_mean(sites(spark, sf_dir), 4, ["balance"], C.WGS84), 4, "balance")
+    return filled.select("cell_id", F.round(F.col("balance").cast("double"), 2).alias("balance"))
+
+
+@query()
+def bin_mean_filled_in_order(spark, sf_dir):
+    return resample.fill_gaps(resample.bin_mean(points(spark, sf_dir), 3, ["price"], C.WGS84), 3, "price", exact=True)
+
+
+def _pyramid(name: str, how: str, variable: str, sql: str):
+    def f(spark, sf_dir):
+        out = pyramid.coarsen(level5(spark, sf_dir).select("cell_id", variable), 5, 3, how)
+        return out.withColumn(variable, F.round(variable, 4)) if how in ("mean", "sum") else out
+
+    f.__name__ = name
+    query(f"select cell_id >> 4 as cell_id, {sql} as {variable} from {LEVEL5} p group by 1")(f)
+
+
+_pyramid("pyramid_mean", "mean", "price", "round(avg(price), 4)")
+_pyramid("pyramid_min", "min", "price", "min(price)")
+_pyramid("pyramid_max", "max", "price", "max(price)")
+_pyramid("pyramid_sum", "sum", "price", "round(coalesce(sum(price), 0), 4)")
+_pyramid("pyramid_bitor", "bitwise_or", "flags", "bit_or(flags)")
+
+
+@query(f"select cell_id, class from (select cell_id >> 4 as cell_id, class, row_number() over (partition by cell_id >> 4 order by count(*) desc, class) as turn from {LEVEL5} p group by 1, 2) where turn = 1")
+def pyramid_mode(spark, sf_dir):
+    return pyramid.coarsen(level5(spark, sf_dir).select("cell_id", "class"), 5, 3, "mode")
+
+
+@query(" union all ".join(f"select {l} as level, cell_id >> {2 * (5 - l)} as cell_id, round(avg(price), 4) as price from {LEVEL5} p group by 2" for l in (4, 3, 1)))
+def pyramid_mean_rollup(spark, sf_dir):
+    levels = pyramid.mean_levels(level5(spark, sf_dir).select("cell_id", "price"), 5, (4, 3, 1), ["price"])
+    out = None
+    for l, df in levels.items():
+        one = df.select(F.lit(l).alias("level"), "cell_id", F.round("price", 4).alias("price"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(" union all ".join(f"select {l} as level, cell_id >> {2 * (5 - l)} as cell_id, round(avg(price), 4) as price, max(class) as class from {LEVEL5} p group by 2" for l in (4, 3, 2)))
+def pyramid_grouping_sets(spark, sf_dir):
+    out = pyramid.all_levels(level5(spark, sf_dir), 5, (4, 3, 2), {"price": "mean", "class": "max"})
+    return out.withColumn("price", F.round("price", 4))
+
+
+@query(f"select cell_id >> 2 as cell_id, cast(round_even(avg(cast(flags as double)), 0) as smallint) as flags from {LEVEL5} p group by 1")
+def pyramid_int_round(spark, sf_dir):
+    out = pyramid.coarsen(level5(spark, sf_dir).select("cell_id", "flags"), 5, 4, "mean")
+    return out.select("cell_id", pyramid.restore(F.col("flags"), T.ShortType(), 255).alias("flags"))
+
+
+@query("select * from (values ('a', 1, 2, 3), ('a', 2, 3, 3), ('b', 1, 2, 2), ('c', 2, 3, 3)) t(variable, target, nearest, finest)")
+def source_levels(spark, sf_dir):
+    native = {3: ["a", "c"], 2: ["a", "b"]}
+    rows = [(v, t, pyramid.source_level(native, v, t), pyramid.source_level(native, v, t, nearest=False)) for v, t in (("a", 1), ("a", 2), ("b", 1), ("c", 2))]
+    return spark.createDataFrame(rows, "variable string, target int, nearest int, finest int")
+
+
+@query("select min(l) as level from (select 5 as l union all " + " union all ".join(f"select {l} as l where (select min(n) from (select count(*) as n from orders where o_orderkey < 3072 group by o_orderkey >> {2 * (5 - l)})) = {4 ** (5 - l)}" for l in range(4, -1, -1)) + ")")
+def coarsest_whole_level(spark, sf_dir):
+    cells = read(spark, sf_dir, "orders").filter("o_orderkey < 3072").selectExpr("o_orderkey as cell_id")
+    return spark.createDataFrame([(pyramid.coarsest_whole_level(cells, 5),)], "level int")
+
+
+@query("select * from (values (20, 11, 8), (19, 10, 8), (18, 9, 8), (17, 8, null), (16, 7, null), (14, 7, null)) t(level, chunk, shard)")
+def chunk_shard_layout(spark, sf_dir):
+    return spark.createDataFrame([(l, *pyramid.chunk_and_shard_levels(l, 9, 8, 7)) for l in (20, 19, 18, 17, 16, 14)], "level int, chunk int, shard int")
+
+
+@query("select * from (values (19, 20, 12, 11), (13, 20, 12, 5), (8, 20, 12, 0), (4, 20, 12, 0), (18, 20, 19, 14)) t(level, native, native_chunk, chunk)")
+def derived_chunk_level(spark, sf_dir):
+    rows = [(l, n, c, pyramid.derived_chunk_level(l, n, c)) for l, n, c in ((19, 20, 12), (13, 20, 12), (8, 20, 12), (4, 20, 12), (18, 20, 19))]
+    return spark.createDataFrame(rows, "level int, native int, native_chunk int, chunk int")
+
+
+# Resampling -----------------------------------------------------------------------------------
+
+
+@query(f"select g.i as cell_id, coalesce(p.class, -1) as class from range(12288) g(i) left join (select cell_id, class from {LEVEL5} q where cell_id % 3 = 0) p on p.cell_id = g.i")
+def dense_grid_fill(spark, sf_dir):
+    some = level5(spark, sf_dir).filter("cell_id % 3 = 0").select("cell_id", "class")
+    return resample.dense(some, C.whole_sphere(spark, 5), {"class": -1})
+
+
+@query(f"select cell_id, arg_min(balance, point_idx) as balance, arg_min(nation, point_idx) as nation from {C.steps_sql(SITES, C.cell_steps('lon', 'lat', 29), ['cell_id'])} p group by 1")
+def sparse_cell_point(spark, sf_dir):
+    return resample.cell_point(sites(spark, sf_dir), ["balance", "nation"])
+
+
+def _ecef_sql(lon: str, lat: str) -> str:
+    a = C.SPHERE.a
+    return f"{a} * cos(radians({lat})) * cos(radians({lon})) as x, {a} * cos(radians({lat})) * sin(radians({lon})) as y, {a} * sin(radians({lat})) as z"
+
+
+_CENTRES2 = "(select cell_id, " + _ecef_sql("lon", "lat") + " from " + C.steps_sql("(select unnest(range(192)) as cell_id)", C.center_steps("cell_id", 2), ["lon", "lat"]) + " q)"
+_RANKED = f"(select c.cell_id, s.point_idx, s.balance, s.nation, sqrt((c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y) + (c.z - s.z) * (c.z - s.z)) as d, row_number() over (partition by c.cell_id order by (c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y) + (c.z - s.z) * (c.z - s.z), s.point_idx) as turn from {_CENTRES2} c cross join (select *, {_ecef_sql('lon', 'lat')} from {SITES} r) s)"
+
+
+@query(f"select cell_id, nation, balance from {_RANKED} where turn = 1")
+def nearest(spark, sf_dir):
+    return resample.nearest(sites(spark, sf_dir), C.whole_sphere(spark, 2), 2, ["nation", "balance"])
+
+
+_W = f"(1 / (d / {C.SPHERE.a * 1.0233267079464885 / 4!r} + 1e-6))"
+
+
+@query(f"select cell_id, round(sum({_W} * cast(cast(balance as float) as double)) / sum({_W}), 3) as balance from {_RANKED} where turn <= 4 group by 1")
+def knn_inverse_distance(spark, sf_dir):
+    out = resample.inverse_distance(sites(spark, sf_dir), C.whole_sphere(spark, 2), 2, ["balance"], k=4)
+    return out.select("cell_id", F.round("balance", 3).alias("balance"))
+
+
+@query("select cell_id, round(100 + 3 * lon - 2 * lat, 6) as height from " + C.steps_sql("(select unnest(range(3072)) as cell_id)", C.center_steps("cell_id", 4), ["lon", "lat"]) + " q where lon between -60 and 60 and lat between -40 and 40")
+def grid_bilinear(spark, sf_dir):
+    lon, lat = spark.range(121).selectExpr("cast(id as int) as i", "id - 60e0 as lon"), spark.range(81).selectExpr("cast(id as int) as j", "40e0 - id as lat")
+    nodes = lon.join(lat).selectExpr("i", "j", "100 + 3 * lon - 2 * lat as height")
+    out = resample.grid_bilinear(nodes, lon, lat, C.whole_sphere(spark, 4), 4, ["height"])
+    return out.select("cell_id", F.round("height", 6).alias("height"))
+
+
+@query(f"select cell_id, round(avg(v), 4) as v from (select cell_id, price as v from {LEVEL5} p union all select cell_id, case when cell_id % 2 = 0 then class * 1e0 end as v from {LEVEL5} q) group by 1")
+def layer_mean(spark, sf_dir):
+    a = level5(spark, sf_dir)
+    out = resample.layer_mean([a.selectExpr("cell_id", "price as v"), a.selectExpr("cell_id", "case when cell_id % 2 = 0 then class * 1e0 end as v")], ["v"])
+    return out.select("cell_id", F.round("v", 4).alias("v"))
+
+
+@query(f"select cell_id, case when price is not null then greatest(lo, least(hi, price * 1.5e0)) end as price from {LEVEL5} p, (select min(price) as lo, max(price) as hi from {LEVEL5} q)")
+def clip_to_source(spark, sf_dir):
+    a = level5(spark, sf_dir).select("cell_id", "price")
+    return resample.clip_to_source(pyramid.nan_to_null(a.withColumn("price", F.col("price") * 1.5)), a, "price")
+
+
+@query()
+def psf_resample(spark, sf_dir):
+    return psf.psf(points(spark, sf_dir), 4, 1, "price")
+
+
+@query("select * from (values ('balance', false), ('price', true)) t(variable, lost)")
+def lost_data(spark, sf_dir):
+    a = level5(spark, sf_dir).selectExpr("price", "price as balance")
+    lost = resample.lost_variables(a, a.selectExpr("double('NaN') as price", "balance"), ["price", "balance"])
+    return spark.createDataFrame([(v, v in lost) for v in ("balance", "price")], "variable string, lost boolean")
+
+
+# Selection and projection ---------------------------------------------------------------------
+
+_RING6 = "(select unnest(range(36 * 4096, 37 * 4096)) as cell_id)"
+
+
+@query(f"with r as (select distinct unnest([cell_id, {', '.join(_N)}]) as ring from {C.steps_sql('(select unnest(range(147456, 151552)) as cell_id)', C.neighbour_steps('cell_id', 8), _N)} q) select {KEYS} from {C.steps_sql(POINTS, C.cell_steps('lon', 'lat', 8), ['cell_id'])} p where cell_id in (select ring from r)")
+def halo_semi_join(spark, sf_dir):
+    # A buffer of 10 km is looked up at level 8; chunk 36 of level 2 is 4096 of its cells.
+    return select.chunk_points(points(spark, sf_dir), 36, 2, 10_000.0).selectExpr(*KEYS.split(", "))
+
+
+@query(f"select {KEYS} from {POINTS} p where lat between -20 and 20 and lon between 155 and 180 union all select {KEYS} from {POINTS} p where lat between -20 and 20 and lon < -155")
+def window_across_antimeridian(spark, sf_dir):
+    bounds = {"south": -20.0, "north": 20.0, "c_lon": 180.0, "west": -25.0, "east": 25.0}
+    return select.in_window(points(spark, sf_dir), bounds).selectExpr(*KEYS.split(", "))
+
+
+@query(f"with w as (select cell_id, least(lat0, lat1, lat2, lat3) as s, greatest(lat0, lat1, lat2, lat3) as n, c_lon, least({', '.join(f'(lon{k} - c_lon + 180e0) - 360e0 * floor((lon{k} - c_lon + 180e0) / 360e0) - 180e0' for k in range(4))}) as w, greatest({', '.join(f'(lon{k} - c_lon + 180e0) - 360e0 * floor((lon{k} - c_lon + 180e0) / 360e0) - 180e0' for k in range(4))}) as e from " + C.steps_sql(C.steps_sql("(select unnest([64, 80, 100]) as cell_id)", C.vertex_steps("cell_id", 2), _V), C.center_steps("cell_id", 2, lon="c_lon", lat="c_lat"), ["c_lon"]) + f" v) select w.cell_id, count(*) as n from {POINTS} p join w on p.lat between w.s and w.n and (p.lon - c_lon + 180e0) - 360e0 * floor((p.lon - c_lon + 180e0) / 360e0) - 180e0 between w.w and w.e group by 1")
+def window_band_join(spark, sf_dir):
+    chunks = spark.createDataFrame([(64,), (80,), (100,)], "cell_id long")
+    return select.band_join(points(spark, sf_dir), select.window_bounds(chunks, 2, 0.0)).groupBy("cell_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"select {KEYS} from {POINTS} p where lon > 0 and lat > 0 and lon + lat < 60")
+def polygon_points(spark, sf_dir):
+    return select.in_polygon(points(spark, sf_dir), [(0, 0), (60, 0), (0, 60)], "lon", "lat").selectExpr(*KEYS.split(", "))
+
+
+_UTM_SRC = "(select l_orderkey, l_linenumber, l_partkey, l_suppkey, 200000e0 + (l_partkey * 37 % 600000) as x, (l_orderkey * 131 % 9000000) * 1e0 as y from lineitem)"
+
+
+@query(f"select {KEYS}, round(lon, 9) as lon, round(lat, 9) as lat from {C.steps_sql(_UTM_SRC, projection.utm_steps(32631), ['lon', 'lat'])} p")
+def utm_inverse(spark, sf_dir):
+    df = read(spark, sf_dir, "lineitem").selectExpr(*KEYS.split(", "), "200000e0 + (l_partkey * 37 % 600000) as x", "(l_orderkey * 131 % 9000000) * 1e0 as y")
+    out = projection.to_degrees(df, 32631)
+    return out.selectExpr(*KEYS.split(", "), "round(lon, 9) as lon", "round(lat, 9) as lat")
+
+
+@query("select o_orderkey, 300000e0 + 10e0 * ((o_orderkey % 100) + 0.5e0) as x, 5000000e0 - 10e0 * ((o_orderkey // 100) + 0.5e0) as y from orders")
+def pixel_positions(spark, sf_dir):
+    df = read(spark, sf_dir, "orders").selectExpr("o_orderkey", "cast(o_orderkey div 100 as int) as row", "cast(o_orderkey % 100 as int) as col")
+    return projection.pixel_to_xy(df, (10.0, 0.0, 300000.0, 0.0, -10.0, 5000000.0)).select("o_orderkey", "x", "y")
+
+
+# Alignment and set operations -----------------------------------------------------------------
+
+
+def _labelled(spark, sf_dir, which: int) -> DataFrame:
+    """Mean value for each user of a label; the two inputs miss one label each."""
+    e = read(spark, sf_dir, "events").filter(f"user_id % 2 = {which}")
+    kinds = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").collect()]  # a handful
+    lack = kinds[0] if which else kinds[-1]
+    return e.filter(F.col("event_type") != lack).groupBy(F.col("user_id").alias("point_idx"), F.col("event_type").alias("label")).agg(F.count(F.lit(1)).alias("v"))
+
+
+_LAB = "(select user_id % 2 as input_id, user_id as point_idx, event_type as label, count(*) as v from events where not (user_id % 2 = 1 and event_type = (select min(event_type) from events where user_id % 2 = 1)) and not (user_id % 2 = 0 and event_type = (select max(event_type) from events where user_id % 2 = 0)) group by 1, 2, 3)"
+
+
+def _aligned(spark, sf_dir, mode, labels=None):
+    return align.union_points(align.align([_labelled(spark, sf_dir, 0), _labelled(spark, sf_dir, 1)], "label", mode, labels)).selectExpr("cast(input_id as bigint) as input_id", "point_idx", "label", "v")
+
+
+@query(f"select p.input_id, p.point_idx, l.label, v.v from (select distinct input_id, point_idx from {_LAB} a) p cross join (select distinct label from {_LAB} b) l left join {_LAB} v on v.input_id = p.input_id and v.point_idx = p.point_idx and v.label = l.label")
+def align_outer(spark, sf_dir):
+    return _aligned(spark, sf_dir, "outer")
+
+
+@query(f"select input_id, point_idx, label, v from {_LAB} a where label in (select label from {_LAB} b where input_id = 0) and label in (select label from {_LAB} c where input_id = 1)")
+def align_inner(spark, sf_dir):
+    return _aligned(spark, sf_dir, "inner")
+
+
+@query(f"select p.input_id, p.point_idx, l.label, v.v from (select distinct input_id, point_idx from {_LAB} a) p cross join (select distinct event_type as label from events union select 'zz') l left join {_LAB} v on v.input_id = p.input_id and v.point_idx = p.point_idx and v.label = l.label")
+def align_reindex(spark, sf_dir):
+    kinds = [r[0] for r in read(spark, sf_dir, "events").select("event_type").distinct().collect()]  # a handful
+    return _aligned(spark, sf_dir, "reindex", [*kinds, "zz"])
+
+
+@query("select 0 as input_id, c_custkey as id, c_acctbal as a, null::double as b from customer union all select 1, s_suppkey, null, s_acctbal from supplier")
+def point_union(spark, sf_dir):
+    a = read(spark, sf_dir, "customer").selectExpr("c_custkey as id", "c_acctbal as a")
+    b = read(spark, sf_dir, "supplier").selectExpr("s_suppkey as id", "s_acctbal as b")
+    return align.union_points([a, b]).select("input_id", "id", "a", "b")
+
+
+@query("select n_nationkey, n_name, case when n_nationkey = 3 then 'left' end as side from nation where n_nationkey = 3 union all select n_nationkey, upper(n_name) || '!', 'right' from nation where n_nationkey = 3")
+def copy_table_diff(spark, sf_dir):
+    a = read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    return align.table_difference(a, a.withColumn("n_name", F.when(F.col("n_nationkey") == 3, F.concat(F.upper("n_name"), F.lit("!"))).otherwise(F.col("n_name"))))
+
+
+@query("select '' as path union all select 'a' as path")
+def missing_parents(spark, sf_dir):
+    paths = read(spark, sf_dir, "region").selectExpr("concat('a/', r_name) as path")
+    leaves = paths.unionByName(paths.selectExpr("concat(path, '/b') as path"))
+    return align.missing_parents(leaves)
+
+
+# Functions ------------------------------------------------------------------------------------
+
+
+@query("select n_nationkey, n_name as label from nation")
+def label_decode(spark, sf_dir):
+    return align.decode_labels(read(spark, sf_dir, "nation").selectExpr("n_nationkey", "cast(n_name as binary) as label"), "label")
+
+
+@query("select event_id, len(string_split(strftime(ts, '%H/%M/%S'), '/')) as n_parts, case when hour(ts) % 3 = 0 then 1 else 0 end as n_synoptic from events")
+def request_times(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    return e.select("event_id", F.size(text.request_list(F.date_format("ts", "HH/mm/ss"))).cast("long").alias("n_parts"), F.size(text.three_hourly(F.array(F.date_format("ts", "HH:mm")))).alias("n_synoptic"))
+
+
+@query("select event_id, (date_diff('second', timestamp '2024-01-01', ts) // 3600) as hours from events")
+def hours_since(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", text.hours_since(F.col("ts"), F.to_timestamp(F.lit("2024-01-01 05:00:00"))).alias("hours"))
+
+
+@query("select p_partkey, regexp_replace(p_name, '[^a-zA-Z0-9-]', '_', 'g') as item from part")
+def item_ids(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", text.item_id(F.concat(F.lit("/data/x/"), "p_name", F.lit(".zarr"))).alias("item"))
+
+
+@query("select n_nationkey, n_name, regexp_full_match(n_name, '.*A|NATION_1.*') as hit from nation")
+def name_match(spark, sf_dir):
+    return read(spark, sf_dir, "nation").select("n_nationkey", "n_name", text.full_match(F.col("n_name"), [".*A", "NATION_1.*"]).alias("hit"))
+
+
+@query("select * from (values ('3/a', null, null), ('2/b', null, null), ('1/a', '3/a', 4e0), ('1/b', '2/b', 2e0)) t(asset, derived_from, scale)")
+def layout_items(spark, sf_dir):
+    layout = metadata.multiscales({3: ["a"], 2: ["b"]}, {1: {"a": 3, "b": 2}}, method="mean")["layout"]
+    return spark.createDataFrame([(x["asset"], x.get("derived_from"), x["transform"]["scale"][0] if "transform" in x else None) for x in layout], "asset string, derived_from string, scale double")
+
+
+@query("select list_sort(list_distinct(list(distinct event_type))) as any_of, list_sort(list_intersect(list(distinct case when user_id % 2 = 0 then event_type end) filter (user_id % 2 = 0), list(distinct case when user_id % 2 = 1 then event_type end) filter (user_id % 2 = 1))) as all_of from events")
+def merged_lists(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    by = e.groupBy((F.col("user_id") % 2).alias("side")).agg(F.sort_array(F.collect_set("event_type")).alias("xs")).orderBy("side").collect()
+    lists = [r["xs"] for r in by]
+    row = (sorted(metadata.merge_list(lists, "join_outer")), sorted(metadata.merge_list(lists, "join_inner")))
+    return spark.createDataFrame([row], "any_of array<string>, all_of array<string>")
