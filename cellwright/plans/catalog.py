@@ -135,9 +135,9 @@ def resolution_level(spark, sf_dir):
 _BIN4 = C.steps_sql(POINTS, C.cell_steps("lon", "lat", 4), ["cell_id"])
 
 
-@query(f"select cell_id, cell_id >> 4 as parent_id, count(*) as n, round(avg(price), 2) as price from {_BIN4} p group by 1, 2")
+@query(f"select cell_id, cell_id >> 4 as parent_id, count(*) as n, cast(sum(cast(round(price * 100) as bigint)) as double) / (100e0 * count(*)) as price from {_BIN4} p group by 1, 2")
 def bin_mean(spark, sf_dir):
-    placed = C.with_cell(points(spark, sf_dir), 4).groupBy("cell_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("price"), 2).alias("price"))
+    placed = C.with_cell(points(spark, sf_dir), 4).groupBy("cell_id").agg(F.count(F.lit(1)).alias("n"), F.expr("cast(sum(cast(round(price * 100) as bigint)) as double) / (100e0 * count(1))").alias("price"))  # in whole cents: exact in any order
     return placed.selectExpr("cell_id", f"{C.parent('cell_id', 2)} as parent_id", "n", "price")
 
 
@@ -310,7 +310,7 @@ def window_across_antimeridian(spark, sf_dir):
     return select.in_window(points(spark, sf_dir), bounds).selectExpr(*KEYS.split(", "))
 
 
-@query(f"with w as (select cell_id, least(lat0, lat1, lat2, lat3) as s, greatest(lat0, lat1, lat2, lat3) as n, c_lon, least({', '.join(f'(lon{k} - c_lon + 180e0) - 360e0 * floor((lon{k} - c_lon + 180e0) / 360e0) - 180e0' for k in range(4))}) as w, greatest({', '.join(f'(lon{k} - c_lon + 180e0) - 360e0 * floor((lon{k} - c_lon + 180e0) / 360e0) - 180e0' for k in range(4))}) as e from " + C.steps_sql(C.steps_sql("(select unnest([64, 80, 100]) as cell_id)", C.vertex_steps("cell_id", 2), _V), C.center_steps("cell_id", 2, lon="c_lon", lat="c_lat"), ["c_lon"]) + f" v) select w.cell_id, count(*) as n from {POINTS} p join w on p.lat between w.s and w.n and (p.lon - c_lon + 180e0) - 360e0 * floor((p.lon - c_lon + 180e0) / 360e0) - 180e0 between w.w and w.e group by 1")
+@query(f"with w as (select cell_id, least(lat0, lat1, lat2, lat3) as s, greatest(lat0, lat1, lat2, lat3) as n, c_lon, least({', '.join(f'(lon{k} - c_lon + 180e0) - 360e0 * floor((lon{k} - c_lon + 180e0) / 360e0) - 180e0' for k in range(4))}) as w, greatest({', '.join(f'(lon{k} - c_lon + 180e0) - 360e0 * floor((lon{k} - c_lon + 180e0) / 360e0) - 180e0' for k in range(4))}) as e from " + C.steps_sql(C.steps_sql("(select cast(unnest([64, 80, 100]) as bigint) as cell_id)", C.vertex_steps("cell_id", 2), _V), C.center_steps("cell_id", 2, lon="c_lon", lat="c_lat"), ["c_lon"]) + f" v) select w.cell_id, count(*) as n from {POINTS} p join w on p.lat between w.s and w.n and (p.lon - c_lon + 180e0) - 360e0 * floor((p.lon - c_lon + 180e0) / 360e0) - 180e0 between w.w and w.e group by 1")
 def window_band_join(spark, sf_dir):
     chunks = spark.createDataFrame([(64,), (80,), (100,)], "cell_id long")
     return select.band_join(points(spark, sf_dir), select.window_bounds(chunks, 2, 0.0)).groupBy("cell_id").agg(F.count(F.lit(1)).alias("n"))
