@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import materialize, words
 
 MIN_WORDS_BASE = 20
 WINDOW = 8
@@ -63,7 +63,7 @@ def references(based: DataFrame) -> DataFrame:
         F.array(F.struct(F.lit("w").alias("bin"), (F.col("n_words") - F.size("common")).cast("double").alias("n"))),
         F.transform("chars", lambda n, i: F.struct(F.concat(F.lit("c"), i.cast("string")).alias("bin"), n.alias("n"))),
     )
-    sums = judged.select("ref", F.inline(bins)).groupBy("ref", "bin").agg(F.sum("n").alias("n"))
+    sums = materialize(judged.select("ref", F.inline(bins)).groupBy("ref", "bin").agg(F.sum("n").alias("n")))
     sums = sums.filter("ref is not null").unionByName(sums.groupBy("bin").agg(F.sum("n").alias("n")).withColumn("ref", F.lit("*")))
     total = sums.groupBy("ref", F.substring("bin", 1, 1).alias("kind")).agg(F.sum("n").alias("total"))
     share = sums.withColumn("kind", F.substring("bin", 1, 1)).join(total, ["ref", "kind"]).select("ref", "kind", "bin", (F.col("n") / F.greatest("total", F.lit(1.0))).alias("q"))
