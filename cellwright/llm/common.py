@@ -1,13 +1,14 @@
-"""What the corpus operators share: the word pattern, safe column names and shared-folder tables."""
+"""What the corpus operators share: the word pattern and shared-folder tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialize
+
+__all__ = ["SPACE", "materialize", "table", "words"]
+
 #: Words are maximal runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -17,34 +18,5 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where the setting is missing a folder is made, but only for a local master: on a
-    cluster a machine-local folder would lose rows silently, so that is an error.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="cellwright-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage.
-
-    Lost executors cannot take these rows along. The files go when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cellwright-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
