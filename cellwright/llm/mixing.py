@@ -14,7 +14,7 @@ thousands of groups, and what one task sums up is bounded by a constant.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -23,12 +23,17 @@ from .common import words
 WEIGHTS = (3, 1, 2)
 TOTAL_SHARE = 1.5
 MOST_COPIES = 2
-#: Steps of the size scale (each about 9 % wide) and hash slots in each step.
-STEP = 0.125
+#: Steps to a doubling of size (2^STEP_BITS, each about 9 % wide), and hash slots in each step.
+STEP_BITS = 3
 SLOTS = 64
 SEED = 7
 
 
+def hashed(key: Column) -> Column:
+    """48 bits of a key's MD5, as a number."""
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 12), 16, 10).cast("long")
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share=TOTAL_SHARE, most=MOST_COPIES) -> DataFrame:
     """``(source, size)`` rows to one row a source: source_size, target.
 
@@ -65,10 +70,11 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share=TOTAL_SHARE, most=MOST_C
     """
     sized = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"))
     targets = source_targets(sized, weights, share, most)
-    h = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed))
+    h = hashed(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
+    width = F.length(F.bin(F.greatest(F.col("size"), F.lit(1)))) - 1  # whole part of the binary logarithm
     sized = sized.withColumns({
         "h": h,
-        "step": F.floor(F.log2(F.greatest(F.col("size"), F.lit(1))) / STEP).cast("int"),
+        "step": F.expr(f"(size << {STEP_BITS}) >> (length(bin(greatest(size, 1))) - 1)").bitwiseAND(F.lit((1 << STEP_BITS) - 1)).cast("int") + width * (1 << STEP_BITS),
         "slot": F.pmod(h, F.lit(SLOTS)).cast("int"),
     })
     group = ["source", "step", "slot"]
@@ -84,7 +90,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share=TOTAL_SHARE, most=MOST_C
     targets = targets.select(F.col("source").alias("t_source"), "source_size", "target")
     joined = joined.join(targets, F.col("source").eqNullSafe(F.col("t_source")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    u = F.pmod(F.xxhash64(F.coalesce(F.col("source"), F.lit("")), F.lit(seed + 1)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    u = hashed(F.concat(F.lit(f"{seed}/"), F.coalesce(F.col("source"), F.lit("")))) / F.lit(float(1 << 48))
     at = F.col("offset") + F.col("rank_in_group")
     joined = joined.withColumns({"rate": rate, "u": u, "at": at})
     crossed = F.floor(F.col("at") * F.col("rate") + F.col("u")) - F.floor((F.col("at") - 1) * F.col("rate") + F.col("u"))

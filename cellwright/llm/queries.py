@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from . import bpe, fingerprints, html_extract, language, lines, lm_score, mixing, quality, simhash, token_counts
 from .common import table
+from .oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +56,8 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge_quality(table(spark, sf_dir, "documents"))
+    out = quality.judge_quality(table(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
 QUERIES = {
@@ -68,5 +72,3 @@ QUERIES = {
     "op9_lm_score": op9_lm_score,
     "op10_quality_rules": op10_quality_rules,
 }
-
-ORACLES: dict[str, str] = {}
