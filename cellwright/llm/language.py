@@ -152,6 +152,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CE
         for s in range(STEPS):
             if (step == s).sum() >= 20:
                 limit[s] = SLACK * np.quantile(best[step == s], TAIL)
+            elif s:
+                limit[s] = limit[s - 1]  # a longer text is nearer to its centroid, if anything
     return Model(languages, idf, centres, owner, limit)
 
 

@@ -66,7 +66,7 @@ def _head(table: DataFrame, most: int) -> tuple[dict[str, int], int]:
     """The pre-tokens that occur at least ``least`` times, with the lowest power of two as
     ``least`` for which there are no more than ``most``; their pieces, and ``least``."""
     steps = table.groupBy(F.floor(F.log2("n")).alias("k")).count().orderBy(F.desc("k")).collect()  # 64 rows at most
-    total, k = 0, 63
+    total, k = 0, 62
     for row in steps:
         if (total := total + row["count"]) > most:
             break
