@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions import cells as C
 from ..functions import projection, text
 from ..operators import align, psf, pyramid, resample, select
-from . import metadata
+from . import metadata, products
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -433,3 +433,37 @@ def merged_lists(spark, sf_dir):
     lists = [r["xs"] for r in by]
     row = (sorted(metadata.merge_list(lists, "join_outer")), sorted(metadata.merge_list(lists, "join_inner")))
     return spark.createDataFrame([row], "any_of array<string>, all_of array<string>")
+
+
+_ITEMS = ", ".join(f"('{g}', '{v}', '{p}', '{u}', '{n}')" for g, vs in products.GROUPS.items() for v, (p, u, n) in vs.items())
+
+
+@query(f"select * from (values {_ITEMS}) t(\"group\", variable, parameter, unit, long_name)")
+def product_variables(spark, sf_dir):
+    return products.variables(spark)
+
+
+@query(f"select cell_id, ts as window_start, n, total from (select cell_id, date_trunc('day', o_orderdate) as ts, count(*) as n, round(sum(o_totalprice), 2) as total from (select o_orderkey % 192 as cell_id, o_orderdate, o_totalprice from orders) o group by 1, 2)")
+def cell_windows_batch(spark, sf_dir):
+    from ..streaming.cells import cell_windows
+
+    at = C.with_center(read(spark, sf_dir, "orders").selectExpr("o_orderkey % 192 as cell_id", "o_orderdate as ts", "o_totalprice as price"), 2).drop("cell_id")
+    out = cell_windows(at, 2, "price", window="1 day")
+    return out.select("cell_id", "window_start", "n", F.round("total", 2).alias("total"))
+
+
+@query(f"select chunk_id, cell_id, price from (select cell_id >> 6 as chunk_id, cell_id, price from {LEVEL5} p where price is not null) where chunk_id in (3, 40)")
+def chunk_pruning(spark, sf_dir):
+    from ..sources.shared import shared_dir
+    from ..sources.sinks import read_cells, write_cells
+
+    import uuid
+
+    path = f"{shared_dir(spark)}/cells-{uuid.uuid4().hex}"
+    write_cells(pyramid.nan_to_null(level5(spark, sf_dir).select("cell_id", "price")).filter("price is not null"), path, 5, 2)
+    return read_cells(spark, path, [3, 40]).selectExpr("cast(chunk_id as bigint) as chunk_id", "cell_id", "price")
+
+
+@query(f"select cell_id, price from {LEVEL5} p where (cell_id >> 4) = 77")
+def parent_range(spark, sf_dir):
+    return C.where_parent(pyramid.nan_to_null(level5(spark, sf_dir).select("cell_id", "price")), 77, 2)

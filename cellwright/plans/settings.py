@@ -1,4 +1,4 @@
-"""Settings of a conversion, validated as a whole, with JSON both ways and predefined products."""
+"""Settings of a conversion, validated as a whole, with JSON both ways."""
 
 from __future__ import annotations
 
@@ -208,19 +208,6 @@ class Settings:
         return cls.from_dict(json.loads(text))
 
 
-def predefined(name: str) -> Settings:
-    """Settings of known products."""
-    makers = {
-        "era5": lambda: Group(Grid(7), Chunks("dense", 2), Resampler("psf", {"threshold": 0.01, "lam": 5.0})),
-        "cams-eac4": lambda: Group(Grid(6), Chunks("dense", 2), Resampler("psf", {"threshold": 0.01, "lam": 5.0})),
-        "climatedt-sfc": lambda: Group(Grid(7), Chunks("dense", 2), Resampler("psf", {"threshold": 0.01, "lam": 5.0})),
-        "dem-glo30": lambda: Group(Grid(18), Chunks("dense", 8), Resampler("grid-bilinear", {"min_weight": 0.5})),
-    }
-    if name not in makers:
-        raise ValueError(f"unknown product {name!r}; there are {sorted(makers)}")
-    return Settings({".*": makers[name]()})
-
-
 def json_schema() -> dict[str, Any]:
     """A JSON schema of the settings, from the dataclasses."""
 

@@ -4,7 +4,8 @@ import pytest
 
 from cellwright.plans import metadata as M
 from cellwright.plans import staging as G
-from cellwright.plans.settings import Chunks, ExtraDimension, Grid, Group, Pyramid, Resampler, Settings, json_schema, predefined
+from cellwright.plans.settings import Chunks, ExtraDimension, Grid, Group, Pyramid, Resampler, Settings, json_schema
+from cellwright.plans.products import ensemble_times, field_maps, predefined, sphere_to_ellipsoid, variables
 from cellwright.sources import grids, sinks
 from cellwright.streaming.cells import cell_windows
 
@@ -29,7 +30,7 @@ def test_settings_round_trip_and_rules():
             bad()
     with pytest.raises(KeyError):
         s.for_group("b")
-    assert predefined("dem-glo30").for_group("anything").grid.level == 18
+    assert predefined("dem-glo30").for_group("dem/glo30").grid.level == 18 and predefined("era5").for_group("measurements/oper").resampler.params["threshold"] == 0.5
 
 
 def test_layouts():
@@ -106,3 +107,30 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("cells").exceptAll(cell_windows(rows, 1, "v")).count() == 0 and spark.table("cells").count() >= 10
+
+
+def test_products(spark):
+    assert ensemble_times(spark, ["00:00", "01:00", "03:00"]) == ["00:00", "03:00"] and variables(spark).filter("`group` = 'measurements/aod'").count() == 6
+    with pytest.raises(ValueError):
+        ensemble_times(spark, ["01:00"])
+    s = Settings({"measurements/aod": Group(Grid(3), Chunks("dense", 1, buffer=0.0), Resampler("psf", {"threshold": 0.01, "lam": 5.0}))})
+    pts = spark.range(4000).selectExpr("0 as input_id", "id as point_idx", "'aod550' as variable", "'2024-01-01' as time", "(id * 7919 % 36000) / 100e0 - 180 as lon", "degrees(asin((id * 1501 % 4000) / 2000e0 - 1)) as lat", "abs(sin(id)) as value")
+    for method in ("psf", "nn"):
+        out = field_maps(pts, "measurements/aod", s, method)
+        assert out.count() == 768 and out.filter("isnan(value) or value < 0 or value > 1").count() == 0
+    assert field_maps(pts, "measurements/aod", s, chunk_indices=[3]).count() == 16
+    with pytest.raises(IndexError):
+        field_maps(pts, "measurements/aod", s, chunk_indices=[48])
+
+
+def test_regrid_between_ellipsoids(spark):
+    from cellwright.functions import cells as C
+
+    level = 5
+    sphere = C.with_center(C.whole_sphere(spark, level), level).selectExpr("cell_id", "case when lat > -60 then lat * 10 end as v")
+    got = C.with_center(sphere_to_ellipsoid(sphere, level, "v", n_cells=9, lam=1e-3), level, C.WGS84).filter("abs(lat) between 40 and 50")
+    plain = C.with_center(sphere, level, C.WGS84).filter("abs(lat) between 40 and 50")
+    error = lambda df: df.selectExpr("avg(abs(v - lat * 10)) as e").first()["e"]
+    assert error(got) < 0.5 * error(plain) and error(plain) > 0.5
+    with pytest.raises(NotImplementedError):
+        sphere_to_ellipsoid(sphere.withColumn("depth", C.F.lit(1)), level, "v")
