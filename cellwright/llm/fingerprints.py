@@ -22,6 +22,8 @@ from .common import materialize, words
 K = 5
 S = 2
 SKETCH = 64
+#: Stands for a null doc_id: the lowest of all.
+NO_ID = -(1 << 63)
 
 
 def word_hashes(text: Column) -> Column:
@@ -75,13 +77,13 @@ def next_ids(docs: DataFrame) -> DataFrame:
 
     Ids alone are range-partitioned and kept in the shared folder; within a partition a window
     finds the neighbour, and a row a partition joins the edges. No task sees all ids. A null id
-    is the last.
+    is NO_ID, the last.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.select(F.col("doc_id").alias("id")).distinct()
-    ids = materialize(ids.repartitionByRange(parts, F.col("id").desc_nulls_last()).withColumn("part", F.spark_partition_id()))
-    order = F.col("id").desc_nulls_last()
+    ids = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id")).distinct()
+    ids = materialize(ids.repartitionByRange(parts, F.col("id").desc()).withColumn("part", F.spark_partition_id()))
+    order = F.col("id").desc()
     w = W.Window.partitionBy("part").orderBy(order)
     near = ids.withColumns({"next": F.lead(F.struct("id")).over(w), "turn": F.row_number().over(w)})
     # One row a partition: the first id of the next partition that has rows.
@@ -103,18 +105,22 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     doc_id counts as the lowest. One document alone follows itself. An empty table gives no rows;
     further columns are ignored.
     """
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    after = next_ids(docs)
-    # Only what the edit keeps of a text and its sketch travel, not the text itself.
+    # Both sides of the last join start from the same shuffle of texts by id, which Spark makes
+    # once. What travels besides is the part of a text that its predecessor needs, and a sketch.
+    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     n = F.char_length("text")
-    mine = with_sketch(texts, "text", "sketch").join(after, F.col("doc_id").eqNullSafe(F.col("id")))
-    mine = mine.select("doc_id", "next_id", n.cast("long").alias("n_chars"), F.substring("text", F.lit(1), n - F.floor(n / 2).cast("int")).alias("head"), "sketch")
-    theirs = texts.groupBy("doc_id").agg(F.min("text").alias("next_text")).withColumnRenamed("doc_id", "n_id")
-    both = mine.join(theirs, F.col("next_id").eqNullSafe(F.col("n_id")))
-    cut = F.concat("head", F.substring("next_text", F.lit(1), F.floor(F.col("n_chars") / 2).cast("int")))
-    both = both.select("doc_id", "n_chars", "sketch", "next_text", cut.alias("edited"))
-    both = with_sketch(with_sketch(both, "edited", "e_sketch"), "next_text", "n_sketch")
+    needs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.floor(F.coalesce(F.char_length("text"), F.lit(0)) / 2).alias("need")).groupBy("id").agg(F.max("need").cast("int").alias("need"))
+    after = needs.join(next_ids(docs), "id").select(F.col("id").alias("to"), F.col("next_id").alias("key"), "need")
+    # Counted, not ranked: a rank with a limit would be applied before the shuffle and forbid its reuse.
+    turn = F.count(F.lit(1)).over(W.Window.partitionBy("key").orderBy("text").rowsBetween(W.Window.unboundedPreceding, 0))
+    sent = texts.withColumn("turn", turn).filter("turn = 1").join(after, "key")
+    sent = with_sketch(sent, "text", "n_sketch").select("to", F.substring("text", F.lit(1), F.col("need")).alias("part"), F.transform("n_sketch", lambda v: (v - F.lit(1 << 31)).cast("int")).alias("n_sketch"))
+    both = texts.join(sent, texts["key"] == sent["to"])
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("part", F.lit(1), half))
+    both = both.select("key", "text", n.cast("long").alias("n_chars"), edited.alias("edited"), F.transform("n_sketch", lambda v: v.cast("long") + F.lit(1 << 31)).alias("n_sketch"))
+    both = with_sketch(with_sketch(both, "text", "sketch"), "edited", "e_sketch")
     return both.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("sketch")).alias("fingerprint"),
+        F.nullif("key", F.lit(NO_ID)).alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("sketch")).alias("fingerprint"),
         as_text(F.col("e_sketch")).alias("edited_fingerprint"), likeness("sketch", "e_sketch").alias("near_edited"), likeness("sketch", "n_sketch").alias("near_next"),
     )

@@ -140,7 +140,11 @@ def _neutral(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
 
 def train(pages: DataFrame, sample: int = SAMPLE, made_up: int = MADE_UP) -> boosting.Boosted:
     """Trees from made-up pages and at most ``sample`` pages of the corpus."""
-    rows = pages.filter(F.col("html").isNotNull()).orderBy(F.xxhash64("page_id", F.lit(SEED)), "page_id", F.xxhash64("html")).select("html").limit(sample).collect()
+    # The ids of the sample first, so that no task sends pages that others outdo.
+    some = pages.filter(F.col("html").isNotNull())
+    ids = some.select("page_id").orderBy(F.xxhash64("page_id", F.lit(SEED)), "page_id").limit(sample).distinct()
+    chosen = some.select("page_id", "html").join(F.broadcast(ids), "page_id")
+    rows = chosen.orderBy(F.xxhash64("page_id", F.lit(SEED)), "page_id", "html").select("html").limit(sample).collect()
     rng = np.random.default_rng(SEED)
     x, y, w = [], [], []
     for page, known in [*((made_up_page(rng), True) for _ in range(made_up)), *((r["html"], False) for r in rows)]:

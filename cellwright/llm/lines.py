@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Sites on which a line counts as boilerplate.
 MIN_SITES = 6
 #: log2 of the sketch's registers: a relative standard error of 1.04 / sqrt(2^LG_K), 1.6 %.
@@ -23,6 +25,8 @@ LG_K = 12
 BAND = 4.0
 
 KEY = ["h1", "h2"]
+#: Stands for a null doc_id, so that it is the first of all.
+NO_ID = -(1 << 63)
 
 
 def _trimmed(line: Column) -> Column:
@@ -34,33 +38,30 @@ def _h1(line: Column) -> Column:
 
 
 def text_lines(docs: DataFrame) -> DataFrame:
-    """One row a line that is not blank: doc_id, site (a hash of source), pos, h1, h2."""
-    lines = docs.select("doc_id", F.xxhash64(F.coalesce("source", F.lit("\0"))).alias("site"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    trimmed = lines.select("doc_id", "site", "pos", _trimmed(F.col("line")).alias("line")).filter(F.col("line") != "")
-    return trimmed.select("doc_id", "site", "pos", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"))
+    """One row a line that is not blank: doc, site (a hash of source), pos, h1, h2."""
+    doc = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
+    lines = docs.select(doc.alias("doc"), F.xxhash64(F.coalesce("source", F.lit("\0"))).alias("site"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    trimmed = lines.select("doc", "site", "pos", _trimmed(F.col("line")).alias("line")).filter(F.col("line") != "")
+    return trimmed.select("doc", "site", "pos", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"))
 
 
 def line_spread(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, band: float = BAND) -> DataFrame:
-    """Boilerplate lines: h1, h2, n_sites (sketched or exact), exact, and first (doc_id, pos).
+    """Boilerplate lines: h1, h2, n_sites (sketched or exact), exact, and first_doc.
 
-    Lines on one site alone, most of them, are set aside by a min and a max; sketches are made
-    of the others.
+    Sketches are merged in each task before the shuffle, and so are the sites of the lines that
+    are counted exactly: a hot line sends a row for each task, or for each site and task.
     """
-    spread = lines.groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("n"), F.min("site").alias("lo"), F.max("site").alias("hi")
-    ).filter((F.col("n") >= min_sites) & ((F.col("lo") != F.col("hi")) | F.lit(min_sites <= 1))).select(*KEY)
-    several = lines.join(spread, KEY, "left_semi")
-    sketched = several.groupBy(*KEY).agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("estimate"))
     error = band * 1.04 / 2 ** (lg_k / 2)
     low, high = min_sites * (1 - error) - 1, min_sites * (1 + error) + 1
-    near = sketched.filter(F.col("estimate").between(low, high)).select(*KEY)
-    counted = several.join(near, KEY, "left_semi").groupBy(*KEY, "site").agg(F.lit(1).alias("one")).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_sites"))
-    over = (
-        sketched.filter(F.col("estimate") > high).select(*KEY, F.col("estimate").alias("n_sites"), F.lit(False).alias("exact"))
-        .unionByName(counted.filter(F.col("n_sites") >= min_sites).select(*KEY, "n_sites", F.lit(True).alias("exact")))
+    sketch = F.hll_sketch_agg("site", F.lit(lg_k))
+    spread = lines.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first_doc"), F.hll_sketch_estimate(sketch).alias("estimate"))
+    spread = materialize(spread.filter((F.col("n") >= min_sites) & (F.col("estimate") >= low)).select(*KEY, "first_doc", "estimate"))
+    near = spread.filter(F.col("estimate") <= high)
+    counted = lines.select(*KEY, "site").distinct().join(near, KEY).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_sites"), F.first("first_doc").alias("first_doc"))
+    return (
+        spread.filter(F.col("estimate") > high).select(*KEY, "first_doc", F.col("estimate").alias("n_sites"), F.lit(False).alias("exact"))
+        .unionByName(counted.filter(F.col("n_sites") >= min_sites).select(*KEY, "first_doc", "n_sites", F.lit(True).alias("exact")))
     )
-    first = several.groupBy(*KEY).agg(F.min(F.struct("doc_id", "pos")).alias("first"))
-    return over.join(first, KEY)
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, band: float = BAND) -> DataFrame:
@@ -75,11 +76,14 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, b
     """
     lines = text_lines(docs)
     over = line_spread(lines, min_sites, lg_k, band)
-    hits = lines.select("doc_id", "pos", *KEY).join(over.select(*KEY, "first"), KEY)
-    gone = hits.filter(~F.struct("doc_id", "pos").eqNullSafe(F.col("first")))
-    gone = gone.groupBy("doc_id").agg(F.collect_set(F.struct("pos", F.col("h1").alias("h"))).alias("__gone"))
-    gone = gone.withColumnRenamed("doc_id", "__gone_id")
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone_id")), "left")
+    hits = lines.select("doc", "pos", *KEY).join(over.select(*KEY, "first_doc"), KEY)
+    # By document from here on, so that a hot line's rows can be split in the join.
+    at = F.sort_array(F.collect_set("pos"))
+    of_doc = hits.repartition("doc").groupBy("doc", *KEY).agg(at.alias("at"), F.first("first_doc").alias("first_doc"))
+    gone = F.when(F.col("doc") == F.col("first_doc"), F.slice("at", F.lit(2), F.greatest(F.size("at") - 1, F.lit(0)))).otherwise(F.col("at"))
+    of_doc = of_doc.select("doc", F.transform(gone, lambda p: F.struct(p.alias("pos"), F.col("h1").alias("h"))).alias("gone"))
+    gone = of_doc.groupBy("doc").agg(F.flatten(F.collect_list("gone")).alias("__gone")).withColumnRenamed("doc", "__doc").filter(F.size("__gone") > 0)
+    joined = docs.join(gone, F.coalesce(F.col("doc_id"), F.lit(NO_ID)) == F.col("__doc"), "left")
     joined = joined.withColumn("__lines", F.split("text", "\n", -1))
     kept = F.filter("__lines", lambda l, i: ~F.array_contains(F.col("__gone"), F.struct(i.alias("pos"), _h1(l).alias("h"))))
     joined = joined.withColumn("__kept", F.when(F.col("__gone").isNull(), F.col("__lines")).otherwise(kept))

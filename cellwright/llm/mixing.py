@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import words
+from .common import materialize, words
 
 WEIGHTS = (3, 1, 2)
 TOTAL_SHARE = 1.5
@@ -68,7 +68,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share=TOTAL_SHARE, most=MOST_C
     own (which of two equal rows is taken makes no difference), an empty table gives no rows;
     further columns are ignored. Reruns agree: rank and offset come from hashes of the seed.
     """
-    sized = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"))
+    sized = materialize(docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size")))
     targets = source_targets(sized, weights, share, most)
     h = hashed(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
     width = F.length(F.bin(F.greatest(F.col("size"), F.lit(1)))) - 1  # whole part of the binary logarithm
