@@ -21,9 +21,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from .common import materialize
 
@@ -34,6 +33,8 @@ SHINGLE = 3
 BUCKET = 1024
 #: Third-level masks leave out at most 8 bits, so 2^8 distinct fingerprints agree on one.
 BITS_LEFT = 1 << 8
+#: Stands for a null doc_id.
+NO_ID = -(1 << 63)
 #: Shingles hashed at a time: bounds a task's memory whatever a text's length.
 CHUNK = 1 << 15
 
@@ -59,14 +60,19 @@ def fingerprint(text: str | None, size: int = SHINGLE, width: int = CHUNK) -> in
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits in a signed long) for every row."""
+    """doc_id, fp (the fingerprint's bits in a signed long) and key (a hash of the text) for every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             fps = np.array([fingerprint(t) for t in pdf["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": fps.view(np.int64)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": fps.view(np.int64), "key": pdf["key"]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("key")).mapInPandas(run, "doc_id long, fp long, key long")
+
+
+def text_key() -> Column:
+    """A hash that tells a document's texts apart; null and empty differ."""
+    return F.xxhash64("text", F.col("text").isNull())
 
 
 def covering_masks(free: int, radius: int = RADIUS) -> list[int]:
@@ -181,6 +187,16 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
 
 
+def _rooted(docs: DataFrame, radius: int, bucket: int) -> DataFrame:
+    """doc_id, fp, key, root (a fingerprint of the component) and component_id for every row."""
+    fps = materialize(fingerprints(docs))
+    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    comp = materialize(components(links(distinct, radius, bucket)))
+    rooted = distinct.join(comp, distinct["fp"] == comp["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return fps.join(rooted.join(ids, "root").select("fp", "root", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id for every row of ``docs``.
 
@@ -190,24 +206,17 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET)
     repeat are all returned. An empty table gives no rows; columns besides doc_id and text are
     ignored.
     """
-    fps = materialize(fingerprints(docs))
-    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    comp = materialize(components(links(distinct, radius, bucket)))
-    rooted = distinct.join(comp, distinct["fp"] == comp["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = rooted.join(ids, "root").select("fp", "component_id")
-    return fps.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _rooted(docs, radius, bucket).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """``docs`` with one document of each component: that of the smallest doc_id.
+    """``docs`` with one row of each component: that of the smallest doc_id, a null one last.
 
-    Rows that share a doc_id count as one document, of which one row stays: the one with the
-    smallest text (null first). A null doc_id stays as the one document of its component.
+    Of rows that share that doc_id, the one whose text has the smallest hash stays, and one of
+    rows that are equal in both. Rows that share a doc_id but not a component each stand for
+    their own. The choice is a minimum by component, so a large group sends a row a task.
     """
-    found = near_duplicates(docs, radius, bucket)
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("__key")).distinct()
-    joined = docs.withColumn("__key", key).join(stay, "__key", "left_semi")
-    turn = F.row_number().over(W.Window.partitionBy("__key").orderBy("text"))
-    return joined.withColumn("__turn", turn).filter("__turn = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "key")).alias("f")
+    stay = _rooted(docs, radius, bucket).groupBy("root").agg(first).select(F.coalesce("f.doc_id", F.lit(NO_ID)).alias("__id"), F.col("f.key").alias("__key"))
+    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__key": text_key()})
+    return keyed.join(stay.distinct(), ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -199,6 +199,16 @@ def test_simhash(docs, none):
     assert kept.columns == docs.columns and kept.count() == len({c for c in component_of(fps, ids)})
 
 
+def test_keep_one_without_or_with_shared_ids(spark):
+    a, b, c = ("alpha beta gamma delta epsilon " * 4, "one two three four five six seven " * 4, "ut enim ad minim veniam quis nostrud " * 4)
+    df = spark.createDataFrame([(None, a), (None, a), (None, b), (None, c), (7, c), (8, c), (8, b + "x"), (8, b + "x"), (9, a + "and so on to another end")], "doc_id long, text string")
+    fps = [simple_hash(r["text"]) for r in df.collect()]
+    groups = component_of(fps, list(range(len(fps))))
+    kept = [tuple(r) for r in simhash.keep_one(df).collect()]
+    assert len(kept) == len(set(groups)) and (7, c) in kept and (8, c) not in kept and (None, c) not in kept and len(set(kept)) == len(kept)
+    assert {t for _, t in kept} >= {c} and len({component_of([*fps, simple_hash(t)], list(range(len(fps) + 1)))[-1] for _, t in kept}) == len(kept)
+
+
 def test_covering_masks_cover():
     rng = random.Random(1)
     for depth in (0, 1):
