@@ -119,8 +119,13 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CE
     sample.
     """
     open_ = docs.select("doc_id", "lang").filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
-    turn = F.row_number().over(W.Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id"))
-    chosen = open_.withColumn("turn", turn).filter(F.col("turn") <= per_language).select("doc_id", "lang").distinct()
+    rank = F.xxhash64("doc_id", F.lit(SEED))
+    # A cut of the hash's range leaves about twice the sample to rank, whatever the input's size.
+    sizes = open_.groupBy("lang").agg(F.count(F.lit(1)).alias("__n"))  # a row a language, like the model
+    share = F.when(F.col("__n") > 4 * per_language, F.lit(2.0 * per_language) / F.col("__n")).otherwise(1.0)
+    low = open_.join(F.broadcast(sizes), "lang").filter(rank.cast("double") / float(1 << 64) + 0.5 <= share)
+    turn = F.row_number().over(W.Window.partitionBy("lang").orderBy(rank, "doc_id"))
+    chosen = low.withColumn("turn", turn).filter(F.col("turn") <= per_language).select("doc_id", "lang").distinct()
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", "text")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
