@@ -14,6 +14,7 @@ by a join on the n-gram beyond that, with the same result.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .tokenization import default_path, transducer, vocabulary
+from .tokenization import default_path, pieces, vocabulary
 
 VOCABULARY = "byte_bpe_50k.json"
 MU = 50.0
@@ -36,17 +37,39 @@ BROADCAST_ROWS = 1 << 21
 TOKENS, FLUSH = 1 << 20, 1 << 19
 
 
-def _keys(text: str | None, path: str) -> np.ndarray:
+def tokenize(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id and ids (16 or 32 bits an id, in a binary) of every row, kept in the shared folder.
+
+    Training and scoring both read it, so texts are encoded once. A null text has no ids.
+    """
+    path = path or default_path(VOCABULARY)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        library, kind = vocabulary(path).library, _kind(path)
+        for b in batches:
+            ids = []
+            for text in b.column("text"):  # a piece at a time, as an encoding is many times its text's size
+                found = (library.encode_batch_fast([p], add_special_tokens=False)[0].ids for p in pieces(text.as_py() or ""))
+                ids.append(b"".join(np.array(x, dtype=kind).tobytes() for x in found))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+
+    return materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary"))
+
+
+def _kind(path: str) -> str:
+    return "<u2" if _vocabulary_size(path) <= 1 << 16 else "<u4"
+
+
+def _keys(ids: bytes, path: str) -> np.ndarray:
     """Keys of a text's bigrams, one a token."""
-    ids = [START]
-    for part in transducer(path).encode(text or "", vocabulary(path)):
-        ids += part
-    x = np.array(ids, dtype=np.int64)
-    return (x[:-1] << SHIFT) | x[1:]
+    x = np.frombuffer(ids, dtype=_kind(path)).astype(np.int64)
+    before = np.concatenate([np.array([START], np.int64), x[:-1]]) if len(x) else x
+    return (before << SHIFT) | x
 
 
 def count_bigrams(docs: DataFrame, path: str) -> DataFrame:
-    """key, n_target, n_all of every bigram; ``docs`` has text and is_target."""
+    """key, n_target, n_all of every bigram; ``docs`` has ids and is_target."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, marks, held = [], [], 0
@@ -63,8 +86,8 @@ def count_bigrams(docs: DataFrame, path: str) -> DataFrame:
 
         give = lambda: pa.RecordBatch.from_arrays([pa.array(x) for x in total], names=["key", "n_target", "n_all"])
         for b in batches:
-            for text, mark in zip(b.column("text"), b.column("is_target").to_pylist()):
-                keys.append(k := _keys(text.as_py(), path))
+            for ids, mark in zip(b.column("ids"), b.column("is_target").to_pylist()):
+                keys.append(k := _keys(ids.as_py(), path))
                 marks.append(int(bool(mark)))
                 held += len(k)
                 if held > TOKENS:
@@ -75,7 +98,7 @@ def count_bigrams(docs: DataFrame, path: str) -> DataFrame:
         fold()
         yield give()
 
-    counted = docs.select("text", "is_target").mapInArrow(run, "key long, n_target long, n_all long")
+    counted = docs.select("ids", "is_target").mapInArrow(run, "key long, n_target long, n_all long")
     return counted.groupBy("key").agg(F.sum("n_target").alias("n_target"), F.sum("n_all").alias("n_all"))
 
 
@@ -92,12 +115,11 @@ class Model:
 
 
 def _vocabulary_size(path: str) -> int:
-    t = transducer(path)
-    return max(t.bytes_of) + 1
+    return vocabulary(path).library.get_vocab_size(with_added_tokens=True)
 
 
 def train(docs: DataFrame, path: str | None = None) -> Model:
-    """``docs`` has text and is_target (null: not a target). Null texts count as empty."""
+    """``docs`` has the ids that ``tokenize`` gives, and is_target (null: not a target)."""
     path = path or default_path(VOCABULARY)
     bigrams = materialize(count_bigrams(docs, path))
     n_ids = _vocabulary_size(path)
@@ -130,14 +152,15 @@ def _loss(keys: np.ndarray, n: np.ndarray | float, before: np.ndarray, share: np
 
 
 def score(docs: DataFrame, model: Model, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss (mean bits a token), score, for every row.
+    """doc_id, n_tokens, target_loss, background_loss (mean bits a token), score, for every row of
+    ``docs``: doc_id and ids, from ``tokenize``.
 
     The three are null for a null text or one without tokens. Rows that repeat are scored each;
     a null doc_id is passed through; an empty table gives no rows; other columns are ignored.
     """
     spark, path, n_ids = docs.sparkSession, model.path, _vocabulary_size(model.path)
     before, share = model.before, model.share
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "ids")
     shared = None
     if model.size <= broadcast_rows:
         table = model.losses.toPandas().sort_values("key")
@@ -150,8 +173,8 @@ def score(docs: DataFrame, model: Model, broadcast_rows: int = BROADCAST_ROWS) -
         key, *losses = shared.value
         for b in batches:
             out = []
-            for text in b.column("text"):
-                k = _keys(text.as_py(), path)
+            for ids in b.column("ids"):
+                k = _keys(ids.as_py(), path)
                 sums = [0.0, 0.0]
                 if len(k):
                     at = np.minimum(np.searchsorted(key, k), len(key) - 1) if len(key) else np.zeros(len(k), int)
@@ -164,15 +187,15 @@ def score(docs: DataFrame, model: Model, broadcast_rows: int = BROADCAST_ROWS) -
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts = []
-            for row, doc_id, text in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), b.column("text")):
-                k, n = np.unique(_keys(text.as_py(), path), return_counts=True)
+            for row, doc_id, ids in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), b.column("ids")):
+                k, n = np.unique(_keys(ids.as_py(), path), return_counts=True)
                 t, a = unseen(k)
                 # One row for the document itself, under a key of its own that no bigram has.
                 parts.append((np.append(k, -1 - row), np.append(n, 0), np.append(t, 0.0), np.append(a, 0.0), row, doc_id))
             cols = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, d) for i, d in enumerate((np.int64, np.int64, np.float64, np.float64))]
             row = np.repeat(np.array([p[4] for p in parts], np.int64), [len(p[0]) for p in parts])
-            ids = pa.array([p[5] for p in parts for _ in range(len(p[0]))], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(row), ids, *map(pa.array, cols)], names=["row", "doc_id", "key", "n", "t", "a"])
+            of = pa.array([p[5] for p in parts for _ in range(len(p[0]))], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(row), of, *map(pa.array, cols)], names=["row", "doc_id", "key", "n", "t", "a"])
 
     if shared is not None:
         summed = rows.mapInArrow(known, "row long, doc_id long, n_tokens long, t double, a double")

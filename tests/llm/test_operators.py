@@ -297,8 +297,10 @@ def test_transducer_streams_like_the_whole():
 def test_lm_score(spark, docs, none, limit):
     rng = random.Random(5)
     data = [(i, sentence(rng, ("en", "fr")[i % 2], rng.randint(5, 60)), i % 2 == 0 and i < 60) for i in range(120)]
-    model = lm_score.train(spark.createDataFrame(data, "doc_id long, text string, is_target boolean"))
-    got = {r["doc_id"]: r for r in lm_score.score(spark.createDataFrame(data, "doc_id long, text string, is_target boolean"), model, limit).collect()}
+    df = spark.createDataFrame(data, "doc_id long, text string, is_target boolean")
+    tokens = lm_score.tokenize(df)
+    model = lm_score.train(tokens.join(df.select("doc_id", "is_target"), "doc_id"))
+    got = {r["doc_id"]: r for r in lm_score.score(tokens, model, limit).collect()}
     good, bad = [got[i]["score"] for i in range(60, 120) if i % 2 == 0], [got[i]["score"] for i in range(120) if i % 2]
     assert len(got) == 120 and max(good) < min(bad)
     # Brute force for one document.
@@ -322,9 +324,9 @@ def test_lm_score(spark, docs, none, limit):
 
     s = seq(data[7][1])
     assert got[7]["score"] == pytest.approx(loss(pairs[1], s) - loss(pairs[0], s))
-    odd = lm_score.score(docs, model, limit).collect()
+    odd = lm_score.score(lm_score.tokenize(docs), model, limit).collect()
     assert len(odd) == len(rows()) and {r["doc_id"] for r in odd if r["score"] is None} == {1000, 1001}
-    assert lm_score.score(none, model, limit).count() == 0
+    assert lm_score.score(lm_score.tokenize(none), model, limit).count() == 0
 
 
 def repeats(w, size=8):
