@@ -47,7 +47,7 @@ def _base(docs: DataFrame) -> DataFrame:
     common = F.filter("words", lambda w: F.lower(w).isin(*VOCABULARY))
     docs = docs.withColumn("common", F.transform(common, lambda w: F.lower(w)))
     counted = F.transform(F.array_distinct("common"), lambda w: F.struct(w.alias("word"), (F.size("common") - F.size(F.array_remove("common", w))).cast("double").alias("n")))
-    return docs.withColumn("commons", counted)
+    return docs.withColumns({"commons": counted, "n_common": F.size("common")})
 
 
 def references(based: DataFrame) -> DataFrame:
@@ -57,13 +57,12 @@ def references(based: DataFrame) -> DataFrame:
     driver's broadcast, whatever the input.
     """
     judged = based.filter(F.col("n_words") >= MIN_WORDS)
-    judged = judged.withColumn("ref", F.when(F.col("lang").isin(*COMMON_WORDS), F.col("lang")))
     bins = F.concat(
         F.transform("commons", lambda s: F.struct(F.concat(F.lit("w"), s["word"]).alias("bin"), s["n"].alias("n"))),
-        F.array(F.struct(F.lit("w").alias("bin"), (F.col("n_words") - F.size("common")).cast("double").alias("n"))),
+        F.array(F.struct(F.lit("w").alias("bin"), (F.col("n_words") - F.col("n_common")).cast("double").alias("n"))),
         F.transform("chars", lambda n, i: F.struct(F.concat(F.lit("c"), i.cast("string")).alias("bin"), n.alias("n"))),
     )
-    sums = materialize(judged.select("ref", F.inline(bins)).groupBy("ref", "bin").agg(F.sum("n").alias("n")))
+    sums = materialize(judged.select(F.nullif("ref", F.lit("*")).alias("ref"), F.inline(bins)).groupBy("ref", "bin").agg(F.sum("n").alias("n")))
     sums = sums.filter("ref is not null").unionByName(sums.groupBy("bin").agg(F.sum("n").alias("n")).withColumn("ref", F.lit("*")))
     total = sums.groupBy("ref", F.substring("bin", 1, 1).alias("kind")).agg(F.sum("n").alias("total"))
     share = sums.withColumn("kind", F.substring("bin", 1, 1)).join(total, ["ref", "kind"]).select("ref", "kind", "bin", (F.col("n") / F.greatest("total", F.lit(1.0))).alias("q"))
@@ -100,6 +99,18 @@ def _repeats(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_repeat_words", F.coalesce(total, F.lit(0)).cast("long")).drop("__h", "__w", "__s", "__p")
 
 
+def measure(docs: DataFrame) -> DataFrame:
+    """What the rules and the histograms need of each document, kept in the shared folder: texts
+    are read once. Besides the counts, a row has at most a number for each bin."""
+    based = _repeats(_base(docs.select("doc_id", "lang", "text")))
+    based = based.withColumn("__l", F.filter(F.split("text", "\n", -1), lambda l: F.trim(l, F.lit(" \t\n\x0b\x0c\r")) != ""))
+    return materialize(based.select(
+        "doc_id", F.when(F.col("lang").isin(*COMMON_WORDS), F.col("lang")).otherwise("*").alias("ref"), "n_all", "n_words", "chars", "commons", "n_common", "n_repeat_words",
+        F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.coalesce(F.when(F.col("text").isNotNull(), F.size("__l") - F.size(F.array_distinct("__l"))), F.lit(0)).cast("long").alias("n_dup_lines"),
+    ))
+
+
 def judge_quality(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     and char_distance, word_distance (null where the guards forbid a verdict).
@@ -109,24 +120,18 @@ def judge_quality(docs: DataFrame) -> DataFrame:
     are judged alike and all returned; an empty table gives no rows; columns besides doc_id, text
     and lang are ignored.
     """
-    plain = docs.select("doc_id", "lang", "text")
-    refs = references(_base(plain))
-    based = _repeats(_base(plain))
-    lines = F.filter(F.split("text", "\n", -1), lambda l: F.trim(l, F.lit(" \t\n\x0b\x0c\r")) != "")
-    based = based.withColumn("__l", lines)
-    based = based.withColumn("n_dup_lines", F.coalesce(F.when(F.col("text").isNotNull(), F.size("__l") - F.size(F.array_distinct("__l"))), F.lit(0)).cast("long"))
-    based = based.withColumn("ref", F.when(F.col("lang").isin(*COMMON_WORDS), F.col("lang")).otherwise("*"))
+    based = measure(docs)
+    refs = references(based)
     joined = based.join(F.broadcast(refs), "ref", "left")  # a row a language of COMMON_WORDS, and one
     word_bins = F.concat(
         F.transform("commons", lambda s: F.struct(F.concat(F.lit("w"), s["word"]).alias("bin"), s["n"].alias("n"))),
-        F.array(F.struct(F.lit("w").alias("bin"), (F.col("n_words") - F.size("common")).cast("double").alias("n"))),
+        F.array(F.struct(F.lit("w").alias("bin"), (F.col("n_words") - F.col("n_common")).cast("double").alias("n"))),
     )
     char_bins = F.transform("chars", lambda n, i: F.struct(F.concat(F.lit("c"), i.cast("string")).alias("bin"), n.alias("n")))
     enough = (F.col("n_words") >= MIN_WORDS) & (F.col("n_all") >= MIN_CHARS)
     out = joined.withColumns({
         "char_distance": F.when(enough, _distance(char_bins, F.col("n_all"))),
         "word_distance": F.when(enough, _distance(word_bins, F.col("n_words"))),
-        "word_chars": F.char_length(F.array_join("words", "")).cast("long"),
         "n_symbols": F.element_at("chars", len(CLASSES)).cast("long"),
         "base_failed": (F.col("n_words") < MIN_WORDS_BASE) | (F.lit(100) * F.col("n_repeat_words") > F.lit(REPEAT_PERCENT) * F.col("n_words")),
     })
