@@ -4,15 +4,18 @@ Each observation is modelled as a Gaussian mean of the ``n_cells`` cells nearest
 width of half a cell; weights are corrected so that their centroid is the observation's place,
 which makes the model exact for fields that are linear nearby. Cell values solve
 (A'A + lam I) x = A'd. The kernel is this engine's own.
-A chunk's points and halo come as one group, whose size the chunk level bounds.
+The sums in A'A and A'd are partial aggregates; a task solves one chunk from these sums alone,
+whose number the cells of the chunk and its halo bound, however many points there are.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,19 +23,21 @@ from ..functions import cells as C
 from .resample import ecef
 
 
-def _solve(rows: np.ndarray, cols: np.ndarray, w: np.ndarray, d: np.ndarray, n: int, lam: float, max_iter: int, tol: float) -> np.ndarray:
-    """Conjugate gradient on the normal equations, with products by index sums."""
-    forward = lambda x: np.bincount(rows, w * x[cols], len(d))
-    back = lambda y: np.bincount(cols, w * y[rows], n)
-    mean = d.mean() if len(d) else 0.0
+def _solve(i: np.ndarray, j: np.ndarray, ww: np.ndarray, wd: np.ndarray, w: np.ndarray, n: int, lam: float, max_iter: int, tol: float) -> np.ndarray:
+    """Conjugate gradient on the normal equations: A'A by its entries i <= j, and A'd and A'1 by cell."""
+    off = i != j
+    oi, oj, ow = i[off], j[off], ww[off]
+    normal = lambda x: np.bincount(i, ww * x[j], n) + np.bincount(oj, ow * x[oi], n)
+    # A point's weights have sum 1: this is the mean of the points' values.
+    mean = wd.sum() / w.sum() if n else 0.0
     x = np.zeros(n)
-    r = back(d - mean)
+    r = wd - mean * w
     p, rr = r.copy(), float(r @ r)
     limit = tol * tol * max(rr, 1e-300)
     for _ in range(max_iter):
         if rr <= limit:
             break
-        q = back(forward(p)) + lam * p
+        q = normal(p) + lam * p
         a = rr / float(p @ q)
         x += a * p
         r -= a * q
@@ -67,22 +72,39 @@ def psf(points: DataFrame, level: int, chunk_level: int, variable: str, n_cells:
     links = wide.select("id", "d", "cell_id", *off, F.exp(-d2 / (2 * sigma * sigma)).alias("w"), F.expr(C.parent("cell_id", level - chunk_level)).alias("chunk"))
     # A point takes part in every chunk that holds one of its cells, with all of its cells: the halo.
     chunks = links.groupBy("id").agg(F.first("d").alias("d"), F.collect_list(F.struct("w", "cell_id", "dx", "dy", "dz")).alias("to"), F.collect_set("chunk").alias("chunks"))
-    grouped = chunks.select("id", "d", F.slice(F.sort_array("to", asc=False), 1, n_cells).alias("to"), F.explode("chunks").alias("chunk"))
-    flat = grouped.select("chunk", "id", "d", F.inline("to"))
+    chunks = chunks.select("d", F.slice(F.sort_array("to", asc=False), 1, n_cells).alias("to"), "chunks")
+    flat = chunks.select("d", "chunks", *[F.col(f"to.{c}").alias(c) for c in ("w", "cell_id", "dx", "dy", "dz")])
+
+    def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of = {c: b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("w", "dx", "dy", "dz")}
+            lengths = b.column("w").value_lengths().to_numpy(zero_copy_only=False)
+            rows = np.repeat(np.arange(b.num_rows), lengths)
+            ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+            share = of["w"] / np.maximum(np.bincount(rows, of["w"], b.num_rows), 1e-300)[rows]
+            centred = _centred(rows, of["w"], np.stack([of[c] for c in ("dx", "dy", "dz")], axis=1), b.num_rows)
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (centred, share)]
+            yield pa.RecordBatch.from_arrays([b.column("d"), b.column("chunks"), b.column("cell_id"), *lists], names=["d", "chunks", "cells", "w", "share"])
+
+    weighted = flat.mapInArrow(weights, "d double, chunks array<long>, cells array<long>, w array<double>, share array<double>")
+    # One row a pair of a point's cells, the first not above the second; what is by cell goes with its pair with itself.
+    one = F.arrays_zip("cells", "w", "share")
+    pair = lambda a, b: F.struct(
+        a["cells"].alias("i"), b["cells"].alias("j"), (a["w"] * b["w"]).alias("ww"), *[F.when(a["cells"] == b["cells"], x).otherwise(0.0).alias(n) for n, x in (("wd", a["w"] * F.col("d")), ("w", a["w"]), ("share", a["share"]))]
+    )
+    pairs = F.flatten(F.transform(one, lambda a: F.transform(F.filter(one, lambda b: a["cells"] <= b["cells"]), lambda b: pair(a, b))))
+    sums = weighted.select("chunks", F.inline(pairs)).select(F.explode("chunks").alias("chunk"), "i", "j", "ww", "wd", "w", "share")
+    sums = sums.groupBy("chunk", "i", "j").agg(*[F.sum(c).alias(c) for c in ("ww", "wd", "w", "share")])
     shift = 2 * (level - chunk_level)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["id", "cell_id"])
-        ids, rows = np.unique(pdf["id"], return_inverse=True)
-        cells, cols = np.unique(pdf["cell_id"], return_inverse=True)
-        w = pdf["w"].to_numpy()
-        share = w / np.maximum(np.bincount(rows, w), 1e-300)[rows]
-        w = _centred(rows, w, pdf[["dx", "dy", "dz"]].to_numpy(), len(ids))
-        d = np.zeros(len(ids))
-        d[rows] = pdf["d"].to_numpy()
-        x = _solve(rows, cols, w, d, len(cells), lam, max_iter, tol)
-        cover = np.bincount(cols, share, len(cells))
+        pdf = pdf.sort_values(["i", "j"])
+        own = pdf[pdf["i"] == pdf["j"]]  # every cell, in order
+        cells = own["i"].to_numpy()
+        i, j = np.searchsorted(cells, pdf["i"]), np.searchsorted(cells, pdf["j"])
+        x = _solve(i, j, pdf["ww"].to_numpy(), own["wd"].to_numpy(), own["w"].to_numpy(), len(cells), lam, max_iter, tol)
+        cover = own["share"].to_numpy()
         mine = (cells >> shift == pdf["chunk"].iloc[0]) & (cover >= threshold)
         return pd.DataFrame({"cell_id": cells[mine], variable: x[mine]})
 
-    return flat.groupBy("chunk").applyInPandas(solve, f"cell_id long, `{variable}` double")
+    return sums.groupBy("chunk").applyInPandas(solve, f"cell_id long, `{variable}` double")

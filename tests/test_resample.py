@@ -124,3 +124,31 @@ def test_masks_parameters_and_lost_data(spark):
         R.per_variable({"a": 1.0}, ["a", "b"])
     assert R.lost_variables(pts, pts.withColumn("c", F.lit(None).cast("double")), ["b", "c"]) == ["c"]
     assert {r["v"] for r in R.clip_at_zero(spark.createDataFrame([(1, -2.0), (2, None)], "cell_id long, v double"), "v").collect()} == {0.0, None}
+
+
+def test_psf_gives_a_task_only_sums_per_cell(spark):
+    pts = make(spark, 400, 3)
+    many = pts.crossJoin(spark.range(4).select())
+    to_the_end = {"max_iter": 5000, "tol": 1e-13}
+    one, four = Q.psf(pts, 3, 1, "v", lam=0.01, **to_the_end), Q.psf(many, 3, 1, "v", lam=0.04, threshold=0.04, **to_the_end)
+    a, b = ({r["cell_id"]: r["v"] for r in x.collect()} for x in (one, four))
+    assert a.keys() == b.keys() and len(a) > 100 and all(abs(a[c] - b[c]) < 1e-5 for c in a)
+
+    def into_solver(df):
+        node = df._jdf.queryExecution().analyzed()
+        while node.getClass().getSimpleName() != "FlatMapGroupsInPandas":
+            node = node.children().head()
+        return spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, node.children().head()).count()
+
+    assert into_solver(one) == into_solver(four) > 0
+
+
+def test_psf_solves_each_chunk_as_dense_least_squares_does():
+    rng = np.random.default_rng(5)
+    full = rng.random((60, 12)) * (rng.random((60, 12)) < 0.4) + np.eye(60, 12) + 1e-3
+    full /= full.sum(axis=1, keepdims=True)
+    d = rng.random(60) + 100
+    i, j = np.triu_indices(12)
+    got = Q._solve(i, j, (full.T @ full)[i, j], full.T @ d, full.sum(axis=0), 12, 0.1, 200, 1e-12)
+    want = np.linalg.solve(full.T @ full + 0.1 * np.eye(12), full.T @ (d - d.mean())) + d.mean()
+    assert np.allclose(got, want, atol=1e-8)
