@@ -4,7 +4,10 @@ A text is a vector of TF-IDF weights of its character n-grams (one to three lett
 within and at the ends of words), hashed to ``DIM`` dimensions and normalised. Each language has
 several centroids, from clusters of its sample documents, so that kinds of text within a language
 need not share one mean. A text goes to the language of the centroid with the highest cosine. One
-that lies further from it than nearly all sample documents of about its length is rejected.
+that lies further from it than nearly all texts of about its length is rejected: the sample's texts
+are cut to pieces of every length that they reach, so that no length lacks a limit because whole
+documents of that length are rare. Pieces are held against centroids of the other half of the
+sample, since a text is nearer to centroids that were made from it.
 
 Training uses a bounded sample: at most ``PER_LANGUAGE`` labelled rows a language, those with the
 smallest hash of their doc_id, of whole texts. Prediction sees the text alone.
@@ -28,10 +31,12 @@ PER_LANGUAGE = 400
 CENTROIDS = 4
 ROUNDS = 12
 SEED = 11
-#: Share of the sample of a length step that may lie beyond its rejection limit, and the slack
+#: Share of the sample's pieces of a length step that may lie beyond its rejection limit, and the slack
 #: that multiplies the limit: rejection is for what is unlike any language, not for odd documents.
 TAIL, SLACK = 0.005, 0.6
 STEPS = 12
+#: Pieces cut from a sample text for each length step that it reaches.
+PIECES = 3
 #: Characters vectorised at a time, so that memory doesn't follow a text's length.
 CHUNK = 1 << 16
 UNKNOWN = "und"
@@ -68,6 +73,17 @@ def _step(n: float) -> int:
     return min(STEPS - 1, int(np.log2(max(n, 1)) * 0.75))
 
 
+def _pieces(text: str) -> Iterator[str]:
+    """Parts of a text, spread over it, with about as many n-grams as the middle of each length step."""
+    for s in range(1, STEPS):  # a letter alone is beyond step 0
+        size = max(1, int(2 ** ((s + 0.5) / 0.75) / 3) - 1)  # a letter or gap has three n-grams, an edge too
+        if size >= len(text):
+            return
+        for k in range(PIECES):
+            start = (len(text) - size) * k // PIECES
+            yield text[start : start + size]
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -130,18 +146,20 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CE
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(i, lang, c) for i, lang, t in zip(*(b.column(n).to_pylist() for n in ("doc_id", "lang", "text"))) if t and (c := _counts(t)) is not None]
-            at = [np.flatnonzero(c) for *_, c in out]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([i for i, *_ in out], pa.int64()), pa.array([x[1] for x in out], pa.string()),
-                pa.array([a.tolist() for a in at], pa.list_(pa.int32())), pa.array([c[a].tolist() for a, (*_, c) in zip(at, out)], pa.list_(pa.float64())),
-            ], names=["doc_id", "lang", "at", "n"])
-
-    rows = sample.mapInArrow(vectors, "doc_id long, lang string, at array<int>, n array<double>").collect()
+            for i, lang, t in zip(*(b.column(n).to_pylist() for n in ("doc_id", "lang", "text"))):
+                # Dense counts are held one at a time.
+                out = [(n > 0, (a := np.flatnonzero(c)).astype(np.uint16).tobytes(), c[a].astype(np.uint32).tobytes()) for n, x in enumerate((t, *_pieces(t))) if (c := _counts(x)) is not None] if t else []
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([i] * len(out), pa.int64()), pa.array([lang] * len(out), pa.string()),
+                    *[pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.bool_(), pa.binary(), pa.binary()))],
+                ], names=["doc_id", "lang", "cut", "at", "n"])
+
+    rows = sample.mapInArrow(vectors, "doc_id long, lang string, cut boolean, at binary, n binary").collect()
     rows.sort(key=lambda r: (r["lang"], r["doc_id"], r["at"]))
+    cuts, rows = [r for r in rows if r["cut"]], [r for r in rows if not r["cut"]]
     counts = np.zeros((len(rows), DIM))
     for i, r in enumerate(rows):
-        counts[i, r["at"]] = r["n"]
+        counts[i, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["n"], np.uint32)
     idf = np.log((1 + len(rows)) / (1 + (counts > 0).sum(axis=0))) + 1
     units = np.vstack([_unit(c, idf) for c in counts]) if rows else np.zeros((0, DIM), dtype=np.float32)
     languages = sorted({r["lang"] for r in rows})
@@ -150,16 +168,34 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CE
     parts = [_cluster(units[of == i], centroids, rng) for i in range(len(languages))]
     centres = np.vstack(parts) if parts else np.zeros((0, DIM), dtype=np.float32)
     owner = np.repeat(np.arange(len(languages)), [len(p) for p in parts])
+    return Model(languages, idf, centres, owner, _limits(rows, cuts, units, of, idf, centroids))
+
+
+def _limits(rows: list, cuts: list, units: np.ndarray, of: np.ndarray, idf: np.ndarray, centroids: int) -> np.ndarray:
+    """Least cosine that is not rejected, by length step, from whole and cut sample texts.
+
+    Each half of a language's documents is held against centroids of the other half. A step that
+    no text reaches has the limit of the nearest one below. A sample without two documents of a
+    language tells nothing, and the limits are 0.
+    """
+    turn = {k: i for i, k in enumerate(dict.fromkeys((r["lang"], r["doc_id"]) for r in rows))}  # rows are in order of language
+    half = np.array([turn[r["lang"], r["doc_id"]] % 2 for r in rows], dtype=int)
+    rng = np.random.default_rng(SEED)
+    centres = [{int(i): _cluster(units[(of == i) & (half != h)], centroids, rng) for i in np.unique(of[half != h])} for h in range(2)]
+    language = {r["lang"]: int(i) for r, i in zip(rows, of)}
+    every = [np.vstack(list(c.values())) if c else None for c in centres]
+    seen: list[list[float]] = [[] for _ in range(STEPS)]
+    for r in (*rows, *cuts):
+        h = turn.get((r["lang"], r["doc_id"]))
+        if h is None or language[r["lang"]] not in centres[h % 2]:
+            continue
+        at, n = np.frombuffer(r["at"], np.uint16), np.frombuffer(r["n"], np.uint32).astype(float)
+        v = np.log1p(n) * idf[at]
+        seen[_step(n.sum())].append(float((every[h % 2][:, at] @ v).max() / max(np.sqrt(v @ v), 1e-12)))
     limit = np.zeros(STEPS)
-    if rows:
-        best = (units @ centres.T).max(axis=1)
-        step = np.array([_step(c.sum()) for c in counts])
-        for s in range(STEPS):
-            if (step == s).sum() >= 20:
-                limit[s] = SLACK * np.quantile(best[step == s], TAIL)
-            elif s:
-                limit[s] = limit[s - 1]  # a longer text is nearer to its centroid, if anything
-    return Model(languages, idf, centres, owner, limit)
+    for s in range(STEPS):
+        limit[s] = SLACK * np.quantile(seen[s], TAIL) if seen[s] else limit[max(s - 1, 0)]
+    return limit
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

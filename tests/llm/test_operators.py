@@ -262,6 +262,21 @@ def test_language(spark, docs, none):
     assert language.identify(docs, nothing).filter("lang_pred <> 'und'").count() == 0 and language.identify(none, model).count() == 0
 
 
+def test_language_rejects_foreign_texts_of_any_length(spark):
+    rng = random.Random(12)
+    foreign = "Съешь же ещё этих мягких французских булок, да выпей чаю. " * 20
+    short = [(10_000 + n, foreign[:n], None) for n in (8, 20, 35, 60, 200, 1000)] + [(20_000 + i, "天地玄黃宇宙洪荒日月盈昃辰宿列張"[:8 + i], None) for i in range(8)]
+    own = [(30_000 + i, sentence(rng, ("en", "fr")[i % 2], n), None) for i in range(60) for n in (4, 12, 40)]
+    # Long texts only, and a table of a few rows: no whole text is as short as what is told.
+    for many, least in ((300, 60), (24, 60)):
+        data = [(i, sentence(rng, lang := ("en", "fr")[i % 2], rng.randint(least, 80)), lang) for i in range(many)]
+        model = language.train(spark.createDataFrame(data, "doc_id long, text string, lang string"))
+        told = {r["doc_id"]: r["rejected"] for r in language.identify(spark.createDataFrame(short, "doc_id long, text string, lang string"), model).collect()}
+        assert all(told.values()), told
+        kept = language.identify(spark.createDataFrame(own, "doc_id long, text string, lang string"), model).filter("not rejected").count()
+        assert kept >= 0.98 * len(own)
+
+
 def test_counts_of_long_texts_do_not_depend_on_pieces(monkeypatch):
     text = sentence(random.Random(2), "fr", 5000)
     whole = language._counts(text)
