@@ -49,11 +49,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target: documents that are labelled as good; background: all."""
-    tokens = lm_score.tokenize(table(spark, sf_dir, "documents"))
-    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id").distinct().withColumn("is_target", F.lit(True))
-    # Labels grow with the input: a merge join at every size, of ids instead of texts.
-    return lm_score.score(tokens, lm_score.train(tokens.join(good.hint("merge"), "doc_id", "left")))
+    """Target: documents that are labelled as good; background: all others."""
+    good = table(spark, sf_dir, "labels").filter("quality = 1")
+    marked = lm_score.mark_targets(lm_score.tokenize(table(spark, sf_dir, "documents")), good)
+    return lm_score.score(marked, lm_score.train(marked))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

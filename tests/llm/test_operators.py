@@ -308,40 +308,75 @@ def test_transducer_streams_like_the_whole():
     assert sufficient_lookahead([(b"a", b"b"), (b"ab", b"c")]) == 2 and sufficient_lookahead([]) == 0
 
 
-@pytest.mark.parametrize("limit", [1 << 21, 0])
-def test_lm_score(spark, docs, none, limit):
+def brute_force_scores(data, path):
+    """Every document against counts of all others: one pass over the corpus for each."""
+    n_ids = lm_score._vocabulary_size(path)
+    seqs = [[lm_score.START, *lm_score.encode(x or "", path).tolist()] for _, x, _ in data]
+    pairs = [Counter(zip(s, s[1:])) for s in seqs]
+    whole = {k: Counter() for k in (True, False)}
+    for c, (_, _, mark) in zip(pairs, data):
+        whole[bool(mark)].update(c)
+    size = {k: sum(c.values()) for k, c in whole.items()}
+    weight = {k: min(1.0, size[not k] / size[k]) for k in whole}
+    share = {k: Counter() for k in whole}
+    for k, c in whole.items():
+        for (_, b), n in c.items():
+            share[k][b] += n
+    out = []
+    for c, (_, _, mark) in zip(pairs, data):
+        losses = []
+        for k in (True, False):
+            left, first = Counter(whole[k]), Counter()
+            if k == bool(mark):
+                left.subtract(c)
+            for (a, _), n in left.items():
+                first[a] += n
+            q = lambda b: (share[k][b] + 1) / (size[k] + n_ids)
+            p = lambda a, b: (weight[k] * left[a, b] + lm_score.MU * q(b)) / (weight[k] * first[a] + lm_score.MU)
+            losses.append(sum(-n * np.log2(p(a, b)) for (a, b), n in c.items()) / max(1, sum(c.values())))
+        out.append((sum(c.values()), *losses))
+    return out
+
+
+@pytest.mark.parametrize("head", [lm_score.HEAD, 300, 1])
+def test_lm_score(spark, docs, none, head):
     rng = random.Random(5)
-    data = [(i, sentence(rng, ("en", "fr")[i % 2], rng.randint(5, 60)), i % 2 == 0 and i < 60) for i in range(120)]
-    df = spark.createDataFrame(data, "doc_id long, text string, is_target boolean")
-    tokens = lm_score.tokenize(df)
-    model = lm_score.train(tokens.join(df.select("doc_id", "is_target"), "doc_id"))
-    got = {r["doc_id"]: r for r in lm_score.score(tokens, model, limit).collect()}
-    good, bad = [got[i]["score"] for i in range(60, 120) if i % 2 == 0], [got[i]["score"] for i in range(120) if i % 2]
-    assert len(got) == 120 and max(good) < min(bad)
-    # Brute force for one document.
-    t = transducer(model.path)
-    seq = lambda x: [lm_score.START, *(i for p in t.encode(x or "", vocabulary(model.path)) for i in p)]
-    pairs = {k: Counter() for k in (0, 1)}
-    for _, x, target in data:
-        s = seq(x)
-        for k in (0, 1) if target else (0,):
-            pairs[k].update(zip(s, s[1:]))
-    n_ids = max(t.bytes_of) + 1
-
-    def loss(c, s):
-        first, second = Counter(), Counter()
-        for (a, b), n in c.items():
-            first[a] += n
-            second[b] += n
-        total = sum(c.values())
-        q = lambda b: (second[b] + 1) / (total + n_ids)
-        return np.mean([-np.log2((c[a, b] + lm_score.MU * q(b)) / (first[a] + lm_score.MU)) for a, b in zip(s, s[1:])])
-
-    s = seq(data[7][1])
-    assert got[7]["score"] == pytest.approx(loss(pairs[1], s) - loss(pairs[0], s))
-    odd = lm_score.score(lm_score.tokenize(docs), model, limit).collect()
+    data = [(i, sentence(rng, ("en", "fr")[i % 2], rng.randint(5, 60)), i % 2 == 0 and i < 50) for i in range(120)]
+    data += [(200, data[0][1], True), (201, "", False), (202, None, True), (203, "word " * 3000, False), (204, data[3][1], False)]
+    df = spark.createDataFrame([r[:2] for r in data], "doc_id long, text string").repartition(3)
+    targets = spark.createDataFrame([(i,) for i, _, mark in data if mark] * 2 + [(None,)], "doc_id long")
+    marked = lm_score.mark_targets(lm_score.tokenize(df), targets)
+    model = lm_score.train(marked, head=head)
+    assert len(model.head[0]) <= head and (head == 300) <= (model.tail.count() > 0 < len(model.head[0]))
+    got = {r["doc_id"]: r for r in lm_score.score(marked, model).collect()}
+    assert len(got) == len(data)
+    for (i, text, _), (n, t, o) in zip(data, brute_force_scores(data, model.path)):
+        assert got[i]["n_tokens"] == n
+        if n:
+            assert (got[i]["target_loss"], got[i]["background_loss"], got[i]["score"]) == pytest.approx((t, o, t - o), abs=1e-9)
+        else:
+            assert got[i]["score"] is None
+    good, bad = [got[i]["score"] for i in range(50, 120) if i % 2 == 0], [got[i]["score"] for i in range(120) if i % 2]
+    assert max(good) < min(bad)
+    odd = lm_score.score(lm_score.tokenize(docs).withColumn("is_target", F.lit(None).cast("boolean")), model, counted=False).collect()
     assert len(odd) == len(rows()) and {r["doc_id"] for r in odd if r["score"] is None} == {1000, 1001}
-    assert lm_score.score(lm_score.tokenize(none), model, limit).count() == 0
+    empty = lm_score.mark_targets(lm_score.tokenize(none), targets)
+    assert lm_score.score(empty, lm_score.train(empty, head=head)).count() == 0
+
+
+def test_lm_score_spreads_rows_without_an_id(spark):
+    df = spark.range(0, 5000, 1, 4).selectExpr("cast(null as long) as doc_id", "concat('word ', id % 7) as text").unionByName(spark.createDataFrame([(0, "x y")], "doc_id long, text string"))
+    marked = lm_score.mark_targets(lm_score.tokenize(df), spark.createDataFrame([(0,)], "doc_id long"))
+    assert marked.count() == 5001 and [r["doc_id"] for r in marked.filter("is_target").collect()] == [0] and marked.filter("doc_id is null").count() == 5000
+    assert lm_score.score(marked, lm_score.train(marked)).count() == 5001
+
+
+def test_encoding_of_long_runs():
+    path = default_path(lm_score.VOCABULARY)
+    for text in (" " * 100_000 + "a", "\n " * 50_000, "é" * 100_000, "a<|endoftext|>b", "!" * 70_000 + " x"):
+        assert lm_score._encoding(path).decode(lm_score.encode(text, path).tolist()) == text
+    text = sentence(random.Random(3), "fr", 40_000)
+    assert lm_score.encode(text, path).tolist() == vocabulary(default_path("byte_bpe_50k.json")).library.encode(text, add_special_tokens=False).ids
 
 
 def repeats(w, size=8):
