@@ -6,11 +6,12 @@ article. Decoding keeps the subtree, grown from the root, with the largest sum o
 weighted by text: a block that goes takes its descendants along, and one that stays may still
 lose some. No block is kept below one that is not.
 
-There are no labelled pages, so the trees learn from two sources: made-up pages of many layouts,
-whose labels are known, and a bounded sample of the corpus, the ``SAMPLE`` pages with the smallest
-hash of their id, labelled where elements or attributes say themselves what they are. Tags and
-attributes of a part of the training pages are made neutral, so the trees also learn to go by
-text, density and place.
+There are no labelled pages, so the trees learn from two sources: made-up pages in four manners
+(semantic elements, named divisions, divisions with meaningless names, tables), whose labels are
+known, and a bounded sample of the corpus, at most ``NODES`` blocks of each of the ``SAMPLE`` pages
+with the smallest hash of their id, labelled where elements or attributes say themselves what they
+are. Tags and attributes of a part of the training pages are made neutral, so the trees also learn
+to go by text, density and place.
 """
 
 from __future__ import annotations
@@ -23,79 +24,124 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
-from .html_tree import KINDS, Block, features, parse
+from .html_tree import KINDS, N_FEATURES, Block, features, parse
 
 SAMPLE = 300
+NODES = 256
 MADE_UP = 500
 SEED = 5
 
-_SYLLABLES = "the an re in ti on er st ha nd en ed es or th at ou le de la que un ver ein sch ió ado".split()
 _SHUNNED = {"nav", "aside", "header", "footer", "form", "menu", "dialog", "search"}
+#: Letters of made-up words: consonants and vowels of three scripts.
+_LETTERS = (("bcdfgklmnprstvw", "aeiouy"), ("бвгдзклмнпрст", "аеиоуы"), ("βγδκλμνπρστ", "αειου"))
+
+
+class _Writer:
+    """Random text and markup of one made-up page."""
+
+    def __init__(self, rng: np.random.Generator):
+        self.rng = rng
+        self.script = _LETTERS[0 if rng.random() < 0.8 else int(rng.integers(1, len(_LETTERS)))]
+
+    def pick(self, *options):
+        return options[int(self.rng.integers(len(options)))]
+
+    def often(self, share: float) -> bool:
+        return self.rng.random() < share
+
+    def word(self) -> str:
+        c, v = self.script
+        return "".join(self.pick(*c) + self.pick(*v) for _ in range(int(self.rng.integers(1, 5))))
+
+    def words(self, low: int, high: int) -> str:
+        return " ".join(self.word() for _ in range(int(self.rng.integers(low, high + 1))))
+
+    def prose(self, low: int, high: int) -> str:
+        """Sentences, here and there with a link or emphasis."""
+        out = []
+        for _ in range(int(self.rng.integers(low, high + 1))):
+            text = self.words(1, 20)
+            if self.often(0.1):
+                tag = self.pick("a href=#", "em", "strong", "code", "b", "i")
+                text += f" <{tag}>{self.words(1, 3)}</{tag.split()[0]}> " + self.words(0, 6)
+            out.append(text.capitalize() + self.pick(".", ".", ".", "?", "!"))
+        return " ".join(out)
+
+    def links(self, low: int, high: int, item: str = "li") -> str:
+        return "".join(f"<{item}><a href='/{i}'>{self.words(1, 4)}</a></{item}>" for i in range(int(self.rng.integers(low, high + 1))))
+
+    def box(self, tag: str, names: tuple[str, ...], inner: str, manner: str) -> str:
+        """``inner`` in an element as the manner of the page has it."""
+        key = self.pick("class", "class", "id")
+        if manner == "semantic":
+            return f"<{tag}>{inner}</{tag}>"
+        if manner == "named":
+            return f'<div {key}="{self.pick(*names)}">{inner}</div>'
+        if manner == "table":
+            return f'<table {key}="{self.pick(*names)}"><tr><td>{inner}</td></tr></table>' if self.often(0.3) else f"<table><tr><td>{inner}</td></tr></table>"
+        return f'<div class="x{int(self.rng.integers(1 << 20)):x}">{inner}</div>'
+
+
+def _around(w: _Writer, manner: str) -> list:
+    """Makers of what stands around an article."""
+    return [
+        lambda: w.box("nav", ("menu", "nav-bar", "siteNavigation", "breadcrumb"), f"<ul>{w.links(2, 9)}</ul>", manner),
+        lambda: w.box("header", ("masthead", "page-header", "topbar"), f"<h1>{w.words(1, 3)}</h1><p>{w.words(2, 8)}</p>{w.links(0, 5, 'span')}", manner),
+        lambda: f'<div class="{w.pick("ad", "ads", "advert-slot", "sponsored", "promo")}">{w.prose(1, 3)}</div>',
+        lambda: w.box("aside", ("sidebar", "rail", "widget-area", "related"), f"<h3>{w.words(1, 3)}</h3><p>{w.prose(1, 3)}</p><ul>{w.links(0, 6)}</ul>", manner),
+        lambda: f'<div {w.pick("class", "id")}="{w.pick("cookie-bar", "notice", "alert", "gdpr-consent", "newsletter", "modal")}"><p>{w.prose(1, 3)}</p><button>{w.words(1, 2)}</button></div>',
+        lambda: f"<form><label>{w.words(1, 3)}</label><input name=q><p>{w.words(1, 9)}</p><button>{w.words(1, 2)}</button></form>",
+    ]
 
 
-def _words(rng: np.random.Generator, low: int, high: int) -> str:
-    n = int(rng.integers(low, high + 1))
-    return " ".join("".join(_SYLLABLES[i] for i in rng.integers(len(_SYLLABLES), size=rng.integers(1, 5))) for _ in range(n))
+def _below(w: _Writer, manner: str) -> list:
+    """Makers of what stands below one: footers and readers' comments."""
+    return [
+        lambda: w.box("footer", ("footer", "site-footer", "bottom", "copyright"), w.pick("<p>&copy; {}</p><ul>{}</ul>", "&copy; {}{}", "<p>{}</p><p>{}</p>").format(w.prose(1, 3), w.links(0, 5, "span")), manner),
+        lambda: f'<{(tag := w.pick("section", "div"))} {w.pick("id", "class")}="{w.pick("comments", "discussion", "replies", "commentList")}"><h2>{w.words(1, 2)}</h2>' + "".join(f'<{(one := w.pick("div", "article", "li"))} class="{w.pick("comment", "reply")}"><p>{w.prose(1, 4)}</p></{one}>' for _ in range(int(w.rng.integers(1, 6)))) + f"</{tag}>",
+    ]
 
 
-def _sentences(rng: np.random.Generator, n: int) -> str:
-    return " ".join(_words(rng, 1, 18).capitalize() + "." for _ in range(n))
+def _article(w: _Writer, around: list) -> str:
+    """Blocks of an article, marked data-main, and what some sites put between them."""
+    out = [f"<h1 data-main>{w.words(1, 10)}</h1>"] if w.often(0.8) else []
+    for _ in range(int(w.rng.integers(1, 16))):
+        text = w.prose(1, 9) if w.often(0.85) else w.words(1, 3)
+        out.append(w.pick(*[
+            lambda: f"<p data-main>{text}" + w.pick("</p>", "</p>", "</p>", ""),
+            lambda: f"<p data-main>{text}" + w.pick("</p>", "</p>", "<br>"),
+            lambda: f"<p data-main>{text}</p>",
+            lambda: f"<p data-main>{text}</p>",
+            lambda: f"<p data-main>{text}</p><h2 data-main>{w.words(1, 6)}</h2><p data-main>{w.prose(1, 6)}</p>",
+            lambda: f"<p data-main>{text}</p>" + w.pick("<ul>", "<ol>") + "".join(f"<li data-main>{w.words(2, 14)}" for _ in range(int(w.rng.integers(2, 6)))) + "</ul>",
+            lambda: f"<blockquote data-main>{text}</blockquote>",
+            lambda: "<table>" + "".join(f"<tr><td data-main>{w.words(1, 4)}<td data-main>{w.words(1, 4)}" for _ in range(int(w.rng.integers(1, 5)))) + "</table>",
+            lambda: f"<div data-main>{text}</div>",
+            lambda: f"<dl><dt data-main>{w.words(1, 3)}<dd data-main>{w.prose(1, 2)}</dl>",
+            lambda: f"<pre data-main>{w.words(4, 30)}</pre>",
+            lambda: f"<figure><img src=i><figcaption data-main>{w.words(3, 12)}</figcaption></figure>",
+            lambda: w.pick(*around)(),
+            lambda: around[2](),
+        ])())
+    return "".join(out)
 
 
 def made_up_page(rng: np.random.Generator) -> str:
     """A page; parts of the article carry data-main, all else doesn't."""
-    def links(n):
-        return "".join(f'<li><a href="/{i}">{_words(rng, 1, 3)}</a></li>' for i in range(n))
-
-    pick = lambda *xs: xs[int(rng.integers(len(xs)))]
-    often = lambda p: rng.random() < p
-    noise = [
-        lambda: f"<nav><ul>{links(rng.integers(2, 9))}</ul></nav>",
-        lambda: f'<div class="{pick("menu", "navbar", "site-nav", "breadcrumbs")}"><ul>{links(rng.integers(2, 9))}</ul></div>',
-        lambda: f'<{pick("header", "div class=header", "div id=masthead")}><h1>{_words(rng, 1, 4)}</h1><p>{_words(rng, 2, 8)}</p></header></div>',
-        lambda: f'<div class="{pick("ad", "ads", "advert", "sponsored", "banner-ad", "promo")}">{_sentences(rng, rng.integers(1, 4))}</div>',
-        lambda: f'<{pick("aside", "div class=sidebar", "div id=sidebar", "section class=related")}><h3>{_words(rng, 1, 3)}</h3><p>{_sentences(rng, rng.integers(1, 4))}</p><ul>{links(rng.integers(0, 6))}</ul></aside></div></section>',
-        lambda: f'<div class="{pick("cookie-notice", "notice", "alert", "consent", "newsletter", "popup")}"><p>{_sentences(rng, rng.integers(1, 3))}</p></div>',
-        lambda: f'<form action="/s"><label>{_words(rng, 1, 3)}</label><input name="q"><p>{_words(rng, 1, 9)}</p><button>{_words(rng, 1, 2)}</button></form>',
-    ]
-    last = [
-        lambda: f'<footer><p>&copy; {_words(rng, 1, 3)} &middot; {_sentences(rng, rng.integers(1, 4))}</p></footer>',
-        lambda: f'<footer>&copy; {_words(rng, 1, 3)} &middot; {_sentences(rng, rng.integers(1, 3))}</footer>',
-        lambda: f'<div class="footer">{_sentences(rng, rng.integers(1, 3))}<ul>{links(rng.integers(0, 5))}</ul></div>',
-        lambda: f'<{pick("section id=comments", "div class=comments", "div id=comment-list")}><h2>{_words(rng, 1, 2)}</h2>' + "".join(f'<{pick("div", "article", "li")} class="comment"><p>{_sentences(rng, rng.integers(1, 5))}</p></div></article></li>' for _ in range(rng.integers(1, 6))) + "</section></div>",
-    ]
-
-    def some(makers, most):
-        return "".join(makers[i]() for i in rng.integers(len(makers), size=rng.integers(0, most + 1)))
-
-    blocks = [f"<h1 data-main>{_words(rng, 1, 10)}</h1>"] if often(0.8) else []
-    for _ in range(int(rng.integers(1, 14))):
-        kind = rng.random()
-        text = _sentences(rng, int(rng.integers(1, 9))) if often(0.85) else _words(rng, 1, 3)
-        if kind < 0.75:
-            blocks.append(f"<p data-main>{text}" + ("</p>" if often(0.85) else ""))
-        elif kind < 0.80:
-            blocks.append(f"<p data-main><b>{text}<br>")
-        elif kind < 0.84:
-            blocks.append(f"<h2 data-main>{_words(rng, 1, 6)}</h2>")
-        elif kind < 0.88:
-            blocks.append("<ul>" + "".join(f"<li data-main>{_words(rng, 2, 12)}</li>" for _ in range(rng.integers(2, 6))) + "</ul>")
-        elif kind < 0.91:
-            blocks.append(f"<blockquote data-main>{text}</blockquote>")
-        elif kind < 0.94:
-            blocks.append("<table>" + "".join(f"<tr><td data-main>{_words(rng, 1, 4)}</td><td data-main>{_words(rng, 1, 4)}</td></tr>" for _ in range(rng.integers(1, 5))) + "</table>")
-        elif kind < 0.96:
-            blocks.append(noise[3]())
-        elif kind < 0.98:
-            blocks.append(f"<div data-main>{text}</div>")
-        else:
-            blocks.append(noise[int(rng.integers(len(noise)))]())
-    opened = pick("article", "article", "main", "div class=article", "div class=post-content", "div id=content", "section class=entry", "div", "div class=c1", "section")
-    body = f"<{opened}>{''.join(blocks)}</{opened.split()[0]}>"
-    if often(0.4):
-        outer = pick("main", "div", "div id=wrapper", "div class=page", "div class=container")
-        body = f"<{outer}>{some(noise, 1)}{body}{some(noise + last, 1)}</{outer.split()[0]}>"
-    return f"<!DOCTYPE html><html><head><title>{_words(rng, 1, 5)}</title></head><body>{some(noise, 4)}{body}{some(noise[3:6] + last, 3)}{last[0]() if often(0.5) else ''}</body></html>"
+    w = _Writer(rng)
+    manner = w.pick("semantic", "semantic", "named", "nameless", "table")
+    around, below = _around(w, manner), _below(w, manner)
+    some = lambda makers, most: "".join(w.pick(*makers)() for _ in range(int(rng.integers(0, most + 1))))
+    tag = w.pick("article", "article", "main", "section") if manner == "semantic" else w.pick("div", "div", "td", "section") if manner == "table" else "div"
+    named = f' {w.pick("class", "id")}="{w.pick("article-body", "post", "entry-content", "content", "story", "main-text")}"' if manner == "named" and w.often(0.8) else ""
+    body = f"<{tag}{named}>{_article(w, around)}</{tag}>"
+    if tag == "td":
+        body = f"<table><tr><td>{some(around, 2)}</td>{body}<td>{some(around, 2)}</td></tr></table>"
+    if w.often(0.4):
+        outer = w.pick("main" if manner == "semantic" else "div", "div", 'div id="wrapper"', 'div class="container"')
+        body = f"<{outer}>{some(around, 1)}{body}{some(around + below, 2)}</{outer.split()[0]}>"
+    page = f"{some(around, 4)}{body}{some(around[2:] + below, 3)}{below[0]() if w.often(0.6) else ''}"
+    return f"<!DOCTYPE html><html><head><title>{w.words(1, 5)}</title></head><body>{page}</body></html>"
 
 
 def _examples(page: str, known: bool) -> tuple[list[list[float]], list[float], list[float]]:
@@ -138,19 +184,35 @@ def _neutral(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return x
 
 
-def train(pages: DataFrame, sample: int = SAMPLE, made_up: int = MADE_UP) -> boosting.Boosted:
-    """Trees from made-up pages and at most ``sample`` pages of the corpus."""
+def train(pages: DataFrame, sample: int = SAMPLE, made_up: int = MADE_UP, nodes: int = NODES) -> boosting.Boosted:
+    """Trees from made-up pages and at most ``nodes`` blocks of ``sample`` pages of the corpus.
+
+    Pages are parsed where they are; the driver gets the features of that many blocks.
+    """
     # The ids of the sample first, so that no task sends pages that others outdo.
-    some = pages.filter(F.col("html").isNotNull())
+    some = pages.filter(F.col("html").isNotNull()).select(F.col("page_id").cast("long").alias("page_id"), "html")
     ids = some.select("page_id").orderBy(F.xxhash64("page_id", F.lit(SEED)), "page_id").limit(sample).distinct()
-    chosen = some.select("page_id", "html").join(F.broadcast(ids), "page_id")
-    rows = chosen.orderBy(F.xxhash64("page_id", F.lit(SEED)), "page_id", "html").select("html").limit(sample).collect()
+    chosen = some.join(F.broadcast(ids), "page_id")
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for page_id, page in zip(b.column("page_id"), b.column("html")):
+                x, y, w = (np.array(v, float) for v in _examples(page.as_py(), False))
+                if len(y):
+                    at = np.unique(np.linspace(0, len(y) - 1, nodes).astype(int))  # spread over the page
+                    kept = [x[at].tobytes(), y[at].tobytes(), w[at].tobytes()]
+                    yield pa.RecordBatch.from_arrays([pa.array([page_id.as_py()], pa.int64()), *(pa.array([k], pa.binary()) for k in kept)], names=["page_id", "x", "y", "w"])
+
+    rows = chosen.mapInArrow(told, "page_id long, x binary, y binary, w binary").orderBy(F.xxhash64("page_id", F.lit(SEED)), "page_id", "x").limit(sample).collect()
     rng = np.random.default_rng(SEED)
     x, y, w = [], [], []
-    for page, known in [*((made_up_page(rng), True) for _ in range(made_up)), *((r["html"], False) for r in rows)]:
-        for total, part in zip((x, y, w), _examples(page, known)):
-            total += part
-    x, y, w = np.array(x), np.array(y), np.array(w)
+    for _ in range(made_up):
+        for total, part in zip((x, y, w), _examples(made_up_page(rng), True)):
+            total.append(np.array(part, float))
+    for r in rows:
+        for total, part, shape in zip((x, y, w), (r["x"], r["y"], r["w"]), ((-1, N_FEATURES), -1, -1)):
+            total.append(np.frombuffer(part).reshape(shape))
+    x, y, w = np.vstack([p for p in x if len(p)]), np.concatenate(y), np.concatenate(w)
     return boosting.fit(np.vstack([x, _neutral(x, rng)]), np.concatenate([y, y]), np.concatenate([w, w]))
 
 

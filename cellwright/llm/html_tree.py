@@ -2,7 +2,10 @@
 
 Real pages are not well formed, so this does what matters for text: raw elements end at their own
 end tag, a block ends an open paragraph, an end tag closes what it can, and whatever is open at
-the end is closed. Inline elements belong to the block around them.
+the end is closed. Inline elements belong to the block around them. Tags are read as browsers do:
+a quote counts at the start of an attribute's value only. A page with a tag that never ends is
+read on with every tag ending at the next ``>``. All steps look at each character and each open
+element a constant number of times.
 """
 
 from __future__ import annotations
@@ -10,10 +13,11 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import defaultdict
 
 # Elements that make a block of their own, that hold no text of the page, and that have no end.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
-HIDDEN = frozenset("script style title textarea noscript template iframe object svg math canvas audio video select button option datalist head xmp noembed noframes".split())
+HIDDEN = frozenset("script style title textarea noscript template iframe object svg annotation annotation-xml canvas audio video select option datalist head xmp noembed noframes".split())
 RAW = frozenset("script style title textarea iframe noscript xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An end tag of these may be missing: the next one of the same list, or a block, ends them.
@@ -24,11 +28,13 @@ _BARRIER = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"tabl
 GOOD = frozenset("article content post entry story main body text prose page read reader paragraph document blogpost hentry articlebody maincontent".split())
 BAD = frozenset("nav navbar navigation menu header head masthead topbar footer foot bottom sidebar side aside rail widget widgets ad ads advert adverts advertisement banner promo promotion promoted sponsor sponsored cookie cookies consent gdpr notice notices alert warning popup modal overlay subscribe subscription newsletter signup comment comments reply replies respond discussion disqus share sharing social follow related recommended recommendations more breadcrumb breadcrumbs pagination pager login search form copyright legal toolbar tools meta tags toc skip hidden print author byline rating vote".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_NAME = re.compile(r"[a-zA-Z][^ \t\n\f\r/>]*+")
+_KEY = re.compile(r"[ \t\n\f\r/]*+([^ \t\n\f\r/>][^ \t\n\f\r/>=]*+)?+[ \t\n\f\r]*+(=[ \t\n\f\r]*+)?+")
+_PLAIN = re.compile(r"[^ \t\n\f\r>]*+")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _WHITE = re.compile(r"\s+")
 _ENDS = re.compile(r"[.!?;:,]")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[ \t\n\f\r/>])", re.I) for tag in RAW}
 
 
 class Block:
@@ -39,24 +45,90 @@ class Block:
         self.own = self.link = self.marks = self.tags = self.kids = self.turn = 0
 
 
-def _lexicon(attrs: str) -> tuple[int, int]:
+def _lexicon(attrs: dict[str, str]) -> tuple[int, int]:
     good = bad = 0
-    for m in _ATTR.finditer(attrs):
-        for p in _PART.findall(m[2] or m[3] or m[4] or ""):
+    for name in ("class", "id", "role"):
+        for p in _PART.findall(attrs.get(name, "")):
             p = p.lower()
             good += p in GOOD
             bad += p in BAD
     return good, bad
 
 
+def read_tag(page: str, at: int) -> tuple[dict[str, str], int] | None:
+    """Attributes of a tag from behind its name, and where it ends; None if it doesn't.
+
+    Of two attributes of a name the first counts. ``/`` among the attributes is kept as one if
+    the tag ends with it.
+    """
+    attrs: dict[str, str] = {}
+    while True:
+        m = _KEY.match(page, at)
+        at = m.end()
+        if at >= len(page):
+            return None
+        if m[1] is None:
+            if page[at - 1] == "/":
+                attrs["/"] = ""
+            return attrs, at + 1  # at a >
+        value = ""
+        if m[2]:
+            if (quote := page[at]) in "\"'":
+                end = page.find(quote, at + 1)
+                if end < 0:
+                    return None
+                value, at = page[at + 1 : end], end + 1
+            else:
+                value, at = page[at : (end := _PLAIN.match(page, at).end())], end
+        attrs.setdefault(m[1].lower(), value)
+
+
+def tokens(page: str):
+    """(text, tag, attributes, is an end) in order, each with a text or a tag."""
+    at = said = 0  # text from ``said`` on is still to be given
+    whole = True
+    while (start := page.find("<", at)) >= 0:
+        after = page[start + 1 : start + 2]
+        closing = after == "/"
+        name = _NAME.match(page, start + 1 + closing)
+        if name is None and after not in ("!", "?", "/"):
+            at = start + 1  # a bare <
+            continue
+        if name is None:
+            mark = "-->" if page.startswith("<!--", start) else ">"
+            end = page.find(mark, start + 2)
+            end = len(page) if end < 0 else end + len(mark)
+            yield page[said:start], None, None, False
+            at = said = end
+            continue
+        found = read_tag(page, name.end()) if whole else None
+        if found is None:
+            whole = False
+            if (end := page.find(">", name.end())) < 0:
+                break  # the rest is text
+            found = {}, end + 1
+        yield page[said:start], None, None, False
+        tag, (attrs, at) = name[0].lower(), found
+        said = at
+        yield "", tag, attrs, closing
+        if tag in RAW and not closing and "/" not in attrs:
+            if (end := _RAW_END[tag].search(page, at)) is None or (stop := page.find(">", end.end())) < 0:
+                return
+            at = said = stop + 1
+    yield page[said:], None, None, False
+
+
 def parse(page: str) -> tuple[list[Block], list[tuple[int, str]]]:
     """The blocks, the root first, and (block, text) for every run of text between block edges."""
     blocks = [Block("html", -1, 0, 0, 0, 0)]
     runs: list[tuple[int, str]] = []
     parts: list[str] = []
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements, with the block around or of them
+    places: dict[str, list[int]] = defaultdict(list)  # of each tag in the stack
+    walls = [0]  # places of the open blocks
     in_link = hidden = 0
-    seen = at = 0
+    seen = 0
+    last = lambda tags: max((places[t][-1] for t in tags if places[t]), default=-1)
 
     def say(text: str) -> None:
         nonlocal seen
@@ -82,44 +154,35 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, str]]]:
     def shut(index: int) -> None:
         """Close the open elements from ``index`` on."""
         nonlocal in_link, hidden
-        if any(t in BLOCKS for t, _ in stack[index:]):
+        if walls[-1] >= index:
             edge()
         for t, _ in stack[index:]:
             in_link -= t == "a"
             hidden -= t in HIDDEN
+            places[t].pop()
         del stack[index:]
+        while walls[-1] >= index:
+            walls.pop()
 
-    while at < len(page):
-        m = _TOKEN.search(page, at)
-        if m is None:
-            say(page[at:])
-            break
-        say(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+    for text, tag, attrs, closing in tokens(page):
+        if tag is None:
+            say(text)
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    shut(i)
-                    break
-                if tag not in BLOCKS and stack[i][0] in BLOCKS:
-                    break  # an inline end tag doesn't close blocks
+        if closing:
+            at = last((tag,))
+            # An inline end tag doesn't close blocks, unless what it ends shows nothing.
+            if at >= 0 and (tag in BLOCKS or tag in HIDDEN or at > walls[-1]):
+                shut(at)
             continue
         if tag in BLOCKS or tag == "body":
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "p":
-                    shut(i)
-                    break
-                if stack[i][0] in BLOCKS:
-                    break
-        for i in range(len(stack) - 1, 0, -1) if tag in CLOSES else ():
-            if stack[i][0] in CLOSES[tag]:
-                shut(i)
-                break
-            if stack[i][0] in _BARRIER.get(tag, ()):
-                break
+            if (at := last(("svg",))) > walls[-1]:
+                shut(at)  # a drawing holds no blocks
+            if stack[walls[-1]][0] == "p":
+                shut(walls[-1])
+        if tag in CLOSES:
+            wall = last(_BARRIER.get(tag, ()))
+            if open_ := [at for t in CLOSES[tag] if places[t] and (at := places[t][-1]) > wall]:
+                shut(min(open_))
         blocks[stack[-1][1]].tags += 1
         if tag == "br":
             if not hidden:
@@ -130,16 +193,15 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, str]]]:
             if tag in ("html", "hr"):
                 continue
             up = stack[-1][1]
-            good, bad = _lexicon(m[3])
+            good, bad = _lexicon(attrs)
             parent = blocks[up]
-            blocks.append(Block(tag, up, parent.depth + 1, good, bad, seen, "data-main" in m[3]))
+            blocks.append(Block(tag, up, parent.depth + 1, good, bad, seen, "data-main" in attrs))
             blocks[-1].turn, parent.kids = parent.kids, parent.kids + 1
+            walls.append(len(stack))
+            places[tag].append(len(stack))
             stack.append((tag, len(blocks) - 1))
-        elif tag not in VOID and not m[3].endswith("/"):
-            if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
-                continue
+        elif tag not in VOID and tag not in RAW and "/" not in attrs:
+            places[tag].append(len(stack))
             stack.append((tag, stack[-1][1]))
             in_link += tag == "a"
             hidden += tag in HIDDEN
