@@ -10,14 +10,17 @@ documents of that length are rare. Pieces are held against centroids of the othe
 sample, since a text is nearer to centroids that were made from it.
 
 Training uses a bounded sample: at most ``PER_LANGUAGE`` labelled rows a language, those with the
-smallest hash of their doc_id, of whole texts. Prediction sees the text alone.
+smallest hash of their doc_id, of whole texts, and at most ``SAMPLE`` rows of the ``LANGUAGES``
+values of lang with the most rows. Prediction sees the text alone.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,6 +31,7 @@ from pyspark.sql import window as W
 
 DIM = 1 << 13
 PER_LANGUAGE = 400
+LANGUAGES, SAMPLE = 64, 4800
 CENTROIDS = 4
 ROUNDS = 12
 SEED = 11
@@ -41,7 +45,12 @@ PIECES = 3
 CHUNK = 1 << 16
 UNKNOWN = "und"
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+
+@lru_cache(1)
+def _not_letters() -> re.Pattern:
+    """What stands between letters. Numbers that aren't decimal digits, such as ½, are no letters either."""
+    numbers = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
+    return re.compile(rf"[\W\d_{numbers}]+")
 
 
 def _counts(text: str) -> np.ndarray | None:
@@ -53,7 +62,7 @@ def _counts(text: str) -> np.ndarray | None:
         end = min(len(text), at + CHUNK)
         while end < len(text) and text[end].isalpha() and end < at + 2 * CHUNK:
             end += 1  # ends within a word only if the word is that long
-        letters = _NOT_LETTERS.sub(" ", text[at:end].lower()).strip()
+        letters = _not_letters().sub(" ", text[at:end].lower()).strip()
         at = end
         if not letters:
             continue
@@ -132,14 +141,16 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CE
 
     Ids and hashes alone are ranked (the limit is applied before the shuffle), and the sample's
     texts are turned into counts where they are; the driver gets sparse counts of the bounded
-    sample.
+    sample. A value of lang beyond the ``LANGUAGES`` most frequent is not learned.
     """
     open_ = docs.select("doc_id", "lang").filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
     rank = F.xxhash64("doc_id", F.lit(SEED))
+    sizes = open_.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    per_language = max(1, min(per_language, SAMPLE // max(1, len(sizes))))
     # A cut of the hash's range leaves about twice the sample to rank, whatever the input's size.
-    sizes = open_.groupBy("lang").agg(F.count(F.lit(1)).alias("__n"))  # a row a language, like the model
-    share = F.when(F.col("__n") > 4 * per_language, F.lit(2.0 * per_language) / F.col("__n")).otherwise(1.0)
-    low = open_.join(F.broadcast(sizes), "lang").filter(rank.cast("double") / float(1 << 64) + 0.5 <= share)
+    shares = [(r["lang"], min(1.0, 2.0 * per_language / r["n"]) if r["n"] > 4 * per_language else 1.0) for r in sizes]
+    share = docs.sparkSession.createDataFrame(shares, "lang string, share double")  # LANGUAGES rows at most
+    low = open_.join(F.broadcast(share), "lang").filter(rank.cast("double") / float(1 << 64) + 0.5 <= F.col("share"))
     turn = F.row_number().over(W.Window.partitionBy("lang").orderBy(rank, "doc_id"))
     chosen = low.withColumn("turn", turn).filter(F.col("turn") <= per_language).select("doc_id", "lang").distinct()
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", "text")
@@ -157,7 +168,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CE
     rows = sample.mapInArrow(vectors, "doc_id long, lang string, cut boolean, at binary, n binary").collect()
     rows.sort(key=lambda r: (r["lang"], r["doc_id"], r["at"]))
     cuts, rows = [r for r in rows if r["cut"]], [r for r in rows if not r["cut"]]
-    counts = np.zeros((len(rows), DIM))
+    counts = np.zeros((len(rows), DIM), dtype=np.float32)
     for i, r in enumerate(rows):
         counts[i, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["n"], np.uint32)
     idf = np.log((1 + len(rows)) / (1 + (counts > 0).sum(axis=0))) + 1

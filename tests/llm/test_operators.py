@@ -262,6 +262,45 @@ def test_language(spark, docs, none):
     assert language.identify(docs, nothing).filter("lang_pred <> 'und'").count() == 0 and language.identify(none, model).count() == 0
 
 
+def plain_prediction(model, text):
+    """Nearest centroid of a text, n-gram by n-gram, in whole numbers and plain sums."""
+    import math
+
+    letters = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    if not letters:
+        return "und", 0.0
+    line = f" {' '.join(letters)} "
+    counts = Counter()
+    mask, m = (1 << 64) - 1, 0x9E3779B97F4A7C15
+    x = [ord(c) for c in line]
+    keys = [v for v in x] + [a * 0x10001 + b + (1 << 40) for a, b in zip(x, x[1:])] + [a * 0x100000001 + b * 0x10001 + c + (1 << 41) for a, b, c in zip(x, x[1:], x[2:])]
+    counts.update(((k * m) & mask) >> (65 - language.DIM.bit_length()) for k in keys)
+    v = {k: math.log1p(n) * model.idf[k] for k, n in counts.items()}
+    norm = math.sqrt(sum(t * t for t in v.values()))
+    cos = [sum(t * float(c[k]) for k, t in v.items()) / norm for c in model.centroids]
+    best = max(range(len(cos)), key=cos.__getitem__)
+    return model.languages[model.owner[best]], min(1.0, max(0.0, cos[best]))
+
+
+def test_language_by_brute_force(spark, docs):
+    rng = random.Random(21)
+    data = [(i, sentence(rng, lang := ("en", "fr")[i % 2], rng.randint(1, 60)), lang) for i in range(200)]
+    data += [(1000 + i, t, None) for i, t in enumerate(["½ ² ① ٣ Ⅷ", "_", "½a", "é", "日本語 text", "", None, "12 ## ²²²", "ǅ ª", "a\u0301b"])]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = language.train(df, per_language=60)
+    for r in language.identify(df, model).collect():
+        lang, score = plain_prediction(model, r["text"])
+        assert r["lang_pred"] == lang and r["score"] == pytest.approx(score, abs=1e-5), r
+    told = {r["doc_id"]: r["lang_pred"] for r in language.identify(df, model).collect()}
+    assert [i for i in range(1000, 1010) if told[i] == "und"] == [1000, 1001, 1005, 1006, 1007]
+
+
+def test_language_learns_a_bounded_number_of_languages(spark):
+    df = spark.range(3000).selectExpr("id as doc_id", "concat('some text ', id % 10) as text", "concat('l', id % 1000) as lang")
+    model = language.train(df)
+    assert len(model.languages) <= language.LANGUAGES and language.identify(df.limit(5), model).count() == 5
+
+
 def test_language_rejects_foreign_texts_of_any_length(spark):
     rng = random.Random(12)
     foreign = "Съешь же ещё этих мягких французских булок, да выпей чаю. " * 20
