@@ -33,20 +33,22 @@ def _trimmed(line: Column) -> Column:
     return F.trim(line, F.lit(" \t\n\x0b\x0c\r"))
 
 
-def _h1(line: Column) -> Column:
-    return F.xxhash64(_trimmed(line))
+def _row(docs: DataFrame) -> list[Column]:
+    """What tells rows apart: the doc_id and a hash of the text, so that rows without an id, or with
+    one that many share, don't meet under one key."""
+    return [F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("text_hash")]
 
 
 def text_lines(docs: DataFrame) -> DataFrame:
-    """One row a line that is not blank: doc, site (a hash of source), pos, h1, h2."""
-    doc = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
-    lines = docs.select(doc.alias("doc"), F.xxhash64(F.coalesce("source", F.lit("\0"))).alias("site"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    trimmed = lines.select("doc", "site", "pos", _trimmed(F.col("line")).alias("line")).filter(F.col("line") != "")
-    return trimmed.select("doc", "site", "pos", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"))
+    """One row a line that is not blank: doc, text_hash, site (a hash of source), pos, h1, h2."""
+    lines = docs.select(*_row(docs), F.xxhash64(F.coalesce("source", F.lit("\0"))).alias("site"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    trimmed = lines.select("doc", "text_hash", "site", "pos", _trimmed(F.col("line")).alias("line")).filter(F.col("line") != "")
+    return trimmed.select("doc", "text_hash", "site", "pos", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"))
 
 
 def line_spread(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, band: float = BAND) -> DataFrame:
-    """Boilerplate lines: h1, h2, n_sites (sketched or exact), exact, and first_doc.
+    """Boilerplate lines: h1, h2, n_sites (sketched or exact), exact, and the first occurrence,
+    a struct of doc and pos.
 
     Sketches are merged in each task before the shuffle, and so are the sites of the lines that
     are counted exactly: a hot line sends a row for each task, or for each site and task.
@@ -54,13 +56,13 @@ def line_spread(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K,
     error = band * 1.04 / 2 ** (lg_k / 2)
     low, high = min_sites * (1 - error) - 1, min_sites * (1 + error) + 1
     sketch = F.hll_sketch_agg("site", F.lit(lg_k))
-    spread = lines.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first_doc"), F.hll_sketch_estimate(sketch).alias("estimate"))
-    spread = materialize(spread.filter((F.col("n") >= min_sites) & (F.col("estimate") >= low)).select(*KEY, "first_doc", "estimate"))
+    spread = lines.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "pos")).alias("first"), F.hll_sketch_estimate(sketch).alias("estimate"))
+    spread = materialize(spread.filter((F.col("n") >= min_sites) & (F.col("estimate") >= low)).select(*KEY, "first", "estimate"))
     near = spread.filter(F.col("estimate") <= high)
-    counted = lines.select(*KEY, "site").distinct().join(near, KEY).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_sites"), F.first("first_doc").alias("first_doc"))
+    counted = lines.select(*KEY, "site").distinct().join(near, KEY).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_sites"), F.first("first").alias("first"))
     return (
-        spread.filter(F.col("estimate") > high).select(*KEY, "first_doc", F.col("estimate").alias("n_sites"), F.lit(False).alias("exact"))
-        .unionByName(counted.filter(F.col("n_sites") >= min_sites).select(*KEY, "first_doc", "n_sites", F.lit(True).alias("exact")))
+        spread.filter(F.col("estimate") > high).select(*KEY, "first", F.col("estimate").alias("n_sites"), F.lit(False).alias("exact"))
+        .unionByName(counted.filter(F.col("n_sites") >= min_sites).select(*KEY, "first", "n_sites", F.lit(True).alias("exact")))
     )
 
 
@@ -76,22 +78,22 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, b
     """
     lines = text_lines(docs)
     over = line_spread(lines, min_sites, lg_k, band)
-    hits = lines.select("doc", "pos", *KEY).join(over.select(*KEY, "first_doc"), KEY)
-    # By document from here on, so that a hot line's rows can be split in the join.
-    at = F.sort_array(F.collect_set("pos"))
-    of_doc = hits.repartition("doc").groupBy("doc", *KEY).agg(at.alias("at"), F.first("first_doc").alias("first_doc"))
-    gone = F.when(F.col("doc") == F.col("first_doc"), F.slice("at", F.lit(2), F.greatest(F.size("at") - 1, F.lit(0)))).otherwise(F.col("at"))
-    of_doc = of_doc.select("doc", F.transform(gone, lambda p: F.struct(p.alias("pos"), F.col("h1").alias("h"))).alias("gone"))
-    gone = of_doc.groupBy("doc").agg(F.flatten(F.collect_list("gone")).alias("__gone")).withColumnRenamed("doc", "__doc").filter(F.size("__gone") > 0)
-    joined = docs.join(gone, F.coalesce(F.col("doc_id"), F.lit(NO_ID)) == F.col("__doc"), "left")
+    hits = lines.select("doc", "text_hash", "pos", *KEY).join(over.select(*KEY, "first"), KEY)
+    hits = hits.filter((F.col("doc") != F.col("first.doc")) | (F.col("pos") != F.col("first.pos")))
+    # Places in one text, whose lines are one row's: equal rows have equal places.
+    gone = hits.groupBy(F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash")).agg(F.collect_set("pos").alias("__gone"))
+    doc, text_hash = _row(docs)
+    joined = docs.join(gone, (doc == F.col("__doc")) & (text_hash == F.col("__hash")), "left")
     joined = joined.withColumn("__lines", F.split("text", "\n", -1))
-    kept = F.filter("__lines", lambda l, i: ~F.array_contains(F.col("__gone"), F.struct(i.alias("pos"), _h1(l).alias("h"))))
-    joined = joined.withColumn("__kept", F.when(F.col("__gone").isNull(), F.col("__lines")).otherwise(kept))
+    # array_except looks places up by hash: linear in the lines of a text.
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
+    kept = F.transform(stay, lambda p: F.get("__lines", p))
     worded = lambda a: F.coalesce(F.size(F.filter(a, lambda l: _trimmed(l) != "")), F.lit(0))
+    some = F.col("__gone").isNotNull()
     new = {
-        "text": F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n")),
+        "text": F.when(some, F.array_join(kept, "\n")).otherwise(F.col("text")),
         "n_lines": F.when(F.col("text").isNull(), 0).otherwise(worded("__lines")),
-        "n_removed": F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__lines") - F.size("__kept")),
+        "n_removed": F.when(some, F.size("__gone")).otherwise(0),
     }
     plain = [c for c in docs.columns if c not in new]
     return joined.select(*[new["text"].alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c in plain or c == "text"], new["n_lines"].alias("n_lines"), new["n_removed"].alias("n_removed"))

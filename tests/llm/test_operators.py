@@ -75,6 +75,25 @@ def test_line_spread_is_exact_near_the_threshold(spark, lg_k, band):
     assert got == 7  # line i is on i + 1 sites
 
 
+def test_line_dedup_of_many_rows_without_an_id(spark):
+    df = spark.range(0, 100_000, 1, 8).selectExpr(
+        "cast(null as long) as doc_id", "concat('s', id % 50) as source", "concat('own ', id, '\n\nshared line\n', if(id % 2 = 0, 'shared line', 'another ')) as text"
+    )
+    got = lines.dedup_lines(df).groupBy("n_lines", "n_removed", F.expr("size(split(text, '\n'))").alias("k")).count().collect()
+    # The first occurrences are places 2 and 3, in every row without an id.
+    assert {tuple(r) for r in got} == {(3, 1, 3, 50_000), (3, 0, 4, 50_000)}
+
+
+def test_line_dedup_of_a_long_text_is_linear(spark):
+    import time
+
+    rows = [(0, "s0", "\n".join(f"line {i}" for i in range(60_000)))] + [(i, f"s{i}", rows_text) for i, rows_text in enumerate(["\n".join(f"line {k}" for k in range(60_000))] * 6, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)
+    began = time.time()
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in lines.dedup_lines(df).select("doc_id", "n_lines", "n_removed").collect()}
+    assert got == {0: (60_000, 0)} | {i: (60_000, 60_000) for i in range(1, 7)} and time.time() - began < 60
+
+
 def test_mixing(docs, none):
     out = mixing.mix_sources(docs)
     got = out.toPandas()
