@@ -24,14 +24,14 @@ _WEIGHTS = "[" + ", ".join(f"{float(w)}" for w in mixing.WEIGHTS) + "]"
 _FORTY_EIGHT = "cast('0x' || substr(md5({}), 1, 12) as bigint)"
 
 MIX = f"""
-with sized as (select doc_id, source, cast(len({_WORDS}) as bigint) as size from documents),
+with sized as (select doc_id, source, cast(len({_WORDS}) as bigint) as size, md5(coalesce(text, '')) as text_key from documents),
 per as (select source, sum(size)::bigint as source_size from sized group by source),
 named as (select *, {_WEIGHTS}[cast((row_number() over (order by source nulls last) - 1) % {len(mixing.WEIGHTS)} + 1 as int)] as weight, {float(mixing.MOST_COPIES)}::double * source_size as cap from per),
 leveled as (select *, ({mixing.TOTAL_SHARE}::double * (sum(source_size) over ())::double - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0::double)) / sum(weight) over (order by cap / weight, source nulls last rows between current row and unbounded following) as level from named),
 target as (select source, source_size, least(cap, coalesce((select arg_min(level, cap / weight) from leveled where cap >= level * weight) * weight, cap)) as target from leveled),
-keyed as (select *, {_FORTY_EIGHT.format(f"'{mixing.SEED}:' || coalesce(doc_id::varchar, '-')")} as h, length(bin(greatest(size, 1))) - 1 as width from sized),
-stepped as (select *, width * {1 << mixing.STEP_BITS} + (((size << {mixing.STEP_BITS}) >> width) & {(1 << mixing.STEP_BITS) - 1}) as step, h % {mixing.SLOTS} as slot from keyed),
-ranked as (select *, row_number() over (partition by source order by step, slot, h, doc_id) as nth from stepped),
+keyed as (select *, {_FORTY_EIGHT.format(f"'{mixing.SEED}:' || coalesce(doc_id::varchar, '-') || ':' || text_key")} as h, length(bin(greatest(size, 1))) - 1 as width from sized),
+stepped as (select *, width * {1 << mixing.STEP_BITS} + (((size << {mixing.STEP_BITS}) >> width) & {(1 << mixing.STEP_BITS) - 1}) as step from keyed),
+ranked as (select *, row_number() over (partition by source order by step, h, doc_id, text_key) as nth from stepped),
 rated as (select r.*, t.source_size, t.target, case when t.source_size > 0 then t.target / t.source_size else 0 end as rate, {_FORTY_EIGHT.format(f"'{mixing.SEED}/' || coalesce(r.source, '')")} / {float(1 << 48)!r}::double as u from ranked r join target t on r.source is not distinct from t.source),
 copied as (select *, cast(least({mixing.MOST_COPIES}, floor(nth * rate + u) - floor((nth - 1) * rate + u)) as int) as copies from rated)
 select doc_id, size, source_size, target, cast(copies * size as bigint) as taken, copies from copied

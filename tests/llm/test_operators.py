@@ -124,6 +124,22 @@ def test_mixing(docs, none):
     assert ((taken["w"] - taken["target"]).abs() <= taken["size"] + 1e-6).all()
 
 
+def test_mixing_does_not_depend_on_groups_and_spreads_shared_ids(spark):
+    df = spark.range(0, 100_000, 1, 8).selectExpr(
+        "case when id % 3 = 0 then null when id % 3 = 1 then 5 else id end as doc_id", "concat(repeat('word ', cast(id % 97 as int)), if(id % 2 = 0, cast(id as string), 'same')) as text",
+        "if(id % 4 = 0, 'hot', null) as source", "id as own"
+    )
+    one, many = mixing.mix_sources(df), mixing.mix_sources(df.repartition(3), group=64)
+    assert one.count() == 100_000 and one.exceptAll(many).count() == 0 and many.exceptAll(one).count() == 0
+    total = one.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target"), F.max("size").alias("most"), F.sum("copies").alias("n"))
+    for r in total.collect():
+        assert abs(r["taken"] - r["target"]) <= r["most"] + r["target"] / 1000
+        # Each source gets its own copies, although its ids are those of the other as well.
+        emitted = mixing.emit_copies(df, one).filter(F.col("source").eqNullSafe(F.lit(r["source"])))
+        assert emitted.count() == r["n"] and emitted.agg(F.sum(F.size(F.array_remove(F.split("text", " "), "")))).first()[0] == r["taken"]
+        assert emitted.groupBy("own").count().agg(F.max("count")).first()[0] <= 2
+
+
 def syncmers(text):
     w = [xxhash.xxh64_intdigest(x, 42) for x in (text or "").encode().split()]
     signed = lambda x: x - (1 << 64) if x >> 63 else x

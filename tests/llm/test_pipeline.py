@@ -62,9 +62,10 @@ def mixed(docs):
     for s in names:
 
         def key(row):
-            n, h = size(row[1]), bits(f"{mixing.SEED}:{'-' if row[0] is None else row[0]}")
+            n, text = size(row[1]), hashlib.md5((row[1] or "").encode()).hexdigest()
+            h = bits(f"{mixing.SEED}:{'-' if row[0] is None else row[0]}:{text}")
             width = max(n, 1).bit_length() - 1
-            return width * 8 + ((n << 3 >> width) & 7), h % mixing.SLOTS, h
+            return width * 8 + ((n << 3 >> width) & 7), h
 
         rate = target[s] / per[s] if per[s] else 0.0
         u = bits(f"{mixing.SEED}/{s or ''}") / (1 << 48)
