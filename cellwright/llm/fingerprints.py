@@ -4,11 +4,14 @@ The letters are the words of a text. A k-mer is ``K`` words in a row, its inner
 the ``K - S + 1`` runs of ``S`` words. A k-mer is a closed syncmer, and chosen, if the smallest
 hash of its inner substrings is that of the first or the last of them. Whether a k-mer is chosen
 depends on its own words alone, so texts that share a passage choose the same anchors in it
-wherever it stands; no window around it matters.
+wherever it stands; no window around it matters. Words alone say little of a text that has few of
+them or very long ones, as scripts without spaces do: such a text also has the closed syncmers of
+its code points, found alike.
 
 The fingerprint keeps the ``SKETCH`` smallest distinct 32-bit hashes of the chosen k-mers in
 ascending order (bottom-k), and the likeness of two is the usual bottom-k estimate of the
-Jaccard similarity of their anchor sets.
+Jaccard similarity of their anchor sets. Two of a text's anchors fall on one 32-bit value with a
+chance of n^2 / 2^33, which takes one of n away; two texts' anchors do so alike.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from .common import materialize, words
 K = 5
 S = 2
 SKETCH = 64
+#: A text of fewer words, or of more code points a word on average, has anchors of code points too.
+FEW_WORDS, LONG_WORDS = 64, 24
 #: Stands for a null doc_id: the lowest of all.
 NO_ID = -(1 << 63)
 
@@ -30,23 +35,26 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
-def _with_anchors(docs: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds ``out``: an array of structs (pos, hash), the closed syncmers of a text in order.
+def _closed(docs: DataFrame, letters: str, out: str) -> DataFrame:
+    """Adds ``out``: an array of structs (pos, hash), the closed syncmers of an array of letters' hashes.
 
-    A text of fewer than K words has one anchor, the hash of all its words; one without words
-    has none.
+    Fewer than K letters have one anchor, the hash of all; none have none, nor has a null array.
     """
-    docs = docs.withColumn("__w", word_hashes(F.col(text)))
-    n = F.size("__w")
-    docs = docs.withColumn("__s", F.when(n >= K, F.transform(F.sequence(F.lit(0), n - S), lambda i: F.xxhash64(*[F.get("__w", i + j) for j in range(S)]))))
+    n = F.coalesce(F.size(letters), F.lit(-1))
+    docs = docs.withColumn("__s", F.when(n >= K, F.transform(F.sequence(F.lit(0), n - S), lambda i: F.xxhash64(*[F.get(letters, i + j) for j in range(S)]))))
     m = K - S + 1
     inner = lambda i, js: F.least(*[F.get("__s", i + j) for j in js]) if len(js) > 1 else F.get("__s", i + js[0])
     chosen = F.filter(F.sequence(F.lit(0), n - K), lambda i: inner(i, [0, m - 1]) <= inner(i, list(range(1, m - 1))))
-    kmers = F.transform(chosen, lambda i: F.struct(i.alias("pos"), F.xxhash64(*[F.get("__w", i + j) for j in range(K)]).alias("hash")))
-    short = F.when(n > 0, F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(F.concat_ws(" ", F.transform("__w", lambda h: h.cast("string")))).alias("hash")))).otherwise(
+    kmers = F.transform(chosen, lambda i: F.struct(i.alias("pos"), F.xxhash64(*[F.get(letters, i + j) for j in range(K)]).alias("hash")))
+    short = F.when(n > 0, F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(F.concat_ws(" ", F.transform(letters, lambda h: h.cast("string")))).alias("hash")))).otherwise(
         F.array().cast("array<struct<pos:int,hash:bigint>>")
     )
-    return docs.withColumn(out, F.when(n >= K, kmers).otherwise(short)).drop("__w", "__s")
+    return docs.withColumn(out, F.when(n >= K, kmers).otherwise(short)).drop("__s")
+
+
+def _with_anchors(docs: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds ``out``: the anchors of a text's words, in order."""
+    return _closed(docs.withColumn("__w", word_hashes(F.col(text))), "__w", out)
 
 
 def anchors(docs: DataFrame) -> DataFrame:
@@ -57,8 +65,11 @@ def anchors(docs: DataFrame) -> DataFrame:
 def with_sketch(docs: DataFrame, text: str, out: str) -> DataFrame:
     """Adds the bottom-k sketch of ``text`` as an ascending array of 32-bit values in longs."""
     docs = _with_anchors(docs, text, "__a")
-    low = F.transform("__a", lambda a: F.shiftrightunsigned(a["hash"], 32))
-    return docs.withColumn(out, F.slice(F.sort_array(F.array_distinct(low)), 1, SKETCH)).drop("__a")
+    n = F.size("__w")
+    few = (n > 0) & ((n < FEW_WORDS) | (F.char_length(text) > n * LONG_WORDS))
+    docs = _closed(docs.withColumn("__c", F.when(few, F.transform(F.split(F.col(text), ""), lambda c: F.xxhash64(c)))), "__c", "__b")
+    low = lambda a: F.transform(a, lambda x: F.shiftrightunsigned(x["hash"], 32))
+    return docs.withColumn(out, F.slice(F.sort_array(F.array_distinct(F.concat(low("__a"), low("__b")))), 1, SKETCH)).drop("__a", "__b", "__c", "__w")
 
 
 def as_text(sketch: Column) -> Column:
@@ -101,8 +112,9 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     near_next. The edited text has the last floor(n_chars / 2) code points replaced by the first
     as many (or all) of the next document in descending doc_id, the first after the last. A null
     text is an empty one, and the fingerprint of a text without words is empty. Of rows that
-    share a doc_id, each is returned, and the smallest text stands as next document. A null
-    doc_id counts as the lowest. One document alone follows itself. An empty table gives no rows;
+    share a doc_id, each is returned, and the smallest text stands as next document; they are
+    counted in one window, which spills, and joined by a merge that AQE splits. A null doc_id
+    counts as the lowest. One document alone follows itself. An empty table gives no rows;
     further columns are ignored.
     """
     # Both sides of the last join start from the same shuffle of texts by id, which Spark makes

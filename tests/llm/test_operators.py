@@ -140,10 +140,39 @@ def test_mixing_does_not_depend_on_groups_and_spreads_shared_ids(spark):
         assert emitted.groupBy("own").count().agg(F.max("count")).first()[0] <= 2
 
 
-def syncmers(text):
-    w = [xxhash.xxh64_intdigest(x, 42) for x in (text or "").encode().split()]
+def chained(values):
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(v.to_bytes(8, "little"), h)
+    return h
+
+
+def syncmers(letters):
+    """Hashes of the closed syncmers, k-mer by k-mer."""
+    k, s = fingerprints.K, fingerprints.S
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    return [signed(x) for x in w]
+    w = [xxhash.xxh64_intdigest(x, 42) for x in letters]
+    if len(w) < k:
+        return [xxhash.xxh64_intdigest(" ".join(str(signed(x)) for x in w).encode(), 42)] if w else []
+    out = []
+    for i in range(len(w) - k + 1):
+        inner = [signed(chained(w[j : j + s])) for j in range(i, i + k - s + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            out.append(chained(w[i : i + k]))
+    return out
+
+
+def plain_sketch(text):
+    words = text.encode().split()
+    found = syncmers(words)
+    if words and (len(words) < fingerprints.FEW_WORDS or len(text) > len(words) * fingerprints.LONG_WORDS):
+        found += syncmers([c.encode() for c in text])
+    return sorted({h >> 32 for h in found})[: fingerprints.SKETCH]
+
+
+def plain_likeness(a, b):
+    both = sorted({*a, *b})[: fingerprints.SKETCH]
+    return len(set(both) & set(a) & set(b)) / len(both) if both else 1.0
 
 
 def test_syncmer_anchors_are_context_free(spark, docs, none):
@@ -174,13 +203,31 @@ def test_fingerprints(docs, none):
         t = t or ""
         h = len(t) // 2
         edited = t[: len(t) - h] + by[follower[d]][:h]
-        assert any(r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() for r in out[d])
+        mine, other, after = plain_sketch(t), plain_sketch(edited), plain_sketch(by[follower[d]])
+        text = lambda x: "".join(f"{v:08x}" for v in x)
+        want = (d, len(t), hashlib.sha256(edited.encode()).hexdigest(), text(mine), text(other), plain_likeness(mine, other), plain_likeness(mine, after))
+        assert want in [(r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], r["near_edited"], r["near_next"]) for r in out[d]]
     same = {r["fingerprint"] for r in (*out[0], *out[1006])}
     assert len(same) == 1 and all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
     assert fingerprints.fingerprint_edits(none).count() == 0
     assert out[1000][0]["fingerprint"] == "" and out[1001][0]["near_edited"] == 1.0
 
 
+def test_fingerprints_of_short_texts_and_of_texts_without_spaces(spark):
+    rng = random.Random(31)
+    han = "".join(chr(0x4E00 + i) for i in range(900))
+    texts = [sentence(rng, "en", n) for n in (3, 6, 9, 15, 30, 70)] + ["".join(rng.choice(han) for _ in range(n)) for n in (40, 400, 9000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = fingerprints.fingerprint_edits(df).collect()
+    assert all(0.1 < r["near_edited"] < 0.7 and r["near_next"] < 0.1 for r in got), got
+
+
+def test_fingerprints_of_many_rows_without_an_id(spark):
+    df = spark.range(0, 100_000, 1, 4).selectExpr("case when id = 7 then 7 end as doc_id", "concat('text number ', id) as text")
+    got = fingerprints.fingerprint_edits(df)
+    assert got.count() == 100_000 and got.filter("doc_id is null").select("fingerprint").distinct().count() > 99_000
+
+
 def test_one_document_follows_itself(spark):
     r = fingerprints.fingerprint_edits(spark.createDataFrame([(5, "abcdef")], "doc_id long, text string")).first()
     assert r["edited_sha256"] == hashlib.sha256(b"abcabc").hexdigest()
