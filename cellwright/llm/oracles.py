@@ -57,6 +57,10 @@ QUALITY = f"""
 with docs as (select row_number() over () as rid, doc_id, lang, coalesce(text, '') as text from documents),
 lengths as (select *, {_WORDS} as words, [{', '.join(f'length({_left("text", i)})' for i in range(_N + 1))}] as lens from docs),
 based as (select rid, doc_id, case when lang in ({_KNOWN}) then lang end as ref, text, words, len(words) as n_words, lens[1] as n_all, [{', '.join(f'lens[{i + 1}] - lens[{i + 2}]' for i in range(_N))}, lens[{_N + 1}]] as chars from lengths),
+windows as (select rid, unnest(range(len(words) - {quality.WINDOW - 1})) as nth, words from based where len(words) > {quality.WINDOW}),
+keyed as (select rid, nth, count(*) over (partition by rid, array_to_string(words[nth + 1 : nth + {quality.WINDOW}], ' ')) as times from windows),
+covered as (select rid, count(distinct pos) as n from (select rid, unnest(range(nth, nth + {quality.WINDOW})) as pos from keyed where times > 1) group by 1),
+failing as (select b.rid from based b left join covered c on c.rid = b.rid where b.n_words < {quality.MIN_WORDS_BASE} or 100 * coalesce(c.n, 0) > {quality.REPEAT_PERCENT} * b.n_words),
 tokens as (select rid, lower(unnest(words)) as w from based),
 commons as (select rid, 'w' || w as bin, count(*)::double as n from tokens where w in ({_VOCABULARY}) group by 1, 2),
 bins as (
@@ -64,26 +68,24 @@ bins as (
   union all select b.rid, 'w', (b.n_words - coalesce(c.n, 0))::double from based b left join (select rid, sum(n) as n from commons group by 1) c on c.rid = b.rid
   union all select rid, 'c' || unnest(range({_N + 1})), unnest(chars)::double from based
 ),
-whole as (select b.ref, k.bin, sum(k.n) as n from bins k join based b on b.rid = k.rid where b.n_words >= {quality.MIN_WORDS} and b.ref is not null group by 1, 2
-  union all select '*', k.bin, sum(k.n) from bins k join based b on b.rid = k.rid where b.n_words >= {quality.MIN_WORDS} group by 2),
+whole as (select b.ref, k.bin, sum(k.n) as n from bins k join based b on b.rid = k.rid where b.n_words >= {quality.MIN_WORDS} and b.rid not in (select rid from failing) and b.ref is not null group by 1, 2
+  union all select '*', k.bin, sum(k.n) from bins k join based b on b.rid = k.rid where b.n_words >= {quality.MIN_WORDS} and b.rid not in (select rid from failing) group by 2),
 shares as (select ref, left(bin, 1) as kind, bin, n / greatest(sum(n) over (partition by ref, left(bin, 1)), 1) as q from whole),
+limits as (select r.ref, {quality.WORD_SHARE**2!r}::double * ({_term('1.0::double', 'q')} + (1 - q) / 2) as square from (select u.ref, coalesce(s.q, 0::double) as q from (select distinct ref from shares) u left join shares s on s.ref = u.ref and s.bin = 'w') r),
 compared as (
   select b.rid, left(k.bin, 1) as kind, k.n / greatest(case when left(k.bin, 1) = 'w' then b.n_words else b.n_all end, 1) as p, coalesce(s.q, 0) as q
   from bins k join based b on b.rid = k.rid left join shares s on s.ref = coalesce(b.ref, '*') and s.bin = k.bin
 ),
 distances as (select rid, kind, sqrt(greatest(sum({_term('p', 'q')}) + (1 - sum(q)) / 2, 0)) as d from compared group by 1, 2),
-windows as (select rid, unnest(range(len(words) - {quality.WINDOW - 1})) as nth, words from based where len(words) > {quality.WINDOW}),
-keyed as (select rid, nth, count(*) over (partition by rid, array_to_string(words[nth + 1 : nth + {quality.WINDOW}], ' ')) as times from windows),
-covered as (select rid, count(distinct pos) as n from (select rid, unnest(range(nth, nth + {quality.WINDOW})) as pos from keyed where times > 1) group by 1),
 lined as (select rid, count(*) - count(distinct line) as n from (select rid, unnest(string_split(text, chr(10))) as line from docs) where trim(line, {_SPACES}) <> '' group by 1),
 told as (
   select b.doc_id, b.n_words, length(array_to_string(b.words, '')) as word_chars, b.chars[{_N}] as n_symbols, coalesce(l.n, 0) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words,
-    case when b.n_words >= {quality.MIN_WORDS} and b.n_all >= {quality.MIN_CHARS} then dc.d end as char_distance, case when b.n_words >= {quality.MIN_WORDS} and b.n_all >= {quality.MIN_CHARS} then dw.d end as word_distance
-  from based b left join lined l on l.rid = b.rid left join covered c on c.rid = b.rid left join distances dc on dc.rid = b.rid and dc.kind = 'c' left join distances dw on dw.rid = b.rid and dw.kind = 'w'
+    case when b.n_words >= {quality.MIN_WORDS} and b.n_all >= {quality.MIN_CHARS} then dc.d end as char_distance, sqrt(m.square + {quality.SAMPLING!r}::double / b.n_words) as word_limit, case when b.n_words >= {quality.MIN_WORDS} and b.n_all >= {quality.MIN_CHARS} then dw.d end as word_distance
+  from based b left join lined l on l.rid = b.rid left join covered c on c.rid = b.rid left join distances dc on dc.rid = b.rid and dc.kind = 'c' left join distances dw on dw.rid = b.rid and dw.kind = 'w' left join limits m on m.ref = coalesce(b.ref, '*')
 ),
 failed as (select *, n_words < {quality.MIN_WORDS_BASE} or 100 * n_repeat_words > {quality.REPEAT_PERCENT} * n_words as base_failed from told)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and coalesce(char_distance <= {quality.MAX_CHAR_DISTANCE}, true) and coalesce(word_distance <= {quality.MAX_WORD_DISTANCE}, true) as kept,
+  not base_failed and coalesce(char_distance <= {quality.MAX_CHAR_DISTANCE}, true) and coalesce(word_distance <= word_limit, true) as kept,
   round(char_distance, 6) as char_distance, round(word_distance, 6) as word_distance
 from failed
 """

@@ -3,7 +3,12 @@
 Base rules look at length and at words that repeat. The method compares two histograms of a
 document, its character classes and its common words, with those of its language, by
 Jensen-Shannon distance (base 2, 0 to 1). The references are sums over all documents of a
-language. A document is too short for a verdict below ``MIN_CHARS`` or ``MIN_WORDS``.
+language that pass the base rules. A document is too short for a verdict below ``MIN_CHARS`` or
+``MIN_WORDS``.
+
+The limit of the word distance follows from the reference: ``WORD_SHARE`` of the distance that a
+text without any common word has, and what a sample of n words adds by chance, about
+``SAMPLING`` / n to its square.
 """
 
 from __future__ import annotations
@@ -19,9 +24,9 @@ REPEAT_PERCENT = 30
 #: Guards: histograms of fewer characters or words say too little, and are not judged.
 MIN_CHARS = 400
 MIN_WORDS = 60
-#: Largest distances of a document that is kept.
+#: Largest distances of a document that is kept (for words see above).
 MAX_CHAR_DISTANCE = 0.30
-MAX_WORD_DISTANCE = 0.60
+WORD_SHARE, SAMPLING = 0.8, 2.5
 
 # The most frequent function words of each language.
 COMMON_WORDS = {
@@ -50,13 +55,17 @@ def _base(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"commons": counted, "n_common": F.size("common")})
 
 
+def _base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS_BASE) | (F.lit(100) * F.col("n_repeat_words") > F.lit(REPEAT_PERCENT) * F.col("n_words"))
+
+
 def references(based: DataFrame) -> DataFrame:
     """One row a language of COMMON_WORDS, and one (lang null) of all: character shares, word shares.
 
-    Sums over every document that has MIN_WORDS; a row for each language and bin reaches the
-    driver's broadcast, whatever the input.
+    Sums over every document that has MIN_WORDS and passes the base rules; a row for each language
+    and bin reaches the driver's broadcast, whatever the input.
     """
-    judged = based.filter(F.col("n_words") >= MIN_WORDS)
+    judged = based.filter((F.col("n_words") >= MIN_WORDS) & ~_base_failed())
     bins = F.concat(
         F.transform("commons", lambda s: F.struct(F.concat(F.lit("w"), s["word"]).alias("bin"), s["n"].alias("n"))),
         F.array(F.struct(F.lit("w").alias("bin"), (F.col("n_words") - F.col("n_common")).cast("double").alias("n"))),
@@ -133,7 +142,10 @@ def judge_quality(docs: DataFrame) -> DataFrame:
         "char_distance": F.when(enough, _distance(char_bins, F.col("n_all"))),
         "word_distance": F.when(enough, _distance(word_bins, F.col("n_words"))),
         "n_symbols": F.element_at("chars", len(CLASSES)).cast("long"),
-        "base_failed": (F.col("n_words") < MIN_WORDS_BASE) | (F.lit(100) * F.col("n_repeat_words") > F.lit(REPEAT_PERCENT) * F.col("n_words")),
+        "base_failed": _base_failed(),
     })
-    fine = F.coalesce(F.col("char_distance") <= MAX_CHAR_DISTANCE, F.lit(True)) & F.coalesce(F.col("word_distance") <= MAX_WORD_DISTANCE, F.lit(True))
+    rest = F.coalesce(F.element_at("shares", F.lit("w")), F.lit(0.0))  # the reference's share of words that aren't common
+    none_common = _term(F.lit(1.0), rest) + (F.lit(1.0) - rest) / 2
+    word_limit = F.sqrt(F.lit(WORD_SHARE**2) * none_common + F.lit(SAMPLING) / F.col("n_words"))
+    fine = F.coalesce(F.col("char_distance") <= MAX_CHAR_DISTANCE, F.lit(True)) & F.coalesce(F.col("word_distance") <= word_limit, F.lit(True))
     return out.select("doc_id", F.col("n_words").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & fine).alias("kept"), "char_distance", "word_distance")

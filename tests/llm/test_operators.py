@@ -525,3 +525,12 @@ def test_quality_tells_shouting_from_prose(spark):
     data = [(i, sentence(rng, "en", 200), "en") for i in range(30)] + [(99, sentence(rng, "en", 200).upper().replace(" ", "!! "), "en"), (98, " ".join("#$%&"[rng.randrange(4)] * 3 + w for w in sentence(rng, "en", 150).split()), "en")]
     got = {r["doc_id"]: r["kept"] for r in quality.judge_quality(spark.createDataFrame(data, "doc_id long, text string, lang string")).collect()}
     assert all(got[i] for i in range(30)) and not got[99] and not got[98]
+
+
+def test_quality_tells_word_lists_from_prose(spark):
+    rng = random.Random(13)
+    made = lambda: "".join(rng.choice(["th", "er", "on", "ing", "st", "ar"]) for _ in range(rng.randint(2, 4)))
+    data = [(i, sentence(rng, "en", n), "en") for i, n in enumerate([70, 100, 150, 300, 1000] * 20)]
+    data += [(1000 + i, " ".join(w for w in (made() for _ in range(n)) if w not in quality.VOCABULARY), "en") for i, n in enumerate((160, 300, 700, 2000))]
+    got = {r["doc_id"]: r for r in quality.judge_quality(spark.createDataFrame(data, "doc_id long, text string, lang string")).collect()}
+    assert all(r["kept"] for i, r in got.items() if i < 1000) and not any(r["kept"] or r["base_failed"] for i, r in got.items() if i >= 1000)
