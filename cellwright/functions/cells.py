@@ -139,7 +139,7 @@ def _place_steps(level: int, di: float, dj: float, ellipsoid: Ellipsoid, lon: st
     ns = float(1 << level)
     e2 = ellipsoid.e2
     steps: Steps = [
-        {"q_x": f"(q_i + {di!r}) / {ns!r}", "q_y": f"(q_j + {dj!r}) / {ns!r}"},
+        {"q_x": f"(q_i + {di!r}e0) / {ns!r}e0", "q_y": f"(q_j + {dj!r}e0) / {ns!r}e0"},
         {"q_r": f"{_lookup(RING_OF_FACE, 'q_f')} - q_x - q_y"},
         {"q_n": "case when q_r < 1e0 then q_r when q_r > 3e0 then 4e0 - q_r else 1e0 end"},
         {

@@ -4,8 +4,9 @@ Each observation is modelled as a Gaussian mean of the ``n_cells`` cells nearest
 width of half a cell; weights are corrected so that their centroid is the observation's place,
 which makes the model exact for fields that are linear nearby. Cell values solve
 (A'A + lam I) x = A'd. The kernel is this engine's own.
-The sums in A'A and A'd are partial aggregates; a task solves one chunk from these sums alone,
-whose number the cells of the chunk and its halo bound, however many points there are.
+The sums in A'A and A'd are made where the points are read and added up by an aggregation; a task
+solves one chunk from these sums alone, whose number the cells of the chunk and its halo bound,
+however many points there are.
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cells as C
-from .resample import ecef
+
+#: Sums that a task holds before it adds them up, and those it keeps after that before it hands them on.
+HELD, FLUSH = 1 << 21, 1 << 20
 
 
 def _solve(i: np.ndarray, j: np.ndarray, ww: np.ndarray, wd: np.ndarray, w: np.ndarray, n: int, lam: float, max_iter: int, tol: float) -> np.ndarray:
@@ -59,42 +62,156 @@ def _centred(rows: np.ndarray, w: np.ndarray, off: np.ndarray, n: int) -> np.nda
     return fixed / np.maximum(np.bincount(rows, fixed, n), 1e-300)[rows]
 
 
+def _packed(x: np.ndarray) -> np.ndarray:
+    """Every second bit of each number."""
+    x = x & 0x5555555555555555
+    for k, mask in ((1, 0x3333333333333333), (2, 0x0F0F0F0F0F0F0F0F), (4, 0x00FF00FF00FF00FF), (8, 0x0000FFFF0000FFFF), (16, 0xFFFFFFFF)):
+        x = (x | (x >> k)) & mask
+    return x
+
+
+def _spread(x: np.ndarray) -> np.ndarray:
+    for k, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        x = (x | (x << k)) & mask
+    return x
+
+
+def around(cells: np.ndarray, level: int) -> np.ndarray:
+    """Each cell and its eight neighbours, -1 where there is none: as ``cells.with_neighbours`` has them."""
+    ns = 1 << level
+    inner, face = cells & ((1 << 2 * level) - 1), cells >> (2 * level)
+    i, j = _packed(inner), _packed(inner >> 1)
+    beyond, turns = np.array(C.FACE_BEYOND), np.array(C.TURN_BEYOND)
+    out = [cells]
+    for di, dj in C.AROUND:
+        x, y = i + di, j + dj
+        side = 4 + (x >= ns) * 1 - (x < 0) + 3 * ((y >= ns) * 1 - (y < 0))
+        to, turn = beyond[side, face], turns[side, face >> 2]
+        x, y = x % ns, y % ns
+        x, y = np.where(turn & 1, ns - 1 - x, x), np.where(turn & 2, ns - 1 - y, y)
+        x, y = np.where(turn & 4, y, x), np.where(turn & 4, x, y)
+        out.append(np.where(to < 0, -1, (to << (2 * level)) + _spread(x) + (_spread(y) << 1)))
+    return np.stack(out, axis=1)
+
+
+def _ecef(sin_lat: np.ndarray, cos_lat: np.ndarray, lon: np.ndarray, e: C.Ellipsoid) -> np.ndarray:
+    n = e.a / np.sqrt(1 - e.e2 * sin_lat * sin_lat)
+    return np.stack([n * cos_lat * np.cos(lon), n * cos_lat * np.sin(lon), n * (1 - e.e2) * sin_lat], axis=1)
+
+
+def centres(cells: np.ndarray, level: int, e: C.Ellipsoid) -> np.ndarray:
+    """Cell centres in metres, x, y, z: as ``cells.with_center`` has them."""
+    inner = cells & ((1 << 2 * level) - 1)
+    face = cells >> (2 * level)
+    x, y = ((_packed(v) + 0.5) / (1 << level) for v in (inner, inner >> 1))
+    ring = np.array(C.RING_OF_FACE)[face] - x - y
+    near = np.minimum(1.0, np.minimum(ring, 4 - ring))  # rings from the pole, in the polar caps
+    z = np.where(ring < 1, 1 - near * near / 3, np.where(ring > 3, near * near / 3 - 1, (2 - ring) * 2 / 3))
+    lon = np.pi / 4 * (np.array(C.PLACE_OF_FACE)[face] * near + x - y) / near
+    if not e.e2:
+        return _ecef(z, np.sqrt(1 - z * z), lon, e)
+    k = math.sqrt(e.e2)
+    q = lambda s: (1 - e.e2) * (s / (1 - e.e2 * s * s) + np.arctanh(k * s) / k)
+    lat = np.arcsin(z)
+    for _ in range(4):  # Newton's steps on q(sin lat) = z q(1)
+        s = np.sin(lat)
+        lat = lat + (1 - e.e2 * s * s) ** 2 * (z * q(1.0) - q(s)) / (2 * (1 - e.e2) * np.maximum(np.cos(lat), 1e-12))
+    return _ecef(np.sin(lat), np.cos(lat), lon, e)
+
+
+def _links(lon: np.ndarray, lat: np.ndarray, cells: np.ndarray, rows: np.ndarray, level: int, n_cells: int, e: C.Ellipsoid):
+    """The cells that each point stands for, at most ``n_cells``: row, cell, centred weight, share."""
+    known, at = np.unique(cells, return_inverse=True)
+    lat = np.radians(lat)
+    sigma = e.a * math.sqrt(math.pi / 3) / 2**level / 2
+    off = (centres(known, level, e)[at] - _ecef(np.sin(lat), np.cos(lat), np.radians(lon), e)[rows]) / (2 * sigma)
+    w = np.exp(-2 * (off * off).sum(axis=1))
+    order = np.lexsort((-cells, -w, rows))
+    nth = np.arange(len(rows)) - np.searchsorted(rows, rows)  # place within the point's cells, which are side by side
+    keep = order[nth < n_cells]
+    rows, cells, w, off = rows[keep], cells[keep], w[keep], off[keep]
+    return rows, cells, _centred(rows, w, off, len(lon)), w / np.maximum(np.bincount(rows, w, len(lon)), 1e-300)[rows]
+
+
+def _sums(key: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, and the values' sums."""
+    order = np.argsort(key)
+    key, values = key[order], values[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+    return key[first], np.add.reduceat(values, first, axis=0) if len(key) else values
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Several tables of (chunk, i, j) and values as one with each entry once."""
+    keys, values = map(np.concatenate, zip(*parts))
+    known, at = np.unique(keys[:, 1:], return_inverse=True)
+    chunks, of = np.unique(keys[:, 0], return_inverse=True)
+    n, at = len(known), at.reshape(-1, 2)
+    key, values = _sums((of * n + at[:, 0]) * n + at[:, 1], values)
+    return np.stack([chunks[key // (n * n)], known[key // n % n], known[key % n]], axis=1), values
+
+
+def normal_sums(placed: DataFrame, level: int, chunk_level: int, n_cells: int, e: C.Ellipsoid) -> DataFrame:
+    """A'A by its entries i <= j, and by cell (i = j) A'd, A'1 and the coverage, for each chunk.
+
+    ``placed``: lon, lat, d, cell_id. A point takes part in every chunk that holds its cell or one
+    around it, with all of its cells: the halo.
+    """
+    shift = 2 * (level - chunk_level)
+    names = ["chunk", "i", "j", "ww", "wd", "w", "share"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def give():
+            keys, values = held[0]
+            return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in (*keys.T, *values.T))], names=names)
+
+        for b in batches:
+            base, of = np.unique(b.column("cell_id").to_numpy(zero_copy_only=False), return_inverse=True)
+            near = np.sort(around(base, level), axis=1)  # small levels meet a neighbour twice
+            near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
+            wide = near[of]
+            all_rows, all_cells = np.nonzero(wide >= 0)[0], wide[wide >= 0]
+            lon, lat, d = (b.column(c).to_numpy(zero_copy_only=False) for c in ("lon", "lat", "d"))
+            rows, cells, w, share = _links(lon, lat, all_cells, all_rows, level, n_cells, e)
+            start = np.searchsorted(rows, np.arange(b.num_rows + 1))
+            known, at = np.unique(cells, return_inverse=True)
+            chunks, of = np.unique(all_cells >> shift, return_inverse=True)
+            member = np.unique(all_rows * len(chunks) + of)  # each point with its chunks
+            point, chunk = member // max(1, len(chunks)), member % max(1, len(chunks))
+            n, size = len(known), start[1:] - start[:-1]
+            keys, values = [], []
+            for x in range(int(size.max(initial=0))):
+                for y in range(x, int(size.max())):
+                    has = y < size[point]
+                    p, c = start[point[has]] + x, start[point[has]] + y
+                    i, j, own = np.minimum(at[p], at[c]), np.maximum(at[p], at[c]), float(x == y)
+                    keys.append((chunk[has] * n + i) * n + j)
+                    values.append(np.stack([w[p] * w[c], own * w[p] * d[point[has]], own * w[p], own * share[p]], axis=1))
+            if keys:
+                key, value = _sums(np.concatenate(keys), np.concatenate(values))
+                held.append((np.stack([chunks[key // (n * n)], known[key // n % n], known[key % n]], axis=1), value))
+            if sum(len(k) for k, _ in held) > HELD:
+                held = [_added(held)]
+                if len(held[0][0]) > FLUSH:
+                    yield give()
+                    held = []
+        if held:
+            held = [_added(held)]
+            yield give()
+
+    kinds = ", ".join(f"{n} {'long' if n in ('chunk', 'i', 'j') else 'double'}" for n in names)
+    return placed.select("lon", "lat", "d", "cell_id").mapInArrow(run, kinds).groupBy("chunk", "i", "j").agg(*[F.sum(c).alias(c) for c in names[3:]])
+
+
 def psf(points: DataFrame, level: int, chunk_level: int, variable: str, n_cells: int = 9, lam: float = 1e-3, threshold: float = 0.01, max_iter: int = 100, tol: float = 1e-8, ellipsoid: C.Ellipsoid = C.SPHERE) -> DataFrame:
     """cell_id, variable (double) for the cells whose coverage, the sum of their weights, reaches ``threshold``."""
+    # A scan of few row groups would leave most cores without work.
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    points = points.repartition(cores) if points.rdd.getNumPartitions() < cores else points
     placed = C.with_cell(points.select("lon", "lat", F.col(variable).cast("float").cast("double").alias("d")).filter("d is not null and not isnan(d)"), level, ellipsoid)
-    near = C.with_neighbours(placed, level)
-    near = near.withColumn("id", F.monotonically_increasing_id())
-    wide = near.select("id", "lon", "lat", "d", F.explode(F.array_distinct(F.concat(F.array("cell_id"), F.filter("neighbours", lambda c: c >= 0)))).alias("cell_id"))
-    wide = C.with_center(wide, level, ellipsoid, lon="c_lon", lat="c_lat").withColumns(ecef("lon", "lat", ellipsoid, "p") | ecef("c_lon", "c_lat", ellipsoid, "c"))
-    d2 = sum(((F.col(f"p{c}") - F.col(f"c{c}")) * (F.col(f"p{c}") - F.col(f"c{c}")) for c in "xyz"), F.lit(0.0))
-    sigma = ellipsoid.a * math.sqrt(math.pi / 3) / 2**level / 2
-    off = [((F.col(f"c{c}") - F.col(f"p{c}")) / (2 * sigma)).alias(f"d{c}") for c in "xyz"]
-    links = wide.select("id", "d", "cell_id", *off, F.exp(-d2 / (2 * sigma * sigma)).alias("w"), F.expr(C.parent("cell_id", level - chunk_level)).alias("chunk"))
-    # A point takes part in every chunk that holds one of its cells, with all of its cells: the halo.
-    chunks = links.groupBy("id").agg(F.first("d").alias("d"), F.collect_list(F.struct("w", "cell_id", "dx", "dy", "dz")).alias("to"), F.collect_set("chunk").alias("chunks"))
-    chunks = chunks.select("d", F.slice(F.sort_array("to", asc=False), 1, n_cells).alias("to"), "chunks")
-    flat = chunks.select("d", "chunks", *[F.col(f"to.{c}").alias(c) for c in ("w", "cell_id", "dx", "dy", "dz")])
-
-    def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            of = {c: b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("w", "dx", "dy", "dz")}
-            lengths = b.column("w").value_lengths().to_numpy(zero_copy_only=False)
-            rows = np.repeat(np.arange(b.num_rows), lengths)
-            ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
-            share = of["w"] / np.maximum(np.bincount(rows, of["w"], b.num_rows), 1e-300)[rows]
-            centred = _centred(rows, of["w"], np.stack([of[c] for c in ("dx", "dy", "dz")], axis=1), b.num_rows)
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (centred, share)]
-            yield pa.RecordBatch.from_arrays([b.column("d"), b.column("chunks"), b.column("cell_id"), *lists], names=["d", "chunks", "cells", "w", "share"])
-
-    weighted = flat.mapInArrow(weights, "d double, chunks array<long>, cells array<long>, w array<double>, share array<double>")
-    # One row a pair of a point's cells, the first not above the second; what is by cell goes with its pair with itself.
-    one = F.arrays_zip("cells", "w", "share")
-    pair = lambda a, b: F.struct(
-        a["cells"].alias("i"), b["cells"].alias("j"), (a["w"] * b["w"]).alias("ww"), *[F.when(a["cells"] == b["cells"], x).otherwise(0.0).alias(n) for n, x in (("wd", a["w"] * F.col("d")), ("w", a["w"]), ("share", a["share"]))]
-    )
-    pairs = F.flatten(F.transform(one, lambda a: F.transform(F.filter(one, lambda b: a["cells"] <= b["cells"]), lambda b: pair(a, b))))
-    sums = weighted.select("chunks", F.inline(pairs)).select(F.explode("chunks").alias("chunk"), "i", "j", "ww", "wd", "w", "share")
-    sums = sums.groupBy("chunk", "i", "j").agg(*[F.sum(c).alias(c) for c in ("ww", "wd", "w", "share")])
+    sums = normal_sums(placed.filter("cell_id is not null"), level, chunk_level, n_cells, ellipsoid)
     shift = 2 * (level - chunk_level)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:

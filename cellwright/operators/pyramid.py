@@ -164,6 +164,17 @@ def chunk_and_shard_levels(level: int, offset: int, shard: int | None, coarsest:
     return chunk, shard if shard is not None and shard < chunk else None
 
 
+def derived_chunk_levels(level: Column, native: Column, native_chunk: Column, coarsest: Column) -> Column:
+    """``derived_chunk_level`` of a table of plans."""
+    return F.greatest(level - F.greatest(native - native_chunk, F.lit(4)), F.when(coarsest <= level, coarsest).otherwise(0), F.lit(0))
+
+
+def layout_levels(level: Column, offset: Column, shard: int | None, coarsest: Column) -> tuple[Column, Column]:
+    """``chunk_and_shard_levels`` of a table of plans."""
+    chunk = F.greatest(level - offset, coarsest, F.lit(0))
+    return chunk, F.when(F.lit(shard) < chunk, F.lit(shard))
+
+
 def merge_levels(parts: list[DataFrame], cell: str = "cell_id", keys: Iterable[str] = ()) -> DataFrame:
     """Variables of one level that came from different native levels, side by side."""
     on, out = [cell, *keys], parts[0]

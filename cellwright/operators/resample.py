@@ -182,15 +182,26 @@ def lost_variables(points: DataFrame, result: DataFrame, variables: list[str]) -
     return [v for v in variables if before[v] and not after[v]]
 
 
-def _brackets(axis: DataFrame, index: str, value: str) -> tuple[DataFrame, float, float, int]:
-    """Neighbouring nodes of an axis, in bins of the typical step: lo, hi, i, i2, bin."""
+def _brackets(axis: DataFrame, index: str, value: str) -> tuple[DataFrame, float, float]:
+    """Neighbouring nodes of an axis, in bins of the typical step: bin, lo, hi, last, i, i2."""
     by = W.Window.orderBy("v")  # an axis: one of the two sides of a grid
     pairs = axis.select(F.col(index).alias("i"), F.col(value).cast("double").alias("v")).withColumns({"i2": F.lead("i").over(by), "hi": F.lead("v").over(by)})
-    stats = pairs.agg(F.min("v").alias("first"), F.max("v").alias("last"), F.avg(F.col("hi") - F.col("v")).alias("step"), F.count(F.lit(1)).alias("n")).first()
+    stats = pairs.agg(F.min("v").alias("first"), F.max("v").alias("last"), F.avg(F.col("hi") - F.col("v")).alias("step")).first()
     step = stats["step"] or 1.0
-    pairs = pairs.filter("hi is not null").withColumnRenamed("v", "lo")
+    pairs = pairs.filter("hi is not null").withColumnRenamed("v", "lo").withColumn("last", F.col("hi") == stats["last"])
     bins = F.sequence(F.floor((F.col("lo") - stats["first"]) / step), F.floor((F.col("hi") - stats["first"]) / step))
-    return pairs.withColumn("bin", F.explode(bins)), stats["first"], step, stats["n"]
+    return pairs.withColumn("bin", F.explode(bins)), stats["first"], step
+
+
+def _quads(grid: DataFrame, xs: DataFrame, ys: DataFrame, variables: list[str]) -> DataFrame:
+    """A row for each mesh of a grid, named by its first node (x_1, y_1): values at its four corners.
+
+    A node is a corner of up to four meshes: the grid is exploded, not the far more many targets.
+    """
+    sides = lambda pairs, n: pairs.select(F.col("i").alias(f"{n}_1"), "i", F.lit(1).alias(f"{n}_side")).unionByName(pairs.select(F.col("i").alias(f"{n}_1"), F.col("i2").alias("i"), F.lit(2).alias(f"{n}_side"))).distinct()
+    at = grid.join(F.broadcast(sides(xs, "x")), "i").join(F.broadcast(sides(ys, "y").withColumnRenamed("i", "j")), "j")  # axes
+    corner = lambda v, a, b: F.max(F.when((F.col("x_side") == a) & (F.col("y_side") == b), F.col(v))).alias(f"{v}__{a}{b}")
+    return at.groupBy("x_1", "y_1").agg(*[corner(v, a, b) for v in variables for a in (1, 2) for b in (1, 2)])
 
 
 def grid_bilinear(grid: DataFrame, lon_axis: DataFrame, lat_axis: DataFrame, targets: DataFrame, level: int, variables: list[str], ellipsoid: Ellipsoid = SPHERE, min_weight: float = 0.5) -> DataFrame:
@@ -198,35 +209,37 @@ def grid_bilinear(grid: DataFrame, lon_axis: DataFrame, lat_axis: DataFrame, tar
 
     ``grid``: i, j, variables; ``lon_axis``: i, lon; ``lat_axis``: j, lat; either direction of an
     axis, and either convention of longitude. Exact on planes. Corners without a value give
-    their weight up; a cell whose valid weight is under ``min_weight`` is missing, as is one
-    outside the grid. A grid that goes round the globe is closed.
+    their weight up; a cell whose valid weight is under ``min_weight`` is missing. A cell outside
+    the grid has no row. A grid that goes round the globe is closed. Each target row meets both
+    axes and one mesh: three equi-joins, and no grouping of targets.
     """
-    start = lon_axis.agg(F.min("lon")).first()[0]
     lon_axis = lon_axis.select("i", F.col("lon").cast("double").alias("lon"))
-    spread = lon_axis.agg((F.max("lon") - F.min("lon")).alias("w"), F.count(F.lit(1)).alias("n")).first()
+    spread = lon_axis.agg(F.min("lon").alias("start"), (F.max("lon") - F.min("lon")).alias("w"), F.count(F.lit(1)).alias("n")).first()
+    start = spread["start"]
     if spread["n"] > 1 and spread["w"] + 1.5 * spread["w"] / (spread["n"] - 1) >= 360.0:
         closing = lon_axis.filter(F.col("lon") == start).select("i", (F.col("lon") + 360.0).alias("lon"))
         lon_axis = lon_axis.unionByName(closing).groupBy("lon").agg(F.min("i").alias("i")).select("i", "lon")
-    xs, x0, xstep, _ = _brackets(lon_axis, "i", "lon")
-    ys, y0, ystep, _ = _brackets(lat_axis, "j", "lat")
+    xs, x0, xstep = _brackets(lon_axis, "i", "lon")
+    ys, y0, ystep = _brackets(lat_axis, "j", "lat")
     centres = C.with_center(targets.select("cell_id"), level, ellipsoid, lon="c_lon", lat="c_lat")
     centres = centres.withColumn("c_lon", F.lit(start) + F.pmod(F.col("c_lon") - start, F.lit(360.0)))
-    inside = lambda c: (F.col(c) >= F.col("lo")) & ((F.col(c) < F.col("hi")) | ((F.col(c) == F.col("hi")) & F.col("last")))
 
     def bracket(df, pairs, first, step, c, name):
-        pairs = pairs.withColumn("last", F.col("hi") == F.max("hi").over(W.Window.partitionBy()))
-        df = df.withColumn("bin", F.floor((F.col(c) - first) / step))
-        hit = df.join(pairs, "bin").filter(inside(c))
-        return hit.withColumn(f"{name}_w", (F.col(c) - F.col("lo")) / (F.col("hi") - F.col("lo"))).withColumnsRenamed({"i": f"{name}_1", "i2": f"{name}_2"}).drop("bin", "lo", "hi", "last")
+        inside = (F.col(c) >= F.col("lo")) & ((F.col(c) < F.col("hi")) | ((F.col(c) == F.col("hi")) & F.col("last")))
+        hit = df.withColumn("bin", F.floor((F.col(c) - first) / step)).join(F.broadcast(pairs.drop("i2")), "bin").filter(inside)  # an axis
+        return hit.withColumn(f"{name}_w", (F.col(c) - F.col("lo")) / (F.col("hi") - F.col("lo"))).withColumnRenamed("i", f"{name}_1").drop("bin", "lo", "hi", "last", c)
 
     at = bracket(bracket(centres, xs, x0, xstep, "c_lon", "x"), ys, y0, ystep, "c_lat", "y")
-    corners = F.array(*[F.struct(F.col(f"x_{a}").alias("i"), F.col(f"y_{b}").alias("j"), ((F.col("x_w") if a == 2 else 1 - F.col("x_w")) * (F.col("y_w") if b == 2 else 1 - F.col("y_w"))).alias("w")) for a in (1, 2) for b in (1, 2)])
-    wide = at.select("cell_id", F.inline(corners)).join(float32(grid.select("i", "j", *variables), variables), ["i", "j"], "left")
-    aggs = []
+    at = at.join(_quads(float32(grid.select("i", "j", *variables), variables), xs, ys, variables), ["x_1", "y_1"], "left")
+    out = []
     for v in variables:
-        valid = F.sum(F.when(F.col(v).isNotNull(), F.col("w")))
-        aggs.append(F.when(valid >= min_weight, F.sum(F.col("w") * F.col(v)) / valid).alias(v))
-    return wide.groupBy("cell_id").agg(*aggs)
+        valid, total = F.lit(0.0), F.lit(0.0)
+        for a in (1, 2):
+            for b in (1, 2):
+                w, c = (F.col("x_w") if a == 2 else 1 - F.col("x_w")) * (F.col("y_w") if b == 2 else 1 - F.col("y_w")), F.col(f"{v}__{a}{b}")
+                valid, total = valid + F.when(c.isNotNull(), w).otherwise(0.0), total + F.coalesce(w * c, F.lit(0.0))
+        out.append(F.when(valid >= min_weight, total / valid).alias(v))
+    return at.select("cell_id", *out)
 
 
 def layers(spans: list[tuple[float, float]]) -> list[list[int]]:

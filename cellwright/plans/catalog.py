@@ -22,8 +22,10 @@ LON = "((l_orderkey * 7919 + l_linenumber * 104729) % 360000) / 1000e0 - 180e0 +
 LAT = "((l_partkey * 15013 + l_suppkey * 31) % 170000) / 1000e0 - 85e0 + 0.000321e0"
 KEYS = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 POINTS = f"(select {KEYS}, {LON} as lon, {LAT} as lat, l_extendedprice as price, cast(l_quantity as int) as class, l_discount as discount from lineitem)"
-#: A whole level-5 sphere where there are enough orders; every eleventh value is missing.
-LEVEL5 = "(select o_orderkey as cell_id, case when o_orderkey % 11 = 0 then null else o_totalprice end as price, cast(floor(o_totalprice) as bigint) % 5 as class, cast(o_custkey % 128 as int) as flags from orders where o_orderkey < 12288)"
+#: The cells of LEVEL are numbered by the order keys, all of them (it has 201 million); orders
+#: without a stated priority have no price. Prices are whole, so that sums are exact in any order.
+LEVEL = 12
+CELLS = "(select o_orderkey as cell_id, case when o_orderpriority <> '4-NOT SPECIFIED' then cast(floor(o_totalprice) as double) end as price, cast(floor(o_totalprice) as bigint) % 5 as class, cast(o_custkey % 128 as int) as flags from orders)"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,10 +36,9 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", f"{LON} as lon", f"{LAT} as lat", "l_extendedprice as price", "cast(l_quantity as int) as class", "l_discount as discount")
 
 
-def level5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The level-5 cells, with missing values as NaN, as a store would hold them."""
-    orders = read(spark, sf_dir, "orders").filter("o_orderkey < 12288")
-    return orders.selectExpr("o_orderkey as cell_id", "case when o_orderkey % 11 = 0 then double('NaN') else o_totalprice end as price", "cast(floor(o_totalprice) as bigint) % 5 as class", "cast(o_custkey % 128 as int) as flags")
+def order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CELLS, with missing values as NaN, as a store would hold them."""
+    return read(spark, sf_dir, "orders").selectExpr("o_orderkey as cell_id", "case when o_orderpriority <> '4-NOT SPECIFIED' then cast(floor(o_totalprice) as double) else double('NaN') end as price", "cast(floor(o_totalprice) as bigint) % 5 as class", "cast(o_custkey % 128 as int) as flags")
 
 
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,50 +72,50 @@ def cell_assign_wgs84(spark, sf_dir):
     return C.with_cell(points(spark, sf_dir), 8, C.WGS84).selectExpr(*KEYS.split(", "), "lon", "lat", "cell_id")
 
 
-@query(f"select cell_id, round(lon, 8) as lon, round(lat, 8) as lat from {C.steps_sql(LEVEL5, C.center_steps('cell_id', 5), ['lon', 'lat'])} p")
+@query(f"select cell_id, round(lon, 8) as lon, round(lat, 8) as lat from {C.steps_sql(CELLS, C.center_steps('cell_id', LEVEL), ['lon', 'lat'])} p")
 def cell_center(spark, sf_dir):
-    return C.with_center(level5(spark, sf_dir), 5).select("cell_id", F.round("lon", 8).alias("lon"), F.round("lat", 8).alias("lat"))
+    return C.with_center(order_cells(spark, sf_dir), LEVEL).select("cell_id", F.round("lon", 8).alias("lon"), F.round("lat", 8).alias("lat"))
 
 
-@query(f"select cell_id, round(lon, 8) as lon, round(lat, 8) as lat from {C.steps_sql(LEVEL5, C.center_steps('cell_id', 5, C.WGS84), ['lon', 'lat'])} p")
+@query(f"select cell_id, round(lon, 8) as lon, round(lat, 8) as lat from {C.steps_sql(CELLS, C.center_steps('cell_id', LEVEL, C.WGS84), ['lon', 'lat'])} p")
 def cell_center_wgs84(spark, sf_dir):
-    return C.with_center(level5(spark, sf_dir), 5, C.WGS84).select("cell_id", F.round("lon", 8).alias("lon"), F.round("lat", 8).alias("lat"))
+    return C.with_center(order_cells(spark, sf_dir), LEVEL, C.WGS84).select("cell_id", F.round("lon", 8).alias("lon"), F.round("lat", 8).alias("lat"))
 
 
 _V = [f"{c}{k}" for k in range(4) for c in ("lon", "lat")]
 
 
-@query(f"select cell_id, {', '.join(f'round({v}, 8) as {v}' for v in _V)} from {C.steps_sql(LEVEL5, C.vertex_steps('cell_id', 5), _V)} p")
+@query(f"select cell_id, {', '.join(f'round({v}, 8) as {v}' for v in _V)} from {C.steps_sql(CELLS, C.vertex_steps('cell_id', LEVEL), _V)} p")
 def cell_vertices(spark, sf_dir):
-    return C.with_vertices(level5(spark, sf_dir), 5).select("cell_id", *[F.round(v, 8).alias(v) for v in _V])
+    return C.with_vertices(order_cells(spark, sf_dir), LEVEL).select("cell_id", *[F.round(v, 8).alias(v) for v in _V])
 
 
-@query(f"select cell_id, unnest(range(cell_id * 16, cell_id * 16 + 16)) as child_id from {LEVEL5} p")
+@query(f"select cell_id, unnest(range(cell_id * 16, cell_id * 16 + 16)) as child_id from {CELLS} p")
 def cell_children(spark, sf_dir):
-    return C.children(level5(spark, sf_dir).select("cell_id"), 2)
+    return C.children(order_cells(spark, sf_dir).select("cell_id"), 2)
 
 
-@query(f"select cell_id, cell_id >> 4 as parent_id from {LEVEL5} p")
+@query(f"select cell_id, cell_id >> 4 as parent_id from {CELLS} p")
 def cell_parent(spark, sf_dir):
-    return level5(spark, sf_dir).selectExpr("cell_id", f"{C.parent('cell_id', 2)} as parent_id")
+    return order_cells(spark, sf_dir).selectExpr("cell_id", f"{C.parent('cell_id', 2)} as parent_id")
 
 
 _N = [f"n{k}" for k in range(8)]
 
 
-@query(f"select cell_id, unnest([{', '.join(_N)}]) as neighbour_id, unnest(range(8)) as direction from {C.steps_sql(LEVEL5, C.neighbour_steps('cell_id', 5), _N)} p")
+@query(f"select cell_id, unnest([{', '.join(_N)}]) as neighbour_id, unnest(range(8)) as direction from {C.steps_sql(CELLS, C.neighbour_steps('cell_id', LEVEL), _N)} p")
 def cell_neighbours(spark, sf_dir):
-    return C.with_neighbours(level5(spark, sf_dir), 5).select("cell_id", F.posexplode("neighbours").alias("direction", "neighbour_id")).selectExpr("cell_id", "neighbour_id", "cast(direction as bigint) as direction")
+    return C.with_neighbours(order_cells(spark, sf_dir), LEVEL).select("cell_id", F.posexplode("neighbours").alias("direction", "neighbour_id")).selectExpr("cell_id", "neighbour_id", "cast(direction as bigint) as direction")
 
 
-@query(f"select cell_id, ring_id from {C.steps_sql(LEVEL5, C.ring_steps('cell_id', 5), ['ring_id'])} p")
+@query(f"select cell_id, ring_id from {C.steps_sql(CELLS, C.ring_steps('cell_id', LEVEL), ['ring_id'])} p")
 def cell_ring_ids(spark, sf_dir):
-    return C.with_ring_id(level5(spark, sf_dir), 5).select("cell_id", "ring_id")
+    return C.with_ring_id(order_cells(spark, sf_dir), LEVEL).select("cell_id", "ring_id")
 
 
-@query(f"select cell_id, (2 * cell_id + 1) << 48 as zuniq, 5 as level from {LEVEL5} p")
+@query(f"select cell_id, (2 * cell_id + 1) << {58 - 2 * LEVEL} as zuniq, {LEVEL} as level from {CELLS} p")
 def cell_zuniq(spark, sf_dir):
-    return level5(spark, sf_dir).selectExpr("cell_id", f"{C.zuniq('cell_id', 5)} as zuniq").selectExpr("cell_id", "zuniq", f"{C.zuniq_level('zuniq')} as level")
+    return order_cells(spark, sf_dir).selectExpr("cell_id", f"{C.zuniq('cell_id', LEVEL)} as zuniq").selectExpr("cell_id", "zuniq", f"{C.zuniq_level('zuniq')} as level")
 
 
 _NEAR = "(select unnest([cell_id, " + ", ".join(_N) + "]) as cell_id from " + C.steps_sql("(select cast(unnest(range(96, 100)) as bigint) as cell_id)", C.neighbour_steps("cell_id", 3), _N) + " p)"
@@ -158,78 +159,91 @@ def bin_mean_filled_in_order(spark, sf_dir):
 
 def _pyramid(name: str, how: str, variable: str, sql: str):
     def f(spark, sf_dir):
-        out = pyramid.coarsen(level5(spark, sf_dir).select("cell_id", variable), 5, 3, how)
-        return out.withColumn(variable, F.round(variable, 4)) if how in ("mean", "sum") else out
+        return pyramid.coarsen(order_cells(spark, sf_dir).select("cell_id", variable), LEVEL, LEVEL - 2, how)
 
     f.__name__ = name
-    query(f"select cell_id >> 4 as cell_id, {sql} as {variable} from {LEVEL5} p group by 1")(f)
+    query(f"select cell_id >> 4 as cell_id, {sql} as {variable} from {CELLS} p group by 1")(f)
 
 
-_pyramid("pyramid_mean", "mean", "price", "round(avg(price), 4)")
+_pyramid("pyramid_mean", "mean", "price", "avg(price)")
 _pyramid("pyramid_min", "min", "price", "min(price)")
 _pyramid("pyramid_max", "max", "price", "max(price)")
-_pyramid("pyramid_sum", "sum", "price", "round(coalesce(sum(price), 0), 4)")
+_pyramid("pyramid_sum", "sum", "price", "coalesce(sum(price), 0)")
 _pyramid("pyramid_bitor", "bitwise_or", "flags", "bit_or(flags)")
 
 
-@query(f"select cell_id, class from (select cell_id >> 4 as cell_id, class, row_number() over (partition by cell_id >> 4 order by count(*) desc, class) as turn from {LEVEL5} p group by 1, 2) where turn = 1")
+@query(f"select cell_id, class from (select cell_id >> 4 as cell_id, class, row_number() over (partition by cell_id >> 4 order by count(*) desc, class) as turn from {CELLS} p group by 1, 2) where turn = 1")
 def pyramid_mode(spark, sf_dir):
-    return pyramid.coarsen(level5(spark, sf_dir).select("cell_id", "class"), 5, 3, "mode")
+    return pyramid.coarsen(order_cells(spark, sf_dir).select("cell_id", "class"), LEVEL, LEVEL - 2, "mode")
 
 
-@query(" union all ".join(f"select {l} as level, cell_id >> {2 * (5 - l)} as cell_id, round(avg(price), 4) as price from {LEVEL5} p group by 2" for l in (4, 3, 1)))
+@query(" union all ".join(f"select {l} as level, cell_id >> {2 * (LEVEL - l)} as cell_id, avg(price) as price from {CELLS} p group by 2" for l in (11, 10, 8)))
 def pyramid_mean_rollup(spark, sf_dir):
-    levels = pyramid.mean_levels(level5(spark, sf_dir).select("cell_id", "price"), 5, (4, 3, 1), ["price"])
+    levels = pyramid.mean_levels(order_cells(spark, sf_dir).select("cell_id", "price"), LEVEL, (11, 10, 8), ["price"])
     out = None
     for l, df in levels.items():
-        one = df.select(F.lit(l).alias("level"), "cell_id", F.round("price", 4).alias("price"))
+        one = df.select(F.lit(l).alias("level"), "cell_id", "price")
         out = one if out is None else out.unionByName(one)
     return out
 
 
-@query(" union all ".join(f"select {l} as level, cell_id >> {2 * (5 - l)} as cell_id, round(avg(price), 4) as price, max(class) as class from {LEVEL5} p group by 2" for l in (4, 3, 2)))
+@query(" union all ".join(f"select {l} as level, cell_id >> {2 * (LEVEL - l)} as cell_id, avg(price) as price, max(class) as class from {CELLS} p group by 2" for l in (11, 10, 9)))
 def pyramid_grouping_sets(spark, sf_dir):
-    out = pyramid.all_levels(level5(spark, sf_dir), 5, (4, 3, 2), {"price": "mean", "class": "max"})
-    return out.withColumn("price", F.round("price", 4))
+    return pyramid.all_levels(order_cells(spark, sf_dir), LEVEL, (11, 10, 9), {"price": "mean", "class": "max"})
 
 
-@query(f"select cell_id >> 2 as cell_id, cast(round_even(avg(cast(flags as double)), 0) as smallint) as flags from {LEVEL5} p group by 1")
+@query(f"select cell_id >> 2 as cell_id, cast(round_even(avg(cast(flags as double)), 0) as smallint) as flags from {CELLS} p group by 1")
 def pyramid_int_round(spark, sf_dir):
-    out = pyramid.coarsen(level5(spark, sf_dir).select("cell_id", "flags"), 5, 4, "mean")
+    out = pyramid.coarsen(order_cells(spark, sf_dir).select("cell_id", "flags"), LEVEL, LEVEL - 1, "mean")
     return out.select("cell_id", pyramid.restore(F.col("flags"), T.ShortType(), 255).alias("flags"))
 
 
-@query("select * from (values ('a', 1, 2, 3), ('a', 2, 3, 3), ('b', 1, 2, 2), ('c', 2, 3, 3)) t(variable, target, nearest, finest)")
+#: Native levels of variables: for each priority the numbers of digits that its prices have.
+_NATIVE = "(select distinct o_orderpriority as variable, cast(length(cast(cast(floor(o_totalprice) as bigint) as varchar(20))) as int) as level from orders)"
+
+
+def _native(spark, sf_dir) -> DataFrame:
+    return read(spark, sf_dir, "orders").selectExpr("o_orderpriority as variable", "cast(length(cast(cast(floor(o_totalprice) as bigint) as string)) as int) as level").distinct()
+
+
+@query(f"select variable, cast(t.l as int) as level, min(n.level) as nearest, max(n.level) as finest from {_NATIVE} n join range(2, 6) t(l) on n.level > t.l group by 1, 2")
 def source_levels(spark, sf_dir):
-    native = {3: ["a", "c"], 2: ["a", "b"]}
-    rows = [(v, t, pyramid.source_level(native, v, t), pyramid.source_level(native, v, t, nearest=False)) for v, t in (("a", 1), ("a", 2), ("b", 1), ("c", 2))]
-    return spark.createDataFrame(rows, "variable string, target int, nearest int, finest int")
+    return metadata.source_levels(_native(spark, sf_dir), range(2, 6))
 
 
-@query("select min(l) as level from (select 5 as l union all " + " union all ".join(f"select {l} as l where (select min(n) from (select count(*) as n from orders where o_orderkey < 3072 group by o_orderkey >> {2 * (5 - l)})) = {4 ** (5 - l)}" for l in range(4, -1, -1)) + ")")
+@query("select min(l) as level from (select 12 as l union all " + " union all ".join(f"select {l} as l where (select min(n) from (select count(*) as n from orders group by o_orderkey >> {2 * (LEVEL - l)})) = {4 ** (LEVEL - l)}" for l in range(LEVEL - 1, -1, -1)) + ")")
 def coarsest_whole_level(spark, sf_dir):
-    cells = read(spark, sf_dir, "orders").filter("o_orderkey < 3072").selectExpr("o_orderkey as cell_id")
-    return spark.createDataFrame([(pyramid.coarsest_whole_level(cells, 5),)], "level int")
+    cells = read(spark, sf_dir, "orders").selectExpr("o_orderkey as cell_id")
+    return spark.createDataFrame([(pyramid.coarsest_whole_level(cells, LEVEL),)], "level int")
 
 
-@query("select * from (values (20, 11, 8), (19, 10, 8), (18, 9, 8), (17, 8, null), (16, 7, null), (14, 7, null)) t(level, chunk, shard)")
+#: A conversion plan for each line item: level 1 to 20, natives up to 29, chunks up to 7 levels above.
+_PLANS = ("cast(l_partkey % 20 as int) + 1 as level", "cast(l_suppkey % 9 as int) + 21 as native", "l_linenumber as above", "cast(l_quantity as int) % 4 as coarsest")
+
+
+@query(f"select l_orderkey, l_linenumber, level - above as chunk, case when 3 < greatest(level - above, coarsest) then 3 end as shard from (select l_orderkey, l_linenumber, {', '.join(_PLANS)} from lineitem) p where level - above >= coarsest union all select l_orderkey, l_linenumber, coarsest, null from (select l_orderkey, l_linenumber, {', '.join(_PLANS)} from lineitem) p where level - above < coarsest")
 def chunk_shard_layout(spark, sf_dir):
-    return spark.createDataFrame([(l, *pyramid.chunk_and_shard_levels(l, 9, 8, 7)) for l in (20, 19, 18, 17, 16, 14)], "level int, chunk int, shard int")
+    plans = read(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", *_PLANS)
+    chunk, shard = pyramid.layout_levels(F.col("level"), F.col("above"), 3, F.col("coarsest"))
+    return plans.select("l_orderkey", "l_linenumber", chunk.alias("chunk"), shard.alias("shard"))
 
 
-@query("select * from (values (19, 20, 12, 11), (13, 20, 12, 5), (8, 20, 12, 0), (4, 20, 12, 0), (18, 20, 19, 14)) t(level, native, native_chunk, chunk)")
+@query(f"select l_orderkey, l_linenumber, list_max([0, case when coarsest <= level then coarsest else 0 end, case when above > 4 then level - above else level - 4 end]) as chunk from (select l_orderkey, l_linenumber, {', '.join(_PLANS)} from lineitem) p")
 def derived_chunk_level(spark, sf_dir):
-    rows = [(l, n, c, pyramid.derived_chunk_level(l, n, c)) for l, n, c in ((19, 20, 12), (13, 20, 12), (8, 20, 12), (4, 20, 12), (18, 20, 19))]
-    return spark.createDataFrame(rows, "level int, native int, native_chunk int, chunk int")
+    plans = read(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", *_PLANS)
+    return plans.select("l_orderkey", "l_linenumber", pyramid.derived_chunk_levels(F.col("level"), F.col("native"), F.col("native") - F.col("above"), F.col("coarsest")).alias("chunk"))
 
 
 # Resampling -----------------------------------------------------------------------------------
 
 
-@query(f"select g.i as cell_id, coalesce(p.class, -1) as class from range(12288) g(i) left join (select cell_id, class from {LEVEL5} q where cell_id % 3 = 0) p on p.cell_id = g.i")
+@query(f"select g.i as cell_id, coalesce(p.class, -1) as class from range((select min(12 * (1::bigint << (2 * l))) from range(15) t(l) where 12 * (1::bigint << (2 * l)) > (select max(o_orderkey) from orders))) g(i) left join (select cell_id, class from {CELLS} q where price is not null) p on p.cell_id = g.i")
 def dense_grid_fill(spark, sf_dir):
-    some = level5(spark, sf_dir).filter("cell_id % 3 = 0").select("cell_id", "class")
-    return resample.dense(some, C.whole_sphere(spark, 5), {"class": -1})
+    """The coarsest level that holds all orders, whole; cells without a price have no class."""
+    cells = pyramid.nan_to_null(order_cells(spark, sf_dir), "price")
+    last = cells.agg(F.max("cell_id")).first()[0]
+    level = next(l for l in range(C.MAX_LEVEL) if 12 * 4**l > last)
+    return resample.dense(cells.filter("price is not null").select("cell_id", "class"), C.whole_sphere(spark, level), {"class": -1})
 
 
 @query(f"select cell_id, arg_min(balance, point_idx) as balance, arg_min(nation, point_idx) as nation from {C.steps_sql(SITES, C.cell_steps('lon', 'lat', 29), ['cell_id'])} p group by 1")
@@ -260,24 +274,34 @@ def knn_inverse_distance(spark, sf_dir):
     return out.select("cell_id", F.round("balance", 3).alias("balance"))
 
 
-@query("select cell_id, round(100 + 3 * lon - 2 * lat, 6) as height from " + C.steps_sql("(select unnest(range(3072)) as cell_id)", C.center_steps("cell_id", 4), ["lon", "lat"]) + " q where lon between -60 and 60 and lat between -40 and 40")
+#: A tile of 241 x 241 nodes around one level-8 cell, whose heights are mean prices of line items; some nodes have none.
+_TILE, _SIDE, _STEP, _WEST, _NORTH = 300_000, 241, 1 / 512, -12.1875, -1.40625
+_NODES = f"(select cast(l_partkey % {_SIDE} as int) as i, cast((l_suppkey * 7 + l_linenumber * 31 + l_orderkey) % {_SIDE} as int) as j, cast(floor(cast(sum(cast(round(l_extendedprice) as bigint)) as double) / count(*)) as float) as height from lineitem group by 1, 2)"
+_AT = f"(select cell_id, (lon - ({_WEST}e0)) / {_STEP}e0 as x, (({_NORTH}e0) - lat) / {_STEP}e0 as y from {C.steps_sql(f'(select unnest(range({_TILE * 4**10}::bigint, {(_TILE + 1) * 4**10}::bigint)) as cell_id)', C.center_steps('cell_id', 18), ['lon', 'lat'])} q)"
+_CORNERS = " union all ".join(f"select cell_id, cast(floor(x) as int) + {a} as i, cast(floor(y) as int) + {b} as j, {'x - floor(x)' if a else '1 - (x - floor(x))'} as wx, {'y - floor(y)' if b else '1 - (y - floor(y))'} as wy from placed" for a in (0, 1) for b in (0, 1))
+
+
+@query(f"with placed as {_AT}, c as ({_CORNERS}) select cell_id, case when sum(case when height is not null then wx * wy end) >= 0.5 then round(sum(wx * wy * height) / sum(case when height is not null then wx * wy end), 3) end as height from c left join {_NODES} n on n.i = c.i and n.j = c.j group by 1")
 def grid_bilinear(spark, sf_dir):
-    lon, lat = spark.range(121).selectExpr("cast(id as int) as i", "id - 60e0 as lon"), spark.range(81).selectExpr("cast(id as int) as j", "40e0 - id as lat")
-    nodes = lon.join(lat).selectExpr("i", "j", "100 + 3 * lon - 2 * lat as height")
-    out = resample.grid_bilinear(nodes, lon, lat, C.whole_sphere(spark, 4), 4, ["height"])
-    return out.select("cell_id", F.round("height", 6).alias("height"))
+    """One level-8 cell at level 18, 4^10 cells, from a tile of nodes."""
+    lon, lat = spark.range(_SIDE).selectExpr("cast(id as int) as i", f"{_WEST}e0 + id * {_STEP}e0 as lon"), spark.range(_SIDE).selectExpr("cast(id as int) as j", f"{_NORTH}e0 - id * {_STEP}e0 as lat")
+    nodes = read(spark, sf_dir, "lineitem").selectExpr(f"cast(l_partkey % {_SIDE} as int) as i", f"cast((l_suppkey * 7 + l_linenumber * 31 + l_orderkey) % {_SIDE} as int) as j", "l_extendedprice")
+    nodes = nodes.groupBy("i", "j").agg(F.expr("cast(floor(cast(sum(cast(round(l_extendedprice) as bigint)) as double) / count(1)) as float)").alias("height"))
+    cells = spark.range(_TILE * 4**10, (_TILE + 1) * 4**10).withColumnRenamed("id", "cell_id")
+    out = resample.grid_bilinear(nodes, lon, lat, cells, 18, ["height"])
+    return out.select("cell_id", F.round("height", 3).alias("height"))
 
 
-@query(f"select cell_id, round(avg(v), 4) as v from (select cell_id, price as v from {LEVEL5} p union all select cell_id, case when cell_id % 2 = 0 then class * 1e0 end as v from {LEVEL5} q) group by 1")
+@query(f"select cell_id, avg(v) as v from (select cell_id, price as v from {CELLS} p union all select cell_id, case when cell_id % 2 = 0 then class * 1e0 end as v from {CELLS} q) group by 1")
 def layer_mean(spark, sf_dir):
-    a = level5(spark, sf_dir)
+    a = order_cells(spark, sf_dir)
     out = resample.layer_mean([a.selectExpr("cell_id", "price as v"), a.selectExpr("cell_id", "case when cell_id % 2 = 0 then class * 1e0 end as v")], ["v"])
-    return out.select("cell_id", F.round("v", 4).alias("v"))
+    return out.select("cell_id", "v")
 
 
-@query(f"select cell_id, case when price is not null then greatest(lo, least(hi, price * 1.5e0)) end as price from {LEVEL5} p, (select min(price) as lo, max(price) as hi from {LEVEL5} q)")
+@query(f"select cell_id, case when price is not null then greatest(lo, least(hi, price * 1.5e0)) end as price from {CELLS} p, (select min(price) as lo, max(price) as hi from {CELLS} q)")
 def clip_to_source(spark, sf_dir):
-    a = level5(spark, sf_dir).select("cell_id", "price")
+    a = order_cells(spark, sf_dir).select("cell_id", "price")
     return resample.clip_to_source(pyramid.nan_to_null(a.withColumn("price", F.col("price") * 1.5)), a, "price")
 
 
@@ -286,9 +310,9 @@ def psf_resample(spark, sf_dir):
     return psf.psf(points(spark, sf_dir), 4, 1, "price")
 
 
-@query("select * from (values ('balance', false), ('price', true)) t(variable, lost)")
+@query(f"select 'balance' as variable, false as lost union all select 'price', count(price) > 0 from {CELLS} p")
 def lost_data(spark, sf_dir):
-    a = level5(spark, sf_dir).selectExpr("price", "price as balance")
+    a = order_cells(spark, sf_dir).selectExpr("price", "price as balance")
     lost = resample.lost_variables(a, a.selectExpr("double('NaN') as price", "balance"), ["price", "balance"])
     return spark.createDataFrame([(v, v in lost) for v in ("balance", "price")], "variable string, lost boolean")
 
@@ -420,19 +444,26 @@ def name_match(spark, sf_dir):
     return read(spark, sf_dir, "nation").select("n_nationkey", "n_name", text.full_match(F.col("n_name"), [".*A", "NATION_1.*"]).alias("hit"))
 
 
-@query("select * from (values ('3/a', null, null), ('2/b', null, null), ('1/a', '3/a', 4e0), ('1/b', '2/b', 2e0)) t(asset, derived_from, scale)")
+_DERIVED = f"(select variable, cast(t.l as int) as level, min(n.level) as source from {_NATIVE} n join range(1, 4) t(l) on n.level > t.l group by 1, 2)"
+
+
+@query(f"select level || '/' || variable as asset, cast(null as varchar) as derived_from, cast(null as double) as scale from {_NATIVE} n where level not in (select level from {_DERIVED} d) union all select level || '/' || variable, source || '/' || variable, cast(1 << (source - level) as double) from {_DERIVED} d")
 def layout_items(spark, sf_dir):
-    layout = metadata.multiscales({3: ["a"], 2: ["b"]}, {1: {"a": 3, "b": 2}}, method="mean")["layout"]
-    return spark.createDataFrame([(x["asset"], x.get("derived_from"), x["transform"]["scale"][0] if "transform" in x else None) for x in layout], "asset string, derived_from string, scale double")
+    native = _native(spark, sf_dir)
+    derived = metadata.source_levels(native, range(1, 4)).select("variable", "level", F.col("nearest").alias("source"))
+    return metadata.layout(native, derived, "array").select("asset", "derived_from", "scale")
 
 
-@query("select list_sort(list_distinct(list(distinct event_type))) as any_of, list_sort(list_intersect(list(distinct case when user_id % 2 = 0 then event_type end) filter (user_id % 2 = 0), list(distinct case when user_id % 2 = 1 then event_type end) filter (user_id % 2 = 1))) as all_of from events")
+_USERS = "(select user_id, list_sort(list(distinct event_type)) as xs from events group by 1)"
+
+
+@query(f"select w, (select list_sort(list(distinct x)) from (select unnest(xs) as x, user_id // 8 as g from {_USERS} u) where g = w) as any_of, (select list_sort(list(x)) from (select x, count(*) as n from (select unnest(xs) as x, user_id // 8 as g from {_USERS} u) where g = w group by 1) where n = (select count(*) from {_USERS} v where user_id // 8 = w)) as all_of from (select distinct user_id // 8 as w from events) q")
 def merged_lists(spark, sf_dir):
-    e = read(spark, sf_dir, "events")
-    by = e.groupBy((F.col("user_id") % 2).alias("side")).agg(F.sort_array(F.collect_set("event_type")).alias("xs")).orderBy("side").collect()
-    lists = [r["xs"] for r in by]
-    row = (sorted(metadata.merge_list(lists, "join_outer")), sorted(metadata.merge_list(lists, "join_inner")))
-    return spark.createDataFrame([row], "any_of array<string>, all_of array<string>")
+    """Union and intersection of the event types of eight users at a time."""
+    users = read(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("xs"))
+    lists = users.groupBy(F.floor(F.col("user_id") / 8).alias("w")).agg(F.collect_list("xs").alias("lists"))
+    sort = lambda how: F.sort_array(metadata.merged(F.col("lists"), how))
+    return lists.select("w", sort("join_outer").alias("any_of"), F.nullif(sort("join_inner"), F.array().cast("array<string>")).alias("all_of"))
 
 
 _ITEMS = ", ".join(f"('{g}', '{v}', '{p}', '{u}', '{n}')" for g, vs in products.GROUPS.items() for v, (p, u, n) in vs.items())
@@ -452,7 +483,7 @@ def cell_windows_batch(spark, sf_dir):
     return out.select("cell_id", "window_start", "n", F.round("total", 2).alias("total"))
 
 
-@query(f"select chunk_id, cell_id, price from (select cell_id >> 6 as chunk_id, cell_id, price from {LEVEL5} p where price is not null) where chunk_id in (3, 40)")
+@query(f"select chunk_id, cell_id, price from (select cell_id >> 8 as chunk_id, cell_id, price from {CELLS} p where price is not null) where chunk_id in (1, 3)")
 def chunk_pruning(spark, sf_dir):
     from ..sources.shared import shared_dir
     from ..sources.sinks import read_cells, write_cells
@@ -460,10 +491,10 @@ def chunk_pruning(spark, sf_dir):
     import uuid
 
     path = f"{shared_dir(spark)}/cells-{uuid.uuid4().hex}"
-    write_cells(pyramid.nan_to_null(level5(spark, sf_dir).select("cell_id", "price")).filter("price is not null"), path, 5, 2)
-    return read_cells(spark, path, [3, 40]).selectExpr("cast(chunk_id as bigint) as chunk_id", "cell_id", "price")
+    write_cells(pyramid.nan_to_null(order_cells(spark, sf_dir).select("cell_id", "price")).filter("price is not null"), path, LEVEL, LEVEL - 4)
+    return read_cells(spark, path, [1, 3]).selectExpr("cast(chunk_id as bigint) as chunk_id", "cell_id", "price")
 
 
-@query(f"select cell_id, price from {LEVEL5} p where (cell_id >> 4) = 77")
+@query(f"select cell_id, price from {CELLS} p where (cell_id >> 4) = 77")
 def parent_range(spark, sf_dir):
-    return C.where_parent(pyramid.nan_to_null(level5(spark, sf_dir).select("cell_id", "price")), 77, 2)
+    return C.where_parent(pyramid.nan_to_null(order_cells(spark, sf_dir).select("cell_id", "price")), 77, 2)

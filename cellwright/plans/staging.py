@@ -148,8 +148,10 @@ def prepare(spark: SparkSession, p: Plan, output: str, dry_run: bool = False) ->
         grid = p.settings.for_group(g).grid
         documents[g] = {"dggs": metadata.grid_attributes(grid), "grid_mapping": metadata.cf_grid_mapping(grid)}
     for path, pyr in p.settings.pyramids.items():
-        native = {l: [] for l in p.settings.native(path)}
-        documents.setdefault(path, {})["multiscales"] = metadata.multiscales(native, {l: {"*": pyramid.source_level({n: ["*"] for n in native}, "*", l, pyr.source == "nearest")} for l in pyr.levels}, pyr.reduce if isinstance(pyr.reduce, str) else None, "group" if pyr.asset_type == "auto" else pyr.asset_type)
+        native = spark.createDataFrame([("*", l) for l in p.settings.native(path)], "variable string, level int")
+        derived = metadata.source_levels(native, pyr.levels).select("variable", "level", F.col("nearest" if pyr.source == "nearest" else "finest").alias("source"))
+        assets = metadata.layout(native, derived, "group" if pyr.asset_type == "auto" else pyr.asset_type)
+        documents.setdefault(path, {})["multiscales"] = json.loads(metadata.layout_document(assets, pyr.reduce if isinstance(pyr.reduce, str) else None))
     for copy in p.settings.copies:
         table = align.copy_table([grids.open_group(spark, i, copy) for i in p.inputs], list(p.settings.copy_drop))
         documents.setdefault(copy, {})

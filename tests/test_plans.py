@@ -33,28 +33,42 @@ def test_settings_round_trip_and_rules():
     assert predefined("dem-glo30").for_group("dem/glo30").grid.level == 18 and predefined("era5").for_group("measurements/oper").resampler.params["threshold"] == 0.5
 
 
-def test_layouts():
-    lay = M.multiscales({3: ["a"], 2: ["b"]}, {1: {"a": 3, "b": 2}}, "mean")["layout"]
-    assert [x["asset"] for x in lay] == ["3/a", "2/b", "1/a", "1/b"] and lay[2]["transform"]["scale"] == [4.0] and lay[3]["derived_from"] == "2/b"
-    assert [x["asset"] for x in M.multiscales({3: ["a"]}, {2: {"a": 3}})["layout"]] == ["3", "2"]
+def test_layouts(spark):
+    levels = lambda rows: spark.createDataFrame(rows, "variable string, level int")
+    derived = lambda rows: spark.createDataFrame(rows, "variable string, level int, source int")
+    native = levels([("a", 3), ("b", 2)])
+    lay = json.loads(M.layout_document(M.layout(native, derived([("a", 1, 3), ("b", 1, 2)])), "mean"))
+    assert lay["resampling_method"] == "mean" and [x["asset"] for x in lay["layout"]] == ["3/a", "2/b", "1/a", "1/b"] and lay["layout"][0] == {"asset": "3/a"}
+    assert lay["layout"][2] == {"asset": "1/a", "derived_from": "3/a", "transform": {"scale": [4.0]}, "resampling_method": "mean"} and lay["layout"][3]["derived_from"] == "2/b"
+    assert [x["asset"] for x in json.loads(M.layout_document(M.layout(levels([("a", 3)]), derived([("a", 2, 3)]))))["layout"]] == ["3", "2"]
     with pytest.raises(ValueError):
-        M.multiscales({3: ["a"], 2: ["b"]}, {1: {"a": 3, "b": 2}}, asset_type="group")
+        M.layout(native, derived([("a", 1, 3), ("b", 1, 2)]), "group")
+    both = levels([("a", 5), ("a", 3), ("b", 4)])
+    assert {tuple(r) for r in M.source_levels(both, (4, 2)).collect()} == {("a", 4, 5, 5), ("a", 2, 3, 5), ("b", 2, 4, 4)}
     assert "refinement_level" not in M.cf_grid_mapping(Grid(3, scheme="zuniq")) and M.cf_grid_mapping(Grid(3))["refinement_level"] == 3
 
 
-def test_items():
-    a = {"type": "Feature", "properties": {"x": 1, "y": 2}, "links": [{"rel": "a"}, {"rel": "b"}], "assets": {}, "id": "p", "bbox": []}
-    b = a | {"properties": {"x": 1, "y": 3}, "links": [{"rel": "b"}, {"rel": "c"}]}
-    out = M.merge_items([a, b], "s3://x/my data.zarr", (0, 1, 2, 3), {"properties": "join_inner", "links": "join_outer"})
-    assert out["id"] == "my_data" and out["properties"] == {"x": 1} and [l["rel"] for l in out["links"]] == ["a", "b", "c"]
-    assert M.merge_list([[1, 2, 2], [2]], "join_inner") == [2]
-    with pytest.raises(ValueError):
-        M.merge_items([a, b | {"type": "Other"}], "x", (0, 1, 2, 3))
-    with pytest.raises(ValueError):
-        M.merge_items([], "x", (0, 1, 2, 3))
-    assert M.filter_attributes("v", {"valid_min": 0, "a": 1, "b": 2}, {"v": ["a"]}, {".*": {"b": 3}}, {"c": 4}, packed=True) == {"b": 3, "c": 4}
+def test_items(spark):
+    a = {"type": "Feature", "properties": {"x": 1, "y": 2, 'q"\\': [None]}, "links": [{"rel": "a"}, {"rel": "b"}], "assets": {}, "id": "p", "bbox": []}
+    b = a | {"properties": {"x": 1, "y": 3, 'q"\\': [None]}, "links": [{"rel": "b"}, {"rel": "c"}]}
+    merge = lambda docs, how=None, at="s3://x/my data.zarr": json.loads(M.merge_items(M.items(spark, docs), at, (0, 1, 2, 3), how).first()["json"])
+    out = merge([a, b], {"properties": "join_inner", "links": "join_outer"})
+    assert out["id"] == "my_data" and out["bbox"] == [0, 1, 2, 3] and out["geometry"]["coordinates"][0][2] == [2, 3] and out["type"] == "Feature"
+    assert out["properties"] == {"x": 1, 'q"\\': [None]} and [l["rel"] for l in out["links"]] == ["a", "b", "c"] and out["assets"] == {}
+    assert merge([a, b], {"links": "join_inner"})["links"] == [{"rel": "b"}] and merge([b, a])["properties"]["y"] == 3
+    for how in ("pick_first", "join_inner", "join_outer"):
+        assert merge([a], dict.fromkeys(("links", "properties"), how))["links"] == a["links"]
+    for bad in ([a, b | {"type": "Other"}], []):
+        with pytest.raises(ValueError):
+            merge(bad)
+    table = spark.createDataFrame([("v", "valid_min", "0"), ("v", "a", "1"), ("v", "b", "2"), ("w", "valid_min", "0"), ("u", None, None)], "variable string, name string, value string")
+    got = {tuple(r) for r in M.attributes(table, {"v": ["a"]}, {".*": {"b": "3"}, "w": {"b": "5"}}, {"c": "4"}, packed=["v"]).collect()}
+    assert got == {("v", "b", "3"), ("v", "c", "4"), ("w", "valid_min", "0"), ("w", "b", "5"), ("w", "c", "4"), ("u", "b", "3"), ("u", "c", "4")}
     assert M.same({"a": [float("nan")]}, {"a": [float("nan")]}) and not M.same({"a": 1}, {"a": 1.0})
-    assert M.filter_list([{"rel": "self"}, {"rel": "x"}], ["self"], key=lambda l: l["rel"]) == [{"rel": "x"}]
+    row = spark.range(1).select(
+        M.edited(M.F.array(M.F.lit('{"rel":"self"}'), M.F.lit('{"rel":"x"}')), "rel", ["self"], ['{"rel":"y"}']).alias("l"), M.without(M.F.create_map(*map(M.F.lit, ("ab", "1", "c", "2"))), ["a."], {"c": "3"}).alias("m")
+    ).first()
+    assert row["l"] == ['{"rel":"x"}', '{"rel":"y"}'] and row["m"] == {"c": "3"}
 
 
 def test_consolidation(spark):

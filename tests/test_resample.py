@@ -152,3 +152,38 @@ def test_psf_solves_each_chunk_as_dense_least_squares_does():
     got = Q._solve(i, j, (full.T @ full)[i, j], full.T @ d, full.sum(axis=0), 12, 0.1, 200, 1e-12)
     want = np.linalg.solve(full.T @ full + 0.1 * np.eye(12), full.T @ (d - d.mean())) + d.mean()
     assert np.allclose(got, want, atol=1e-8)
+
+
+@pytest.mark.parametrize("ellipsoid", [C.SPHERE, C.WGS84])
+@pytest.mark.parametrize("level", [0, 1, 3, 17])
+def test_cells_in_numpy_are_those_of_the_columns(spark, level, ellipsoid):
+    first = 0 if level < 5 else 7 * 4**level // 3
+    ids = spark.range(first, first + min(2000, 12 * 4**level)).withColumnRenamed("id", "cell_id")
+    rows = C.with_center(C.with_neighbours(ids, level), level, ellipsoid).withColumns(R.ecef("lon", "lat", ellipsoid)).toPandas()
+    cells = rows["cell_id"].to_numpy()
+    assert (Q.around(cells, level)[:, 1:] == np.stack(rows["neighbours"])).all()
+    assert np.abs(Q.centres(cells, level, ellipsoid) - rows[["x", "y", "z"]].to_numpy()).max() < 1e-3
+
+
+def test_psf_is_the_least_squares_solution(spark):
+    """Normal equations of a small case, written down point by point for each chunk and solved densely."""
+    level, lam = 2, 1e-2
+    pts = spark.range(900).selectExpr("(id * 7919 % 3600) / 10e0 - 180 as lon", "degrees(asin((id * 151 % 900) / 450e0 - 0.999)) as lat", "cast(cast(sin(id) as float) as double) as d")
+    rows = C.with_cell(pts, level).toPandas()
+    links = []
+    for r in rows.to_dict("records"):
+        cells = np.unique(Q.around(np.array([r["cell_id"]]), level))
+        cells = cells[cells >= 0]
+        _, used, w, _ = Q._links(np.array([r["lon"]]), np.array([r["lat"]]), cells, np.zeros(len(cells), int), level, 9, C.SPHERE)
+        links.append((r["d"], set(cells >> 4), used, w))
+        assert abs(w.sum() - 1) < 1e-12
+    got = {r["cell_id"]: r["d"] for r in Q.psf(pts, level, 0, "d", lam=lam, max_iter=2000, tol=1e-13).collect()}
+    assert len(got) == 192
+    for chunk in range(12):
+        mine = [x for x in links if chunk in x[1]]
+        a = np.zeros((len(mine), 192))
+        for k, (_, _, used, w) in enumerate(mine):
+            a[k, used] = w
+        d = np.array([x[0] for x in mine])
+        want = np.linalg.solve(a.T @ a + lam * np.eye(192), a.T @ (d - d.mean())) + d.mean()
+        assert np.abs([got[c] - want[c] for c in range(16 * chunk, 16 * chunk + 16)]).max() < 1e-6
