@@ -46,11 +46,26 @@ CHUNK = 1 << 16
 UNKNOWN = "und"
 
 
+_BETWEEN = re.compile(r"[\W\d_]+")
+
+
 @lru_cache(1)
-def _not_letters() -> re.Pattern:
-    """What stands between letters. Numbers that aren't decimal digits, such as ½, are no letters either."""
-    numbers = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
-    return re.compile(rf"[\W\d_{numbers}]+")
+def _numbers() -> tuple[re.Pattern, re.Pattern]:
+    """Numbers that aren't decimal digits, such as ½, in the basic plane and beyond: no letters, but word characters."""
+    odd = [c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha()]
+    return tuple(re.compile(f"[{''.join(c for c in odd if (c > '\uffff') == far)}]+") for far in (False, True))
+
+
+def _letters(text: str) -> str:
+    """The letters of a text in lower case, with one space for all that stands between them."""
+    text = _BETWEEN.sub(" ", text.lower())
+    if not text.isascii():
+        near, far = _numbers()  # apart, since only the first is a table to the regex engine
+        text = near.sub(" ", text)
+        if max(text) > "\uffff":
+            text = far.sub(" ", text)
+        text = " ".join(text.split())
+    return text.strip()
 
 
 def _counts(text: str) -> np.ndarray | None:
@@ -62,7 +77,7 @@ def _counts(text: str) -> np.ndarray | None:
         end = min(len(text), at + CHUNK)
         while end < len(text) and text[end].isalpha() and end < at + 2 * CHUNK:
             end += 1  # ends within a word only if the word is that long
-        letters = _not_letters().sub(" ", text[at:end].lower()).strip()
+        letters = _letters(text[at:end])
         at = end
         if not letters:
             continue
