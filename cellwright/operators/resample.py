@@ -231,15 +231,63 @@ def grid_bilinear(grid: DataFrame, lon_axis: DataFrame, lat_axis: DataFrame, tar
 
     at = bracket(bracket(centres, xs, x0, xstep, "c_lon", "x"), ys, y0, ystep, "c_lat", "y")
     at = at.join(_quads(float32(grid.select("i", "j", *variables), variables), xs, ys, variables), ["x_1", "y_1"], "left")
-    out = []
-    for v in variables:
-        valid, total = F.lit(0.0), F.lit(0.0)
-        for a in (1, 2):
-            for b in (1, 2):
-                w, c = (F.col("x_w") if a == 2 else 1 - F.col("x_w")) * (F.col("y_w") if b == 2 else 1 - F.col("y_w")), F.col(f"{v}__{a}{b}")
-                valid, total = valid + F.when(c.isNotNull(), w).otherwise(0.0), total + F.coalesce(w * c, F.lit(0.0))
-        out.append(F.when(valid >= min_weight, total / valid).alias(v))
-    return at.select("cell_id", *out)
+    return at.select("cell_id", *[_blend(v, min_weight).alias(v) for v in variables])
+
+
+def _sides(points: DataFrame, axis: str) -> DataFrame:
+    """Neighbouring values of an axis of each strip: strip, lo, hi, last, and bin, by the strip's mean step."""
+    by = W.Window.partitionBy("strip")
+    pairs = points.select("strip", F.col(axis).alias("lo")).distinct().withColumns({"hi": F.lead("lo").over(by.orderBy("lo")), "first": F.min("lo").over(by), "end": F.max("lo").over(by), "n": F.count(F.lit(1)).over(by)})
+    if axis == "lon":  # a strip round the globe is closed
+        turn = (F.col("n") > 1) & (F.col("end") - F.col("first") + 1.5 * (F.col("end") - F.col("first")) / (F.col("n") - 1) >= 360.0)
+        pairs = pairs.withColumn("hi", F.coalesce("hi", F.when(turn, F.col("first") + 360.0)))
+    pairs = pairs.filter("hi is not null").withColumns({"step": (F.col("end") - F.col("first")) / (F.col("n") - 1), "last": F.col("hi") >= F.col("end")})
+    return pairs.withColumn("bin", F.explode(F.sequence(F.floor((F.col("lo") - F.col("first")) / F.col("step")), F.floor((F.col("hi") - F.col("first")) / F.col("step")))))
+
+
+def grids_bilinear(points: DataFrame, targets: DataFrame, level: int, variables: list[str], ellipsoid: Ellipsoid = SPHERE, min_weight: float = 0.5) -> DataFrame:
+    """``grid_bilinear`` for points of any number of rectilinear inputs: input_id, lon, lat, variables.
+
+    Inputs with the same longitudes are bands of one strip, whose rows are in one order: what lies
+    between the last row of one band and the first of the next is interpolated between these.
+    Strips may overlap or lie side by side; a cell takes the mean of the strips that have a value
+    there. Everything is keyed by strip, so that the plan doesn't grow with the inputs.
+    """
+    lons = points.groupBy("input_id").agg(F.xxhash64(F.sort_array(F.collect_set("lon"))).alias("strip"))  # an axis of an input
+    nodes = float32(points, variables).join(F.broadcast(lons), "input_id").groupBy("strip", "lon", "lat").agg(*[F.avg(v).alias(v) for v in variables])  # a row an input
+    nodes = nodes.withColumns({c: F.col(c).cast("double") for c in ("lon", "lat")})
+    xs, ys = _sides(nodes, "lon"), _sides(nodes, "lat")
+    closed = lambda v: F.when(F.col("hi") > F.col("end"), F.col("first")).otherwise(v)
+    ends = lambda pairs, axis, n: pairs.select("strip", F.col("lo").alias(n), F.explode(F.array(F.struct(F.col("lo").alias(axis), F.lit(1).alias(f"{n}_side")), F.struct(closed(F.col("hi")).alias(axis), F.lit(2).alias(f"{n}_side")))).alias("e")).select("strip", n, "e.*").distinct()
+    at = nodes.join(ends(xs, "lon", "x"), ["strip", "lon"]).join(ends(ys, "lat", "y"), ["strip", "lat"])
+    corner = lambda v, a, b: F.max(F.when((F.col("x_side") == a) & (F.col("y_side") == b), F.col(v))).alias(f"{v}__{a}{b}")
+    meshes = at.groupBy("strip", "x", "y").agg(*[corner(v, a, b) for v in variables for a in (1, 2) for b in (1, 2)])
+    # Targets meet the strips that reach their degree of longitude, then one bracket on each axis.
+    turned = lambda v: F.pmod(F.floor(v), F.lit(360))
+    reach = xs.groupBy("strip").agg(F.min("lo").alias("west"), F.max("hi").alias("east"))
+    reach = reach.select("strip", "west", F.explode(F.array_distinct(F.transform(F.sequence(F.floor("west").cast("int"), F.floor("east").cast("int")), lambda d: F.pmod(d, F.lit(360)).cast("long")))).alias("degree"))
+    centres = C.with_center(targets.select("cell_id"), level, ellipsoid, lon="c_lon", lat="c_lat").withColumn("degree", turned(F.col("c_lon")))
+    placed = centres.join(reach, "degree").withColumn("c_lon", F.col("west") + F.pmod(F.col("c_lon") - F.col("west"), F.lit(360.0))).drop("degree", "west")
+
+    def bracket(df, pairs, c, n):
+        stats = pairs.select("strip", "first", "step").distinct()
+        binned = df.join(stats, "strip").withColumn("bin", F.floor((F.col(c) - F.col("first")) / F.col("step"))).drop("first", "step")
+        hit = binned.join(pairs.select("strip", "bin", "lo", "hi", "last"), ["strip", "bin"]).filter((F.col(c) >= F.col("lo")) & ((F.col(c) < F.col("hi")) | ((F.col(c) == F.col("hi")) & F.col("last"))))
+        return hit.select(*[x for x in df.columns if x != c], F.col("lo").alias(n), ((F.col(c) - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias(f"{n}_w"))
+
+    found = bracket(bracket(placed, xs, "c_lon", "x"), ys, "c_lat", "y").join(meshes, ["strip", "x", "y"])
+    out = [_blend(v, min_weight).alias(v) for v in variables]
+    return found.select("cell_id", *out).groupBy("cell_id").agg(*[F.avg(v).alias(v) for v in variables])
+
+
+def _blend(v: str, min_weight: float) -> Column:
+    """The value between a mesh's corners, if those that have one weigh at least ``min_weight``."""
+    valid, total = F.lit(0.0), F.lit(0.0)
+    for a in (1, 2):
+        for b in (1, 2):
+            w, c = (F.col("x_w") if a == 2 else 1 - F.col("x_w")) * (F.col("y_w") if b == 2 else 1 - F.col("y_w")), F.col(f"{v}__{a}{b}")
+            valid, total = valid + F.when(c.isNotNull(), w).otherwise(0.0), total + F.coalesce(w * c, F.lit(0.0))
+    return F.when(valid >= min_weight, total / valid)
 
 
 def layers(spans: list[tuple[float, float]]) -> list[list[int]]:

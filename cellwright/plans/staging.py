@@ -82,6 +82,7 @@ def resampler(name: str) -> Callable:
         "nearest": lambda pts, cells, g, vs, e: resample.nearest(pts, cells, g.grid.level, vs, e),
         "k-nearest": lambda pts, cells, g, vs, e: resample.inverse_distance(pts, cells, g.grid.level, vs, int(g.resampler.params.get("k", 4)), e, keep_type=True),
         "bilinear": lambda pts, cells, g, vs, e: resample.inverse_distance(pts, cells, g.grid.level, vs, int(g.resampler.params.get("k", 4)), e, float(g.resampler.params.get("threshold", 0.0))),
+        "grid-bilinear": lambda pts, cells, g, vs, e: resample.grids_bilinear(pts, cells, g.grid.level, vs, e, float(g.resampler.params.get("min_weight", 0.5))),
         "cell-point": lambda pts, cells, g, vs, e: resample.cell_point(pts, vs, e),
         "nn": lambda pts, cells, g, vs, e: _by_variable(lambda v: resample.fill_gaps(resample.bin_mean(pts, g.grid.level, [v], e), g.grid.level, v).join(cells, "cell_id", "left_semi"), vs),
         "psf": lambda pts, cells, g, vs, e: _by_variable(lambda v: psf.psf(pts, g.grid.level, g.chunks.level or 0, v, ellipsoid=e, **g.resampler.params).join(cells, "cell_id", "left_semi"), vs),
@@ -102,8 +103,6 @@ def convert_group(spark: SparkSession, p: Plan, group: str, chunk_indices: Itera
     """
     g = p.settings.for_group(group)
     e = C.ELLIPSOIDS[g.grid.ellipsoid]
-    if g.resampler.name == "grid-bilinear":
-        raise ValueError("grid-bilinear takes axes: call resample.grid_bilinear with them")
     pts = _points(spark, p, group, g)
     variables = [c for c in pts.columns if c not in ("input_id", "point_idx", "lon", "lat", *(x.name for x in g.extra))]
     level = g.grid.level
@@ -114,7 +113,8 @@ def convert_group(spark: SparkSession, p: Plan, group: str, chunk_indices: Itera
         frame = spark.createDataFrame([(i,) for i in ids], "cell_id long")
         if chunk_indices is not None:
             near = select.points_by_chunk(pts, g.chunks.level, g.chunks.buffer, e).join(F.broadcast(frame.withColumnRenamed("cell_id", "chunk_id")), "chunk_id", "left_semi")
-            pts = near.drop("chunk_id").distinct()
+            # A point that several chunks need comes once; observations that are alike stay apart.
+            pts = near.drop("chunk_id").dropDuplicates(["input_id", "point_idx", *(x.name for x in g.extra)])
         wanted = C.children(frame, level - g.chunks.level).select(F.col("child_id").alias("cell_id"))
     slices = pts.select(*[x.name for x in g.extra]).distinct().collect() if g.extra else [()]  # labels are few
     out = None

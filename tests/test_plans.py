@@ -148,3 +148,21 @@ def test_regrid_between_ellipsoids(spark):
     assert error(got) < 0.5 * error(plain) and error(plain) > 0.5
     with pytest.raises(NotImplementedError):
         sphere_to_ellipsoid(sphere.withColumn("depth", C.F.lit(1)), level, "v")
+
+
+def test_grid_bilinear_conversion_is_exact_on_planes(spark, tmp_path):
+    """Bands, side-by-side tiles and a tile across the antimeridian, of a plane; a tile without values."""
+    tile = lambda west, north, value="100 + 3 * lon - 2 * lat": spark.range(21 * 21).selectExpr("id as point_idx", f"{west} + (id % 21) * 0.05e0 as lon", f"{north} - (id div 21) * 0.05e0 as lat").selectExpr("*", f"cast({value} as double) as h")
+    tiles = [tile(10, 1), tile(10, -0.3), tile(11, 1), tile(179.5, 1, "100 + 3 * lon - 2 * lat"), tile(20, 1, "double('NaN')")]
+    for k, t in enumerate(tiles):
+        t.write.parquet(f"{tmp_path}/in{k}/m/8")
+    s = Settings({"m/8": Group(Grid(8, "sphere"), Chunks("dense", 3, buffer=30_000.0), Resampler("grid-bilinear"))})
+    p = G.plan([f"{tmp_path}/in{k}" for k in range(len(tiles))], s, ["m/8"], extent=(9.0, -2.0, 22.0, 2.0))
+    out = G.C.with_center(G.convert_group(spark, p, "m/8"), 8).filter("not isnan(h)")
+    rows = out.collect()
+    assert len(rows) > 50 and max(abs(r["h"] - (100 + 3 * r["lon"] - 2 * r["lat"])) for r in rows) < 1e-3
+    where = lambda w, e, s, n: sum(w < r["lon"] < e and s < r["lat"] < n for r in rows)
+    assert where(10, 11, -0.3, 0) > 0 and where(11, 12, 0, 1) > 5 and where(20, 21, 0, 1) == 0 and where(12.1, 19.9, -2, 2) == 0
+    far = G.C.with_center(G.resample.grids_bilinear(tiles[3].withColumn("input_id", G.F.lit(0)), G.C.whole_sphere(spark, 7), 7, ["h"]), 7).filter("h is not null").collect()
+    assert {r["lon"] < 0 for r in far} == {True, False} and max(abs(r["h"] - (100 + 3 * (r["lon"] % 360) - 2 * r["lat"])) for r in far) < 1e-3
+    assert G.plan([f"{tmp_path}/in0"], predefined("dem-glo30"), ["dem/glo30"]).groups == ("dem/glo30",)
