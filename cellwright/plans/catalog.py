@@ -275,7 +275,8 @@ def knn_inverse_distance(spark, sf_dir):
 
 
 #: A tile of 241 x 241 nodes around one level-8 cell, whose heights are mean prices of line items; some nodes have none.
-_TILE, _SIDE, _STEP, _WEST, _NORTH = 300_000, 241, 1 / 512, -12.1875, -1.40625
+#: Its west end is a little off the cells' longitudes, so that no value falls on a rounding tie.
+_TILE, _SIDE, _STEP, _WEST, _NORTH = 300_000, 241, 1 / 512, -12.1875 + 2**-30, -1.40625
 _NODES = f"(select cast(l_partkey % {_SIDE} as int) as i, cast((l_suppkey * 7 + l_linenumber * 31 + l_orderkey) % {_SIDE} as int) as j, cast(floor(cast(sum(cast(round(l_extendedprice) as bigint)) as double) / count(*)) as float) as height from lineitem group by 1, 2)"
 _AT = f"(select cell_id, (lon - ({_WEST}e0)) / {_STEP}e0 as x, (({_NORTH}e0) - lat) / {_STEP}e0 as y from {C.steps_sql(f'(select unnest(range({_TILE * 4**10}::bigint, {(_TILE + 1) * 4**10}::bigint)) as cell_id)', C.center_steps('cell_id', 18), ['lon', 'lat'])} q)"
 _CORNERS = " union all ".join(f"select cell_id, cast(floor(x) as int) + {a} as i, cast(floor(y) as int) + {b} as j, {'x - floor(x)' if a else '1 - (x - floor(x))'} as wx, {'y - floor(y)' if b else '1 - (y - floor(y))'} as wy from placed" for a in (0, 1) for b in (0, 1))
