@@ -134,12 +134,13 @@ def _split_steps(cell: str, level: int) -> Steps:
     return [{"q_f": f"(({cell}) >> {2 * level})", "q_i": f"(({cell}) & {(1 << 2 * level) - 1})", "q_j": f"((({cell}) & {(1 << 2 * level) - 1}) >> 1)"}, *_pack_steps(["q_i", "q_j"])]
 
 
-def _place_steps(level: int, di: float, dj: float, ellipsoid: Ellipsoid, lon: str, lat: str) -> Steps:
-    """Degrees of the place (i + di, j + dj) on a face."""
+def _place_steps(level: int, di: float | str, dj: float | str, ellipsoid: Ellipsoid, lon: str, lat: str) -> Steps:
+    """Degrees of the place (i + di, j + dj) on a face; di and dj are numbers or SQL."""
     ns = float(1 << level)
+    di, dj = (d if isinstance(d, str) else f"{d!r}e0" for d in (di, dj))
     e2 = ellipsoid.e2
     steps: Steps = [
-        {"q_x": f"(q_i + {di!r}e0) / {ns!r}e0", "q_y": f"(q_j + {dj!r}e0) / {ns!r}e0"},
+        {"q_x": f"(q_i + {di}) / {ns!r}e0", "q_y": f"(q_j + {dj}) / {ns!r}e0"},
         {"q_r": f"{_lookup(RING_OF_FACE, 'q_f')} - q_x - q_y"},
         {"q_n": "case when q_r < 1e0 then q_r when q_r > 3e0 then 4e0 - q_r else 1e0 end"},
         {
@@ -179,6 +180,16 @@ def vertex_steps(cell: str, level: int, ellipsoid: Ellipsoid = SPHERE) -> Steps:
     return out
 
 
+def edge_steps(cell: str, level: int, corner: str, step: int, ellipsoid: Ellipsoid = SPHERE, lon: str = "lon", lat: str = "lat") -> Steps:
+    """The place number ``corner`` of 4 ``step`` along a cell's edge, from south by east, north and west."""
+    part = f"({corner} % {step}) * 1e0 / {step}e0"
+    return [
+        {"q_t": part, "q_e": f"cast(floor({corner} * 1e0 / {step}e0) as int)"},
+        {"q_di": "case q_e when 0 then q_t when 1 then 1e0 when 2 then 1e0 - q_t else 0e0 end", "q_dj": "case q_e when 0 then 0e0 when 1 then q_t when 2 then 1e0 else 1e0 - q_t end"},
+        *_split_steps(cell, check_level(level)), *_place_steps(level, "q_di", "q_dj", ellipsoid, lon, lat),
+    ]
+
+
 def neighbour_steps(cell: str, level: int, out: str = "n") -> Steps:
     """Columns n0 to n7 (south-west, then clockwise to south): the neighbours, -1 where none is."""
     ns = 1 << check_level(level)
@@ -262,6 +273,12 @@ def with_vertices(df: DataFrame, level: int, ellipsoid: Ellipsoid = SPHERE, cell
     return add_steps(df, vertex_steps(cell, level, ellipsoid), [f"{c}{k}" for k in range(4) for c in ("lon", "lat")])
 
 
+def with_edge(df: DataFrame, level: int, step: int = 1, ellipsoid: Ellipsoid = SPHERE, cell: str = "cell_id") -> DataFrame:
+    """A row for each of 4 ``step`` places along the cell's edge: corner, lon, lat."""
+    places = df.withColumn("corner", F.explode(F.sequence(F.lit(0), F.lit(4 * step - 1))))
+    return add_steps(places, edge_steps(cell, level, "corner", step, ellipsoid), ["lon", "lat"])
+
+
 def with_ring_id(df: DataFrame, level: int, cell: str = "cell_id", out: str = "ring_id") -> DataFrame:
     return add_steps(df, ring_steps(cell, level, out), [out])
 

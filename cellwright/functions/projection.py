@@ -1,7 +1,7 @@
-"""Projected coordinates: affine pixel positions and the inverse transverse Mercator projection.
+"""Projected coordinates: affine pixel positions and the transverse Mercator projection both ways.
 
-The inverse is Krueger's series of order six, as column expressions; the coefficients are those
-of Karney (2011), computed from the ellipsoid.
+It is Krueger's series of order six, as column expressions; the coefficients are those of Karney
+(2011), computed from the ellipsoid.
 """
 
 from __future__ import annotations
@@ -78,6 +78,48 @@ def utm_steps(epsg: int, x: str = "x", y: str = "y", lon: str = "lon", lat: str
     return [*steps, {lat: "degrees(atan(t_t))"}]
 
 
+def krueger_forward(n: float) -> list[float]:
+    """The six coefficients of the forward series, of the third flattening."""
+    return [
+        n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180 - 127 * n**5 / 288 + 7891 * n**6 / 37800,
+        13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440 + 281 * n**5 / 630 - 1983433 * n**6 / 1935360,
+        61 * n**3 / 240 - 103 * n**4 / 140 + 15061 * n**5 / 26880 + 167603 * n**6 / 181440,
+        49561 * n**4 / 161280 - 179 * n**5 / 168 + 6601661 * n**6 / 7257600,
+        34729 * n**5 / 80640 - 3418889 * n**6 / 1995840,
+        212378941 * n**6 / 319334400,
+    ]
+
+
+#: Degrees from a zone's meridian beyond which the series is not used: such places have no x and y.
+REACH = 80.0
+
+
+def utm_forward_steps(epsg: int, lon: str = "lon", lat: str = "lat", x: str = "x", y: str = "y", ellipsoid: Ellipsoid = WGS84) -> list[dict[str, str]]:
+    """Degrees to easting and northing, as steps; null beyond REACH."""
+    zone, south = utm_zone(epsg)
+    f = 1 / ellipsoid.inverse_flattening
+    radius, _ = krueger(ellipsoid)
+    alpha = krueger_forward(f / (2 - f))
+    k, e = SCALE * ellipsoid.a * radius, math.sqrt(ellipsoid.e2)
+    turned = f"({lon}) - ({6.0 * zone - 183.0!r}e0) + 180e0"
+    xi = " + ".join(["t_x", *(f"{a!r} * sin({2 * i}e0 * t_x) * cosh({2 * i}e0 * t_y)" for i, a in enumerate(alpha, 1))])
+    eta = " + ".join(["t_y", *(f"{a!r} * cos({2 * i}e0 * t_x) * sinh({2 * i}e0 * t_y)" for i, a in enumerate(alpha, 1))])
+    return [
+        {"t_d": f"{turned} - 360e0 * floor(({turned}) / 360e0) - 180e0", "t_s": f"sin(radians({lat}))", "t_o": f"cos(radians({lat}))"},
+        # The conformal latitude's sine and cosine, from the tangent of the isometric one.
+        {"t_d": f"case when abs(t_d) <= {REACH!r}e0 then radians(t_d) end", "t_q": f"sinh({e!r} * atanh({e!r} * t_s))"},
+        {"t_u": "t_s * sqrt(1e0 + t_q * t_q) - t_q", "t_v": "t_o * cos(t_d)", "t_w": "t_o * sin(t_d)"},
+        {"t_x": "atan2(t_u, t_v)", "t_y": "asinh(t_w / sqrt(t_u * t_u + t_v * t_v))"},
+        {x: f"{FALSE_EASTING!r} + {k!r} * ({eta})", y: f"{FALSE_NORTHING if south else 0.0!r} + {k!r} * ({xi})"},
+    ]
+
+
+def web_mercator_forward_steps(lon: str = "lon", lat: str = "lat", x: str = "x", y: str = "y") -> list[dict[str, str]]:
+    """Degrees to EPSG:3857; null at the poles."""
+    a = WGS84.a
+    return [{x: f"{a!r} * radians({lon})", y: f"case when abs({lat}) < 90e0 then {a!r} * asinh(tan(radians({lat}))) end"}]
+
+
 def web_mercator_steps(x: str = "x", y: str = "y", lon: str = "lon", lat: str = "lat") -> list[dict[str, str]]:
     """EPSG:3857 to degrees."""
     a = WGS84.a
@@ -92,3 +134,13 @@ def to_degrees(df: DataFrame, epsg: int, x: str = "x", y: str = "y", lon: str =
         return df.withColumns({lon: F.col(x).cast("double"), lat: F.col(y).cast("double")})
     steps = web_mercator_steps(x, y, lon, lat) if epsg == 3857 else utm_steps(epsg, x, y, lon, lat)
     return add_steps(df, steps, [lon, lat])
+
+
+def from_degrees(df: DataFrame, epsg: int, lon: str = "lon", lat: str = "lat", x: str = "x", y: str = "y") -> DataFrame:
+    """Adds x and y: the opposite of ``to_degrees``; null where the projection doesn't reach."""
+    from .cells import add_steps
+
+    if epsg == 4326:
+        return df.withColumns({x: F.col(lon).cast("double"), y: F.col(lat).cast("double")})
+    steps = web_mercator_forward_steps(lon, lat, x, y) if epsg == 3857 else utm_forward_steps(epsg, lon, lat, x, y)
+    return add_steps(df, steps, [x, y])

@@ -1,8 +1,8 @@
 """Resampling of points onto cells: neighbour joins, grid interpolation, binning.
 
-Candidates come from equi-joins on a coarse cell and its ring, never from comparing all pairs. A
-neighbour found within the width of the ring is certain; targets for which that fails try again
-one level coarser. Distances are straight lines between points on the ellipsoid. Values go
+Candidates come from equi-joins on a cell and its ring, never from comparing all pairs. A neighbour
+found within the width of the ring is certain; targets for which that fails go down the tree of
+cells that hold points, with bounds of distance. Distances are straight lines between points on the ellipsoid. Values go
 through float32 first, as observations are stored. Ties go to the lower input and point number.
 """
 
@@ -32,45 +32,104 @@ def ecef(lon: str, lat: str, ellipsoid: Ellipsoid, prefix: str = "") -> dict[str
     return {f"{prefix}x": n * F.cos(phi) * F.cos(lam), f"{prefix}y": n * F.cos(phi) * F.sin(lam), f"{prefix}z": n * (1 - ellipsoid.e2) * F.sin(phi)}
 
 
-def start_level(n_points: int, k: int, level: int) -> int:
+#: Points are told apart by their cells of this level (10 cm); the tree of cells ends there.
+FINE = 26
+#: No point of a cell at level l is further from its centre than this share of the radius over 2^l.
+WIDEST = 1.15
+
+
+def start_level(n_points: int, k: int) -> int:
     """A level with some points more than ``k`` in a cell, if they are spread evenly."""
-    return max(0, min(level, int(math.floor(math.log(max(n_points, 1) / (12.0 * 2 * k), 4))) if n_points > 24 * k else 0))
+    return max(0, int(math.floor(math.log(max(n_points, 1) / (12.0 * 2 * k), 4))) if n_points > 24 * k else 0)
+
+
+def _at(level: int) -> Column:
+    return F.shiftright("fine", 2 * (FINE - level))
+
+
+def _ring_level(placed: DataFrame, total: int, k: int) -> int:
+    """The coarsest level from the even one on where points share their cell with few others."""
+    even = start_level(total, k)
+    levels = [l for l in (even, even + 2, even + 4) if l <= FINE]
+    keys = F.explode(F.array(*[F.struct(F.lit(l).alias("l"), _at(l).alias("c")) for l in levels]))
+    cells = placed.select(keys.alias("k")).groupBy("k.l", "k.c").agg(F.count(F.lit(1)).alias("n"))
+    shared = {r["l"]: r["s"] / total for r in cells.groupBy("l").agg(F.sum(F.col("n") * F.col("n")).alias("s")).collect()}  # three rows
+    return next((l for l in levels if shared.get(l, 0) <= 12 * k), levels[-1])
+
+
+def _ranked(pairs: DataFrame, k: int) -> DataFrame:
+    d2 = sum(((F.col(f"t{c}") - F.col(f"p{c}")) * (F.col(f"t{c}") - F.col(f"p{c}")) for c in "xyz"), F.lit(0.0))
+    ranked = pairs.select("cell_id", "input_id", "point_idx", d2.alias("d2")).withColumn("rank", F.row_number().over(W.Window.partitionBy("cell_id").orderBy("d2", "input_id", "point_idx")))
+    return ranked.filter(F.col("rank") <= k).select("cell_id", "input_id", "point_idx", "rank", F.sqrt("d2").alias("distance"))
+
+
+def _descend(placed: DataFrame, left: DataFrame, k: int, wanted: int, ellipsoid: Ellipsoid) -> DataFrame:
+    """The k nearest points of any targets, wherever they are, from the tree of cells with points.
+
+    Level by level each target keeps the cells that may hold one of its k: those no further than
+    the bound within which ``wanted`` points surely lie. Cells with few points aren't split; of
+    points at one place, in the finest cells, the first k are enough.
+    """
+    small, at = max(16, 4 * k), 0
+    open_, closed = left.select("cell_id", "tx", "ty", "tz", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))).alias("of")), None
+    while True:
+        nodes = placed.groupBy(_at(at).alias("node")).agg(F.count(F.lit(1)).alias("n"))
+        nodes = C.with_center(nodes, at, ellipsoid, cell="node", lon="c_lon", lat="c_lat").withColumns(ecef("c_lon", "c_lat", ellipsoid, "c"))
+        nodes = nodes.select("node", "n", "cx", "cy", "cz", (F.shiftright("node", 4) if at else F.col("node")).alias("of"))
+        away = F.sqrt(sum(((F.col(f"t{c}") - F.col(f"c{c}")) * (F.col(f"t{c}") - F.col(f"c{c}")) for c in "xyz"), F.lit(0.0)))
+        reach = WIDEST * ellipsoid.a / 2**at
+        found = open_.join(nodes, "of").select("cell_id", "tx", "ty", "tz", F.lit(at).alias("at"), "node", "n", (away - reach).alias("near"), (away + reach).alias("far"))
+        by = W.Window.partitionBy("cell_id")
+        every = (found if closed is None else found.unionByName(closed)).withColumn("sure", F.sum("n").over(by.orderBy("far", "at", "node").rowsBetween(W.Window.unboundedPreceding, 0)))
+        bound = F.min(F.when(F.col("sure") >= wanted, F.col("far"))).over(by)
+        every = materialize(every.withColumn("bound", bound).filter(F.col("near") <= F.col("bound")).drop("sure", "bound"))
+        split = (F.col("n") > small) & (F.col("at") < FINE)
+        open_, closed = every.filter(split).select("cell_id", "tx", "ty", "tz", F.col("node").alias("of")), every.filter(~split)
+        if open_.isEmpty():
+            break
+        at += 2
+    pairs = None
+    for l in range(0, at + 1, 2):
+        near = placed.withColumn("node", _at(l))
+        if l == FINE:
+            near = near.join(closed.filter(F.col("at") == l).select("node").distinct(), "node", "left_semi")
+            near = near.withColumn("same", F.row_number().over(W.Window.partitionBy("node", "lon", "lat").orderBy("input_id", "point_idx"))).filter(F.col("same") <= k).drop("same")
+        one = closed.filter(F.col("at") == l).join(near, "node").select("cell_id", "tx", "ty", "tz", "input_id", "point_idx", "px", "py", "pz")
+        pairs = one if pairs is None else pairs.unionByName(one)
+    return _ranked(pairs, k)
 
 
 def neighbours(points: DataFrame, targets: DataFrame, level: int, k: int, ellipsoid: Ellipsoid = SPHERE, start: int | None = None) -> DataFrame:
     """The ``k`` points nearest to each target cell's centre: cell_id, input_id, point_idx, rank, distance.
 
     ``points``: input_id, point_idx, lon, lat; ``targets``: cell_id. Fewer than k points: all.
+    A target first looks in its cell of the level ``start`` (by default one that suits the number
+    of points in occupied cells) and the ring around, unless one of these is crowded. Those that
+    are crowded, or find too few, go through ``_descend``; so points may lie in clusters.
     """
-    total = points.count()
-    placed = points.select("input_id", "point_idx", "lon", "lat").withColumns(ecef("lon", "lat", ellipsoid, "p"))
+    placed = points.select("input_id", "point_idx", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat")).filter("lon is not null and lat is not null")
+    placed = materialize(C.with_cell(placed, FINE, ellipsoid, out="fine").withColumns(ecef("lon", "lat", ellipsoid, "p")))
+    total = placed.count()
     left = C.with_center(targets.select("cell_id").distinct(), level, ellipsoid, lon="t_lon", lat="t_lat").withColumns(ecef("t_lon", "t_lat", ellipsoid, "t"))
-    at, found = start_level(total, k, level) if start is None else start, None
     wanted = min(k, total)
-    while True:
-        near = C.add_steps(placed, C.cell_steps("lon", "lat", at, ellipsoid, "near"), ["near"])
-        coarse = C.add_steps(left, C.cell_steps("t_lon", "t_lat", at, ellipsoid, "own"), ["own"])
-        if at > 0:
-            around = C.with_neighbours(coarse, at, "own", "around")
-            around = around.withColumn("near", F.explode(F.array_distinct(F.concat(F.array("own"), F.filter("around", lambda c: c >= 0)))))
-        else:
-            around = coarse.withColumn("near", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))))
-        pairs = around.join(near, "near")
-        d2 = sum(((F.col(f"t{c}") - F.col(f"p{c}")) * (F.col(f"t{c}") - F.col(f"p{c}")) for c in "xyz"), F.lit(0.0))
-        ranked = pairs.select("cell_id", "input_id", "point_idx", d2.alias("d2")).withColumn("rank", F.row_number().over(W.Window.partitionBy("cell_id").orderBy("d2", "input_id", "point_idx")))
-        best = ranked.filter(F.col("rank") <= k).select("cell_id", "input_id", "point_idx", "rank", F.sqrt("d2").alias("distance"))
-        if at == 0:
-            sure = best
-        else:
-            width = C.NARROWEST * ellipsoid.a * math.sqrt(math.pi / 3) / 2**at
-            best = materialize(best)
-            ok = best.groupBy("cell_id").agg(F.max("rank").alias("n"), F.max("distance").alias("far")).filter((F.col("n") >= wanted) & (F.col("far") <= width)).select("cell_id")
-            sure = best.join(ok, "cell_id", "left_semi")
-            left = materialize(left.join(ok, "cell_id", "left_anti"))
-        found = sure if found is None else found.unionByName(sure)
-        if at == 0 or left.isEmpty():
-            return found
-        at = max(0, at - 2)
+    at = (_ring_level(placed, total, k) if start is None else start) if total else 0
+    own = C.add_steps(left, C.cell_steps("t_lon", "t_lat", at, ellipsoid, "own"), ["own"])
+    if at > 0:
+        around = C.with_neighbours(own, at, "own", "around")
+        around = around.withColumn("near", F.explode(F.array_distinct(F.concat(F.array("own"), F.filter("around", lambda c: c >= 0))))).drop("around")
+    else:
+        around = own.withColumn("near", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))))
+    near = placed.withColumn("near", _at(at))
+    crowded = near.groupBy("near").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 64 * k).select("near")
+    calm = around.join(around.join(crowded, "near", "left_semi").select("cell_id").distinct(), "cell_id", "left_anti")
+    best = materialize(_ranked(calm.join(near, "near"), k))
+    width = C.NARROWEST * ellipsoid.a * math.sqrt(math.pi / 3) / 2**at if at else math.inf
+    ok = best.groupBy("cell_id").agg(F.max("rank").alias("n"), F.max("distance").alias("far")).filter((F.col("n") >= wanted) & (F.col("far") <= width)).select("cell_id")
+    left = materialize(left.join(ok, "cell_id", "left_anti"))
+    sure = best.join(ok, "cell_id", "left_semi")
+    if not total or left.isEmpty():
+        return sure
+    return sure.unionByName(_descend(placed, left, k, wanted, ellipsoid))
 
 
 def float32(df: DataFrame, variables: Iterable[str]) -> DataFrame:

@@ -11,10 +11,11 @@ import math
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cells as C
+from ..functions import projection
 from ..functions.cells import SPHERE, Ellipsoid
 
 #: Below every radius of curvature of the Earth: angles from it are on the safe side.
@@ -86,23 +87,75 @@ def band_join(points: DataFrame, bounds: DataFrame, width: float = 1.0) -> DataF
     return hit.filter(F.col("lat").between(F.col("south"), F.col("north")) & relative.between(F.col("west"), F.col("east"))).drop("__band", "c_lon", "west", "east", "south", "north")
 
 
-def in_polygon(points: DataFrame, ring: Iterable[tuple[float, float]], x: str = "x", y: str = "y") -> DataFrame:
-    """Points strictly inside a polygon: a box that the scan can use, then crossings of its sides.
-
-    Points on the boundary are outside.
-    """
+def _open(ring: Iterable[tuple[float, float]]) -> list[tuple[float, float]]:
     ring = [(float(a), float(b)) for a, b in ring]
-    if ring[0] == ring[-1]:
-        ring = ring[:-1]
-    xs, ys = [p[0] for p in ring], [p[1] for p in ring]
-    df = points.filter((F.col(x) >= min(xs)) & (F.col(x) <= max(xs)) & (F.col(y) >= min(ys)) & (F.col(y) <= max(ys)))
+    return ring[:-1] if ring[0] == ring[-1] else ring
+
+
+def _sides(ring: list[tuple[float, float]]):
+    return zip(ring, ring[1:] + ring[:1])
+
+
+def _inside(ring: list[tuple[float, float]], x: str, y: str) -> Column:
+    """Whether a point is strictly inside, by crossings of the polygon's sides."""
     crossings, on_side = F.lit(0), F.lit(False)
-    for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+    for (x1, y1), (x2, y2) in _sides(ring):
         across = (F.lit(y1) > F.col(y)) != (F.lit(y2) > F.col(y))
         side = (F.col(x) - x1) * (y2 - y1) - (F.col(y) - y1) * (x2 - x1)
         crossings = crossings + F.when(across & ((side < 0) == F.lit(y2 > y1)), 1).otherwise(0)
         on_side = on_side | ((side == 0) & F.col(x).between(min(x1, x2), max(x1, x2)) & F.col(y).between(min(y1, y2), max(y1, y2)))
-    return df.filter((F.pmod(crossings, F.lit(2)) == 1) & ~on_side)
+    return (F.pmod(crossings, F.lit(2)) == 1) & ~on_side
+
+
+def _within(ring: list[tuple[float, float]], distance: float, x: str, y: str) -> Column:
+    """Whether a point is less than ``distance`` from a side."""
+    out = F.lit(False)
+    for (x1, y1), (x2, y2) in _sides(ring):
+        dx, dy = x2 - x1, y2 - y1
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col(x) - x1) * dx + (F.col(y) - y1) * dy) / ((dx * dx + dy * dy) or 1.0)))
+        a, b = F.col(x) - (F.lit(x1) + t * dx), F.col(y) - (F.lit(y1) + t * dy)
+        out = out | (a * a + b * b < distance * distance)
+    return out
+
+
+def in_polygon(points: DataFrame, ring: Iterable[tuple[float, float]], x: str = "x", y: str = "y", buffer: float = 0.0) -> DataFrame:
+    """Points strictly inside a polygon, or less than ``buffer`` from it: a box that the scan can
+    use, then crossings of its sides. Points on the boundary are outside.
+    """
+    ring = _open(ring)
+    xs, ys = [p[0] for p in ring], [p[1] for p in ring]
+    df = points.filter((F.col(x) >= min(xs) - buffer) & (F.col(x) <= max(xs) + buffer) & (F.col(y) >= min(ys) - buffer) & (F.col(y) <= max(ys) + buffer))
+    return df.filter(_inside(ring, x, y) | _within(ring, buffer, x, y) if buffer > 0 else _inside(ring, x, y))
+
+
+def projected_ring(places: DataFrame, epsg: int) -> list[tuple[float, float]] | None:
+    """The places (corner, lon, lat) of a polygon in a projection; None if some can't be projected."""
+    ring = [(r["x"], r["y"]) for r in projection.from_degrees(places, epsg).orderBy("corner").select("x", "y").collect()]  # the places of one polygon
+    return None if any(x is None or y is None for x, y in ring) else ring
+
+
+def projected_points(points: DataFrame, chunk: int, chunk_level: int, epsg: int, buffer: float = 0.0, extent: "Extent | None" = None, step: int = 8, ellipsoid: Ellipsoid = SPHERE) -> DataFrame:
+    """Points x, y of a projection in a chunk or within ``buffer`` (units of the projection) of it.
+
+    The chunk's edge, with ``step`` places a side, and that of the extent are brought to the
+    projection, so that limits of x and y reach the scan. A chunk out of the projection's reach is
+    looked up by degrees instead.
+    """
+    spark = points.sparkSession
+    ring = projected_ring(C.with_edge(spark.createDataFrame([(chunk,)], "cell_id long"), chunk_level, step, ellipsoid), epsg)
+    if ring is None:
+        out = chunk_points(projection.to_degrees(points, epsg), chunk, chunk_level, buffer, ellipsoid).drop("lon", "lat")
+    else:
+        out = in_polygon(points, ring, buffer=buffer)
+    if extent is None or extent.whole:
+        return out
+    corners = [(extent.west, extent.south), (extent.east, extent.south), (extent.east, extent.north), (extent.west, extent.north)]
+    places = [(4 * step * k + t, a + (c - a) * t / (4 * step), b + (d - b) * t / (4 * step)) for k, ((a, b), (c, d)) in enumerate(_sides(corners)) for t in range(4 * step)]
+    box = projected_ring(spark.createDataFrame(places, "corner int, lon double, lat double"), epsg)
+    if box is not None:
+        return in_polygon(out, box)
+    placed = projection.to_degrees(out, epsg)
+    return placed.filter((F.col("lon") > extent.west) & (F.col("lon") < extent.east) & (F.col("lat") > extent.south) & (F.col("lat") < extent.north)).drop("lon", "lat")
 
 
 @dataclass(frozen=True)

@@ -34,6 +34,29 @@ def test_neighbours_match_brute_force(spark, ellipsoid):
     assert len(got) == 192 and all([got[i][r + 1] for r in range(k)] == want[i].tolist() for i in range(192))
 
 
+@pytest.mark.parametrize("k", [1, 4])
+def test_neighbours_of_clustered_points(spark, k):
+    """A dense cluster, a pile at one place, some points far from all, and targets on the whole globe."""
+    rng = np.random.default_rng(3)
+    lon = np.concatenate([rng.normal(10.0, 0.05, 1500), np.full(400, 10.5), rng.uniform(-180, 180, 12)])
+    lat = np.concatenate([rng.normal(45.0, 0.05, 1500), np.full(400, 45.25), rng.uniform(-80, 80, 12)])
+    pts = spark.createDataFrame([(i % 2, i, float(a), float(b)) for i, (a, b) in enumerate(zip(lon, lat))], "input_id int, point_idx long, lon double, lat double")
+    level = 3
+    c = C.with_center(C.whole_sphere(spark, level), level).orderBy("cell_id").toPandas()
+    got = R.neighbours(pts, C.whole_sphere(spark, level), level, k).toPandas().sort_values(["cell_id", "rank"])
+    d = np.linalg.norm(xyz(c["lon"], c["lat"])[:, None] - xyz(lon, lat)[None], axis=2)
+    assert len(got) == 768 * k and not got.duplicated(["cell_id", "input_id", "point_idx"]).any()
+    want = np.sort(d, axis=1)[:, :k].ravel()
+    assert np.abs(got["distance"].to_numpy() - want).max() < 1e-3
+    assert np.abs(d[got["cell_id"], got["point_idx"]] - want).max() < 1e-3
+
+
+def test_neighbours_of_nothing(spark):
+    none = spark.createDataFrame([], "input_id int, point_idx long, lon double, lat double")
+    assert R.neighbours(none, C.whole_sphere(spark, 1), 1, 2).count() == 0
+    assert R.neighbours(make(spark, 5), C.whole_sphere(spark, 1).limit(0), 1, 2).count() == 0
+
+
 def test_nearest_keeps_types_and_few_points_reach_everywhere(spark):
     pts = make(spark, 2)
     out = R.nearest(pts, C.whole_sphere(spark, 1), 1, ["k", "v"])
