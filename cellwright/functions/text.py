@@ -21,10 +21,35 @@ def hours_since(time: Column, first_day: Column) -> Column:
     return F.floor((F.unix_timestamp(time) - F.unix_timestamp(F.date_trunc("day", first_day))) / 3600).cast("long")
 
 
-def cache_tag(date: Column, time: Column, request: Column) -> Column:
-    """A file-name tag: date and time without punctuation, and eight digits of the request's hash."""
-    plain = lambda c: F.regexp_replace(c, "[^0-9A-Za-z]", "")
-    return F.concat_ws("_", plain(date), plain(time), F.substring(F.sha1(request), 1, 8))
+def cache_tag(date: Column, times: Column) -> Column:
+    """A file-name tag of a date, list or range of dates and an array of times ``hh:mm``: for several
+    times the first and last hour, how many there are, and six digits of their hash."""
+    day = F.regexp_replace(F.regexp_replace(date, "-", ""), "/", "-")
+    hour = lambda i: F.substring(F.element_at(times, i), 1, 2)
+    several = F.concat(F.lit("-"), hour(-1), F.lit("n"), F.size(times).cast("string"), F.lit("h"), F.substring(F.sha1(F.array_join(times, "/")), 1, 6))
+    return F.concat(day, F.lit("T"), hour(1), F.when(F.size(times) > 1, several).otherwise(F.lit("")))
+
+
+def product_name(path: Column) -> Column:
+    """The id of a product that is named by its path: the last part, without ``.zarr``."""
+    return F.regexp_replace(F.substring_index(F.regexp_replace(path, "/+$", ""), "/", -1), r"\.zarr$", "")
+
+
+def product_id(kind: Column, start: Column, end: Column, created: Column) -> Column:
+    """The id of a product by its kind, the span of its data and when it was made."""
+    stamp = lambda t: F.date_format(t, "yyyyMMdd'T'HHmmss")
+    return F.concat_ws("_", F.lit("S00_"), kind, stamp(start), stamp(end), stamp(created))
+
+
+def version_parts(version: Column) -> Column:
+    """A dotted version as numbers, which compare part by part; null where it isn't one."""
+    return F.when(version.rlike(r"^\d+(\.\d+)*$"), F.split(version, r"\.").cast("array<int>"))
+
+
+def version_ref(version: Column, default: str = "main") -> Column:
+    """Where a version's files are kept: the tag of a release, the commit of a development version."""
+    commit = F.regexp_extract(version, r"\+g([0-9a-f]{7,40})", 1)
+    return F.when(version.rlike(r"^\d+(\.\d+)+$"), F.concat(F.lit("refs/tags/v"), version)).when(commit != "", commit).otherwise(F.lit(default))
 
 
 def item_id(path: Column) -> Column:

@@ -138,29 +138,36 @@ def float32(df: DataFrame, variables: Iterable[str]) -> DataFrame:
     return nan_to_null(df.withColumns({v: F.col(v).cast("float") for v in floats}), *floats)
 
 
-def nearest(points: DataFrame, targets: DataFrame, level: int, variables: list[str], ellipsoid: Ellipsoid = SPHERE, links: DataFrame | None = None) -> DataFrame:
-    """Each target cell takes its nearest point's values, whose types stay."""
-    links = neighbours(points, targets, level, 1, ellipsoid) if links is None else links.filter("rank = 1")
-    return links.join(points.select("input_id", "point_idx", *variables), ["input_id", "point_idx"]).select("cell_id", *variables)
+def places(points: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Where points lie; with dimensions ``by``, along which they repeat, each once."""
+    own = points.select("input_id", "point_idx", "lon", "lat")
+    return own.dropDuplicates(["input_id", "point_idx"]) if by else own
 
 
-def inverse_distance(points: DataFrame, targets: DataFrame, level: int, variables: list[str], k: int = 4, ellipsoid: Ellipsoid = SPHERE, threshold: float = 0.0, keep_type: bool = False, links: DataFrame | None = None) -> DataFrame:
+def nearest(points: DataFrame, targets: DataFrame, level: int, variables: list[str], ellipsoid: Ellipsoid = SPHERE, links: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Each target cell takes its nearest point's values, whose types stay; a row for each ``by``."""
+    links = neighbours(places(points, by), targets, level, 1, ellipsoid) if links is None else links.filter("rank = 1")
+    return links.join(points.select("input_id", "point_idx", *by, *variables), ["input_id", "point_idx"]).select("cell_id", *by, *variables)
+
+
+def inverse_distance(points: DataFrame, targets: DataFrame, level: int, variables: list[str], k: int = 4, ellipsoid: Ellipsoid = SPHERE, threshold: float = 0.0, keep_type: bool = False, links: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Means of the k nearest points, weighted by inverse distance in cell sizes.
 
     A missing value takes no part. A cell whose weights, as a share of all k, come to less than
-    ``threshold`` is missing. One neighbour search serves all variables.
+    ``threshold`` is missing. One neighbour search serves all variables, and all labels of the
+    dimensions ``by``, at each of which every point has a row.
     """
-    links = neighbours(points, targets, level, k, ellipsoid) if links is None else links
+    links = neighbours(places(points, by), targets, level, k, ellipsoid) if links is None else links.filter(F.col("rank") <= k)
     size = ellipsoid.a * math.sqrt(math.pi / 3) / 2**level
     w = links.withColumn("w", 1 / (F.col("distance") / size + 1e-6))
-    joined = w.join(float32(points.select("input_id", "point_idx", *variables), variables), ["input_id", "point_idx"])
+    joined = w.join(float32(points.select("input_id", "point_idx", *by, *variables), variables), ["input_id", "point_idx"])
     aggs = []
     for v in variables:
         has = F.when(F.col(v).isNotNull(), F.col("w"))
         mean = F.when(F.sum(has) >= threshold * F.sum("w"), F.sum(F.col("w") * F.col(v)) / F.sum(has))
         kind = points.schema[v].dataType
         aggs.append((F.bround(mean).cast(kind) if keep_type and not isinstance(kind, (T.FloatType, T.DoubleType)) else mean.cast(kind if keep_type else "double")).alias(v))
-    return joined.groupBy("cell_id").agg(*aggs)
+    return joined.groupBy("cell_id", *by).agg(*aggs)
 
 
 def cell_point(points: DataFrame, variables: list[str], ellipsoid: Ellipsoid = SPHERE, level: int = C.MAX_LEVEL) -> DataFrame:
@@ -215,16 +222,17 @@ def clip_at_zero(cells: DataFrame, variable: str) -> DataFrame:
     return cells.withColumn(variable, F.when(F.col(variable).isNotNull(), F.greatest(F.lit(0.0), variable)))
 
 
-def dense(result: DataFrame, cells: DataFrame, fills: dict[str, float | None] | None = None) -> DataFrame:
-    """A row for each wanted cell; a missing value is the variable's fill (NaN for floats, else 0)."""
-    kinds = {f.name: f.dataType for f in result.schema if f.name != "cell_id"}
-    joined = cells.select("cell_id").join(result, "cell_id", "left")
+def dense(result: DataFrame, cells: DataFrame, fills: dict[str, float | None] | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each wanted cell (and labels ``by``, which ``cells`` then has too); a missing value
+    is the variable's fill (NaN for floats, else 0)."""
+    kinds = {f.name: f.dataType for f in result.schema if f.name not in ("cell_id", *by)}
+    joined = cells.select("cell_id", *by).join(result, ["cell_id", *by], "left")
     out = []
     for v, kind in kinds.items():
         fill = (fills or {}).get(v)
         fill = (float("nan") if isinstance(kind, (T.FloatType, T.DoubleType)) else 0) if fill is None else fill
         out.append(F.coalesce(v, F.lit(fill).cast(kind)).alias(v))
-    return joined.select("cell_id", *out)
+    return joined.select("cell_id", *by, *out)
 
 
 def check_chunk_size(cells: DataFrame, level: int, chunk_level: int, chunk_size: int) -> None:

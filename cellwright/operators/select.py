@@ -96,26 +96,31 @@ def _sides(ring: list[tuple[float, float]]):
     return zip(ring, ring[1:] + ring[:1])
 
 
+def _side_column(ring: list[tuple[float, float]]) -> Column:
+    """The sides as one constant array: the plan doesn't grow with the polygon."""
+    return F.array(*[F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(("x1", "y1", "x2", "y2"), (*p, *q))]) for p, q in _sides(ring)])
+
+
 def _inside(ring: list[tuple[float, float]], x: str, y: str) -> Column:
     """Whether a point is strictly inside, by crossings of the polygon's sides."""
-    crossings, on_side = F.lit(0), F.lit(False)
-    for (x1, y1), (x2, y2) in _sides(ring):
-        across = (F.lit(y1) > F.col(y)) != (F.lit(y2) > F.col(y))
-        side = (F.col(x) - x1) * (y2 - y1) - (F.col(y) - y1) * (x2 - x1)
-        crossings = crossings + F.when(across & ((side < 0) == F.lit(y2 > y1)), 1).otherwise(0)
-        on_side = on_side | ((side == 0) & F.col(x).between(min(x1, x2), max(x1, x2)) & F.col(y).between(min(y1, y2), max(y1, y2)))
-    return (F.pmod(crossings, F.lit(2)) == 1) & ~on_side
+    px, py = F.col(x), F.col(y)
+    turn = lambda s: (px - s["x1"]) * (s["y2"] - s["y1"]) - (py - s["y1"]) * (s["x2"] - s["x1"])
+    crossed = F.filter(_side_column(ring), lambda s: ((s["y1"] > py) != (s["y2"] > py)) & ((turn(s) < 0) == (s["y2"] > s["y1"])))
+    on_side = F.exists(_side_column(ring), lambda s: (turn(s) == 0) & px.between(F.least(s["x1"], s["x2"]), F.greatest(s["x1"], s["x2"])) & py.between(F.least(s["y1"], s["y2"]), F.greatest(s["y1"], s["y2"])))
+    return (F.size(crossed) % 2 == 1) & ~on_side
 
 
 def _within(ring: list[tuple[float, float]], distance: float, x: str, y: str) -> Column:
     """Whether a point is less than ``distance`` from a side."""
-    out = F.lit(False)
-    for (x1, y1), (x2, y2) in _sides(ring):
-        dx, dy = x2 - x1, y2 - y1
-        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col(x) - x1) * dx + (F.col(y) - y1) * dy) / ((dx * dx + dy * dy) or 1.0)))
-        a, b = F.col(x) - (F.lit(x1) + t * dx), F.col(y) - (F.lit(y1) + t * dy)
-        out = out | (a * a + b * b < distance * distance)
-    return out
+    px, py = F.col(x), F.col(y)
+
+    def near(s: Column) -> Column:
+        dx, dy = s["x2"] - s["x1"], s["y2"] - s["y1"]
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide((px - s["x1"]) * dx + (py - s["y1"]) * dy, dx * dx + dy * dy), F.lit(0.0))))
+        a, b = px - (s["x1"] + t * dx), py - (s["y1"] + t * dy)
+        return a * a + b * b < distance * distance
+
+    return F.exists(_side_column(ring), near)
 
 
 def in_polygon(points: DataFrame, ring: Iterable[tuple[float, float]], x: str = "x", y: str = "y", buffer: float = 0.0) -> DataFrame:

@@ -356,12 +356,176 @@ def utm_inverse(spark, sf_dir):
     return out.selectExpr(*KEYS.split(", "), "round(lon, 9) as lon", "round(lat, 9) as lat")
 
 
+_LL_SRC = f"(select {KEYS}, 3e0 + (lon / 60e0) as lon, lat from {POINTS} r)"
+
+
+@query(f"select {KEYS}, round(x, 4) as x, round(y, 4) as y from {C.steps_sql(_LL_SRC, projection.utm_forward_steps(32631), ['x', 'y'])} p")
+def utm_forward(spark, sf_dir):
+    near = points(spark, sf_dir).withColumn("lon", F.expr("3e0 + (lon / 60e0)"))
+    return projection.from_degrees(near, 32631).selectExpr(*KEYS.split(", "), "round(x, 4) as x", "round(y, 4) as y")
+
+
+@query(f"select {KEYS}, round(x, 5) as x, round(y, 5) as y from {_UTM_SRC} p")
+def utm_round_trip(spark, sf_dir):
+    """There and back: what was given comes out again, to hundredths of a millimetre."""
+    df = read(spark, sf_dir, "lineitem").selectExpr(*KEYS.split(", "), "200000e0 + (l_partkey * 37 % 600000) as x", "(l_orderkey * 131 % 9000000) * 1e0 as y")
+    out = projection.from_degrees(projection.to_degrees(df, 32631).drop("x", "y"), 32631)
+    return out.selectExpr(*KEYS.split(", "), "round(x, 5) as x", "round(y, 5) as y")
+
+
+#: Chunk 76 of level 2 in UTM: 32 places along its edge, and the sides between them.
+_EDGE = C.steps_sql(C.steps_sql("(select 76::bigint as cell_id, unnest(range(32)) as corner)", C.edge_steps("cell_id", 2, "corner", 8), ["lon", "lat"]), projection.utm_forward_steps(32631), ["x", "y"])
+_EDGES = f"(select a.x as x1, a.y as y1, b.x as x2, b.y as y2 from {_EDGE} a join {_EDGE} b on b.corner = (a.corner + 1) % 32)"
+_NEAREST_SIDE = "least(1e0, greatest(0e0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) ^ 2 + (y2 - y1) ^ 2)))"
+
+
+@query(f"with s as {_EDGES}, p as (select *, {_NEAREST_SIDE} as t from (select distinct x, y from {_UTM_SRC} v) u cross join s), q as (select x, y from p group by x, y having sum(case when (y1 > y) <> (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 then 1 else 0 end) % 2 = 1 or min((x - x1 - t * (x2 - x1)) ^ 2 + (y - y1 - t * (y2 - y1)) ^ 2) < 1e8) select {KEYS} from {_UTM_SRC} w join q using (x, y)")
+def projected_selection(spark, sf_dir):
+    """Projected points in a chunk or within 10 km of it."""
+    df = read(spark, sf_dir, "lineitem").selectExpr(*KEYS.split(", "), "200000e0 + (l_partkey * 37 % 600000) as x", "(l_orderkey * 131 % 9000000) * 1e0 as y")
+    return select.projected_points(df, 76, 2, 32631, 10_000.0).selectExpr(*KEYS.split(", "))
+
+
 @query("select o_orderkey, 300000e0 + 10e0 * ((o_orderkey % 100) + 0.5e0) as x, 5000000e0 - 10e0 * ((o_orderkey // 100) + 0.5e0) as y from orders")
 def pixel_positions(spark, sf_dir):
     df = read(spark, sf_dir, "orders").selectExpr("o_orderkey", "cast(o_orderkey div 100 as int) as row", "cast(o_orderkey % 100 as int) as col")
     return projection.pixel_to_xy(df, (10.0, 0.0, 300000.0, 0.0, -10.0, 5000000.0)).select("o_orderkey", "x", "y")
 
 
+# Checks of shape, metadata and names ------------------------------------------------------------
+
+
+@query(f"select cell_id, corner, round(lon, 8) as lon, round(lat, 8) as lat from {C.steps_sql(f'(select cell_id, unnest(range(8)) as corner from {CELLS} c)', C.edge_steps('cell_id', LEVEL, 'corner', 2), ['lon', 'lat'])} p")
+def cell_edges(spark, sf_dir):
+    """Eight places along each cell's edge."""
+    out = C.with_edge(order_cells(spark, sf_dir).select("cell_id"), LEVEL, 2)
+    return out.selectExpr("cell_id", "cast(corner as bigint) as corner", "round(lon, 8) as lon", "round(lat, 8) as lat")
+
+
+_BOX = "(select min(2e0 * n_nationkey - 20) as w, max(2e0 * n_nationkey - 20) as e, min(30e0 + n_nationkey) as s, max(30e0 + n_nationkey) as n from nation)"
+_TURN = lambda v, c: f"({v} - ({c}) + 180e0) - 360e0 * floor(({v} - ({c}) + 180e0) / 360e0) - 180e0"
+_WINDOW5 = f"(select cell_id, c_lon, least(lat0, lat1, lat2, lat3) as south, greatest(lat0, lat1, lat2, lat3) as north, least({', '.join(_TURN(f'lon{k}', 'c_lon') for k in range(4))}) as west, greatest({', '.join(_TURN(f'lon{k}', 'c_lon') for k in range(4))}) as east from " + C.steps_sql(C.steps_sql("(select unnest(range(12288)) as cell_id)", C.vertex_steps("cell_id", 5), _V), C.center_steps("cell_id", 5, lon="c_lon", lat="c_lat"), ["c_lon"]) + " v where least(lat0, lat1, lat2, lat3) > -90 and greatest(lat0, lat1, lat2, lat3) < 90)"
+
+
+@query(f"select cell_id, south >= s and north <= n and west >= shift - half and east <= shift + half as inside from (select *, (e - w) / 2 as half, {_TURN('(w + e) / 2', 'c_lon')} as shift from {_WINDOW5} c, {_BOX} b) where south < n and north > s and west < shift + half and east > shift - half")
+def coverage_of_extent(spark, sf_dir):
+    """The level-5 cells that touch the box of the nations' places; the SQL tries all cells."""
+    box = read(spark, sf_dir, "nation").selectExpr("min(2e0 * n_nationkey - 20)", "min(30e0 + n_nationkey)", "max(2e0 * n_nationkey - 20)", "max(30e0 + n_nationkey)").first()
+    return select.coverage(spark, select.Extent(*box), 5)
+
+
+@query(f"select cell_id, case when price is not null then greatest(0e0, price - 150000) end as price from {CELLS} p")
+def clip_at_zero(spark, sf_dir):
+    a = pyramid.nan_to_null(order_cells(spark, sf_dir).select("cell_id", "price"))
+    return resample.clip_at_zero(a.withColumn("price", F.col("price") - 150000), "price")
+
+
+@query(f"select cell_id, case when flags <> 7 then flags * 0.5e0 - 3e0 end as v from {CELLS} p")
+def packed_decode(spark, sf_dir):
+    return order_cells(spark, sf_dir).select("cell_id", pyramid.decode_packed(F.col("flags"), 0.5, -3.0, 7).alias("v"))
+
+
+@query(f"select coalesce(a.cell_id, b.cell_id) as cell_id, price, class from (select cell_id >> 2 as cell_id, max(price) as price from {CELLS} p where cell_id % 3 <> 0 group by 1) a full join (select cell_id >> 2 as cell_id, min(class) as class from {CELLS} q where class > 1 group by 1) b on a.cell_id = b.cell_id")
+def merged_levels(spark, sf_dir):
+    """Variables of a level that came from different native cells, side by side."""
+    a = pyramid.nan_to_null(order_cells(spark, sf_dir), "price")
+    return pyramid.merge_levels([pyramid.coarsen(a.filter("cell_id % 3 <> 0").select("cell_id", "price"), LEVEL, LEVEL - 1, "max"), pyramid.coarsen(a.filter("class > 1").select("cell_id", "class"), LEVEL, LEVEL - 1, "min")])
+
+
+@query(f"select cell_id, cast(point_idx as bigint) as point_idx, cast(turn as int) as rank from {_RANKED} where turn <= 2")
+def stored_links(spark, sf_dir):
+    """The two nearest customers of each cell, kept in a link store and read from there."""
+    from ..sources.links import stored_neighbours
+    from ..sources.shared import shared_dir
+
+    pts = sites(spark, sf_dir).withColumn("point_idx", F.col("point_idx").cast("long"))
+    return stored_neighbours(pts, C.whole_sphere(spark, 2), 2, 2, f"{shared_dir(spark)}/links").select("cell_id", "point_idx", "rank")
+
+
+@query(f"select label, cell_id, round(sum({_W} * cast(cast(balance + label as float) as double)) / sum({_W}), 3) as balance from {_RANKED}, (values (0), (1000), (5000)) t(label) where turn <= 4 group by 1, 2")
+def knn_by_label(spark, sf_dir):
+    """Three labels of an extra dimension with one neighbour search."""
+    pts = sites(spark, sf_dir).withColumn("label", F.explode(F.array(F.lit(0), F.lit(1000), F.lit(5000)))).withColumn("balance", F.col("balance") + F.col("label"))
+    out = resample.inverse_distance(pts, C.whole_sphere(spark, 2), 2, ["balance"], k=4, by=("label",))
+    return out.select("label", "cell_id", F.round("balance", 3).alias("balance"))
+
+
+_GROUND = lambda level, e, src, n: f"(select {n}, {e.a!r} / sqrt(1 - {e.e2!r} * sin(radians(lat)) ^ 2) * cos(radians(lat)) * cos(radians(lon)) as x, {e.a!r} / sqrt(1 - {e.e2!r} * sin(radians(lat)) ^ 2) * cos(radians(lat)) * sin(radians(lon)) as y, {e.a * (1 - e.e2)!r} / sqrt(1 - {e.e2!r} * sin(radians(lat)) ^ 2) * sin(radians(lat)) as z from {src} g)"
+_FROM3 = _GROUND(3, C.WGS84, C.steps_sql("(select unnest(range(768)) as cell_id)", C.center_steps("cell_id", 3), ["lon", "lat"]), "cell_id as old")
+_TO3 = _GROUND(3, C.WGS84, C.steps_sql("(select unnest(range(768)) as cell_id)", C.center_steps("cell_id", 3, C.WGS84), ["lon", "lat"]), "cell_id")
+
+
+@query(f"with v as (select o_orderkey % 768 as old, max(floor(o_totalprice)) as price from orders group by 1), f as (select * from {_FROM3} p join v using (old)), d as (select cell_id, price, row_number() over (partition by cell_id order by (t.x - f.x) ^ 2 + (t.y - f.y) ^ 2 + (t.z - f.z) ^ 2, old) as turn from {_TO3} t cross join f) select cell_id, cast(price as double) as price from d where turn = 1")
+def sphere_regrid_nearest(spark, sf_dir):
+    """A map of the sphere's grid at level 3 on the grid of WGS84."""
+    cells = read(spark, sf_dir, "orders").groupBy(F.expr("o_orderkey % 768").alias("cell_id")).agg(F.max(F.floor("o_totalprice")).cast("double").alias("price"))
+    return products.sphere_to_ellipsoid(cells, 3, "price", method="nearest")
+
+
+_ATTRS = "(select 'v' || (c_nationkey % 5) as variable, case c_custkey % 4 when 0 then 'units' when 1 then 'valid_min' when 2 then 'long_name' else 'history' end as name, cast(min(c_custkey) as varchar) as value from customer group by 1, 2)"
+
+
+@query(f"select variable, name, value from {_ATTRS} a where not (name = 'valid_min' and variable in ('v1', 'v2')) and not (name = 'history' and variable <> 'v4') and name not in ('units', 'grid_mapping') and not (variable = 'v3' and name = 'long_name') union all select distinct variable, 'units', case when variable in ('v2', 'v3') then 'two' else 'one' end from {_ATTRS} b union all select distinct variable, 'grid_mapping', 'crs' from {_ATTRS} c union all select 'v3', 'long_name', 'third' where exists (from {_ATTRS} d where variable = 'v3')")
+def attribute_rules(spark, sf_dir):
+    """Packed variables lose valid ranges, patterns exclude and override, the engine has the last word."""
+    names = F.expr("case c_custkey % 4 when 0 then 'units' when 1 then 'valid_min' when 2 then 'long_name' else 'history' end")
+    table = read(spark, sf_dir, "customer").groupBy(F.expr("'v' || (c_nationkey % 5)").alias("variable"), names.alias("name")).agg(F.min("c_custkey").cast("string").alias("value"))
+    return metadata.attributes(table, {"v[0-3]": ["his.*"]}, {".*": {"units": "one"}, "v[23]": {"units": "two"}, "v3": {"long_name": "third"}}, {"grid_mapping": "crs"}, ["v1", "v2"])
+
+
+_DOCS = "(select '' as path, '{}' as json union all select 'a', '{}' union all select 'a/' || r_name, '{\"k\":' || r_regionkey || '}' from region union all select 'a/' || r_name || '/b', '[]' from region)"
+
+
+@query(f"select '' as root, path, json from {_DOCS} d union all select 'a', path, json from {_DOCS} d where path = 'a' or starts_with(path, 'a/') union all select 'a/ASIA', path, json from {_DOCS} d where path = 'a/ASIA' or starts_with(path, 'a/ASIA/')")
+def consolidated_roots(spark, sf_dir):
+    """Metadata of the whole tree and of two roots in it; a root named twice counts once."""
+    regions = read(spark, sf_dir, "region")
+    docs = spark.createDataFrame([("", "{}"), ("a", "{}")], "path string, json string").unionByName(regions.selectExpr("'a/' || r_name as path", "concat('{\"k\":', r_regionkey, '}') as json")).unionByName(regions.selectExpr("'a/' || r_name || '/b' as path", "'[]' as json"))
+    return metadata.consolidate(docs, ["a", "a/ASIA", "a"]).select("root", F.explode("documents").alias("path", "json"))
+
+
+@query("select o_custkey % 2 as input_id, o_custkey as point_idx, o_orderpriority as label, count(*) as v from orders group by 1, 2, 3")
+def align_exact(spark, sf_dir):
+    """Two inputs that have the same labels, and must."""
+    one = lambda k: read(spark, sf_dir, "orders").filter(f"o_custkey % 2 = {k}").groupBy(F.col("o_custkey").alias("point_idx"), F.col("o_orderpriority").alias("label")).agg(F.count(F.lit(1)).alias("v"))
+    return align.union_points(align.align([one(0), one(1)], "label", "exact")).selectExpr("cast(input_id as bigint) as input_id", "point_idx", "label", "v")
+
+
+@query(f"select nation, max(step) as step from (select nation, lead(lat) over (partition by nation order by lat) - lat as step from (select distinct nation, lat from {SITES} a) b) c group by 1")
+def grid_steps(spark, sf_dir):
+    from ..sources.grids import largest_step
+
+    return largest_step(sites(spark, sf_dir), ["nation"], "lat")
+
+
+@query("select arg_min(epsg, (-n, epsg)) as epsg from (select 32600 + c_nationkey + 1 as epsg, count(*) as n from customer group by 1)")
+def most_common_crs(spark, sf_dir):
+    from ..sources.grids import most_common_crs as most
+
+    return spark.createDataFrame([(most(read(spark, sf_dir, "customer").selectExpr("32600 + c_nationkey + 1 as epsg")),)], "epsg long")
+
+
+@query("select event_id, strftime(ts, '%Y%m%d') || 'T' || strftime(ts, '%H') || case when event_id % 2 = 0 then '-12n2h' || substr(sha1(strftime(ts, '%H:%M') || '/12:00'), 1, 6) else '' end as tag from events")
+def cache_tags(spark, sf_dir):
+    at, noon = F.date_format("ts", "HH:mm"), F.lit("12:00")
+    return read(spark, sf_dir, "events").select("event_id", text.cache_tag(F.date_format("ts", "yyyy-MM-dd"), F.when(F.col("event_id") % 2 == 0, F.array(at, noon)).otherwise(F.array(at))).alias("tag"))
+
+
+@query("select event_id, 'S00__' || event_type || '_' || strftime(ts, '%Y%m%dT%H%M%S') || '_' || strftime(ts + interval 3 hour, '%Y%m%dT%H%M%S') || '_20240102T030405' as product, 'x.' || event_id as name from events")
+def product_ids(spark, sf_dir):
+    made = text.product_id(F.col("event_type"), F.col("ts"), F.col("ts") + F.expr("interval 3 hours"), F.to_timestamp(F.lit("2024-01-02 03:04:05")))
+    return read(spark, sf_dir, "events").select("event_id", made.alias("product"), text.product_name(F.concat(F.lit("s3://b/x."), F.col("event_id").cast("string"), F.lit(".zarr/"))).alias("name"))
+
+
+_VERSION = "case l_linenumber % 3 when 0 then '1.' || cast(l_quantity as int) when 1 then cast(cast(l_quantity as int) as varchar(9)) else '2.' || l_linenumber || '.dev1+gabc' || (1000 + l_linenumber) || '.d2' end"
+
+
+@query(f"select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when v not like '%dev%' then cast(string_split(v, '.') as int[]) >= [1, 13] end as recent, case when v like '%dev%' then regexp_extract(v, 'g(.*)[.]d', 1) when contains(v, '.') then 'refs/tags/v' || v else 'main' end as ref from (select *, {_VERSION} as v from lineitem)")
+def version_refs(spark, sf_dir):
+    v = F.expr(_VERSION)
+    return read(spark, sf_dir, "lineitem").select(*KEYS.split(", "), (text.version_parts(v) >= F.array(F.lit(1), F.lit(13))).alias("recent"), text.version_ref(v).alias("ref"))
+
+
 # Alignment and set operations -----------------------------------------------------------------
 
 

@@ -104,6 +104,42 @@ class Group:
             raise ValueError("conversion works on nested ids")
 
 
+# The conventions that outputs can follow, and the first version of CF with such grids.
+CONVENTIONS = ("dggs", "multiscales", "cf")
+CF_SINCE = "1.13"
+
+
+def version_tuple(version: str) -> tuple[int, ...]:
+    if not re.fullmatch(r"\d+(\.\d+)*", version):
+        raise ValueError(f"{version!r} is not a version number")
+    return tuple(map(int, version.split(".")))
+
+
+@dataclass(frozen=True)
+class Convention:
+    """A convention that the output's metadata follows; ``grid_mapping`` is of CF."""
+
+    name: str
+    version: str | None = None
+    grid_mapping: bool = True
+
+    def __post_init__(self):
+        if self.name not in CONVENTIONS:
+            raise ValueError(f"unknown convention {self.name!r}")
+        if self.name != "cf" and (self.version is not None or not self.grid_mapping):
+            raise ValueError(f"convention {self.name!r} has no options")
+        if self.name == "cf" and version_tuple(self.version or CF_SINCE) < version_tuple(CF_SINCE):
+            raise ValueError(f"CF {self.version} has no such grid mapping; it takes {CF_SINCE} or later")
+
+    @classmethod
+    def of(cls, value: "Convention | str | dict[str, Any]") -> "Convention":
+        """From a name alone, in any case, or its members."""
+        if isinstance(value, cls):
+            return value
+        members = {"name": value} if isinstance(value, str) else dict(value)
+        return cls(**members | {"name": members["name"].lower()})
+
+
 @dataclass(frozen=True)
 class Pyramid:
     levels: tuple[int, ...]
@@ -137,8 +173,12 @@ class Settings:
     exclude_groups: tuple[str, ...] = ()
     consolidate: tuple[str, ...] = ()
     item_merges: dict[str, str] = field(default_factory=dict)
+    conventions: tuple[Convention, ...] = tuple(map(Convention, CONVENTIONS))
 
     def __post_init__(self):
+        names = [c.name for c in self.conventions]
+        if len(set(names)) < len(names):
+            raise ValueError("a convention is given twice")
         both = set(self.groups) & set(self.copies)
         if both:
             raise ValueError(f"groups are both converted and copied: {sorted(both)}")
@@ -156,6 +196,9 @@ class Settings:
                 if level >= max(native):
                     raise ValueError(f"level {level} of pyramid {path!r} is not coarser than its native levels")
 
+    def convention(self, name: str) -> Convention | None:
+        return next((c for c in self.conventions if c.name == name), None)
+
     def native(self, path: str) -> dict[int, Group]:
         """Native levels of a multiscale group: its children."""
         out: dict[int, Group] = {}
@@ -201,6 +244,7 @@ class Settings:
         return cls(
             {p: group(g) for p, g in d["groups"].items()}, {p: Pyramid(**{**x, "levels": tuple(x["levels"])}) for p, x in d.get("pyramids", {}).items()},
             tuple(d.get("copies", ())), tuple(d.get("copy_drop", ())), tuple(d.get("exclude_groups", ())), tuple(d.get("consolidate", ())), d.get("item_merges", {}),
+            tuple(Convention.of(c) for c in d.get("conventions", CONVENTIONS)),
         )
 
     @classmethod

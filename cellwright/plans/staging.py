@@ -19,6 +19,7 @@ from .. import __version__
 from ..functions import cells as C
 from ..operators import align, psf, pyramid, resample, select
 from ..sources import grids, sinks
+from ..sources.links import stored_neighbours
 from . import metadata
 from .settings import Group, Settings
 
@@ -60,6 +61,13 @@ def chunks(spark: SparkSession, p: Plan, group: str) -> DataFrame:
 
 def _points(spark: SparkSession, p: Plan, group: str, g: Group) -> DataFrame:
     frames = [grids.drop_variables(grids.open_group(spark, path, group), g.drop) for path in p.inputs]
+    at = grids.group_spatial(group, frames)
+    if at is None:
+        raise ValueError(f"group {group!r} has no coordinates")
+    frames = [grids.located(f, at, i) for i, f in enumerate(frames)]
+    dims = [x.name for x in g.extra]
+    for name in {c for f in frames for c in f.columns if (f.schema[c].metadata or {}).get("dimension")} - {*dims}:
+        align.check_compatible(frames, name)
     for extra in g.extra:
         for f in frames:
             if extra.name not in f.columns:
@@ -79,9 +87,9 @@ def _chosen(ids: list[int], indices: Iterable[int] | None) -> list[int]:
 
 def resampler(name: str) -> Callable:
     made = {
-        "nearest": lambda pts, cells, g, vs, e: resample.nearest(pts, cells, g.grid.level, vs, e),
-        "k-nearest": lambda pts, cells, g, vs, e: resample.inverse_distance(pts, cells, g.grid.level, vs, int(g.resampler.params.get("k", 4)), e, keep_type=True),
-        "bilinear": lambda pts, cells, g, vs, e: resample.inverse_distance(pts, cells, g.grid.level, vs, int(g.resampler.params.get("k", 4)), e, float(g.resampler.params.get("threshold", 0.0))),
+        "nearest": lambda pts, cells, g, vs, e, **kw: resample.nearest(pts, cells, g.grid.level, vs, e, **kw),
+        "k-nearest": lambda pts, cells, g, vs, e, **kw: resample.inverse_distance(pts, cells, g.grid.level, vs, int(g.resampler.params.get("k", 4)), e, keep_type=True, **kw),
+        "bilinear": lambda pts, cells, g, vs, e, **kw: resample.inverse_distance(pts, cells, g.grid.level, vs, int(g.resampler.params.get("k", 4)), e, float(g.resampler.params.get("threshold", 0.0)), **kw),
         "grid-bilinear": lambda pts, cells, g, vs, e: resample.grids_bilinear(pts, cells, g.grid.level, vs, e, float(g.resampler.params.get("min_weight", 0.5))),
         "cell-point": lambda pts, cells, g, vs, e: resample.cell_point(pts, vs, e),
         "nn": lambda pts, cells, g, vs, e: _by_variable(lambda v: resample.fill_gaps(resample.bin_mean(pts, g.grid.level, [v], e), g.grid.level, v).join(cells, "cell_id", "left_semi"), vs),
@@ -96,10 +104,15 @@ def _by_variable(f: Callable[[str], DataFrame], variables: list[str]) -> DataFra
     return pyramid.merge_levels([f(v) for v in variables])
 
 
-def convert_group(spark: SparkSession, p: Plan, group: str, chunk_indices: Iterable[int] | None = None) -> DataFrame:
+#: Resamplers whose links depend on places alone: one search serves all labels, and can be stored.
+BY_LINKS = ("nearest", "k-nearest", "bilinear")
+
+
+def convert_group(spark: SparkSession, p: Plan, group: str, chunk_indices: Iterable[int] | None = None, links: str | None = None) -> DataFrame:
     """The cells of a group, of all its chunks or some: chunk_id, cell_id, variables.
 
-    Dense chunks hold all their cells (missing: the fill), sparse ones those with points.
+    Dense chunks hold all their cells (missing: the fill), sparse ones those with points. ``links``
+    is a folder where neighbour links are kept for later runs over the same points and cells.
     """
     g = p.settings.for_group(group)
     e = C.ELLIPSOIDS[g.grid.ellipsoid]
@@ -116,18 +129,27 @@ def convert_group(spark: SparkSession, p: Plan, group: str, chunk_indices: Itera
             # A point that several chunks need comes once; observations that are alike stay apart.
             pts = near.drop("chunk_id").dropDuplicates(["input_id", "point_idx", *(x.name for x in g.extra)])
         wanted = C.children(frame, level - g.chunks.level).select(F.col("child_id").alias("cell_id"))
-    slices = pts.select(*[x.name for x in g.extra]).distinct().collect() if g.extra else [()]  # labels are few
+    dims = tuple(x.name for x in g.extra)
+    # Labels are few. Where all have the same points, they are worked on together.
+    here = [F.count(F.lit(1)).alias("__n"), F.bit_xor(F.xxhash64("input_id", "point_idx", "lon", "lat")).alias("__h")]
+    slices = pts.groupBy(*dims).agg(*here).collect() if dims else []
+    together = g.resampler.name in BY_LINKS and len({(s["__n"], s["__h"]) for s in slices}) <= 1
     out = None
-    for s in slices:
-        part, labels = pts, {}
-        for x, value in zip(g.extra, s):
-            part, labels[x.name] = part.filter(F.col(x.name) == value), value
-        one = resampler(g.resampler.name)(part, wanted, g, variables, e)
+    for labels in [{}] if together or not dims else [{d: s[d] for d in dims} for s in slices]:
+        part, by = pts, dims if together else ()
+        for name, value in labels.items():
+            part = part.filter(F.col(name).eqNullSafe(F.lit(value)))
+        kw: dict = {"by": by} if g.resampler.name in BY_LINKS else {}
+        if links is not None and kw:
+            k = 1 if g.resampler.name == "nearest" else int(g.resampler.params.get("k", 4))
+            kw["links"] = stored_neighbours(resample.places(part, by or dims), wanted, level, k, links, e)
+        one = resampler(g.resampler.name)(part, wanted, g, variables, e, **kw)
         if g.chunks.kind == "sparse":
             one = one.join(wanted, "cell_id", "left_semi")
         elif g.resampler.name != "cell-point":
-            one = resample.dense(one, wanted)
-        one = one.withColumns({k: F.lit(v) for k, v in labels.items()})
+            cells = wanted.withColumn("__of", F.explode(F.array(*[F.struct(*[F.lit(s[d]).alias(d) for d in dims]) for s in slices]))).select("cell_id", "__of.*") if by else wanted
+            one = resample.dense(one, cells, by=by)
+        one = one.withColumns({d: F.lit(v) for d, v in labels.items()})
         out = one if out is None else out.unionByName(one)
     if g.resampler.dtype:
         out = out.withColumns({v: pyramid.half_precision(F.col(v)) if g.resampler.dtype == "float16" else F.col(v).cast(g.resampler.dtype) for v in variables})
@@ -146,8 +168,9 @@ def prepare(spark: SparkSession, p: Plan, output: str, dry_run: bool = False) ->
             at = f"{at}/{part}".strip("/")
             documents.setdefault(at, {})
         grid = p.settings.for_group(g).grid
-        documents[g] = {"dggs": metadata.grid_attributes(grid), "grid_mapping": metadata.cf_grid_mapping(grid)}
-    for path, pyr in p.settings.pyramids.items():
+        cf = p.settings.convention("cf")
+        documents[g] = ({"dggs": metadata.grid_attributes(grid)} if p.settings.convention("dggs") else {}) | ({"grid_mapping": metadata.cf_grid_mapping(grid)} if cf and cf.grid_mapping else {})
+    for path, pyr in p.settings.pyramids.items() if p.settings.convention("multiscales") else ():
         native = spark.createDataFrame([("*", l) for l in p.settings.native(path)], "variable string, level int")
         derived = metadata.source_levels(native, pyr.levels).select("variable", "level", F.col("nearest" if pyr.source == "nearest" else "finest").alias("source"))
         assets = metadata.layout(native, derived, "group" if pyr.asset_type == "auto" else pyr.asset_type)

@@ -9,9 +9,13 @@ from __future__ import annotations
 
 import fnmatch
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
+
+from ..functions import projection
 
 
 def open_group(spark: SparkSession, root: str, group: str, options: dict[str, str] | None = None) -> DataFrame:
@@ -65,6 +69,80 @@ def find_crs(attributes: dict) -> int:
     return codes.pop() if codes else 4326
 
 
+def _spherical(name: str, field) -> bool:
+    return (field.metadata or {}).get("standard_name") in ("longitude", "latitude") or name in ("lon", "lat", "longitude", "latitude")
+
+
+@dataclass(frozen=True)
+class Spatial:
+    """How the points of a group are placed: by degrees or in a projection, one entry an input."""
+
+    kind: str  # projected, rectilinear or points
+    epsg: tuple[int, ...]
+    columns: tuple[tuple[str, str], ...]
+
+    def __add__(self, other: "Spatial") -> "Spatial":
+        if self.kind != other.kind:
+            raise ValueError(f"{self.kind} and {other.kind} inputs don't go together")
+        return Spatial(self.kind, self.epsg + other.epsg, self.columns + other.columns)
+
+
+def spatial(df: DataFrame, default_epsg: int = 4326) -> Spatial | None:
+    """What places the points of a table; None if nothing does.
+
+    x and y are of the reference system that their ``proj:`` metadata state, else of the input's
+    own. Where there are degrees besides, they are used.
+    """
+    if sum(_spherical(f.name, f) for f in df.schema) >= 2:
+        lon, lat, axes = find_coordinates(df)
+        return Spatial("rectilinear" if axes else "points", (4326,), ((lon, lat),))
+    if {"x", "y"} <= set(df.columns):
+        own = find_crs({k: v for f in df.schema if f.name in ("x", "y") for k, v in (f.metadata or {}).items()} or {"proj:epsg": default_epsg})
+        if own != 4326:
+            return Spatial("projected", (own,), (("x", "y"),))
+    return None
+
+
+def group_spatial(path: str, inputs: Sequence[DataFrame], default_epsg: Sequence[int] | None = None) -> Spatial | None:
+    """The same for a group of several inputs, which must agree; None if it is not a spatial group."""
+    empty = [not d.columns for d in inputs]
+    if any(empty):
+        if all(empty):
+            return None
+        raise ValueError(f"group {path!r} has data in some inputs only")
+    found = [spatial(d, e) for d, e in zip(inputs, default_epsg or [4326] * len(inputs))]
+    if all(f is None for f in found):
+        return None
+    if any(f is None for f in found):
+        raise ValueError(f"group {path!r} has coordinates in some inputs only")
+    out = found[0]
+    for f in found[1:]:
+        try:
+            out = out + f
+        except ValueError as e:
+            raise ValueError(f"group {path!r} differs between inputs: {e}") from None
+    return out
+
+
+def located(df: DataFrame, at: Spatial, i: int) -> DataFrame:
+    """An input's points with lon and lat, which take the place of its own coordinates."""
+    (a, b), epsg = at.columns[i], at.epsg[i]
+    if at.kind == "projected":
+        return projection.to_degrees(df, epsg, a, b).drop(a, b)
+    return df.withColumnsRenamed({a: "lon", b: "lat"})
+
+
+def most_common_crs(codes: DataFrame, epsg: str = "epsg") -> int:
+    """The reference system that most inputs have; of several the one that comes first by code."""
+    return codes.groupBy(epsg).count().orderBy(F.desc("count"), epsg).first()[0]
+
+
+def largest_step(axis: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """The largest distance between neighbouring nodes of each axis: ``by``, step."""
+    nodes = axis.select(*by, value).distinct().withColumn("__next", F.lead(value).over(W.Window.partitionBy(*by).orderBy(value)))
+    return nodes.groupBy(*by).agg(F.max(F.col("__next") - F.col(value)).alias("step"))
+
+
 def rectilinear_points(values: DataFrame, lon: DataFrame, lat: DataFrame, input_id: int = 0) -> DataFrame:
     """Points of a grid (i, j, variables) from its axes (i, lon) and (j, lat), numbered row by row."""
     n = lon.count()
