@@ -99,37 +99,49 @@ def _descend(placed: DataFrame, left: DataFrame, k: int, wanted: int, ellipsoid:
     return _ranked(pairs, k)
 
 
+#: A cell with more points than this many times k is crowded: its ring is not compared point by point.
+CROWD = 512
+
+
+def _in_ring(placed: DataFrame, left: DataFrame, at: int, k: int, ellipsoid: Ellipsoid) -> DataFrame:
+    """The k nearest points in a target's cell of a level and the ring around; none where these are crowded."""
+    own = C.add_steps(left, C.cell_steps("t_lon", "t_lat", at, ellipsoid, "own"), ["own"])
+    if at > 0:
+        around = C.with_neighbours(own, at, "own", "around")
+        around = around.withColumn("near", F.explode(F.array_distinct(F.concat(F.array("own"), F.filter("around", lambda c: c >= 0))))).drop("around")
+    else:
+        around = own.withColumn("near", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))))
+    near = placed.withColumn("near", _at(at))
+    crowded = near.groupBy("near").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD * k).select("near")
+    calm = around.join(around.join(crowded, "near", "left_semi").select("cell_id").distinct(), "cell_id", "left_anti")
+    return _ranked(calm.join(near, "near"), k)
+
+
 def neighbours(points: DataFrame, targets: DataFrame, level: int, k: int, ellipsoid: Ellipsoid = SPHERE, start: int | None = None) -> DataFrame:
     """The ``k`` points nearest to each target cell's centre: cell_id, input_id, point_idx, rank, distance.
 
     ``points``: input_id, point_idx, lon, lat; ``targets``: cell_id. Fewer than k points: all.
     A target first looks in its cell of the level ``start`` (by default one that suits the number
-    of points in occupied cells) and the ring around, unless one of these is crowded. Those that
-    are crowded, or find too few, go through ``_descend``; so points may lie in clusters.
+    of points in occupied cells) and the ring around, then two levels up, unless one of these cells
+    is crowded. Those that are, or that find too few, go through ``_descend``; so points may lie in
+    clusters.
     """
     placed = points.select("input_id", "point_idx", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat")).filter("lon is not null and lat is not null")
     placed = materialize(C.with_cell(placed, FINE, ellipsoid, out="fine").withColumns(ecef("lon", "lat", ellipsoid, "p")))
     total = placed.count()
     left = C.with_center(targets.select("cell_id").distinct(), level, ellipsoid, lon="t_lon", lat="t_lat").withColumns(ecef("t_lon", "t_lat", ellipsoid, "t"))
-    wanted = min(k, total)
-    at = (_ring_level(placed, total, k) if start is None else start) if total else 0
-    own = C.add_steps(left, C.cell_steps("t_lon", "t_lat", at, ellipsoid, "own"), ["own"])
-    if at > 0:
-        around = C.with_neighbours(own, at, "own", "around")
-        around = around.withColumn("near", F.explode(F.array_distinct(F.concat(F.array("own"), F.filter("around", lambda c: c >= 0))))).drop("around")
-    else:
-        around = own.withColumn("near", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))))
-    near = placed.withColumn("near", _at(at))
-    crowded = near.groupBy("near").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 64 * k).select("near")
-    calm = around.join(around.join(crowded, "near", "left_semi").select("cell_id").distinct(), "cell_id", "left_anti")
-    best = materialize(_ranked(calm.join(near, "near"), k))
-    width = C.NARROWEST * ellipsoid.a * math.sqrt(math.pi / 3) / 2**at if at else math.inf
-    ok = best.groupBy("cell_id").agg(F.max("rank").alias("n"), F.max("distance").alias("far")).filter((F.col("n") >= wanted) & (F.col("far") <= width)).select("cell_id")
-    left = materialize(left.join(ok, "cell_id", "left_anti"))
-    sure = best.join(ok, "cell_id", "left_semi")
-    if not total or left.isEmpty():
-        return sure
-    return sure.unionByName(_descend(placed, left, k, wanted, ellipsoid))
+    wanted, found = min(k, total), None
+    first = (_ring_level(placed, total, k) if start is None else start) if total else 0
+    for at in dict.fromkeys((first, max(0, first - 2))):
+        best = materialize(_in_ring(placed, left, at, k, ellipsoid))
+        width = C.NARROWEST * ellipsoid.a * math.sqrt(math.pi / 3) / 2**at if at else math.inf
+        ok = best.groupBy("cell_id").agg(F.max("rank").alias("n"), F.max("distance").alias("far")).filter((F.col("n") >= wanted) & (F.col("far") <= width)).select("cell_id")
+        left = materialize(left.join(ok, "cell_id", "left_anti"))
+        sure = best.join(ok, "cell_id", "left_semi")
+        found = sure if found is None else found.unionByName(sure)
+        if not total or left.isEmpty():
+            return found
+    return found.unionByName(_descend(placed, left, k, wanted, ellipsoid))
 
 
 def float32(df: DataFrame, variables: Iterable[str]) -> DataFrame:
