@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, quality
+from . import lines, manifest, mixing, quality
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 _SPACES = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -89,4 +89,44 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   round(char_distance, 6) as char_distance, round(word_distance, 6) as word_distance
 from failed
 """
-ORACLES = {"op1_line_dedup": LINES, "op2_source_mix": MIX, "op10_quality_rules": QUALITY}
+
+#: Levels that the SQL spells out: 8^8 nodes of a tree, 16.8 million.
+_DEEP = 8
+_LEN = lambda v: f"case when {v} is null then '-' else strlen({v}::varchar) || ':' || ({v})::varchar end"
+_LEAF = lambda text: "sha256(" + " || ".join(_LEN(v) for v in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _tree(name: str, bottom: str) -> str:
+    """Tables ``name``0 to ``name``_DEEP of nodes (tree, pos, n, node) and ``name``r0... of their runs of eight."""
+    out = [f"{name}0 as materialized ({bottom})"]
+    for l in range(_DEEP):
+        out.append(f"{name}r{l} as materialized (select tree, pos // 8 as run, any_value(n) as n, list(node order by pos) as nodes from {name}{l} group by 1, 2)")
+        out.append(f"{name}{l + 1} as materialized (select tree, run as pos, (n + 7) // 8 as n, case when n = 1 then nodes[1] else sha256(array_to_string(nodes, '')) end as node from {name}r{l})")
+    return ", ".join(out)
+
+
+def _fold(name: str, tree: str, rows: str) -> str:
+    """Tables ``name``0 to ``name``_DEEP: rows (tree, pos, folded, proof, ...) taken up a level at a time."""
+    out = [f"{name}0 as materialized ({rows})"]
+    for l in range(_DEEP):
+        left, right = "array_to_string(r.nodes[1 : d.pos % 8], '')", "array_to_string(r.nodes[d.pos % 8 + 2 :], '')"
+        out.append(f"{name}{l + 1} as materialized (select d.* replace (d.pos // 8 as pos, case when r.n = 1 then folded else sha256({left} || folded || {right}) end as folded, case when r.n = 1 then proof else proof || {left} || {right} end as proof) from {name}{l} d join {tree}r{l} r on r.tree = d.tree and r.run = d.pos // 8)")
+    return ", ".join(out)
+
+
+MANIFEST = f"""
+with polynomial as (select list_transform(range(256), lambda i: list_reduce([i] || range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+crcs as (select *, doc_id::varchar as id from documents),
+leaves as materialized (select doc_id, lang, coalesce('=' || lang, '') as tree, {_LEAF("text")} as leaf,
+  {_LEAF(f"translate(text, '{manifest.UPPER}', '{manifest.LOWER}')")} as lowered,
+  xor(list_reduce([4294967295] || list_transform(string_split(id, ''), lambda c: ascii(c)::bigint), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 3 = 0 as hit
+  from crcs, polynomial),
+placed as materialized (select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by tree) as n from leaves),
+{_tree("a", "select tree, pos, n, leaf as node from placed")},
+subroots as (select tree as of, node as subroot, row_number() over (order by tree) - 1 as pos, count(*) over () as n from a{_DEEP}),
+{_tree("b", "select '' as tree, pos, n, subroot as node from subroots")},
+{_fold("f", "a", "select tree, pos, case when hit then lowered else leaf end as folded, '' as proof, doc_id, leaf from placed")},
+{_fold("g", "b", f"select '' as tree, s.pos, folded, proof, doc_id, leaf, subroot from f{_DEEP} f join subroots s on s.of = f.tree")}
+select doc_id, leaf, subroot, (select node from b{_DEEP}) as root, sha256(proof) as proof_sha256, folded as folded_root, folded = (select node from b{_DEEP}) as verified from g{_DEEP}
+"""
+ORACLES = {"op1_line_dedup": LINES, "op2_source_mix": MIX, "op10_quality_rules": QUALITY, "op11_manifest": MANIFEST}

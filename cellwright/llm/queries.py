@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, html_extract, language, lines, lm_score, mixing, quality, simhash, token_counts
+from . import bpe, fingerprints, html_extract, language, lines, lm_score, manifest, mixing, quality, simhash, token_counts, whitening
 from .common import table
 from .oracles import ORACLES
 
@@ -60,6 +60,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.merkle_manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_source_mix": op2_source_mix,
@@ -71,4 +79,6 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_lm_score": op9_lm_score,
     "op10_quality_rules": op10_quality_rules,
+    "op11_manifest": op11_manifest,
+    "op12_whitening": op12_whitening,
 }
