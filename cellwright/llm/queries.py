@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, html_extract, language, lines, lm_score, manifest, mixing, quality, simhash, token_counts, whitening
+from . import bpe, fingerprints, html_extract, language, lines, lm_score, manifest, mixing, ngram_join, quality, simhash, token_counts, whitening
 from .common import table
 from .oracles import ORACLES
 
@@ -68,6 +68,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_source_mix": op2_source_mix,
@@ -81,4 +85,5 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "op11_manifest": op11_manifest,
     "op12_whitening": op12_whitening,
+    "op13_ngram_join": op13_ngram_join,
 }
