@@ -9,9 +9,11 @@ are cut to pieces of every length that they reach, so that no length lacks a lim
 documents of that length are rare. Pieces are held against centroids of the other half of the
 sample, since a text is nearer to centroids that were made from it.
 
-Training uses a bounded sample: at most ``PER_LANGUAGE`` labelled rows a language, those with the
-smallest hash of their doc_id, of whole texts, and at most ``SAMPLE`` rows of the ``LANGUAGES``
-values of lang with the most rows. Prediction sees the text alone.
+Training uses a bounded sample: at most ``PER_LANGUAGE`` labelled texts a language, those with the
+smallest hash, each once however many rows have it, and at most ``SAMPLE`` texts of the
+``LANGUAGES`` values of lang with the most texts. The driver gets the counts of these texts and
+makes centroids; how near the sample's pieces are to centroids is found in tasks, and a quantile
+for each length step comes back. Prediction sees the text alone.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from .common import materialize
+
 DIM = 1 << 13
 PER_LANGUAGE = 400
 LANGUAGES, SAMPLE = 64, 4800
@@ -68,28 +72,38 @@ def _letters(text: str) -> str:
     return text.strip()
 
 
+def _buckets(before: str, new: str) -> np.ndarray:
+    """The buckets of the n-grams that end in ``new``, which follows ``before``."""
+    x = np.frombuffer((before + new).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    m, k = np.uint64(0x9E3779B97F4A7C15), len(before)
+    one = x[k:] * m
+    two = ((x[:-1] * np.uint64(0x10001) + x[1:] + np.uint64(1 << 40)) * m)[max(0, k - 1) :]
+    three = ((x[:-2] * np.uint64(0x100000001) + x[1:-1] * np.uint64(0x10001) + x[2:] + np.uint64(1 << 41)) * m)[max(0, k - 2) :]
+    return (np.concatenate([one, two, three]) >> np.uint64(64 - DIM.bit_length() + 1)).astype(np.int64)
+
+
 def _counts(text: str) -> np.ndarray | None:
-    """n-gram counts of a whole text in DIM buckets; None if it has no letter."""
+    """n-gram counts of a whole text in DIM buckets; None if it has no letter.
+
+    A long text is taken in chunks; the two characters before a chunk are kept, so that n-grams
+    across two of them count.
+    """
     total = np.zeros(DIM, dtype=np.float64)
-    some = False
-    at = 0
+    before, within, some, at = "", False, False, 0  # within: the last chunk ended inside a word
     while at < len(text):
         end = min(len(text), at + CHUNK)
-        while end < len(text) and text[end].isalpha() and end < at + 2 * CHUNK:
-            end += 1  # ends within a word only if the word is that long
         letters = _letters(text[at:end])
+        if letters:
+            new = letters if within and text[at].isalpha() else f" {letters}"
+            total += np.bincount(_buckets(before, new), minlength=DIM)
+            before, some = (before + new)[-2:], True
+            within = text[end - 1].isalpha()
+        else:
+            within = False
         at = end
-        if not letters:
-            continue
-        some = True
-        x = np.frombuffer(f" {letters} ".encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-        m = np.uint64(0x9E3779B97F4A7C15)
-        one = x * m
-        two = (x[:-1] * np.uint64(0x10001) + x[1:] + np.uint64(1 << 40)) * m
-        three = (x[:-2] * np.uint64(0x100000001) + x[1:-1] * np.uint64(0x10001) + x[2:] + np.uint64(1 << 41)) * m
-        keys = np.concatenate([one, two, three]) >> np.uint64(64 - DIM.bit_length() + 1)
-        total += np.bincount(keys.astype(np.int64), minlength=DIM)
-    return total if some else None
+    if not some:
+        return None
+    return total + np.bincount(_buckets(before, " "), minlength=DIM)
 
 
 def _step(n: float) -> int:
@@ -151,76 +165,99 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS) -> Model:
-    """Learns from text and lang of at most ``per_language`` rows a language, none held out.
+def sample_texts(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """lang, turn, text: at most ``per_language`` texts of a language, none of a held-out row or one without an id or lang.
 
-    Ids and hashes alone are ranked (the limit is applied before the shuffle), and the sample's
-    texts are turned into counts where they are; the driver gets sparse counts of the bounded
-    sample. A value of lang beyond the ``LANGUAGES`` most frequent is not learned.
+    Rows are told apart by lang and text alone: hashes of texts are ranked, each once, and what
+    they stand for is looked up among the same rows, of which one a hash is kept.
     """
-    open_ = docs.select("doc_id", "lang").filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
-    rank = F.xxhash64("doc_id", F.lit(SEED))
-    sizes = open_.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    text = F.xxhash64("text", F.lit(SEED))
+    open_ = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text", text.alias("rank"))
+    sizes = open_.groupBy("lang").agg(F.approx_count_distinct("rank").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     per_language = max(1, min(per_language, SAMPLE // max(1, len(sizes))))
     # A cut of the hash's range leaves about twice the sample to rank, whatever the input's size.
     shares = [(r["lang"], min(1.0, 2.0 * per_language / r["n"]) if r["n"] > 4 * per_language else 1.0) for r in sizes]
     share = docs.sparkSession.createDataFrame(shares, "lang string, share double")  # LANGUAGES rows at most
-    low = open_.join(F.broadcast(share), "lang").filter(rank.cast("double") / float(1 << 64) + 0.5 <= F.col("share"))
-    turn = F.row_number().over(W.Window.partitionBy("lang").orderBy(rank, "doc_id"))
-    chosen = low.withColumn("turn", turn).filter(F.col("turn") <= per_language).select("doc_id", "lang").distinct()
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", "text")
+    low = open_.select("lang", "rank").join(F.broadcast(share), "lang").filter(F.col("rank").cast("double") / float(1 << 64) + 0.5 <= F.col("share"))
+    turn = F.row_number().over(W.Window.partitionBy("lang").orderBy("rank"))
+    chosen = low.select("lang", "rank").distinct().withColumn("turn", turn).filter(F.col("turn") <= per_language)
+    # SAMPLE rows at most are broadcast; copies of a text meet by partial aggregation.
+    return open_.join(F.broadcast(chosen), ["lang", "rank"]).groupBy("lang", "turn").agg(F.min("text").alias("text"))
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, lang, t in zip(*(b.column(n).to_pylist() for n in ("doc_id", "lang", "text"))):
-                # Dense counts are held one at a time.
-                out = [(n > 0, (a := np.flatnonzero(c)).astype(np.uint16).tobytes(), c[a].astype(np.uint32).tobytes()) for n, x in enumerate((t, *_pieces(t))) if (c := _counts(x)) is not None] if t else []
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([i] * len(out), pa.int64()), pa.array([lang] * len(out), pa.string()),
-                    *[pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.bool_(), pa.binary(), pa.binary()))],
-                ], names=["doc_id", "lang", "cut", "at", "n"])
-
-    rows = sample.mapInArrow(vectors, "doc_id long, lang string, cut boolean, at binary, n binary").collect()
-    rows.sort(key=lambda r: (r["lang"], r["doc_id"], r["at"]))
-    cuts, rows = [r for r in rows if r["cut"]], [r for r in rows if not r["cut"]]
-    counts = np.zeros((len(rows), DIM), dtype=np.float32)
-    for i, r in enumerate(rows):
-        counts[i, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["n"], np.uint32)
-    idf = np.log((1 + len(rows)) / (1 + (counts > 0).sum(axis=0))) + 1
-    units = np.vstack([_unit(c, idf) for c in counts]) if rows else np.zeros((0, DIM), dtype=np.float32)
+
+def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = []
+        for lang, turn, t in zip(*(b.column(n).to_pylist() for n in ("lang", "turn", "text"))):
+            if (c := _counts(t)) is not None:
+                at = np.flatnonzero(c)
+                out.append((lang, turn, at.astype(np.uint16).tobytes(), c[at].astype(np.uint32).tobytes()))
+        kinds = (pa.string(), pa.int32(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["lang", "turn", "at", "n"])
+
+
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS) -> Model:
+    """Learns from text and lang of at most ``per_language`` texts a language, none held out.
+
+    The driver gets sparse counts of the bounded sample and makes a language's vectors dense one
+    language at a time. A value of lang beyond the ``LANGUAGES`` most frequent is not learned, nor
+    is a row whose lang, text or doc_id is null. An empty table gives a model that knows nothing.
+    """
+    sample = materialize(sample_texts(docs, per_language).repartition("lang", "turn"))
+    rows = sample.mapInArrow(_sparse, "lang string, turn int, at binary, n binary").collect()
+    rows.sort(key=lambda r: (r["lang"], r["turn"]))
+    seen = np.zeros(DIM)
+    for r in rows:
+        seen[np.frombuffer(r["at"], np.uint16)] += 1
+    idf = np.log((1 + len(rows)) / (1 + seen)) + 1
     languages = sorted({r["lang"] for r in rows})
-    of = np.array([languages.index(r["lang"]) for r in rows], dtype=int)
-    rng = np.random.default_rng(SEED)
-    parts = [_cluster(units[of == i], centroids, rng) for i in range(len(languages))]
+    rngs = [np.random.default_rng(SEED) for _ in range(3)]
+    parts, halves = [], ([], [])
+    for i, lang in enumerate(languages):
+        own = [r for r in rows if r["lang"] == lang]
+        units = np.zeros((len(own), DIM), dtype=np.float32)
+        for k, r in enumerate(own):
+            units[k, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["n"], np.uint32)
+            units[k] = _unit(units[k], idf)
+        parts.append(_cluster(units, centroids, rngs[2]))
+        half = np.array([r["turn"] % 2 for r in own])
+        for h in range(2):  # centroids of the other half
+            if (half != h).any():
+                halves[h].append((lang, _cluster(units[half != h], centroids, rngs[h])))
     centres = np.vstack(parts) if parts else np.zeros((0, DIM), dtype=np.float32)
     owner = np.repeat(np.arange(len(languages)), [len(p) for p in parts])
-    return Model(languages, idf, centres, owner, _limits(rows, cuts, units, of, idf, centroids))
+    return Model(languages, idf, centres, owner, _limits(sample, idf, halves) if languages else np.zeros(STEPS))
 
 
-def _limits(rows: list, cuts: list, units: np.ndarray, of: np.ndarray, idf: np.ndarray, centroids: int) -> np.ndarray:
+def _limits(sample: DataFrame, idf: np.ndarray, halves: tuple[list, list]) -> np.ndarray:
     """Least cosine that is not rejected, by length step, from whole and cut sample texts.
 
-    Each half of a language's documents is held against centroids of the other half. A step that
-    no text reaches has the limit of the nearest one below. A sample without two documents of a
-    language tells nothing, and the limits are 0.
+    Each half of a language's texts is held against centroids of the other half. A step that no
+    text reaches has the limit of the nearest one below. A sample without two texts of a language
+    tells nothing, and the limits are 0.
     """
-    turn = {k: i for i, k in enumerate(dict.fromkeys((r["lang"], r["doc_id"]) for r in rows))}  # rows are in order of language
-    half = np.array([turn[r["lang"], r["doc_id"]] % 2 for r in rows], dtype=int)
-    rng = np.random.default_rng(SEED)
-    centres = [{int(i): _cluster(units[(of == i) & (half != h)], centroids, rng) for i in np.unique(of[half != h])} for h in range(2)]
-    language = {r["lang"]: int(i) for r, i in zip(rows, of)}
-    every = [np.vstack(list(c.values())) if c else None for c in centres]
-    seen: list[list[float]] = [[] for _ in range(STEPS)]
-    for r in (*rows, *cuts):
-        h = turn.get((r["lang"], r["doc_id"]))
-        if h is None or language[r["lang"]] not in centres[h % 2]:
-            continue
-        at, n = np.frombuffer(r["at"], np.uint16), np.frombuffer(r["n"], np.uint32).astype(float)
-        v = np.log1p(n) * idf[at]
-        seen[_step(n.sum())].append(float((every[h % 2][:, at] @ v).max() / max(np.sqrt(v @ v), 1e-12)))
+    known = [{lang for lang, _ in h} for h in halves]
+    shared = sample.sparkSession.sparkContext.broadcast([np.vstack([c for _, c in h]) if h else None for h in halves])  # bounded by LANGUAGES
+
+    def nearness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            steps, found = [], []
+            for lang, turn, text in zip(*(b.column(n).to_pylist() for n in ("lang", "turn", "text"))):
+                if lang not in known[turn % 2]:
+                    continue
+                for piece in (text, *_pieces(text)):
+                    if (c := _counts(piece)) is not None:
+                        at = np.flatnonzero(c)
+                        v = np.log1p(c[at]) * idf[at]
+                        steps.append(_step(c.sum()))
+                        found.append(float((shared.value[turn % 2][:, at] @ v).max() / max(np.sqrt(v @ v), 1e-12)))
+            yield pa.RecordBatch.from_arrays([pa.array(steps, pa.int32()), pa.array(found, pa.float64())], names=["step", "cosine"])
+
+    near = sample.mapInArrow(nearness, "step int, cosine double").groupBy("step").agg(F.percentile("cosine", F.lit(TAIL)).alias("low"))
+    least = {r["step"]: r["low"] for r in near.collect()}  # STEPS rows
     limit = np.zeros(STEPS)
     for s in range(STEPS):
-        limit[s] = SLACK * np.quantile(seen[s], TAIL) if seen[s] else limit[max(s - 1, 0)]
+        limit[s] = SLACK * least[s] if s in least else limit[max(s - 1, 0)]
     return limit
 
 

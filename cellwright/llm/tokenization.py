@@ -2,7 +2,8 @@
 
 The files' path is a parameter of every operator; ``default_path`` only finds the installed ones.
 
-``Transducer`` encodes a byte stream with bounded lookahead. Compare BPE on a stream with BPE on
+``Stream`` takes a text in chunks and gives ids once they are final; within a pre-token, ``Transducer``
+and ``Run`` encode a byte stream with bounded lookahead. Compare BPE on a stream with BPE on
 a prefix of it: both do the same left of a frontier, which starts at the prefix's end. A merge
 rule (u, v) moves the frontier left by len(u) if u stands left of it and v begins at it in one of
 the two runs only, so v grew to the right from the left part u' of the rule (u', v') that moved
@@ -37,7 +38,7 @@ _LATIN = {p: regex.compile(p.replace(r"[^\s", r"[^\t-\r\x20\x85\xa0").replace(r"
 #: Texts are split in pieces of about so many characters, at a word's end before white space.
 PIECE = 1 << 16
 _CUT = re.compile(r"(?<=[^\s\x1c-\x1f])(?=[ \n])")
-#: Pre-tokens up to this many bytes are remembered, and so many of them at most.
+#: Results of pre-tokens up to this many bytes are remembered, and so many of them at most.
 SHORT, REMEMBERED = 48, 1 << 18
 
 
@@ -81,10 +82,10 @@ class Vocabulary:
         self.pattern = WORDPIECE if self.lower else BYTEPIECE
         self._special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
 
-    def sections(self, text: str) -> Iterator[tuple[str, bool]]:
-        """(part, whether it is a special string), which the library takes out first."""
+    def sections(self, text: str, empty: bool = False) -> Iterator[tuple[str, bool]]:
+        """(part, whether it is a special string), which the library takes out first; empty parts if asked for."""
         for i, part in enumerate(self._special.split(text)):
-            if part:
+            if part or empty:
                 yield part, bool(i % 2)
 
     def pretokens(self, part: str) -> list[str]:
@@ -148,42 +149,37 @@ class Transducer:
 
     def stream(self, chunks: Iterable[bytes]) -> Iterator[int]:
         """Ids of one pre-token that comes in chunks; holds a chunk and the lookahead at most."""
-        held = b""
+        run = Run(self)
         for chunk in chunks:
-            held += chunk
-            done = 0
-            for token in self.merge(held) if len(held) > self.lookahead else ():
-                if done + len(token) > len(held) - self.lookahead:
-                    break
-                yield self.ids[token]
-                done += len(token)
-            held = held[done:]
-        yield from (self.ids[t] for t in self.merge(held))
+            yield from run.push(chunk)
+        yield from run.end()
 
     def pretoken(self, pretoken: str, chunk: int = 1 << 12) -> tuple[int, ...] | list[int]:
+        """Ids of a pre-token; those of a short one are remembered."""
         found = self._known.get(pretoken)
         if found is None:
             data = pretoken.encode("utf-8", "surrogatepass")
-            if len(data) > SHORT:
-                return list(self.stream(data[i : i + chunk] for i in range(0, len(data), chunk)))
-            if len(self._known) >= REMEMBERED:
-                self._known.clear()
-            found = self._known[pretoken] = tuple(self.ids[t] for t in self.merge(data))
+            found = tuple(self.stream(data[i : i + chunk] for i in range(0, len(data), chunk)))
+            if len(data) <= SHORT:
+                if len(self._known) >= REMEMBERED:
+                    self._known.clear()
+                self._known[pretoken] = found
         return found
 
-    def encode(self, text: str, words: Vocabulary) -> Iterator[list[int]]:
-        """Ids of a text, a piece at a time."""
-        known = self._known
-        for part, special in words.sections(text):
-            if special:
-                yield [words.special[part]]
-                continue
-            for piece in pieces(part):
-                split = words.pretokens(piece)
-                found = list(map(known.get, split))
-                if None in found:
-                    found = [x if x is not None else self.pretoken(t) for x, t in zip(found, split)]
-                yield list(chain.from_iterable(found))
+    def pretokens(self, split: list[str]) -> list[int]:
+        found = list(map(self._known.get, split))
+        if None in found:
+            found = [x if x is not None else self.pretoken(t) for x, t in zip(found, split)]
+        return list(chain.from_iterable(found))
+
+    def encode(self, text: str, words: Vocabulary, chunk: int = PIECE) -> Iterator[list[int]]:
+        """Ids of a text that is read in chunks, each as soon as it is final."""
+        state = Stream(self, words)
+        for at in range(0, len(text), chunk):
+            if at + chunk < len(text):
+                yield state.push(text[at : at + chunk])
+            else:
+                yield state.end(text[at:])
 
     def decode(self, ids: Iterable[list[int]]) -> Iterator[str]:
         """Text of ids, a piece at a time: bytes of a character that is not whole yet are held."""
@@ -194,6 +190,101 @@ class Transducer:
         yield state.decode(b"", True)
 
 
+class Run:
+    """One pre-token on its way through the transducer: bytes in, ids out once they are final."""
+
+    def __init__(self, coder: Transducer):
+        self.coder, self.held = coder, b""
+
+    def push(self, data: bytes) -> list[int]:
+        self.held += data
+        sure, done, out = len(self.held) - self.coder.lookahead, 0, []
+        for token in self.coder.merge(self.held) if sure > 0 else ():
+            if done + len(token) > sure:
+                break
+            out.append(self.coder.ids[token])
+            done += len(token)
+        self.held = self.held[done:]
+        return out
+
+    def end(self) -> list[int]:
+        out, self.held = [self.coder.ids[t] for t in self.coder.merge(self.held)], b""
+        return out
+
+
+class Stream:
+    """A text on its way through: characters in, ids out once they are final.
+
+    The end of a pre-token settles its ids. Where one ends is settled by three characters after it
+    at most, so all but the last three pre-tokens of what has been read are final. A pre-token that
+    doesn't end for ``LONG`` characters goes through a ``Run`` as it comes; what belongs to it is
+    found by splitting two of its characters together with those that follow. Special strings come
+    first: as many characters are held back as might be the beginning of one.
+    """
+
+    LONG = 1 << 12
+
+    def __init__(self, coder: Transducer, words: Vocabulary):
+        self.coder, self.words = coder, words
+        self.tail, self.seed, self.run = "", "", None
+        self.keep = max([1, *map(len, words.special)])
+
+    def push(self, text: str) -> list[int]:
+        *whole, last = self.words.sections(self.tail + text, True)
+        out = [i for part, special in whole for i in (self._all(part) if not special else [self.words.special[part]])]
+        return out + self._some(last[0])
+
+    def end(self, text: str = "") -> list[int]:
+        out: list[int] = []
+        for part, special in self.words.sections(self.tail + text):
+            out += [self.words.special[part]] if special else self._all(part)
+        out += self._all("")
+        self.tail = ""
+        return out
+
+    def _continued(self, text: str) -> tuple[list[int], str]:
+        """Ids that the open run gives for what is its own of a text, and the rest, with the run ended if there is one."""
+        split = self.words.pretokens(self.seed + text) if text else [self.seed]
+        own = len(split[0]) - len(self.seed)
+        out = self.run.push(text[:own].encode("utf-8", "surrogatepass"))
+        return out, text[own:]
+
+    def _all(self, text: str) -> list[int]:
+        """A section's end."""
+        out: list[int] = []
+        if self.run:
+            out, text = self._continued(text)
+            out += self.run.end()
+            self.run = None
+        return out + self.coder.pretokens(self.words.pretokens(text)) if text else out
+
+    def _some(self, text: str) -> list[int]:
+        out: list[int] = []
+        if self.run:
+            split = self.words.pretokens(self.seed + text)
+            if len(split) == 1:  # it goes on
+                sure = text[: -self.keep]
+                self.tail = text[len(sure) :]
+                self.seed = (self.seed + sure)[-2:]
+                return self.run.push(sure.encode("utf-8", "surrogatepass"))
+            if sum(map(len, split[1:])) <= self.keep:  # its end isn't settled
+                self.tail = text
+                return out
+            out, text = self._continued(text)
+            out += self.run.end()
+            self.run = None
+        split = self.words.pretokens(text)
+        out += self.coder.pretokens(split[:-3])
+        split = split[-3:]
+        if split and len(split[-1]) > self.LONG + self.keep:
+            out += self.coder.pretokens(split[:-1])
+            sure, self.tail = split[-1][: -self.keep], split[-1][-self.keep :]
+            self.run, self.seed = Run(self.coder), sure[-2:]
+            return out + self.run.push(sure.encode("utf-8", "surrogatepass"))
+        self.tail = "".join(split)
+        return out
+
+
 def sufficient_lookahead(merges: list[tuple[bytes, bytes]]) -> int:
     """Bytes after a token's end that settle it, from the merge list (see the module's text)."""
     left: dict[bytes, bytes] = {}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("cellwright.llm")
 from cellwright.llm import bpe, fingerprints, language, lines, lm_score, mixing, quality, simhash, token_counts  # noqa: E402
-from cellwright.llm.tokenization import default_path, sufficient_lookahead, transducer, vocabulary  # noqa: E402
+from cellwright.llm.tokenization import Stream, default_path, sufficient_lookahead, transducer, vocabulary  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = {"en": "the of and to in is that with for this are be on was from".split(), "fr": "de la le et les des une est que pour dans sur avec pas qui".split()}
@@ -148,31 +148,38 @@ def chained(values):
 
 
 def syncmers(letters):
-    """Hashes of the closed syncmers, k-mer by k-mer."""
+    """Places and hashes of the closed syncmers, k-mer by k-mer."""
     k, s = fingerprints.K, fingerprints.S
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     w = [xxhash.xxh64_intdigest(x, 42) for x in letters]
     if len(w) < k:
-        return [xxhash.xxh64_intdigest(" ".join(str(signed(x)) for x in w).encode(), 42)] if w else []
+        return [(0, xxhash.xxh64_intdigest(" ".join(str(signed(x)) for x in w).encode(), 42))] if w else []
     out = []
     for i in range(len(w) - k + 1):
         inner = [signed(chained(w[j : j + s])) for j in range(i, i + k - s + 1)]
         if min(inner) in (inner[0], inner[-1]):
-            out.append(chained(w[i : i + k]))
+            out.append((i, chained(w[i : i + k])))
     return out
 
 
-def plain_sketch(text):
-    words = text.encode().split()
-    found = syncmers(words)
-    if words and (len(words) < fingerprints.FEW_WORDS or len(text) > len(words) * fingerprints.LONG_WORDS):
-        found += syncmers([c.encode() for c in text])
-    return sorted({h >> 32 for h in found})[: fingerprints.SKETCH]
+def plain_fingerprint(text):
+    """Anchors of words, and the sketch of code points if these are few."""
+    found = syncmers(text.encode().split())
+    signed = lambda h: h - (1 << 32) if h >> 31 else h
+    chars = sorted({signed(h >> 32) for _, h in syncmers([c.encode() for c in text])})[: fingerprints.ENOUGH] if text.encode().split() and len(found) < fingerprints.ENOUGH else []
+    return found, chars
 
 
-def plain_likeness(a, b):
-    both = sorted({*a, *b})[: fingerprints.SKETCH]
-    return len(set(both) & set(a) & set(b)) / len(both) if both else 1.0
+def plain_text(f):
+    return "".join(f"{h >> 32:08x}{p:06x}" for p, h in f[0]) + ("." + "".join(f"{v & 0xFFFFFFFF:08x}" for v in f[1]) if f[1] else "")
+
+
+def plain_likeness(f, g):
+    a, b = ({h >> 32 for _, h in x[0]} for x in (f, g))
+    both = sorted({*f[1], *g[1]})[: fingerprints.ENOUGH]
+    alike = len(set(both) & set(f[1]) & set(g[1])) / len(both) if both else 1.0
+    rest = max(0, fingerprints.ENOUGH - len(a | b))
+    return (len(a & b) + rest * alike) / (len(a | b) + rest)
 
 
 def test_syncmer_anchors_are_context_free(spark, docs, none):
@@ -203,16 +210,37 @@ def test_fingerprints(docs, none):
         t = t or ""
         h = len(t) // 2
         edited = t[: len(t) - h] + by[follower[d]][:h]
-        mine, other, after = plain_sketch(t), plain_sketch(edited), plain_sketch(by[follower[d]])
-        text = lambda x: "".join(f"{v:08x}" for v in x)
-        want = (d, len(t), hashlib.sha256(edited.encode()).hexdigest(), text(mine), text(other), plain_likeness(mine, other), plain_likeness(mine, after))
-        assert want in [(r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], r["near_edited"], r["near_next"]) for r in out[d]]
+        mine, other, after = plain_fingerprint(t), plain_fingerprint(edited), plain_fingerprint(by[follower[d]])
+        want = (d, len(t), hashlib.sha256(edited.encode()).hexdigest(), plain_text(mine), plain_text(other), plain_likeness(mine, other), plain_likeness(mine, after), len({*mine[0]} & {*other[0]}))
+        assert want in [(r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], r["near_edited"], r["near_next"], r["same_place"]) for r in out[d]]
     same = {r["fingerprint"] for r in (*out[0], *out[1006])}
     assert len(same) == 1 and all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
     assert fingerprints.fingerprint_edits(none).count() == 0
     assert out[1000][0]["fingerprint"] == "" and out[1001][0]["near_edited"] == 1.0
 
 
+def test_likeness_changes_little_with_one_word_more(spark):
+    """A text and the same with one word more are near at every length."""
+    rng = random.Random(17)
+    word = sentence(rng, "en", 260).split()
+    df = spark.createDataFrame([(n, " ".join(word[:n]), " ".join(word[: n + 1])) for n in range(20, 201)], "n int, a string, b string")
+    both = fingerprints.with_fingerprint(fingerprints.with_fingerprint(df, "a", "fa"), "b", "fb")
+    got = {r["n"]: r["l"] for r in both.select("n", fingerprints.likeness("fa", "fb").alias("l")).collect()}
+    assert len(got) == 181 and min(got.values()) > 0.9, sorted(got.items(), key=lambda x: x[1])[:5]
+
+
+def test_anchors_match_by_place(spark):
+    rng = random.Random(19)
+    core, more = sentence(rng, "en", 80), sentence(rng, "fr", 50)
+    texts = [(1, f"{core} {more}"), (2, f"{sentence(rng, 'fr', 13)} {core}"), (3, sentence(rng, "en", 90)), (4, more), (None, core)]
+    found = fingerprints.anchors(spark.createDataFrame(texts, "doc_id long, text string"))
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (1, 2)], "a long, b long")
+    got = {(r["b"], r["shift"]): (r["n_anchors"], r["first"], r["last"]) for r in fingerprints.match_anchors(pairs, found).collect()}
+    own = dict(syncmers(core.encode().split()))
+    assert got[2, 13] == (len(own), min(own), max(own)) and got[4, -80][0] == len(syncmers(more.encode().split()))
+    assert not any(b == 3 and n > 2 for (b, _), (n, *_) in got.items())
+
+
 def test_fingerprints_of_short_texts_and_of_texts_without_spaces(spark):
     rng = random.Random(31)
     han = "".join(chr(0x4E00 + i) for i in range(900))
@@ -398,11 +426,29 @@ def test_language_rejects_foreign_texts_of_any_length(spark):
         assert kept >= 0.98 * len(own)
 
 
-def test_counts_of_long_texts_do_not_depend_on_pieces(monkeypatch):
-    text = sentence(random.Random(2), "fr", 5000)
+@pytest.mark.parametrize("chunk", [1, 2, 7, 500])
+def test_counts_of_long_texts_do_not_depend_on_chunks(monkeypatch, chunk):
+    text = sentence(random.Random(2), "fr", 700) + " 12 -- 日本語\n\n" + "x" * 1200 + " ½ end"
     whole = language._counts(text)
-    monkeypatch.setattr(language, "CHUNK", 500)
-    assert np.allclose(whole.sum(), language._counts(text).sum(), rtol=0.02)
+    monkeypatch.setattr(language, "CHUNK", chunk)
+    assert np.array_equal(whole, language._counts(text)) and language._counts("12 " * 50) is None
+
+
+def test_language_learns_from_labelled_rows_alone(spark):
+    """Rows that share an id with a labelled one, without a lang or with another text, teach nothing."""
+    rng = random.Random(9)
+    data = [(i, sentence(rng, lang := ("en", "fr")[i % 2], rng.randint(20, 80)), lang) for i in range(200)]
+    foreign = "Съешь же ещё этих мягких французских булок, да выпей чаю. "
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    many = spark.range(0, 100_000, 1, 4).selectExpr("0L as doc_id", f"repeat('{foreign}', 3) || id as text", "cast(null as string) as lang")
+    same = spark.range(0, 50_000, 1, 4).selectExpr("4L as doc_id", "'the same text of a third of all rows, again and again' as text", "'en' as lang")
+    clash = df.unionByName(many).unionByName(same).withColumns({"turn": F.lit("x"), "rank": F.lit(0), "share": F.lit(1)})
+    model = language.train(clash, per_language=60)
+    sample = language.sample_texts(clash, 60).collect()
+    assert len(sample) <= 120 and not any("е" in r["text"] for r in sample) and len({r["text"] for r in sample}) == len(sample)
+    assert model.languages == ["en", "fr"] and model.predict(foreign * 4)[2]
+    held = {r[1] for r in df.filter(language.held_out(F.col("doc_id"))).collect()}
+    assert not held & {r["text"] for r in sample}
 
 
 def test_bpe(docs, none, spark):
@@ -429,6 +475,36 @@ def test_transducer_streams_like_the_whole():
     assert sufficient_lookahead([(b"a", b"b"), (b"ab", b"c")]) == 2 and sufficient_lookahead([]) == 0
 
 
+@pytest.mark.parametrize("chunk", [1, 3, 17, 400])
+def test_texts_stream_like_the_whole(monkeypatch, chunk):
+    """Chunks of any size give the library's ids, most of them before the text ends, and little is held."""
+    path = default_path("byte_bpe_50k.json")
+    coder, words = transducer(path), vocabulary(path)
+    monkeypatch.setattr(Stream, "LONG", 40)
+    rng = random.Random(4)
+    run = lambda c, n: "".join(rng.choice(c) for _ in range(n))
+    texts = [
+        sentence(rng, "fr", 300), "don't we'll I'r e they've 'tis ''s 're'ss " * 9, run("abc", 3000), " " * 900 + "x", "\n \t " * 200, "!" * 500 + "s" * 300 + "<|endoftext|>" + "1" * 700,
+        "a<|endof" + "<|endoftext|" + "<|endoftext|><|endoftext|>" * 3 + " b", run("天地玄黃宇宙，。", 1500), run("a'.1 \n", 2000), "x" * 200 + "'" * 200 + "s" * 200 + " " * 200 + "\n" * 200 + "é" * 200, "" , " ", "½٣" * 400, run(" ", 300),
+    ]
+    for text in texts:
+        state, early, most = Stream(coder, words), [], 0
+        for at in range(0, len(text), chunk):
+            early += state.push(text[at : at + chunk])
+            most = max(most, len(state.tail) + (len(state.run.held) if state.run else 0))
+        rest = state.end()
+        want = words.library.encode(text, add_special_tokens=False).ids
+        assert early + rest == want, (text[:60], chunk)
+        assert most <= coder.lookahead + 4 * (40 + 2 * state.keep + chunk) + 100
+        if len(want) > 400:
+            assert len(early) > 0.4 * len(want)
+    text = sentence(rng, "en", 500)
+    state = Stream(coder, words)
+    early = sum(len(state.push(text[at : at + chunk])) for at in range(0, len(text), chunk))
+    assert early > 0.95 * (early + len(state.end())) or chunk == 400
+    assert [i for part in coder.encode(text, words, chunk) for i in part] == words.library.encode(text, add_special_tokens=False).ids
+
+
 def brute_force_scores(data, path):
     """Every document against counts of all others: one pass over the corpus for each."""
     n_ids = lm_score._vocabulary_size(path)
