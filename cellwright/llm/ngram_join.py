@@ -205,7 +205,7 @@ def _order(found: np.ndarray, late: np.ndarray, place: np.ndarray) -> np.ndarray
 
 
 def tiles(found: np.ndarray, late: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """The fine groups that a document is filed under."""
+    """The fine groups that a document is filed under, in order."""
     n = len(found)
     return _order(found, late, place)[: n - -(-PERCENT * n // 100) + 1]
 
@@ -252,12 +252,12 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _file(late: np.ndarray, place: np.ndarray):
-    """Sets with their tiles."""
+    """Sets with their tiles, and with each how many shingles a set has, and has from that group on, in one number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = _Words(), set()
         for b in batches:
-            at, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            at, of, reach = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for text in b.column("text"):
                 found = shingles(text.as_py(), known)
                 key = xxhash.xxh3_128_digest(found)
@@ -266,22 +266,40 @@ def _file(late: np.ndarray, place: np.ndarray):
                     own = tiles(found, late, place)
                     at.append(own)
                     of.append(np.full(len(own), _point(key), dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([_signed(np.concatenate(at)), pa.array(np.concatenate(of))], names=["tile", "point"])
+                    reach.append((len(found) << 32) + len(found) - np.arange(len(own), dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([_signed(np.concatenate(at)), *(pa.array(np.concatenate(x)) for x in (of, reach))], names=["tile", "point", "reach"])
 
     return run
 
 
+def _meets(reach: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether two sets that share nothing before a tile can be linked: by their sizes, and what they have left."""
+    left = np.minimum(reach & 0xFFFFFFFF, other & 0xFFFFFFFF)
+    return (100 + PERCENT) * left >= PERCENT * ((reach >> 32) + (other >> 32))
+
+
 def _shared(most: int):
-    """Rows sorted by tile and point: those of tiles with several points, or star-shaped edges of too many."""
+    """Rows sorted by tile and point: points that meet another one in a tile, or star-shaped edges of tiles with too many.
+
+    A pair is looked for in the first tile that it shares, so what comes before it in the order of
+    groups is not shared.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_t = held_p = np.zeros(0, dtype=np.int64)
+        held = [np.zeros(0, dtype=np.int64)] * 3
         star: tuple[int, int] | None = None  # a tile with too many points, and its first one
 
-        def give(t: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
+        def give(t: np.ndarray, p: np.ndarray, reach: np.ndarray) -> pa.RecordBatch:
             of_star = (t == star[0]) if star else np.zeros(len(t), dtype=bool)
-            _, where, size = np.unique(t, return_inverse=True, return_counts=True)
-            row = (size[where] > 1) & ~of_star
+            start = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else np.zeros(0, dtype=np.int64)
+            size = np.diff(np.append(start, len(t)))
+            row = np.zeros(len(t), dtype=bool)
+            two = start[size == 2]
+            row[two] = row[two + 1] = _meets(reach[two], reach[two + 1])
+            for a, n in zip(start[size > 2], size[size > 2]):
+                own = reach[a : a + n]
+                row[a : a + n] = True if n > 64 else (_meets(own[:, None], own) & ~np.eye(n, dtype=bool)).any(axis=1)
+            row &= ~of_star
             edge = of_star & (p != star[1]) if star else of_star
             n, m = int(row.sum()), int(edge.sum())
             return pa.RecordBatch.from_arrays([
@@ -290,21 +308,21 @@ def _shared(most: int):
             ], names=["tile", "a", "b"])
 
         for b in batches:
-            t, p = np.concatenate([held_t, b.column("tile").to_numpy()]), np.concatenate([held_p, b.column("point").to_numpy()])
+            t, p, reach = (np.concatenate([h, b.column(c).to_numpy()]) for h, c in zip(held, ("tile", "point", "reach")))
             if not len(t):
                 continue
-            new = np.append(True, (t[1:] != t[:-1]) | (p[1:] != p[:-1]))
-            t, p = t[new], p[new]
+            new = np.append(True, (t[1:] != t[:-1]) | (p[1:] != p[:-1]) | (reach[1:] != reach[:-1]))
+            t, p, reach = t[new], p[new], reach[new]
             last = int(np.flatnonzero(t != t[-1])[-1]) + 1 if t[0] != t[-1] else 0
-            yield give(t[:last], p[:last])
-            held_t, held_p = t[last:], p[last:]
-            if star and star[0] != held_t[0]:
+            yield give(t[:last], p[:last], reach[:last])
+            held = [t[last:], p[last:], reach[last:]]
+            if star and star[0] != held[0][0]:
                 star = None
-            if star or len(held_t) > most:
-                star = star or (int(held_t[0]), int(held_p[0]))
-                yield give(held_t, held_p)
-                held_t, held_p = held_t[-1:], held_p[-1:]
-        yield give(held_t, held_p)
+            if star or len(held[0]) > most:
+                star = star or (int(held[0][0]), int(held[1][0]))
+                yield give(*held)
+                held = [h[-1:] for h in held]
+        yield give(*held)
 
     return run
 
@@ -388,6 +406,42 @@ def _verified(by: list[str]):
     return run
 
 
+#: Up to this many edges one task connects; beyond it stars are made in rounds.
+EDGES = 1 << 19
+
+
+def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Connected components of all edges of a partition: node, root (the least node), without the roots."""
+    above: dict = {}
+
+    def root(x):
+        while (y := above.get(x, x)) != x:
+            above[x] = above.get(y, y)
+            x = y
+        return x
+
+    kind = pa.int64()
+    for batch in batches:
+        kind = batch.schema.field("a").type
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            a, b = root(a), root(b)
+            if a != b:
+                above[max(a, b)] = min(a, b)
+    nodes = list(above)
+    for at in range(0, len(nodes), 1 << 16):
+        part = nodes[at : at + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(part, kind), pa.array([root(x) for x in part], kind)], names=["node", "root"])
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """node, root (the least node that it reaches) of the nodes of edges (a, b) that aren't roots."""
+    edges = materialize(edges.filter("a != b").distinct())
+    if edges.count() > EDGES:
+        return components(edges)
+    kind = edges.schema["a"].dataType.simpleString()
+    return materialize(edges.coalesce(1).mapInArrow(_union, f"node {kind}, root {kind}"))
+
+
 def _block_links(points: DataFrame, by: list[str]) -> DataFrame:
     spread = points.repartition(*by).sortWithinPartitions(*by)
     return spread.mapInArrow(_verified(by), "a binary, b binary")
@@ -405,9 +459,8 @@ def _across(points: DataFrame, known: DataFrame, block: int, block_shingles: int
     Each document outside its cluster's largest class meets all of its cluster whose size allows a
     link: in pairs of blocks, one of such documents and one of all.
     """
-    roots = components(known)
+    roots = connected(known)
     classed = points.join(roots, points["key"] == roots["node"], "left").withColumn("class", F.coalesce("root", "key")).drop("node", "root")
-    classed = materialize(classed)
     kinds = classed.groupBy("cluster", "class").agg(F.count(F.lit(1)).alias("n"))
     largest = kinds.groupBy("cluster").agg(F.max_by("class", F.struct("n", "class")).alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     # Sizes of a link are in the same step of a quarter or in neighbouring ones.
@@ -435,10 +488,10 @@ def _cluster_links(points: DataFrame, block: int, block_shingles: int) -> DataFr
         return found
     points = materialize(points.join(wide, "cluster", "left_semi").dropDuplicates(["cluster", "key"]))
     # Of what is connected the least key stands for all.
-    stand = points.join(components(found).select(F.col("node").alias("key")), "key", "left_anti")
+    stand = points.join(connected(found.join(points.select(F.col("key").alias("a")), "a", "left_semi")).select(F.col("node").alias("key")), "key", "left_anti")
     more = materialize(_block_links(_in_blocks(stand, 1, block, block_shingles)[0], ["cluster", "block"]))
-    found = found.unionByName(more)
-    return found.unionByName(materialize(_across(points, found, block, block_shingles)))
+    own = found.join(points.select(F.col("key").alias("a")), "a", "left_semi").unionByName(more)
+    return found.unionByName(more).unionByName(materialize(_across(points, own, block, block_shingles)))
 
 
 def late_shingles(described: DataFrame, often: int = OFTEN, most: int = LATE) -> tuple[np.ndarray, np.ndarray]:
@@ -477,19 +530,19 @@ def jaccard_components(docs: DataFrame, tile: int = TILE, block: int = BLOCK, bl
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("handle"))
     described = materialize(texts.mapInArrow(_describe, "doc_id long, n long, key binary, point long, handle long, vector binary, shingle long, times long"))
     late, place = late_shingles(described, often)
-    filed = texts.select("text").mapInArrow(_file(late, place), "tile long, point long")
+    filed = texts.select("text").mapInArrow(_file(late, place), "tile long, point long, reach long")
     shared = materialize(filed.repartition("tile").sortWithinPartitions("tile", "point").mapInArrow(_shared(tile), "tile long, a long, b long"))
     points = described.filter("vector is not null").select("key", "point", "n", "vector").dropDuplicates(["key"]).drop("key")
     met = shared.filter("b is null").select("tile", F.col("a").alias("point")).join(points, "point")
     edges = met.repartition("tile").sortWithinPartitions("tile").select("tile", "point", "n", "vector").mapInArrow(_tile_edges, "a long, b long")
-    found = materialize(components(edges.unionByName(shared.filter("b is not null").select("a", "b"))))
+    found = connected(edges.unionByName(shared.filter("b is not null").select("a", "b")))
     clusters = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
     # One text for each set of a cluster is read again.
     one = described.filter("key is not null").groupBy("key", "point").agg(F.min("handle").alias("handle"))
     one = materialize(one.join(clusters, one["point"] == clusters["node"]).select("handle", F.col("root").alias("cluster")))
     read = texts.join(F.broadcast(one) if one.count() <= SENT else one, "handle")
     sets = materialize(read.select("cluster", "text").mapInArrow(_sets, "cluster long, key binary, n long, shingles binary"))
-    roots = materialize(components(_cluster_links(sets, block, block_shingles)))
+    roots = connected(_cluster_links(sets, block, block_shingles))
     rows = described.filter("shingle is null").select("doc_id", "n", "key")
     rooted = rows.join(roots, rows["key"] == roots["node"], "left").select("doc_id", "n", F.coalesce("root", "key").alias("root"))
     # The least id by root is made first: a hot component sends a row a task.
