@@ -89,6 +89,11 @@ def with_fingerprint(docs: DataFrame, text: str, out: str) -> DataFrame:
     return docs.withColumn(out, F.struct(F.col("__a").alias("anchors"), _low("__a").alias("words"), sketch.alias("chars"))).drop("__a", "__b", "__c", "__w")
 
 
+def _placed(fingerprint: str) -> Column:
+    """Anchors as numbers: a hash's upper half, and the place below."""
+    return F.transform(f"{fingerprint}.anchors", lambda x: x["hash"].bitwiseAND(F.lit(-1 << 32)).bitwiseOR(x["pos"].cast("long")))
+
+
 def _hex(value: Column, digits: int) -> Column:
     return F.lower(F.lpad(F.hex(value), digits, "0"))
 
@@ -151,14 +156,18 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     n = F.char_length("text")
     needs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.floor(F.coalesce(F.char_length("text"), F.lit(0)) / 2).alias("need")).groupBy("id").agg(F.max("need").cast("int").alias("need"))
-    after = needs.join(next_ids(docs), "id").select(F.col("id").alias("to"), F.col("next_id").alias("key"), "need")
+    after = materialize(needs.join(next_ids(docs), "id").select(F.col("id").alias("to"), F.col("next_id").alias("key"), "need"))
+    known, without = texts.filter(F.col("key") != NO_ID), texts.filter(F.col("key") == NO_ID)
     # Counted, not ranked: a rank with a limit would be applied before the shuffle and forbid its reuse.
     turn = F.count(F.lit(1)).over(W.Window.partitionBy("key").orderBy("text").rowsBetween(W.Window.unboundedPreceding, 0))
-    firsts = texts.filter(F.col("key") != NO_ID).withColumn("turn", turn).filter("turn = 1").drop("turn")
-    without = docs.filter("doc_id is null").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).filter("text is not null").select(F.lit(NO_ID).alias("key"), "text")
-    sent = firsts.join(after, "key").unionByName(without.join(after, "key"))
-    sent = with_fingerprint(sent, "text", "f").select("to", F.substring("text", F.lit(1), F.col("need")).alias("part"), F.struct("f.words", "f.chars").alias("next"))
-    both = texts.join(sent, texts["key"] == sent["to"])
+    firsts = known.withColumn("turn", turn).filter("turn = 1").drop("turn").join(after.filter(F.col("to") != NO_ID), "key")
+    least = without.groupBy("key").agg(F.min("text").alias("text")).join(after, "key")
+    carried = ["to", F.substring("text", F.lit(1), F.col("need")).alias("part"), F.struct("f.words", "f.chars").alias("next")]
+    sent = with_fingerprint(firsts.unionByName(least), "text", "f").select(*carried)
+    # What rows without an id need is one row, and goes to them.
+    one = texts.join(F.broadcast(after.filter(F.col("to") == NO_ID)), "key").groupBy("key", "to", "need").agg(F.min("text").alias("text"))
+    lone = without.join(F.broadcast(with_fingerprint(one, "text", "f").select(*carried)), F.col("key") == F.col("to"))
+    both = known.join(sent, known["key"] == sent["to"]).unionByName(lone)
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("part", F.lit(1), half))
     both = both.select("key", "text", n.cast("long").alias("n_chars"), edited.alias("edited"), "next")
@@ -166,5 +175,5 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     return both.select(
         F.nullif("key", F.lit(NO_ID)).alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("own")).alias("fingerprint"),
         as_text(F.col("other")).alias("edited_fingerprint"), likeness("own", "other").alias("near_edited"), likeness("own", "next").alias("near_next"),
-        F.size(F.array_intersect("own.anchors", "other.anchors")).cast("long").alias("same_place"),
+        F.size(F.array_intersect(_placed("own"), _placed("other"))).cast("long").alias("same_place"),
     )
