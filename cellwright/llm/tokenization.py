@@ -39,7 +39,9 @@ _LATIN = {p: regex.compile(p.replace(r"[^\s", r"[^\t-\r\x20\x85\xa0").replace(r"
 PIECE = 1 << 16
 _CUT = re.compile(r"(?<=[^\s\x1c-\x1f])(?=[ \n])")
 #: Results of pre-tokens up to this many bytes are remembered, and so many of them at most.
-SHORT, REMEMBERED = 48, 1 << 18
+SHORT, REMEMBERED = 48, 1 << 19
+#: Bytes up to which a list of ranks is searched instead of a heap.
+LISTED = 96
 
 
 def default_path(name: str) -> str:
@@ -123,6 +125,10 @@ class Transducer:
         merges = [tuple(map(raw, m if isinstance(m, list) else m.split(" "))) for m in spec["model"]["merges"]]
         self.rank = {m: r for r, m in enumerate(merges)}
         self.lookahead = sufficient_lookahead(merges)
+        # The same merges by ids: a pair as one number, and what it becomes by rank.
+        self._byte = [self.ids[bytes([b])] for b in range(256)]
+        self._pair = {self.ids[u] << 20 | self.ids[v]: r for r, (u, v) in enumerate(merges)}
+        self._merged = [self.ids[u + v] for u, v in merges]
         self._known: dict[str, tuple[int, ...]] = {}
 
     def merge(self, data: bytes) -> list[bytes]:
@@ -147,6 +153,21 @@ class Transducer:
                 heapq.heappush(heap, (r, h))
         return [p for p in part if p is not None]
 
+    def _listed(self, data: bytes) -> list[int]:
+        """Ids of few bytes: a plain list of ranks, whose minimum is quicker to find than a heap is kept."""
+        get, none, merged = self._pair.get, len(self._merged), self._merged
+        part = list(map(self._byte.__getitem__, data))
+        ranks = [get(a << 20 | b, none) for a, b in zip(part, part[1:])]
+        while ranks and (least := min(ranks)) < none:
+            i = ranks.index(least)
+            part[i] = merged[least]
+            del part[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get(part[i - 1] << 20 | part[i], none)
+            if i < len(ranks):
+                ranks[i] = get(part[i] << 20 | part[i + 1], none)
+        return part
+
     def stream(self, chunks: Iterable[bytes]) -> Iterator[int]:
         """Ids of one pre-token that comes in chunks; holds a chunk and the lookahead at most."""
         run = Run(self)
@@ -158,8 +179,8 @@ class Transducer:
         """Ids of a pre-token; those of a short one are remembered."""
         found = self._known.get(pretoken)
         if found is None:
-            data = pretoken.encode("utf-8", "surrogatepass")
-            found = tuple(self.stream(data[i : i + chunk] for i in range(0, len(data), chunk)))
+            data, run = pretoken.encode("utf-8", "surrogatepass"), Run(self)
+            found = tuple(chain.from_iterable([*(run.push(data[i : i + chunk]) for i in range(0, len(data), chunk)), run.end()]))
             if len(data) <= SHORT:
                 if len(self._known) >= REMEMBERED:
                     self._known.clear()
@@ -208,8 +229,8 @@ class Run:
         return out
 
     def end(self) -> list[int]:
-        out, self.held = [self.coder.ids[t] for t in self.coder.merge(self.held)], b""
-        return out
+        held, self.held = self.held, b""
+        return self.coder._listed(held) if len(held) <= LISTED else [self.coder.ids[t] for t in self.coder.merge(held)]
 
 
 class Stream:

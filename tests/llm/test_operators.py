@@ -472,6 +472,9 @@ def test_transducer_streams_like_the_whole():
         whole = [t.ids[x] for x in t.merge(data)]
         for step in (1 if len(data) < 2000 else 97, 350):
             assert list(t.stream(data[i : i + step] for i in range(0, len(data), step))) == whole
+    for _ in range(500):  # short runs are merged by ids
+        data = "".join(rng.choice("abcdeinrst é日") for _ in range(rng.randint(1, 30))).encode()
+        assert t._listed(data) == [t.ids[x] for x in t.merge(data)]
     assert sufficient_lookahead([(b"a", b"b"), (b"ab", b"c")]) == 2 and sufficient_lookahead([]) == 0
 
 
