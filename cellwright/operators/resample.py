@@ -144,6 +144,20 @@ def neighbours(points: DataFrame, targets: DataFrame, level: int, k: int, ellips
     return found.unionByName(_descend(placed, left, k, wanted, ellipsoid))
 
 
+def chunk_neighbours(points: DataFrame, near: DataFrame, reach: float, targets: DataFrame, level: int, k: int, ellipsoid: Ellipsoid = SPHERE) -> DataFrame:
+    """``neighbours`` of the targets of some chunks: among the points ``near`` first, which are all up to ``reach`` metres away.
+
+    A target whose k-th point is no further is done; all others look at all points.
+    """
+    found = materialize(neighbours(near, targets, level, k, ellipsoid))
+    sure = 0.99 * 2 * ellipsoid.a * math.sin(min(math.pi, reach / ellipsoid.a) / 2)  # a straight line is shorter than the way on the ground
+    ok = found.groupBy("cell_id").agg(F.max("rank").alias("n"), F.max("distance").alias("far")).filter((F.col("n") >= k) & (F.col("far") <= sure)).select("cell_id")
+    left = materialize(targets.select("cell_id").distinct().join(ok, "cell_id", "left_anti"))
+    if left.isEmpty():
+        return found
+    return found.join(ok, "cell_id", "left_semi").unionByName(neighbours(points, left, level, k, ellipsoid))
+
+
 def float32(df: DataFrame, variables: Iterable[str]) -> DataFrame:
     """Values as they enter a resampler: floats and wide integers through float32, NaN to NULL."""
     floats = [v for v in variables if isinstance(df.schema[v].dataType, (T.DoubleType, T.FloatType, T.LongType, T.IntegerType))]
@@ -324,18 +338,20 @@ def _sides(points: DataFrame, axis: str) -> DataFrame:
     return pairs.withColumn("bin", F.explode(F.sequence(F.floor((F.col("lo") - F.col("first")) / F.col("step")), F.floor((F.col("hi") - F.col("first")) / F.col("step")))))
 
 
-def grids_bilinear(points: DataFrame, targets: DataFrame, level: int, variables: list[str], ellipsoid: Ellipsoid = SPHERE, min_weight: float = 0.5) -> DataFrame:
+def grids_bilinear(points: DataFrame, targets: DataFrame, level: int, variables: list[str], ellipsoid: Ellipsoid = SPHERE, min_weight: float = 0.5, near: DataFrame | None = None) -> DataFrame:
     """``grid_bilinear`` for points of any number of rectilinear inputs: input_id, lon, lat, variables.
 
     Inputs with the same longitudes are bands of one strip, whose rows are in one order: what lies
     between the last row of one band and the first of the next is interpolated between these.
     Strips may overlap or lie side by side; a cell takes the mean of the strips that have a value
-    there. Everything is keyed by strip, so that the plan doesn't grow with the inputs.
+    there. Everything is keyed by strip, so that the plan doesn't grow with the inputs. ``near`` has
+    those of the points that targets may need; strips and axes are those of all points nonetheless.
     """
     lons = points.groupBy("input_id").agg(F.xxhash64(F.sort_array(F.collect_set("lon"))).alias("strip"))  # an axis of an input
-    nodes = float32(points, variables).join(F.broadcast(lons), "input_id").groupBy("strip", "lon", "lat").agg(*[F.avg(v).alias(v) for v in variables])  # a row an input
+    whole = points.select("input_id", *[F.col(c).cast("double").alias(c) for c in ("lon", "lat")]).join(lons, "input_id")
+    xs, ys = _sides(whole, "lon"), _sides(whole, "lat")
+    nodes = float32(points if near is None else near, variables).join(lons, "input_id").groupBy("strip", "lon", "lat").agg(*[F.avg(v).alias(v) for v in variables])
     nodes = nodes.withColumns({c: F.col(c).cast("double") for c in ("lon", "lat")})
-    xs, ys = _sides(nodes, "lon"), _sides(nodes, "lat")
     closed = lambda v: F.when(F.col("hi") > F.col("end"), F.col("first")).otherwise(v)
     ends = lambda pairs, axis, n: pairs.select("strip", F.col("lo").alias(n), F.explode(F.array(F.struct(F.col("lo").alias(axis), F.lit(1).alias(f"{n}_side")), F.struct(closed(F.col("hi")).alias(axis), F.lit(2).alias(f"{n}_side")))).alias("e")).select("strip", n, "e.*").distinct()
     at = nodes.join(ends(xs, "lon", "x"), ["strip", "lon"]).join(ends(ys, "lat", "y"), ["strip", "lat"])
@@ -369,19 +385,6 @@ def _blend(v: str, min_weight: float) -> Column:
     return F.when(valid >= min_weight, total / valid)
 
 
-def layers(spans: list[tuple[float, float]]) -> list[list[int]]:
-    """Inputs (south, north) to layers of bands that don't overlap: first fit, from the south."""
-    out: list[list[int]] = []
-    for i in sorted(range(len(spans)), key=lambda i: spans[i]):
-        for layer in out:
-            if all(spans[i][0] > spans[o][1] or spans[i][1] < spans[o][0] for o in layer):
-                layer.append(i)
-                break
-        else:
-            out.append([i])
-    return out
-
-
 def layer_mean(results: list[DataFrame], variables: list[str]) -> DataFrame:
     """The mean of several layers' values in each cell; missing where all are."""
     both = results[0]

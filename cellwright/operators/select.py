@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from ..functions import cells as C
 from ..functions import projection
@@ -62,10 +63,12 @@ def window_bounds(chunks: DataFrame, level: int, buffer: float = 60.0, ellipsoid
     df = C.with_center(C.with_vertices(chunks.select("cell_id"), level, ellipsoid), level, ellipsoid, lon="c_lon", lat="c_lat")
     lats, lons = [F.col(f"lat{k}") for k in range(4)], [F.pmod(F.col(f"lon{k}") - F.col("c_lon") + 180.0, F.lit(360.0)) - 180.0 for k in range(4)]
     df = df.withColumns({"south": F.greatest(F.lit(-90.0), F.least(*lats) - pad), "north": F.least(F.lit(90.0), F.greatest(*lats) + pad), "w": F.least(*lons), "e": F.greatest(*lons)})
-    polar = (F.col("south") <= -90.0) | (F.col("north") >= 90.0)
     lon_pad = pad / F.cos(F.radians(F.greatest(F.abs("south"), F.abs("north"))))
+    df = df.withColumns({"w": F.col("w") - lon_pad - step[0], "e": F.col("e") + lon_pad + step[0]})
+    # At a pole, and where a window would go beyond the half circle each side.
+    round_ = (F.col("south") <= -90.0) | (F.col("north") >= 90.0) | (F.col("w") < -180.0) | (F.col("e") > 180.0)
     return df.select(
-        "cell_id", "c_lon", F.when(polar, -180.0).otherwise(F.col("w") - lon_pad - step[0]).alias("west"), F.when(polar, 180.0).otherwise(F.col("e") + lon_pad + step[0]).alias("east"),
+        "cell_id", "c_lon", F.when(round_, -180.0).otherwise(F.col("w")).alias("west"), F.when(round_, 180.0).otherwise(F.col("e")).alias("east"),
         (F.col("south") - step[1]).alias("south"), (F.col("north") + step[1]).alias("north"),
     )
 
@@ -87,6 +90,67 @@ def band_join(points: DataFrame, bounds: DataFrame, width: float = 1.0) -> DataF
     return hit.filter(F.col("lat").between(F.col("south"), F.col("north")) & relative.between(F.col("west"), F.col("east"))).drop("__band", "c_lon", "west", "east", "south", "north")
 
 
+def in_windows(points: DataFrame, bounds: DataFrame, width: float = 1.0) -> DataFrame:
+    """Points that lie in any of the windows, each once. The limits of latitude of them all go down to the scan."""
+    limits = bounds.agg(F.min("south"), F.max("north")).first()  # one row
+    if limits[0] is None:
+        return points.limit(0)
+    bands = bounds.withColumn("__band", F.explode(F.sequence(F.floor(F.col("south") / width), F.floor(F.col("north") / width)))).withColumnsRenamed({c: f"__{c}" for c in ("c_lon", "west", "east", "south", "north")})
+    near = points.filter(F.col("lat").between(float(limits[0]), float(limits[1]))).withColumn("__at", F.floor(F.col("lat") / width))
+    relative = F.pmod(F.col("lon") - F.col("__c_lon") + 180.0, F.lit(360.0)) - 180.0
+    hit = (F.col("__at") == F.col("__band")) & F.col("lat").between(F.col("__south"), F.col("__north")) & relative.between(F.col("__west"), F.col("__east"))
+    return near.join(bands.drop("cell_id"), hit, "left_semi").drop("__at")
+
+
+def near_chunks(points: DataFrame, chunks: DataFrame, chunk_level: int, buffer: float, ellipsoid: Ellipsoid = SPHERE, kind: str = "points", step: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """Points in some chunks (cell_id) or within ``buffer`` metres of them, and some beyond, each once.
+
+    Rectilinear grids, and any points if ``step`` asks for grid steps beside the buffer, are cut by
+    windows, whose limits reach the scan; other points are looked up by the cells of a ring.
+    """
+    if kind == "rectilinear" or step > (0.0, 0.0):
+        return in_windows(points, window_bounds(chunks, chunk_level, buffer, ellipsoid, step))
+    if buffer <= 0:
+        return C.with_cell(points, chunk_level, ellipsoid, out="__chunk").join(chunks.select(F.col("cell_id").alias("__chunk")), "__chunk", "left_semi").drop("__chunk")
+    ring = C.ring_level(buffer)
+    if ring >= chunk_level:
+        own = C.children(chunks.select("cell_id"), ring - chunk_level).select(F.col("child_id").alias("cell_id"))
+    else:
+        own = chunks.select(F.expr(C.parent("cell_id", chunk_level - ring)).alias("cell_id"))
+    near = C.kth_ring(own, ring).select(F.col("cell_id").alias("__ring"))
+    placed = C.add_steps(points, C.cell_steps("lon", "lat", ring, ellipsoid, "__ring"), ["__ring"])
+    return placed.join(near, "__ring", "left_semi").drop("__ring")
+
+
+def _bins(first: Column, last: Column) -> Column:
+    return F.explode(F.sequence(F.floor(first).cast("long"), F.floor(last).cast("long")))
+
+
+def chunk_windows(lon_axis: DataFrame, lat_axis: DataFrame, chunks: DataFrame, level: int, buffer: float = 60.0, ellipsoid: Ellipsoid = SPHERE) -> DataFrame:
+    """The window on a grid's axes that each chunk needs, as indices: cell_id, i_west, i_east, n_i, j_south, j_north, n_j.
+
+    ``lon_axis``: i, lon; ``lat_axis``: j, lat; in any direction and convention. A window has the
+    nodes within the buffer and one grid step (the largest) beyond on each side. i_west and i_east
+    are the ends as seen from the chunk, so a window may go across the antimeridian; round the globe
+    it has all nodes. A chunk without nodes on one of the axes has no row. Chunks meet nodes by
+    whole degrees.
+    """
+    steps = []
+    for axis, c in ((lon_axis, "lon"), (lat_axis, "lat")):
+        by = W.Window.orderBy(c)  # an axis: one of the two sides of a grid
+        steps.append(axis.select(F.col(c).cast("double")).distinct().select((F.lead(c).over(by) - F.col(c)).alias("d")).agg(F.max("d")).first()[0] or 0.0)
+    bounds = window_bounds(chunks, level, buffer, ellipsoid, tuple(steps))
+    relative = F.pmod(F.col("lon") - F.col("c_lon") + 180.0, F.lit(360.0)) - 180.0
+    lons = lon_axis.select("i", F.col("lon").cast("double").alias("lon"), F.pmod(F.floor("lon").cast("long"), F.lit(360)).alias("bin"))
+    wide = bounds.withColumn("bin", _bins(F.col("c_lon") + F.col("west"), F.col("c_lon") + F.col("east"))).withColumn("bin", F.pmod("bin", F.lit(360))).dropDuplicates(["cell_id", "bin"])
+    x = wide.join(lons, "bin").withColumn("r", relative).filter(F.col("r").between(F.col("west"), F.col("east")))
+    x = x.groupBy("cell_id").agg(F.min_by("i", F.struct("r", "i")).alias("i_west"), F.max_by("i", F.struct("r", "i")).alias("i_east"), F.count_distinct("i").alias("n_i"))
+    lats = lat_axis.select("j", F.col("lat").cast("double").alias("lat"), F.floor("lat").cast("long").alias("bin"))
+    y = bounds.withColumn("bin", _bins(F.col("south"), F.col("north"))).join(lats, "bin").filter(F.col("lat").between(F.col("south"), F.col("north")))
+    y = y.groupBy("cell_id").agg(F.min_by("j", F.struct("lat", "j")).alias("j_south"), F.max_by("j", F.struct("lat", "j")).alias("j_north"), F.count_distinct("j").alias("n_j"))
+    return x.join(y, "cell_id")
+
+
 def _open(ring: Iterable[tuple[float, float]]) -> list[tuple[float, float]]:
     ring = [(float(a), float(b)) for a, b in ring]
     return ring[:-1] if ring[0] == ring[-1] else ring

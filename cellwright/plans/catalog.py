@@ -6,6 +6,8 @@ tables there are: points from lineitem, whole levels of cells from the running o
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,12 +120,14 @@ def cell_zuniq(spark, sf_dir):
     return order_cells(spark, sf_dir).selectExpr("cell_id", f"{C.zuniq('cell_id', LEVEL)} as zuniq").selectExpr("cell_id", "zuniq", f"{C.zuniq_level('zuniq')} as level")
 
 
-_NEAR = "(select unnest([cell_id, " + ", ".join(_N) + "]) as cell_id from " + C.steps_sql("(select cast(unnest(range(96, 100)) as bigint) as cell_id)", C.neighbour_steps("cell_id", 3), _N) + " p)"
+_NEAR = "(select unnest([cell_id, " + ", ".join(_N) + "]) as cell_id from " + C.steps_sql(f"(select distinct cell_id >> 4 as cell_id from {CELLS} o)", C.neighbour_steps("cell_id", LEVEL - 2), _N) + " p)"
 
 
 @query(f"select distinct cell_id from {_NEAR} where cell_id >= 0")
 def ring_selection(spark, sf_dir):
-    return C.chunk_ring(spark, 24, 2, 3)
+    """The parents of all orders' cells, and one ring around them."""
+    parents = order_cells(spark, sf_dir).selectExpr(f"{C.parent('cell_id', 2)} as cell_id")
+    return C.kth_ring(parents, LEVEL - 2)
 
 
 @query("select l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(round_even(log2(6371000.0 * sqrt(pi() / 3) / l_extendedprice), 0) as int) as level, cast(floor(log2(6371000.0 * sqrt(pi() / 3) / l_extendedprice)) as int) as coarse from lineitem")
@@ -341,6 +345,23 @@ def window_band_join(spark, sf_dir):
     return select.band_join(points(spark, sf_dir), select.window_bounds(chunks, 2, 0.0)).groupBy("cell_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: An irregular grid: longitudes of customers, latitudes of suppliers; buffer of 20 km around each chunk of level 4.
+_LONS, _LATS = "(select distinct c_custkey % 3571 as i, (c_custkey % 3571 * 7919 % 36000) / 100e0 - 180e0 + 0.00123e0 as lon from customer)", "(select s_suppkey as j, (s_suppkey * 15013 % 17000) / 100e0 - 85e0 + 0.00321e0 as lat from supplier)"
+_PAD = math.degrees(20_000.0 / select.SMALL_RADIUS)
+_STEPS4 = f"(select (select max(d) from (select lead(lon) over (order by lon) - lon as d from (select distinct lon from {_LONS} a) b) c) as dx, (select max(d) from (select lead(lat) over (order by lat) - lat as d from (select distinct lat from {_LATS} a) b) c) as dy)"
+_TURN4 = lambda v: f"({v} - c_lon + 180e0) - 360e0 * floor(({v} - c_lon + 180e0) / 360e0) - 180e0"
+_WINDOW4 = f"(select cell_id, c_lon, greatest(-90e0, least(lat0, lat1, lat2, lat3) - {_PAD!r}) as s, least(90e0, greatest(lat0, lat1, lat2, lat3) + {_PAD!r}) as n, least({', '.join(_TURN4(f'lon{k}') for k in range(4))}) as w, greatest({', '.join(_TURN4(f'lon{k}') for k in range(4))}) as e from " + C.steps_sql(C.steps_sql("(select unnest(range(3072)) as cell_id)", C.vertex_steps("cell_id", 4), _V), C.center_steps("cell_id", 4, lon="c_lon", lat="c_lat"), ["c_lon"]) + " v)"
+_WINDOW4 = f"(select cell_id, c_lon, s, n, w - {_PAD!r} / cos(radians(greatest(abs(s), abs(n)))) - dx as w, e + {_PAD!r} / cos(radians(greatest(abs(s), abs(n)))) + dx as e, dy from {_WINDOW4} u, {_STEPS4} t)"
+
+
+@query(f"with q as (select *, s <= -90 or n >= 90 or w < -180 or e > 180 as round from {_WINDOW4} k), x as (select cell_id, arg_min(i, (r, i)) as i_west, arg_max(i, (r, i)) as i_east, count(distinct i) as n_i from (select q.*, i, {_TURN4('lon')} as r from q cross join {_LONS} l) where round or r between w and e group by 1), y as (select cell_id, arg_min(j, (lat, j)) as j_south, arg_max(j, (lat, j)) as j_north, count(distinct j) as n_j from q cross join {_LATS} l where lat between s - dy and n + dy group by 1) select * from x join y using (cell_id)")
+def chunk_windows(spark, sf_dir):
+    """What each chunk of level 4 needs of an irregular grid; the SQL compares all chunks with all nodes."""
+    lons = read(spark, sf_dir, "customer").selectExpr("c_custkey % 3571 as i", "(c_custkey % 3571 * 7919 % 36000) / 100e0 - 180e0 + 0.00123e0 as lon").distinct()
+    lats = read(spark, sf_dir, "supplier").selectExpr("s_suppkey as j", "(s_suppkey * 15013 % 17000) / 100e0 - 85e0 + 0.00321e0 as lat")
+    return select.chunk_windows(lons, lats, C.whole_sphere(spark, 4), 4, 20_000.0)
+
+
 @query(f"select {KEYS} from {POINTS} p where lon > 0 and lat > 0 and lon + lat < 60")
 def polygon_points(spark, sf_dir):
     return select.in_polygon(points(spark, sf_dir), [(0, 0), (60, 0), (0, 60)], "lon", "lat").selectExpr(*KEYS.split(", "))
@@ -425,11 +446,12 @@ def packed_decode(spark, sf_dir):
     return order_cells(spark, sf_dir).select("cell_id", pyramid.decode_packed(F.col("flags"), 0.5, -3.0, 7).alias("v"))
 
 
-@query(f"select coalesce(a.cell_id, b.cell_id) as cell_id, price, class from (select cell_id >> 2 as cell_id, max(price) as price from {CELLS} p where cell_id % 3 <> 0 group by 1) a full join (select cell_id >> 2 as cell_id, min(class) as class from {CELLS} q where class > 1 group by 1) b on a.cell_id = b.cell_id")
+@query(f"select coalesce(a.cell_id, b.cell_id) as cell_id, price, class from (select cell_id >> 2 as cell_id, max(price) as price from {CELLS} p where price is not null group by 1) a full join (select (o_custkey << 3) >> 2 as cell_id, min(cast(floor(o_totalprice) as bigint) % 5) as class from orders group by 1) b on a.cell_id = b.cell_id")
 def merged_levels(spark, sf_dir):
-    """Variables of a level that came from different native cells, side by side."""
-    a = pyramid.nan_to_null(order_cells(spark, sf_dir), "price")
-    return pyramid.merge_levels([pyramid.coarsen(a.filter("cell_id % 3 <> 0").select("cell_id", "price"), LEVEL, LEVEL - 1, "max"), pyramid.coarsen(a.filter("class > 1").select("cell_id", "class"), LEVEL, LEVEL - 1, "min")])
+    """Variables of a level that came from different native cells, by order and by customer, side by side."""
+    a = pyramid.nan_to_null(order_cells(spark, sf_dir), "price").filter("price is not null")
+    b = read(spark, sf_dir, "orders").selectExpr("shiftleft(o_custkey, 3) as cell_id", "cast(floor(o_totalprice) as bigint) % 5 as class")
+    return pyramid.merge_levels([pyramid.coarsen(a.select("cell_id", "price"), LEVEL, LEVEL - 1, "max"), pyramid.coarsen(b, LEVEL, LEVEL - 1, "min")])
 
 
 @query(f"select cell_id, cast(point_idx as bigint) as point_idx, cast(turn as int) as rank from {_RANKED} where turn <= 2")
@@ -634,9 +656,12 @@ def merged_lists(spark, sf_dir):
 _ITEMS = ", ".join(f"('{g}', '{v}', '{p}', '{u}', '{n}')" for g, vs in products.GROUPS.items() for v, (p, u, n) in vs.items())
 
 
-@query(f"select * from (values {_ITEMS}) t(\"group\", variable, parameter, unit, long_name)")
+@query(f"select t.*, count(e.event_type) as n, max(e.value) as high from (values {_ITEMS}) t(\"group\", variable, parameter, unit, long_name) left join events e on e.user_id % 16 = length(t.variable) group by all")
 def product_variables(spark, sf_dir):
-    return products.variables(spark)
+    """The products' variables with the events that their names' length stands for."""
+    kinds = read(spark, sf_dir, "events").groupBy(F.expr("user_id % 16").alias("at")).agg(F.count("event_type").alias("n"), F.max("value").alias("high"))
+    v = products.variables(spark)
+    return v.join(kinds, F.char_length("variable") == F.col("at"), "left").select(*v.columns, F.coalesce("n", F.lit(0)).cast("long").alias("n"), "high")
 
 
 @query(f"select cell_id, ts as window_start, n, total from (select cell_id, date_trunc('day', o_orderdate) as ts, count(*) as n, round(sum(o_totalprice), 2) as total from (select o_orderkey % 192 as cell_id, o_orderdate, o_totalprice from orders) o group by 1, 2)")

@@ -9,11 +9,15 @@ from __future__ import annotations
 import dataclasses
 import json
 import logging
+import math
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from .. import __version__
 from ..functions import cells as C
@@ -59,7 +63,8 @@ def chunks(spark: SparkSession, p: Plan, group: str) -> DataFrame:
     return select.coverage(spark, select.Extent(*p.extent), g.chunks.level, C.ELLIPSOIDS[g.grid.ellipsoid]).select("cell_id").orderBy("cell_id")
 
 
-def _points(spark: SparkSession, p: Plan, group: str, g: Group) -> DataFrame:
+def _points(spark: SparkSession, p: Plan, group: str, g: Group) -> tuple[DataFrame, str]:
+    """The points of all inputs, and how they are placed."""
     frames = [grids.drop_variables(grids.open_group(spark, path, group), g.drop) for path in p.inputs]
     at = grids.group_spatial(group, frames)
     if at is None:
@@ -73,7 +78,7 @@ def _points(spark: SparkSession, p: Plan, group: str, g: Group) -> DataFrame:
             if extra.name not in f.columns:
                 raise ValueError(f"an input of {group!r} has no coordinate {extra.name!r}")
         frames = align.align(frames, extra.name, extra.mode, list(extra.labels) if extra.labels else None)
-    return align.union_points([f.drop("input_id") for f in frames])
+    return align.union_points([f.drop("input_id") for f in frames]), at.kind
 
 
 def _chosen(ids: list[int], indices: Iterable[int] | None) -> list[int]:
@@ -90,7 +95,7 @@ def resampler(name: str) -> Callable:
         "nearest": lambda pts, cells, g, vs, e, **kw: resample.nearest(pts, cells, g.grid.level, vs, e, **kw),
         "k-nearest": lambda pts, cells, g, vs, e, **kw: resample.inverse_distance(pts, cells, g.grid.level, vs, int(g.resampler.params.get("k", 4)), e, keep_type=True, **kw),
         "bilinear": lambda pts, cells, g, vs, e, **kw: resample.inverse_distance(pts, cells, g.grid.level, vs, int(g.resampler.params.get("k", 4)), e, float(g.resampler.params.get("threshold", 0.0)), **kw),
-        "grid-bilinear": lambda pts, cells, g, vs, e: resample.grids_bilinear(pts, cells, g.grid.level, vs, e, float(g.resampler.params.get("min_weight", 0.5))),
+        "grid-bilinear": lambda pts, cells, g, vs, e, **kw: resample.grids_bilinear(pts, cells, g.grid.level, vs, e, float(g.resampler.params.get("min_weight", 0.5)), **kw),
         "cell-point": lambda pts, cells, g, vs, e: resample.cell_point(pts, vs, e),
         "nn": lambda pts, cells, g, vs, e: _by_variable(lambda v: resample.fill_gaps(resample.bin_mean(pts, g.grid.level, [v], e), g.grid.level, v).join(cells, "cell_id", "left_semi"), vs),
         "psf": lambda pts, cells, g, vs, e: _by_variable(lambda v: psf.psf(pts, g.grid.level, g.chunks.level or 0, v, ellipsoid=e, **g.resampler.params).join(cells, "cell_id", "left_semi"), vs),
@@ -108,45 +113,71 @@ def _by_variable(f: Callable[[str], DataFrame], variables: list[str]) -> DataFra
 BY_LINKS = ("nearest", "k-nearest", "bilinear")
 
 
+#: No cell reaches further than this many nominal sizes: what a resampler takes from the cells around.
+CELL_REACH = 2.4
+
+
+def _grid_step(pts: DataFrame) -> tuple[float, float]:
+    """The largest steps of the inputs' axes in degrees, the way round the globe included."""
+    out = []
+    for c in ("lon", "lat"):
+        by = W.Window.partitionBy("input_id").orderBy(c)
+        steps = pts.select("input_id", F.col(c).cast("double").alias(c)).distinct().withColumn("d", F.lead(c).over(by) - F.col(c))
+        out.append(1.5 * (steps.agg(F.max("d")).first()[0] or 0.0))
+    return tuple(out)
+
+
 def convert_group(spark: SparkSession, p: Plan, group: str, chunk_indices: Iterable[int] | None = None, links: str | None = None) -> DataFrame:
     """The cells of a group, of all its chunks or some: chunk_id, cell_id, variables.
 
     Dense chunks hold all their cells (missing: the fill), sparse ones those with points. ``links``
-    is a folder where neighbour links are kept for later runs over the same points and cells.
+    is a folder where neighbour links are kept for later runs over the same points and cells. Some
+    chunks come out as they do among all: neighbours that may lie further away than the buffer are
+    looked for among all points, grids are cut by windows a grid step wider, and where cells around
+    a chunk matter their points are read too.
     """
     g = p.settings.for_group(group)
     e = C.ELLIPSOIDS[g.grid.ellipsoid]
-    pts = _points(spark, p, group, g)
-    variables = [c for c in pts.columns if c not in ("input_id", "point_idx", "lon", "lat", *(x.name for x in g.extra))]
-    level = g.grid.level
+    pts, kind = _points(spark, p, group, g)
+    dims = tuple(x.name for x in g.extra)
+    variables = [c for c in pts.columns if c not in ("input_id", "point_idx", "lon", "lat", *dims)]
+    level, method = g.grid.level, g.resampler.name
+    size = e.a * math.sqrt(math.pi / 3) / 2**level
+    near, reach = None, 0.0
     if g.chunks.level is None:
         wanted = select.coverage(spark, select.Extent(*p.extent), level, e).select("cell_id")
     else:
         ids = _chosen([r[0] for r in chunks(spark, p, group).collect()], chunk_indices)  # chunks are few: jobs are dealt by them
         frame = spark.createDataFrame([(i,) for i in ids], "cell_id long")
         if chunk_indices is not None:
-            near = select.points_by_chunk(pts, g.chunks.level, g.chunks.buffer, e).join(F.broadcast(frame.withColumnRenamed("cell_id", "chunk_id")), "chunk_id", "left_semi")
-            # A point that several chunks need comes once; observations that are alike stay apart.
-            pts = near.drop("chunk_id").dropDuplicates(["input_id", "point_idx", *(x.name for x in g.extra)])
+            reach = max(g.chunks.buffer, {"psf": CELL_REACH, "nn": CELL_REACH}.get(method, 4.0 if method in BY_LINKS else 0.0) * size)
+            near = select.near_chunks(pts, frame, g.chunks.level, reach, e, kind, _grid_step(pts) if method == "grid-bilinear" else (0.0, 0.0))
         wanted = C.children(frame, level - g.chunks.level).select(F.col("child_id").alias("cell_id"))
-    dims = tuple(x.name for x in g.extra)
-    # Labels are few. Where all have the same points, they are worked on together.
+    # Labels are few, and those of all points. Where all have the same points, they are worked on together.
     here = [F.count(F.lit(1)).alias("__n"), F.bit_xor(F.xxhash64("input_id", "point_idx", "lon", "lat")).alias("__h")]
     slices = pts.groupBy(*dims).agg(*here).collect() if dims else []
-    together = g.resampler.name in BY_LINKS and len({(s["__n"], s["__h"]) for s in slices}) <= 1
+    together = method in BY_LINKS and len({(s["__n"], s["__h"]) for s in slices}) <= 1
     out = None
     for labels in [{}] if together or not dims else [{d: s[d] for d in dims} for s in slices]:
-        part, by = pts, dims if together else ()
-        for name, value in labels.items():
-            part = part.filter(F.col(name).eqNullSafe(F.lit(value)))
-        kw: dict = {"by": by} if g.resampler.name in BY_LINKS else {}
-        if links is not None and kw:
-            k = 1 if g.resampler.name == "nearest" else int(g.resampler.params.get("k", 4))
-            kw["links"] = stored_neighbours(resample.places(part, by or dims), wanted, level, k, links, e)
-        one = resampler(g.resampler.name)(part, wanted, g, variables, e, **kw)
+        of = lambda df: df.filter(reduce(and_, [F.col(d).eqNullSafe(F.lit(v)) for d, v in labels.items()], F.lit(True)))  # noqa: E731, B023
+        part, close, by = of(pts), None if near is None else of(near), dims if together else ()
+        kw: dict = {}
+        if method in BY_LINKS:
+            kw["by"] = by
+            k = 1 if method == "nearest" else int(g.resampler.params.get("k", 4))
+            at = resample.places(part, by or dims)
+            if links is not None:
+                kw["links"] = stored_neighbours(at, wanted, level, k, links, e)
+            elif close is not None:
+                kw["links"] = resample.chunk_neighbours(at, resample.places(close, by or dims), reach, wanted, level, k, e)
+        elif method == "grid-bilinear":
+            kw["near"] = close
+        elif close is not None:
+            part = close
+        one = resampler(method)(part, wanted, g, variables, e, **kw)
         if g.chunks.kind == "sparse":
             one = one.join(wanted, "cell_id", "left_semi")
-        elif g.resampler.name != "cell-point":
+        elif method != "cell-point":
             cells = wanted.withColumn("__of", F.explode(F.array(*[F.struct(*[F.lit(s[d]).alias(d) for d in dims]) for s in slices]))).select("cell_id", "__of.*") if by else wanted
             one = resample.dense(one, cells, by=by)
         one = one.withColumns({d: F.lit(v) for d, v in labels.items()})
@@ -156,7 +187,7 @@ def convert_group(spark: SparkSession, p: Plan, group: str, chunk_indices: Itera
     out = out.withColumn("chunk_id", sinks.chunk_column(level, g.chunks.level))
     if g.chunks.kind == "sparse":
         resample.check_chunk_size(out, level, g.chunks.level, g.chunks.chunk_size)
-    return out.select("chunk_id", "cell_id", *[x.name for x in g.extra], *variables)
+    return out.select("chunk_id", "cell_id", *dims, *variables)
 
 
 def prepare(spark: SparkSession, p: Plan, output: str, dry_run: bool = False) -> dict[str, dict]:

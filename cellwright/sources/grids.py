@@ -75,17 +75,12 @@ def _spherical(name: str, field) -> bool:
 
 @dataclass(frozen=True)
 class Spatial:
-    """How the points of a group are placed: by degrees or in a projection, one entry an input."""
+    """How the points of a group are placed: one kind, and for each input a reference system and two columns."""
 
     kind: str  # projected, rectilinear or points
     epsg: tuple[int, ...]
     columns: tuple[tuple[str, str], ...]
 
-    def __add__(self, other: "Spatial") -> "Spatial":
-        if self.kind != other.kind:
-            raise ValueError(f"{self.kind} and {other.kind} inputs don't go together")
-        return Spatial(self.kind, self.epsg + other.epsg, self.columns + other.columns)
-
 
 def spatial(df: DataFrame, default_epsg: int = 4326) -> Spatial | None:
     """What places the points of a table; None if nothing does.
@@ -103,25 +98,28 @@ def spatial(df: DataFrame, default_epsg: int = 4326) -> Spatial | None:
     return None
 
 
+def placements(inputs: Sequence[DataFrame], default_epsg: Sequence[int] | None = None) -> list[dict]:
+    """For each input its number, its kind of placement (or ``empty``, ``no coordinates``), reference system and columns."""
+    out = []
+    for i, df in enumerate(inputs):
+        at = spatial(df, default_epsg[i] if default_epsg else 4326) if df.columns else None
+        kind = at.kind if at else "no coordinates" if df.columns else "empty"
+        out.append({"input": i, "kind": kind, "epsg": at.epsg[0] if at else None, "columns": at.columns[0] if at else None})
+    return out
+
+
 def group_spatial(path: str, inputs: Sequence[DataFrame], default_epsg: Sequence[int] | None = None) -> Spatial | None:
-    """The same for a group of several inputs, which must agree; None if it is not a spatial group."""
-    empty = [not d.columns for d in inputs]
-    if any(empty):
-        if all(empty):
-            return None
-        raise ValueError(f"group {path!r} has data in some inputs only")
-    found = [spatial(d, e) for d, e in zip(inputs, default_epsg or [4326] * len(inputs))]
-    if all(f is None for f in found):
+    """How a group of several inputs is placed; None if none of them has coordinates.
+
+    They must be of one kind; if not, the error names the inputs of each.
+    """
+    table = placements(inputs, default_epsg)
+    kinds = {row["kind"]: [r["input"] for r in table if r["kind"] == row["kind"]] for row in table}
+    if len(kinds) > 1:
+        raise ValueError(f"group {path!r} is not of one kind: " + ", ".join(f"{k} in inputs {v}" for k, v in kinds.items()))
+    if not set(kinds) & {"projected", "rectilinear", "points"}:
         return None
-    if any(f is None for f in found):
-        raise ValueError(f"group {path!r} has coordinates in some inputs only")
-    out = found[0]
-    for f in found[1:]:
-        try:
-            out = out + f
-        except ValueError as e:
-            raise ValueError(f"group {path!r} differs between inputs: {e}") from None
-    return out
+    return Spatial(*kinds, tuple(r["epsg"] for r in table), tuple(r["columns"] for r in table))
 
 
 def located(df: DataFrame, at: Spatial, i: int) -> DataFrame:

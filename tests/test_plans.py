@@ -113,6 +113,29 @@ def test_whole_conversion_and_single_chunks(spark, tmp_path):
     assert {r["root"] for r in spark.read.parquet(f"{out}/_consolidated").collect()} == {"", "m"}
 
 
+RESAMPLERS = [("nearest", {}, "dense"), ("k-nearest", {"k": 3}, "dense"), ("bilinear", {}, "dense"), ("grid-bilinear", {}, "dense"), ("nn", {}, "dense"), ("psf", {"max_iter": 400, "tol": 1e-12}, "dense"), ("cell-point", {}, "sparse")]
+
+
+@pytest.mark.parametrize("method,params,kind,axes", [(*r, False) for r in RESAMPLERS] + [(*RESAMPLERS[k], True) for k in (2, 3, 5)], ids=[*(f"{r[0]}-points" for r in RESAMPLERS), "bilinear-axes", "grid-bilinear-axes", "psf-axes"])
+def test_some_chunks_come_out_as_among_all(spark, tmp_path, method, params, kind, axes):
+    """At the default buffer, which is far narrower than the grid; chunks at a pole and across the antimeridian too."""
+    tag = lambda c, n: G.F.col(c).alias(c, metadata={"axis": n, "standard_name": {"lon": "longitude", "lat": "latitude"}[c]} if axes else {})
+    nodes = spark.range(46 * 90).selectExpr("id as point_idx", "(id % 90) * 4e0 + 0.7 as lon", "89.1 - (id div 90) * 4e0 + (id div 90) % 3 as lat").filter("lat >= -90")
+    nodes = nodes.selectExpr("*", "cast(point_idx * 7919 % 1009 as double) + lat as v").select("point_idx", tag("lon", "X"), tag("lat", "Y"), "v")
+    nodes.filter("lat > -30").write.parquet(f"{tmp_path}/a/g")
+    nodes.filter("lat <= -30 or point_idx % 90 < 40").write.parquet(f"{tmp_path}/b/g")
+    chunks = Chunks("sparse", 2, chunk_size=4**20) if kind == "sparse" else Chunks("dense", 2)
+    s = Settings({"g": Group(Grid(29 if kind == "sparse" else 4), chunks, Resampler(method, params))})
+    p = G.plan([f"{tmp_path}/a", f"{tmp_path}/b"], s, ["g"])
+    some = [0, 15, 77, 101, 130, 180]
+    rows = lambda df: {r["cell_id"]: r["v"] for r in df.collect()}
+    part = rows(G.convert_group(spark, p, "g", some))
+    whole = rows(G.convert_group(spark, p, "g").filter(G.F.col("chunk_id").isin(some)))
+    assert part.keys() == whole.keys() and len(part) > 20
+    for cell, v in whole.items():
+        assert part[cell] == v or v != v and part[cell] != part[cell] or abs(part[cell] - v) < (1e-4 if method == "psf" else 1e-9), (cell, v, part[cell])
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = spark.range(200).selectExpr("timestamp '2024-01-01' + make_interval(0,0,0,0,0,id) as ts", "id * 1.8 - 180 as lon", "id * 0.5 - 50 as lat", "cast(id as double) as v")
     rows.write.parquet(f"{tmp_path}/s")
