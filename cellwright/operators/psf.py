@@ -13,14 +13,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from ..functions import cells as C
+from ..sources.shared import materialize
+from .resample import fields_of, masks
 
 #: Sums that a task holds before it adds them up, and those it keeps after that before it hands them on.
 HELD, FLUSH = 1 << 21, 1 << 20
@@ -151,14 +156,45 @@ def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return np.stack([chunks[key // (n * n)], known[key // n % n], known[key % n]], axis=1), values
 
 
+def _batch_sums(level: int, chunk_level: int, n_cells: int, e: C.Ellipsoid):
+    """A function of points' lon, lat, cell and value: (chunk, i, j) rows and the sums ww, wd, w, share of each."""
+    shift = 2 * (level - chunk_level)
+
+    def run(lon: np.ndarray, lat: np.ndarray, cell_id: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        base, of = np.unique(cell_id, return_inverse=True)
+        near = np.sort(around(base, level), axis=1)  # small levels meet a neighbour twice
+        near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
+        wide = near[of]
+        all_rows, all_cells = np.nonzero(wide >= 0)[0], wide[wide >= 0]
+        rows, cells, w, share = _links(lon, lat, all_cells, all_rows, level, n_cells, e)
+        start = np.searchsorted(rows, np.arange(len(lon) + 1))
+        known, at = np.unique(cells, return_inverse=True)
+        chunks, of = np.unique(all_cells >> shift, return_inverse=True)
+        member = np.unique(all_rows * len(chunks) + of)  # each point with its chunks
+        point, chunk = member // max(1, len(chunks)), member % max(1, len(chunks))
+        n, size = len(known), start[1:] - start[:-1]
+        keys, values = [], []
+        for x in range(int(size.max(initial=0))):
+            for y in range(x, int(size.max())):
+                has = y < size[point]
+                p, c = start[point[has]] + x, start[point[has]] + y
+                i, j, own = np.minimum(at[p], at[c]), np.maximum(at[p], at[c]), float(x == y)
+                keys.append((chunk[has] * n + i) * n + j)
+                values.append(np.stack([w[p] * w[c], own * w[p] * d[point[has]], own * w[p], own * share[p]], axis=1))
+        key, value = _sums(np.concatenate(keys), np.concatenate(values))
+        return np.stack([chunks[key // (n * n)], known[key // n % n], known[key % n]], axis=1), value
+
+    return run
+
+
 def normal_sums(placed: DataFrame, level: int, chunk_level: int, n_cells: int, e: C.Ellipsoid) -> DataFrame:
     """A'A by its entries i <= j, and by cell (i = j) A'd, A'1 and the coverage, for each chunk.
 
     ``placed``: lon, lat, d, cell_id. A point takes part in every chunk that holds its cell or one
     around it, with all of its cells: the halo.
     """
-    shift = 2 * (level - chunk_level)
     names = ["chunk", "i", "j", "ww", "wd", "w", "share"]
+    per_batch = _batch_sums(level, chunk_level, n_cells, e)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -168,30 +204,8 @@ def normal_sums(placed: DataFrame, level: int, chunk_level: int, n_cells: int, e
             return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in (*keys.T, *values.T))], names=names)
 
         for b in batches:
-            base, of = np.unique(b.column("cell_id").to_numpy(zero_copy_only=False), return_inverse=True)
-            near = np.sort(around(base, level), axis=1)  # small levels meet a neighbour twice
-            near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
-            wide = near[of]
-            all_rows, all_cells = np.nonzero(wide >= 0)[0], wide[wide >= 0]
-            lon, lat, d = (b.column(c).to_numpy(zero_copy_only=False) for c in ("lon", "lat", "d"))
-            rows, cells, w, share = _links(lon, lat, all_cells, all_rows, level, n_cells, e)
-            start = np.searchsorted(rows, np.arange(b.num_rows + 1))
-            known, at = np.unique(cells, return_inverse=True)
-            chunks, of = np.unique(all_cells >> shift, return_inverse=True)
-            member = np.unique(all_rows * len(chunks) + of)  # each point with its chunks
-            point, chunk = member // max(1, len(chunks)), member % max(1, len(chunks))
-            n, size = len(known), start[1:] - start[:-1]
-            keys, values = [], []
-            for x in range(int(size.max(initial=0))):
-                for y in range(x, int(size.max())):
-                    has = y < size[point]
-                    p, c = start[point[has]] + x, start[point[has]] + y
-                    i, j, own = np.minimum(at[p], at[c]), np.maximum(at[p], at[c]), float(x == y)
-                    keys.append((chunk[has] * n + i) * n + j)
-                    values.append(np.stack([w[p] * w[c], own * w[p] * d[point[has]], own * w[p], own * share[p]], axis=1))
-            if keys:
-                key, value = _sums(np.concatenate(keys), np.concatenate(values))
-                held.append((np.stack([chunks[key // (n * n)], known[key // n % n], known[key % n]], axis=1), value))
+            if b.num_rows:
+                held.append(per_batch(*(b.column(c).to_numpy(zero_copy_only=False) for c in ("lon", "lat", "cell_id", "d"))))
             if sum(len(k) for k, _ in held) > HELD:
                 held = [_added(held)]
                 if len(held[0][0]) > FLUSH:
@@ -225,3 +239,138 @@ def psf(points: DataFrame, level: int, chunk_level: int, variable: str, n_cells:
         return pd.DataFrame({"cell_id": cells[mine], variable: x[mine]})
 
     return sums.groupBy("chunk").applyInPandas(solve, f"cell_id long, `{variable}` double")
+
+
+#: Fields that one task solves together.
+TOGETHER = 64
+
+
+def _weighted(placed: DataFrame, level: int, chunk_level: int, n_cells: int, variables: list[str], e: C.Ellipsoid) -> DataFrame:
+    """A'd of several variables at once: __label, chunk, i and a sum for each variable.
+
+    ``placed``: __label, lon, lat, cell_id, and variables where a missing value is null. A point's
+    weights are made once for all its variables.
+    """
+    shift = 2 * (level - chunk_level)
+    names = ["__label", "chunk", "i", *[f"d{k}" for k in range(len(variables))]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cells = b.column("cell_id").to_numpy(zero_copy_only=False)
+            near = np.sort(around(cells, level), axis=1)
+            near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
+            rows, cells = np.nonzero(near >= 0)[0], near[near >= 0]
+            lon, lat = (b.column(c).to_numpy(zero_copy_only=False) for c in ("lon", "lat"))
+            d = np.stack([np.nan_to_num(b.column(f"d{k}").to_numpy(zero_copy_only=False).astype(float)) for k in range(len(variables))], axis=1)
+            of_point, at, w, _ = _links(lon, lat, cells, rows, level, n_cells, e)
+            label, code = np.unique(np.array(b.column("__label").to_pylist(), dtype=str), return_inverse=True)
+            # Each point with each chunk that its own cell or one around it is in, and with all of its cells.
+            known, chunk = np.unique(cells >> shift, return_inverse=True)
+            member = np.unique(rows * len(known) + chunk)
+            start = np.searchsorted(of_point, np.arange(b.num_rows + 1))
+            point, chunk = member // max(1, len(known)), member % max(1, len(known))
+            size = start[point + 1] - start[point]
+            link = np.repeat(start[point] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            point, chunk = np.repeat(point, size), np.repeat(chunk, size)
+            every, cell = np.unique(at, return_inverse=True)
+            key, value = _sums((code[point].astype(np.int64) * len(known) + chunk) * max(1, len(every)) + cell[link], w[link][:, None] * d[point])
+            n = max(1, len(every))
+            columns = [pa.array(label[key // (n * max(1, len(known)))].tolist(), pa.string()), pa.array(known[key // n % max(1, len(known))]), pa.array(every[key % n]), *(pa.array(np.ascontiguousarray(c)) for c in value.T)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    kinds = "__label string, chunk long, i long, " + ", ".join(f"{n} double" for n in names[3:])
+    sums = placed.select("__label", "lon", "lat", "cell_id", *[F.col(f"`{v}`").alias(f"d{k}") for k, v in enumerate(variables)]).mapInArrow(run, kinds)
+    return sums.groupBy("__label", "chunk", "i").agg(*[F.sum(n).alias(n) for n in names[3:]])
+
+
+def _solve_many(i: np.ndarray, j: np.ndarray, ww: np.ndarray, wd: np.ndarray, w: np.ndarray, lam: float, max_iter: int, tol: float) -> np.ndarray:
+    """``_solve`` for the columns of ``wd`` in step; a column that is done changes no more."""
+    n, off = len(w), i != j
+    rows, columns, entries = np.concatenate([i, j[off]]), np.concatenate([j, i[off]]), np.concatenate([ww, ww[off]])
+    order = np.argsort(rows, kind="stable")
+    rows, columns, entries = rows[order], columns[order], entries[order][:, None]
+    first = np.searchsorted(rows, np.arange(n))  # every cell has its own entry
+    normal = lambda x: np.add.reduceat(entries * x[columns], first, axis=0)
+    mean = wd.sum(axis=0) / w.sum()
+    x = np.zeros_like(wd)
+    r = wd - mean * w[:, None]
+    p, rr = r.copy(), (r * r).sum(axis=0)
+    limit = tol * tol * np.maximum(rr, 1e-300)
+    for _ in range(max_iter):
+        go = rr > limit
+        if not go.any():
+            break
+        q = normal(p[:, go]) + lam * p[:, go]
+        a = rr[go] / (p[:, go] * q).sum(axis=0)
+        x[:, go] += a * p[:, go]
+        r[:, go] -= a * q
+        new = (r[:, go] * r[:, go]).sum(axis=0)
+        p[:, go] = r[:, go] + new / rr[go] * p[:, go]
+        rr[go] = new
+    return x + mean
+
+
+def psf_batch(points: DataFrame, level: int, chunk_level: int, variables: list[str], by: tuple[str, ...] = (), n_cells: int = 9, lam: float = 1e-3, threshold: float = 0.01, max_iter: int = 100, tol: float = 1e-8, ellipsoid: C.Ellipsoid = C.SPHERE) -> DataFrame:
+    """``psf`` of several variables at all labels of the dimensions ``by``: cell_id, ``by``, variables (double).
+
+    ``points``: input_id, point_idx, lon, lat, ``by``, variables. A'A is made once for all fields
+    that are known at the same points, A'd for all fields of a row at once, and a task solves up to
+    ``TOGETHER`` fields of a chunk in step. The plan is the same for any number of labels. A cell
+    that a field doesn't cover has null there; one that none covers has no row.
+    """
+    known = materialize(masks(points, variables, by))
+    label = F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit("{}")
+    located = C.with_cell(points.filter("lon is not null and lat is not null").withColumns({"lon": F.col("lon").cast("double"), "lat": F.col("lat").cast("double")}), level, ellipsoid)
+    same = reduce(and_, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*by, "variable")])
+    first = fields_of(located, variables, by).alias("l").join(known.filter("first").alias("r"), same).select("r.mask", "l.lon", "l.lat")
+    first = C.with_cell(first, level, ellipsoid)
+    gram = _masked_sums(first, level, chunk_level, n_cells, ellipsoid)
+    clean = {v: F.when(~F.isnan(F.col(f"`{v}`").cast("double")), F.col(f"`{v}`").cast("float").cast("double")) for v in variables}
+    sums = _weighted(located.withColumns(clean).withColumn("__label", label), level, chunk_level, n_cells, variables, ellipsoid)
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), F.col(f"d{k}").alias("wd")) for k, v in enumerate(variables)]))
+    told = known.withColumn("__label", label).withColumn("nth", F.row_number().over(W.Window.partitionBy("mask").orderBy("__label", "variable")) - 1)
+    told = told.withColumns({"slice": F.floor(F.col("nth") / TOGETHER), "slices": F.ceil(F.count(F.lit(1)).over(W.Window.partitionBy("mask")) / TOGETHER)})
+    told = materialize(told.select("__label", "variable", "mask", "slice", "slices", *by))
+    right = sums.select("__label", "chunk", "i", each.alias("__f")).select("__label", "chunk", "i", "__f.*").join(told.select("__label", "variable", "mask", "slice"), ["__label", "variable"])
+    left = gram.join(told.select("mask", "slices").distinct(), "mask").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).drop("slices")
+    shift = 2 * (level - chunk_level)
+
+    def solve(a: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(d):
+            return pd.DataFrame({"cell_id": np.zeros(0, np.int64), "__label": np.zeros(0, object), "variable": np.zeros(0, object), "value": np.zeros(0)})
+        own = a[a["i"] == a["j"]].sort_values("i")
+        cells = own["i"].to_numpy()
+        i, j = np.searchsorted(cells, a["i"]), np.searchsorted(cells, a["j"])
+        names, of = np.unique([f"{a}\n{b}" for a, b in zip(d["__label"], d["variable"])], return_inverse=True)
+        at = np.searchsorted(cells, d["i"].to_numpy())
+        there = (at < len(cells)) & (cells[np.minimum(at, len(cells) - 1)] == d["i"].to_numpy())
+        wd = np.zeros((len(cells), len(names)))
+        wd[at[there], of[there]] = d["wd"].to_numpy()[there]
+        x = _solve_many(i, j, a["ww"].to_numpy(), wd, own["w"].to_numpy(), lam, max_iter, tol)
+        mine = (cells >> shift == a["chunk"].iloc[0]) & (own["share"].to_numpy() >= threshold)
+        n = int(mine.sum())
+        label, variable = (pd.Series(np.repeat(np.array([x.rsplit("\n", 1)[k] for x in names], dtype=object), n), dtype=object) for k in (0, 1))
+        return pd.DataFrame({"cell_id": np.tile(cells[mine], len(names)), "__label": label, "variable": variable, "value": x[mine].T.ravel()})
+
+    solved = left.groupBy("mask", "chunk", "slice").cogroup(right.groupBy("mask", "chunk", "slice")).applyInPandas(solve, "cell_id long, __label string, variable string, value double")
+    wide = solved.groupBy("cell_id", "__label").agg(*[F.max(F.when(F.col("variable") == v, F.col("value"))).alias(v) for v in variables])
+    return wide.join(told.select("__label", *by).distinct(), "__label").select("cell_id", *by, *variables)
+
+
+def _masked_sums(placed: DataFrame, level: int, chunk_level: int, n_cells: int, e: C.Ellipsoid) -> DataFrame:
+    """``normal_sums`` for each mask: mask, chunk, i, j, ww, w, share. ``placed``: mask, lon, lat, cell_id."""
+    names = ["mask", "chunk", "i", "j", "ww", "w", "share"]
+    per_batch = _batch_sums(level, chunk_level, n_cells, e)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            mask = np.array(b.column("mask").to_pylist(), dtype=object)
+            arrays = {c: b.column(c).to_numpy(zero_copy_only=False) for c in ("lon", "lat", "cell_id")}
+            for m in dict.fromkeys(mask):
+                own = mask == m
+                keys, values = per_batch(*(arrays[c][own] for c in ("lon", "lat", "cell_id")), np.zeros(int(own.sum())))
+                columns = [pa.array([m] * len(keys), pa.string()), *(pa.array(np.ascontiguousarray(c)) for c in keys.T), *(pa.array(np.ascontiguousarray(values[:, k])) for k in (0, 2, 3))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    kinds = "mask string, chunk long, i long, j long, ww double, w double, share double"
+    return placed.select("mask", "lon", "lat", "cell_id").mapInArrow(run, kinds).groupBy("mask", "chunk", "i", "j").agg(*[F.sum(c).alias(c) for c in names[4:]])

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,44 +49,45 @@ def _at(level: int) -> Column:
     return F.shiftright("fine", 2 * (FINE - level))
 
 
-def _ring_level(placed: DataFrame, total: int, k: int) -> int:
+def _ring_level(placed: DataFrame, total: int, k: int, by: tuple[str, ...]) -> int:
     """The coarsest level from the even one on where points share their cell with few others."""
     even = start_level(total, k)
     levels = [l for l in (even, even + 2, even + 4) if l <= FINE]
     keys = F.explode(F.array(*[F.struct(F.lit(l).alias("l"), _at(l).alias("c")) for l in levels]))
-    cells = placed.select(keys.alias("k")).groupBy("k.l", "k.c").agg(F.count(F.lit(1)).alias("n"))
-    shared = {r["l"]: r["s"] / total for r in cells.groupBy("l").agg(F.sum(F.col("n") * F.col("n")).alias("s")).collect()}  # three rows
+    cells = placed.select(*by, keys.alias("k")).groupBy(*by, "k.l", "k.c").agg(F.count(F.lit(1)).alias("n"))
+    shared = {r["l"]: r["s"] / r["t"] for r in cells.groupBy("l").agg(F.sum(F.col("n") * F.col("n")).alias("s"), F.sum("n").alias("t")).collect()}  # three rows
     return next((l for l in levels if shared.get(l, 0) <= 12 * k), levels[-1])
 
 
-def _ranked(pairs: DataFrame, k: int) -> DataFrame:
+def _ranked(pairs: DataFrame, k: int, by: tuple[str, ...]) -> DataFrame:
     d2 = sum(((F.col(f"t{c}") - F.col(f"p{c}")) * (F.col(f"t{c}") - F.col(f"p{c}")) for c in "xyz"), F.lit(0.0))
-    ranked = pairs.select("cell_id", "input_id", "point_idx", d2.alias("d2")).withColumn("rank", F.row_number().over(W.Window.partitionBy("cell_id").orderBy("d2", "input_id", "point_idx")))
-    return ranked.filter(F.col("rank") <= k).select("cell_id", "input_id", "point_idx", "rank", F.sqrt("d2").alias("distance"))
+    ranked = pairs.select("cell_id", *by, "input_id", "point_idx", d2.alias("d2")).withColumn("rank", F.row_number().over(W.Window.partitionBy("cell_id", *by).orderBy("d2", "input_id", "point_idx")))
+    return ranked.filter(F.col("rank") <= k).select("cell_id", *by, "input_id", "point_idx", "rank", F.sqrt("d2").alias("distance"))
 
 
-def _descend(placed: DataFrame, left: DataFrame, k: int, wanted: int, ellipsoid: Ellipsoid) -> DataFrame:
+def _descend(placed: DataFrame, left: DataFrame, k: int, ellipsoid: Ellipsoid, by: tuple[str, ...]) -> DataFrame:
     """The k nearest points of any targets, wherever they are, from the tree of cells with points.
 
     Level by level each target keeps the cells that may hold one of its k: those no further than
-    the bound within which ``wanted`` points surely lie. Cells with few points aren't split; of
-    points at one place, in the finest cells, the first k are enough.
+    the bound within which as many as are ``wanted`` surely lie. Cells with few points aren't
+    split; of points at one place, in the finest cells, the first k are enough.
     """
     small, at = max(16, 4 * k), 0
-    open_, closed = left.select("cell_id", "tx", "ty", "tz", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))).alias("of")), None
+    target = ["cell_id", *by, "wanted", "tx", "ty", "tz"]
+    open_, closed = left.select(*target, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))).alias("of")), None
     while True:
-        nodes = placed.groupBy(_at(at).alias("node")).agg(F.count(F.lit(1)).alias("n"))
+        nodes = placed.groupBy(*by, _at(at).alias("node")).agg(F.count(F.lit(1)).alias("n"))
         nodes = C.with_center(nodes, at, ellipsoid, cell="node", lon="c_lon", lat="c_lat").withColumns(ecef("c_lon", "c_lat", ellipsoid, "c"))
-        nodes = nodes.select("node", "n", "cx", "cy", "cz", (F.shiftright("node", 4) if at else F.col("node")).alias("of"))
+        nodes = nodes.select(*by, "node", "n", "cx", "cy", "cz", (F.shiftright("node", 4) if at else F.col("node")).alias("of"))
         away = F.sqrt(sum(((F.col(f"t{c}") - F.col(f"c{c}")) * (F.col(f"t{c}") - F.col(f"c{c}")) for c in "xyz"), F.lit(0.0)))
         reach = WIDEST * ellipsoid.a / 2**at
-        found = open_.join(nodes, "of").select("cell_id", "tx", "ty", "tz", F.lit(at).alias("at"), "node", "n", (away - reach).alias("near"), (away + reach).alias("far"))
-        by = W.Window.partitionBy("cell_id")
-        every = (found if closed is None else found.unionByName(closed)).withColumn("sure", F.sum("n").over(by.orderBy("far", "at", "node").rowsBetween(W.Window.unboundedPreceding, 0)))
-        bound = F.min(F.when(F.col("sure") >= wanted, F.col("far"))).over(by)
+        found = open_.join(nodes, ["of", *by]).select(*target, F.lit(at).alias("at"), "node", "n", (away - reach).alias("near"), (away + reach).alias("far"))
+        own = W.Window.partitionBy("cell_id", *by)
+        every = (found if closed is None else found.unionByName(closed)).withColumn("sure", F.sum("n").over(own.orderBy("far", "at", "node").rowsBetween(W.Window.unboundedPreceding, 0)))
+        bound = F.min(F.when(F.col("sure") >= F.col("wanted"), F.col("far"))).over(own)
         every = materialize(every.withColumn("bound", bound).filter(F.col("near") <= F.col("bound")).drop("sure", "bound"))
         split = (F.col("n") > small) & (F.col("at") < FINE)
-        open_, closed = every.filter(split).select("cell_id", "tx", "ty", "tz", F.col("node").alias("of")), every.filter(~split)
+        open_, closed = every.filter(split).select(*target, F.col("node").alias("of")), every.filter(~split)
         if open_.isEmpty():
             break
         at += 2
@@ -92,18 +95,18 @@ def _descend(placed: DataFrame, left: DataFrame, k: int, wanted: int, ellipsoid:
     for l in range(0, at + 1, 2):
         near = placed.withColumn("node", _at(l))
         if l == FINE:
-            near = near.join(closed.filter(F.col("at") == l).select("node").distinct(), "node", "left_semi")
-            near = near.withColumn("same", F.row_number().over(W.Window.partitionBy("node", "lon", "lat").orderBy("input_id", "point_idx"))).filter(F.col("same") <= k).drop("same")
-        one = closed.filter(F.col("at") == l).join(near, "node").select("cell_id", "tx", "ty", "tz", "input_id", "point_idx", "px", "py", "pz")
+            near = near.join(closed.filter(F.col("at") == l).select("node", *by).distinct(), ["node", *by], "left_semi")
+            near = near.withColumn("same", F.row_number().over(W.Window.partitionBy("node", "lon", "lat", *by).orderBy("input_id", "point_idx"))).filter(F.col("same") <= k).drop("same")
+        one = closed.filter(F.col("at") == l).join(near, ["node", *by]).select("cell_id", *by, "tx", "ty", "tz", "input_id", "point_idx", "px", "py", "pz")
         pairs = one if pairs is None else pairs.unionByName(one)
-    return _ranked(pairs, k)
+    return _ranked(pairs, k, by)
 
 
 #: A cell with more points than this many times k is crowded: its ring is not compared point by point.
 CROWD = 512
 
 
-def _in_ring(placed: DataFrame, left: DataFrame, at: int, k: int, ellipsoid: Ellipsoid) -> DataFrame:
+def _in_ring(placed: DataFrame, left: DataFrame, at: int, k: int, ellipsoid: Ellipsoid, by: tuple[str, ...]) -> DataFrame:
     """The k nearest points in a target's cell of a level and the ring around; none where these are crowded."""
     own = C.add_steps(left, C.cell_steps("t_lon", "t_lat", at, ellipsoid, "own"), ["own"])
     if at > 0:
@@ -112,36 +115,78 @@ def _in_ring(placed: DataFrame, left: DataFrame, at: int, k: int, ellipsoid: Ell
     else:
         around = own.withColumn("near", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))))
     near = placed.withColumn("near", _at(at))
-    crowded = near.groupBy("near").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD * k).select("near")
-    calm = around.join(around.join(crowded, "near", "left_semi").select("cell_id").distinct(), "cell_id", "left_anti")
-    return _ranked(calm.join(near, "near"), k)
+    crowded = near.groupBy("near", *by).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD * k).select("near", *by)
+    calm = around.join(around.join(crowded, ["near", *by], "left_semi").select("cell_id", *by).distinct(), ["cell_id", *by], "left_anti")
+    return _ranked(calm.join(near, ["near", *by]), k, by)
 
 
-def neighbours(points: DataFrame, targets: DataFrame, level: int, k: int, ellipsoid: Ellipsoid = SPHERE, start: int | None = None) -> DataFrame:
-    """The ``k`` points nearest to each target cell's centre: cell_id, input_id, point_idx, rank, distance.
+def neighbours(points: DataFrame, targets: DataFrame, level: int, k: int, ellipsoid: Ellipsoid = SPHERE, start: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """The ``k`` points nearest to each target cell's centre: cell_id, ``by``, input_id, point_idx, rank, distance.
 
-    ``points``: input_id, point_idx, lon, lat; ``targets``: cell_id. Fewer than k points: all.
-    A target first looks in its cell of the level ``start`` (by default one that suits the number
-    of points in occupied cells) and the ring around, then two levels up, unless one of these cells
-    is crowded. Those that are, or that find too few, go through ``_descend``; so points may lie in
-    clusters.
+    ``points``: input_id, point_idx, lon, lat; ``targets``: cell_id. Fewer than k points: all. With
+    columns ``by``, which both have, a target looks among the points that agree with it there; one
+    plan serves them all. A target first looks in its cell of the level ``start`` (by default one
+    that suits the number of points in occupied cells) and the ring around, then two levels up,
+    unless one of these cells is crowded. Those that are, or that find too few, go through
+    ``_descend``; so points may lie in clusters.
     """
-    placed = points.select("input_id", "point_idx", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat")).filter("lon is not null and lat is not null")
+    placed = points.select(*by, "input_id", "point_idx", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat")).filter("lon is not null and lat is not null")
     placed = materialize(C.with_cell(placed, FINE, ellipsoid, out="fine").withColumns(ecef("lon", "lat", ellipsoid, "p")))
-    total = placed.count()
-    left = C.with_center(targets.select("cell_id").distinct(), level, ellipsoid, lon="t_lon", lat="t_lat").withColumns(ecef("t_lon", "t_lat", ellipsoid, "t"))
-    wanted, found = min(k, total), None
-    first = (_ring_level(placed, total, k) if start is None else start) if total else 0
+    sizes = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    total = sizes.agg(F.max("n")).first()[0] or 0
+    left = targets.select("cell_id", *by).distinct()
+    left = left.join(sizes.select(*by, F.least("n", F.lit(k)).alias("wanted")), list(by)) if by else left.withColumn("wanted", F.lit(min(k, total)))
+    left = C.with_center(left, level, ellipsoid, lon="t_lon", lat="t_lat").withColumns(ecef("t_lon", "t_lat", ellipsoid, "t"))
+    found, key = None, ["cell_id", *by]
+    first = (_ring_level(placed, total, k, by) if start is None else start) if total else 0
     for at in dict.fromkeys((first, max(0, first - 2))):
-        best = materialize(_in_ring(placed, left, at, k, ellipsoid))
+        best = materialize(_in_ring(placed, left, at, k, ellipsoid, by))
         width = C.NARROWEST * ellipsoid.a * math.sqrt(math.pi / 3) / 2**at if at else math.inf
-        ok = best.groupBy("cell_id").agg(F.max("rank").alias("n"), F.max("distance").alias("far")).filter((F.col("n") >= wanted) & (F.col("far") <= width)).select("cell_id")
-        left = materialize(left.join(ok, "cell_id", "left_anti"))
-        sure = best.join(ok, "cell_id", "left_semi")
+        seen = best.groupBy(*key).agg(F.max("rank").alias("n"), F.max("distance").alias("far")).filter(F.col("far") <= width)
+        ok = seen.join(left.select(*key, "wanted"), key).filter(F.col("n") >= F.col("wanted")).select(*key)
+        left = materialize(left.join(ok, key, "left_anti"))
+        sure = best.join(ok, key, "left_semi")
         found = sure if found is None else found.unionByName(sure)
         if not total or left.isEmpty():
             return found
-    return found.unionByName(_descend(placed, left, k, wanted, ellipsoid))
+    return found.unionByName(_descend(placed, left, k, ellipsoid, by))
+
+
+def masked_maps(points: DataFrame, targets: DataFrame, level: int, variables: list[str], k: int = 4, ellipsoid: Ellipsoid = SPHERE, by: tuple[str, ...] = ()) -> DataFrame:
+    """``inverse_distance`` of each field from the points where it has a value: cell_id, ``by``, variable, value.
+
+    A field is a variable at a label of the dimensions ``by``. Fields known at the same points, by
+    ``masks``, share a search of neighbours, and all searches are one plan. With k = 1 it is the
+    nearest point that has a value. A field without any has no rows.
+    """
+    known = materialize(masks(points, variables, by))
+    values = null_safe(fields_of(points, variables, by), known.select(*by, "variable", "mask", "first"), [*by, "variable"])
+    own = values.filter("first").select("mask", "input_id", "point_idx", "lon", "lat")
+    kinds = known.select("mask").distinct()
+    cells = targets.select("cell_id").distinct().withColumn("__one", F.lit(1)).join(kinds.groupBy(F.lit(1).alias("__one")).agg(F.collect_list("mask").alias("__m")), "__one").select("cell_id", F.explode("__m").alias("mask"))  # masks are few
+    links = neighbours(own, cells, level, k, ellipsoid, by=("mask",))
+    size = ellipsoid.a * math.sqrt(math.pi / 3) / 2**level
+    joined = links.join(values.drop("lon", "lat", "first"), ["mask", "input_id", "point_idx"]).withColumn("w", 1 / (F.col("distance") / size + 1e-6))
+    return joined.groupBy("cell_id", *by, "variable").agg((F.sum(F.col("w") * F.col("d")) / F.sum("w")).alias("value"))
+
+
+def fields_of(points: DataFrame, variables: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each value there is: input_id, point_idx, lon, lat, ``by``, variable, d (through float32)."""
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), F.col(f"`{v}`").cast("float").cast("double").alias("d")) for v in variables]))
+    return points.select("input_id", "point_idx", "lon", "lat", *by, each.alias("__f")).select("input_id", "point_idx", "lon", "lat", *by, "__f.*").filter("d is not null and not isnan(d)")
+
+
+def masks(points: DataFrame, variables: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """Which fields are known at the same points: ``by``, variable, mask, first.
+
+    Fields whose points with a value are the same have the same ``mask``, told by number, sum and
+    parity of their hashes; one of them is the first. A field without any value has no row.
+    """
+    here = F.xxhash64("input_id", "point_idx", F.col("lon").cast("double"), F.col("lat").cast("double"))
+    fields = fields_of(points, variables, by).groupBy(*by, "variable").agg(F.count(F.lit(1)).alias("__n"), F.sum(here.cast("decimal(38,0)")).alias("__s"), F.bit_xor(here).alias("__x"))
+    fields = fields.select(*by, "variable", F.concat_ws("/", "__n", "__s", "__x").alias("mask"))
+    turn = F.row_number().over(W.Window.partitionBy("mask").orderBy(*by, "variable"))
+    return fields.withColumn("first", turn == 1)
 
 
 def chunk_neighbours(points: DataFrame, near: DataFrame, reach: float, targets: DataFrame, level: int, k: int, ellipsoid: Ellipsoid = SPHERE) -> DataFrame:
@@ -205,29 +250,46 @@ def cell_point(points: DataFrame, variables: list[str], ellipsoid: Ellipsoid = S
     return placed.groupBy("cell_id").agg(first.alias("first")).select("cell_id", "first.*")
 
 
-def bin_mean(points: DataFrame, level: int, variables: list[str], ellipsoid: Ellipsoid = SPHERE) -> DataFrame:
-    """Mean and number of the points in each cell that holds any: cell_id, n, variables (float)."""
+def bin_mean(points: DataFrame, level: int, variables: list[str], ellipsoid: Ellipsoid = SPHERE, by: tuple[str, ...] = ()) -> DataFrame:
+    """Mean and number of the points in each cell that holds any: cell_id, ``by``, n, variables (float)."""
     placed = nan_to_null(C.with_cell(points, level, ellipsoid), *variables)
-    return placed.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col(v).cast("double")).cast("float").alias(v) for v in variables])
+    return placed.groupBy("cell_id", *by).agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col(v).cast("double")).cast("float").alias(v) for v in variables])
+
+
+def every_cell(labels: DataFrame, level: int) -> DataFrame:
+    """Each row with every cell of a level, in two steps so that no row holds a whole level."""
+    half = level // 2
+    coarse = labels.withColumn("__of", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(12 * 4**half - 1).cast("long"))))
+    return C.children(coarse, level - half, "__of", "cell_id").drop("__of")
+
+
+def null_safe(a: DataFrame, b: DataFrame, on: Iterable[str], how: str = "inner") -> DataFrame:
+    """A join by equal columns where null equals null; these columns come from the left side."""
+    on = list(on)
+    right = b.withColumnsRenamed({c: f"__{c}" for c in on})
+    equal = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in on])
+    return a.join(right, equal, how).drop(*[f"__{c}" for c in on])
 
 
-def fill_gaps(binned: DataFrame, level: int, variable: str, exact: bool = False) -> DataFrame:
+def fill_gaps(binned: DataFrame, level: int, variable: str, exact: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """All cells of the sphere: an empty one gets the mean of its neighbours that have a value.
 
-    The quick form looks at the values that were there. The exact form fills in ascending order,
-    with earlier fills counting for later ones: wave after wave, a cell is filled once the empty
-    neighbours with lower ids are done, so there are as many waves as the longest chain of them.
+    The quick form looks at the values that were there, at each label of the dimensions ``by``.
+    The exact form fills in ascending order, with earlier fills counting for later ones: wave after
+    wave, a cell is filled once the empty neighbours with lower ids are done, so there are as many
+    waves as the longest chain of them. It has no labels.
     """
-    have = binned.filter(F.col(variable).isNotNull()).select("cell_id", F.col(variable).cast("float").alias(variable))
-    empty = C.whole_sphere(binned.sparkSession, level).join(have, "cell_id", "left_anti")
-    around = C.with_neighbours(empty, level).select("cell_id", F.explode("neighbours").alias("near")).filter("near >= 0")
+    have = binned.filter(F.col(variable).isNotNull()).select("cell_id", *by, F.col(variable).cast("float").alias(variable))
+    every = every_cell(binned.select(*by).distinct(), level) if by else C.whole_sphere(binned.sparkSession, level)
+    empty = null_safe(every, have, ["cell_id", *by], "left_anti")
+    around = C.with_neighbours(empty, level).select("cell_id", *by, F.explode("neighbours").alias("near")).filter("near >= 0")
 
     def filled(edges: DataFrame, known: DataFrame) -> DataFrame:
-        hits = edges.join(known.withColumnRenamed("cell_id", "near"), "near")
-        return hits.groupBy("cell_id").agg(F.avg(F.col(variable).cast("double")).cast("float").alias(variable))
+        hits = null_safe(edges, known.withColumnRenamed("cell_id", "near"), ["near", *by])
+        return hits.groupBy("cell_id", *by).agg(F.avg(F.col(variable).cast("double")).cast("float").alias(variable))
 
     if not exact:
-        return have.unionByName(filled(around, have)).join(C.whole_sphere(binned.sparkSession, level), "cell_id", "right")
+        return null_safe(every, have.unionByName(filled(around, have)), ["cell_id", *by], "left").select("cell_id", *by, variable)
     around = materialize(around)
     known, todo = materialize(have), materialize(empty)
     while not todo.isEmpty():
@@ -238,10 +300,11 @@ def fill_gaps(binned: DataFrame, level: int, variable: str, exact: bool = False)
     return known.join(C.whole_sphere(binned.sparkSession, level), "cell_id", "right")
 
 
-def clip_to_source(cells: DataFrame, points: DataFrame, variable: str) -> DataFrame:
-    """Values no lower and no higher than the valid source values."""
-    limits = nan_to_null(points, variable).agg(F.min(variable).alias("__lo"), F.max(variable).alias("__hi"))  # one row
-    return cells.join(F.broadcast(limits)).withColumn(variable, F.when(F.col(variable).isNotNull(), F.greatest("__lo", F.least("__hi", variable)))).drop("__lo", "__hi")
+def clip_to_source(cells: DataFrame, points: DataFrame, variable: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Values no lower and no higher than the valid source values, at each label of the dimensions ``by``."""
+    limits = nan_to_null(points, variable).groupBy(*by).agg(F.min(variable).alias("__lo"), F.max(variable).alias("__hi"))
+    both = null_safe(cells, limits, by, "left") if by else cells.join(F.broadcast(limits))  # one row
+    return both.withColumn(variable, F.when(F.col(variable).isNotNull(), F.greatest("__lo", F.least("__hi", variable)))).drop("__lo", "__hi")
 
 
 def clip_at_zero(cells: DataFrame, variable: str) -> DataFrame:
@@ -252,7 +315,7 @@ def dense(result: DataFrame, cells: DataFrame, fills: dict[str, float | None] |
     """A row for each wanted cell (and labels ``by``, which ``cells`` then has too); a missing value
     is the variable's fill (NaN for floats, else 0)."""
     kinds = {f.name: f.dataType for f in result.schema if f.name not in ("cell_id", *by)}
-    joined = cells.select("cell_id", *by).join(result, ["cell_id", *by], "left")
+    joined = null_safe(cells.select("cell_id", *by), result, ["cell_id", *by], "left")
     out = []
     for v, kind in kinds.items():
         fill = (fills or {}).get(v)
@@ -393,19 +456,6 @@ def layer_mean(results: list[DataFrame], variables: list[str]) -> DataFrame:
     return nan_to_null(both, *variables).groupBy("cell_id").agg(*[F.avg(v).alias(v) for v in variables])
 
 
-def masked(points: DataFrame, variables: list[str]) -> dict[tuple[str, ...], DataFrame]:
-    """Points split by which variables are valid together, so each mask needs one neighbour search.
-
-    Variables with the same pattern of missing values share a frame of their valid points.
-    """
-    clean = nan_to_null(points, *variables)
-    marks = clean.agg(*[F.sum(F.when(F.col(v).isNull(), F.xxhash64("input_id", "point_idx")).cast("decimal(38,0)")).alias(v) for v in variables]).first()
-    groups: dict = {}
-    for v in variables:
-        groups.setdefault(marks[v], []).append(v)
-    return {tuple(vs): clean.filter(F.col(vs[0]).isNotNull()) for vs in groups.values()}
-
-
 def per_variable(params: float | dict, variables: list[str], name: str = "parameter") -> dict:
     """A scalar for all variables or one for each; a variable without one is an error."""
     if not isinstance(params, dict):

@@ -315,6 +315,25 @@ def psf_resample(spark, sf_dir):
     return psf.psf(points(spark, sf_dir), 4, 1, "price")
 
 
+@query()
+def psf_batch(spark, sf_dir):
+    """Price and discount by line number, in one plan: fields that are known at the same points share their equations."""
+    lines = read(spark, sf_dir, "lineitem").selectExpr("0 as input_id", "l_orderkey * 8 + l_linenumber as point_idx", f"{LON} as lon", f"{LAT} as lat", "l_linenumber % 3 as label", "l_extendedprice as price", "case when l_discount > 0 then l_discount end as discount")
+    return psf.psf_batch(lines, 4, 1, ["price", "discount"], ("label",))
+
+
+_MASKED = "(select c_custkey as point_idx, c_nationkey % 3 as label, 'balance' as variable, cast(cast(c_acctbal as float) as double) as d from customer where c_acctbal > 0 union all select c_custkey, c_nationkey % 3, 'debt', cast(cast(-c_acctbal as float) as double) from customer where c_acctbal <= 0 union all select c_custkey, c_nationkey % 3, 'nation', cast(c_nationkey as double) from customer where c_acctbal > 0)"
+_MASKED_RANKED = f"(select c.cell_id, f.label, f.variable, f.d as v, sqrt((c.x - s.x) ^ 2 + (c.y - s.y) ^ 2 + (c.z - s.z) ^ 2) as d, row_number() over (partition by c.cell_id, f.label, f.variable order by (c.x - s.x) ^ 2 + (c.y - s.y) ^ 2 + (c.z - s.z) ^ 2, s.point_idx) as turn from {_CENTRES2} c cross join (select *, {_ecef_sql('lon', 'lat')} from {SITES} r) s join {_MASKED} f on f.point_idx = s.point_idx)"
+
+
+@query(f"select cell_id, label, variable, round(sum({_W} * v) / sum({_W}), 3) as value from {_MASKED_RANKED} where turn <= 4 group by all")
+def masked_maps(spark, sf_dir):
+    """Fields with missing values, each from the points that have one; fields with one mask share a search."""
+    pts = sites(spark, sf_dir).selectExpr("*", "cast(nation % 3 as bigint) as label", "case when balance > 0 then balance end as good", "case when balance <= 0 then -balance end as debt", "case when balance > 0 then nation end as kind").drop("balance", "nation").withColumnsRenamed({"good": "balance", "kind": "nation"})
+    out = resample.masked_maps(pts, C.whole_sphere(spark, 2), 2, ["balance", "debt", "nation"], 4, by=("label",))
+    return out.select("cell_id", "label", "variable", F.round("value", 3).alias("value"))
+
+
 @query(f"select 'balance' as variable, false as lost union all select 'price', count(price) > 0 from {CELLS} p")
 def lost_data(spark, sf_dir):
     a = order_cells(spark, sf_dir).selectExpr("price", "price as balance")

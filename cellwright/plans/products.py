@@ -89,33 +89,31 @@ def variables(spark: SparkSession) -> DataFrame:
 def field_maps(fields: DataFrame, group: str, settings: Settings, method: str = "psf", chunk_indices: list[int] | None = None) -> DataFrame:
     """Whole-globe maps of a group's fields: time, variable, chunk_id, cell_id, value (float).
 
-    Each field is resampled once, from its valid points, and chunks are taken from the map. PSF
+    Each field is resampled from its valid points, all in one plan; fields that are known at the
+    same points share the equations of the point-spread function. Chunks are taken from the map. PSF
     results stay within the valid source values; optical depths don't fall below 0. The method
     ``nn`` is binning with gaps filled.
     """
     g = settings.for_group(group)
-    level, e = g.grid.level, C.ELLIPSOIDS[g.grid.ellipsoid]
+    level, e, by = g.grid.level, C.ELLIPSOIDS[g.grid.ellipsoid], ("time", "variable")
     known = GROUPS.get(group, {})
     fields = first_member(fields).filter(F.col("variable").isin(*known)) if known else first_member(fields)
-    out = None
-    for row in fields.select("variable", "time").distinct().orderBy("variable", "time").collect():  # fields of a product: few
-        one = fields.filter((F.col("variable") == row["variable"]) & F.col("time").eqNullSafe(F.lit(row["time"]))).withColumn("value", F.col("value").cast("float"))
-        if method == "nn":
-            made = resample.fill_gaps(resample.bin_mean(one, level, ["value"], e), level, "value")
-        else:
-            made = psf.psf(one, level, g.chunks.level, "value", ellipsoid=e, **g.resampler.params)
-            made = resample.clip_to_source(made, one, "value")
-        if group == "measurements/aod":
-            made = resample.clip_at_zero(made, "value")
-        made = resample.dense(made.withColumn("value", F.col("value").cast("float")), C.whole_sphere(fields.sparkSession, level))
-        made = made.select(F.lit(row["time"]).alias("time"), F.lit(row["variable"]).alias("variable"), chunk_column(level, g.chunks.level).alias("chunk_id"), "cell_id", "value")
-        out = made if out is None else out.unionByName(made)
-    if out is not None and chunk_indices is not None:
+    fields = fields.withColumn("value", F.col("value").cast("float"))
+    if method == "nn":
+        made = resample.fill_gaps(resample.bin_mean(fields, level, ["value"], e, by), level, "value", by=by)
+    else:
+        made = psf.psf_batch(fields, level, g.chunks.level, ["value"], by, ellipsoid=e, **g.resampler.params)
+        made = resample.clip_to_source(made, fields, "value", by)
+    if group == "measurements/aod":
+        made = resample.clip_at_zero(made, "value")
+    cells = resample.every_cell(fields.select(*by).distinct(), level)
+    if chunk_indices is not None:
         n = 12 * 4**g.chunks.level
         if any(not 0 <= i < n for i in chunk_indices):
             raise IndexError(f"a chunk index is out of range 0..{n - 1}")
-        out = out.filter(F.col("chunk_id").isin(chunk_indices))
-    return out
+        cells = cells.filter(chunk_column(level, g.chunks.level).isin(chunk_indices))
+    made = resample.dense(made.withColumn("value", F.col("value").cast("float")), cells, by=by)
+    return made.select("time", "variable", chunk_column(level, g.chunks.level).alias("chunk_id"), "cell_id", "value")
 
 
 def sphere_to_ellipsoid(cells: DataFrame, level: int, variable: str, chunk_level: int = 2, method: str = "psf", **params) -> DataFrame:

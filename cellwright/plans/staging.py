@@ -98,13 +98,29 @@ def resampler(name: str) -> Callable:
         "grid-bilinear": lambda pts, cells, g, vs, e, **kw: resample.grids_bilinear(pts, cells, g.grid.level, vs, e, float(g.resampler.params.get("min_weight", 0.5)), **kw),
         "cell-point": lambda pts, cells, g, vs, e: resample.cell_point(pts, vs, e),
         "nn": lambda pts, cells, g, vs, e: _by_variable(lambda v: resample.fill_gaps(resample.bin_mean(pts, g.grid.level, [v], e), g.grid.level, v).join(cells, "cell_id", "left_semi"), vs),
-        "psf": lambda pts, cells, g, vs, e: _by_variable(lambda v: psf.psf(pts, g.grid.level, g.chunks.level or 0, v, ellipsoid=e, **g.resampler.params).join(cells, "cell_id", "left_semi"), vs),
+        "psf": lambda pts, cells, g, vs, e, **kw: psf.psf_batch(pts, g.grid.level, _solved_at(g), vs, ellipsoid=e, **_per_call(g, vs), **kw).join(cells, "cell_id", "left_semi"),
     }
     if name not in made:
         raise ValueError(f"resampler {name!r} is not available here")
     return made[name]
 
 
+def _solved_at(g: Group) -> int:
+    """The level of the cells that a point-spread function is solved in: the chunks', else five levels up."""
+    return g.chunks.level if g.chunks.level is not None else max(0, g.grid.level - 5)
+
+
+def _per_call(g: Group, variables: list[str]) -> dict:
+    """A resampler's parameters as one call for all variables takes them."""
+    out = {}
+    for name, value in g.resampler.params.items():
+        each = set(resample.per_variable(value, variables, name).values())
+        if len(each) > 1:
+            raise ValueError(f"parameter {name!r} must be the same for all variables")
+        out[name] = each.pop()
+    return out
+
+
 def _by_variable(f: Callable[[str], DataFrame], variables: list[str]) -> DataFrame:
     return pyramid.merge_levels([f(v) for v in variables])
 
@@ -156,7 +172,7 @@ def convert_group(spark: SparkSession, p: Plan, group: str, chunk_indices: Itera
     # Labels are few, and those of all points. Where all have the same points, they are worked on together.
     here = [F.count(F.lit(1)).alias("__n"), F.bit_xor(F.xxhash64("input_id", "point_idx", "lon", "lat")).alias("__h")]
     slices = pts.groupBy(*dims).agg(*here).collect() if dims else []
-    together = method in BY_LINKS and len({(s["__n"], s["__h"]) for s in slices}) <= 1
+    together = method == "psf" or method in BY_LINKS and len({(s["__n"], s["__h"]) for s in slices}) <= 1
     out = None
     for labels in [{}] if together or not dims else [{d: s[d] for d in dims} for s in slices]:
         of = lambda df: df.filter(reduce(and_, [F.col(d).eqNullSafe(F.lit(v)) for d, v in labels.items()], F.lit(True)))  # noqa: E731, B023
@@ -174,6 +190,8 @@ def convert_group(spark: SparkSession, p: Plan, group: str, chunk_indices: Itera
             kw["near"] = close
         elif close is not None:
             part = close
+        if method == "psf":
+            kw["by"] = by
         one = resampler(method)(part, wanted, g, variables, e, **kw)
         if g.chunks.kind == "sparse":
             one = one.join(wanted, "cell_id", "left_semi")

@@ -139,8 +139,10 @@ def test_psf_reproduces_smooth_fields(spark):
 
 def test_masks_parameters_and_lost_data(spark):
     pts = make(spark, 20).withColumns({"a": F.when(F.col("point_idx") > 3, F.col("v")), "b": F.when(F.col("point_idx") > 3, F.lit(1.0)), "c": F.col("v")})
-    groups = R.masked(pts, ["a", "b", "c"])
-    assert sorted(groups) == [("a", "b"), ("c",)] and groups[("a", "b")].count() == 16
+    groups = {}
+    for r in R.masks(pts, ["a", "b", "c"]).collect():
+        groups.setdefault(r["mask"], []).append(r["variable"])
+    assert sorted(map(sorted, groups.values())) == [["a", "b"], ["c"]] and R.masks(pts, ["a", "b", "c"]).filter("first").count() == 2
     assert R.per_variable(2.0, ["a"]) == {"a": 2.0}
     with pytest.raises(ValueError):
         R.per_variable({"a": 1.0}, ["a", "b"])
@@ -148,6 +150,46 @@ def test_masks_parameters_and_lost_data(spark):
     assert {r["v"] for r in R.clip_at_zero(spark.createDataFrame([(1, -2.0), (2, None)], "cell_id long, v double"), "v").collect()} == {0.0, None}
 
 
+def labelled(spark, n=500):
+    pts = make(spark, n, 5).drop("k").withColumn("t", F.explode(F.array(F.lit("p"), F.lit("q"), F.lit(None).cast("string"))))
+    return pts.selectExpr("*", "v + case when t = 'p' then lat else 1 end as a", "case when point_idx % 5 <> 0 then cos(lat) end as b", "case when t = 'q' and lat > 0 then lon else double('NaN') end as c").drop("v")
+
+
+def test_fields_that_share_masks_are_those_one_by_one(spark):
+    pts = labelled(spark)
+    rows = R.masked_maps(pts, C.whole_sphere(spark, 2), 2, ["a", "b", "c"], 3, by=("t",)).collect()
+    got = {(r["t"], r["variable"], r["cell_id"]): r["value"] for r in rows}
+    assert len(got) == len(rows) == 192 * 7  # c has values at one label
+    for t, v in (("p", "a"), ("q", "b"), (None, "b"), ("q", "c")):
+        own = pts.filter(F.col("t").eqNullSafe(t) & F.col(v).isNotNull() & ~F.isnan(v))
+        for r in R.inverse_distance(own, C.whole_sphere(spark, 2), 2, [v], 3).collect():
+            assert abs(got[t, v, r["cell_id"]] - r[v]) < 1e-9
+
+
+def test_psf_of_many_fields_is_that_one_by_one(spark):
+    pts, done = labelled(spark, 900), {"max_iter": 2000, "tol": 1e-12, "lam": 0.1}
+    got = Q.psf_batch(pts, 3, 1, ["a", "b", "c"], ("t",), **done).toPandas()
+    assert not got.duplicated(["cell_id", "t"]).any()
+    for t, v in (("p", "a"), ("q", "b"), (None, "a"), ("q", "c")):
+        want = Q.psf(pts.filter(F.col("t").eqNullSafe(t)), 3, 1, v, **done).toPandas().set_index("cell_id")[v]
+        mine = got[got["t"].isna() if t is None else got["t"] == t].set_index("cell_id")[v].dropna()
+        assert set(mine.index) == set(want.index) and (mine - want).abs().max() < 1e-6
+    assert got[got["t"] == "p"]["c"].isna().all()
+    none = Q.psf_batch(pts.limit(0), 3, 1, ["a"], ("t",))
+    assert none.count() == 0 and none.columns == ["cell_id", "t", "a"]
+
+
+def test_gaps_by_label(spark):
+    pts = labelled(spark, 300)
+    got = R.fill_gaps(R.bin_mean(pts, 3, ["a"], by=("t",)), 3, "a", by=("t",)).toPandas()
+    assert len(got) == 3 * 768
+    for t in ("p", None):
+        want = R.fill_gaps(R.bin_mean(pts.filter(F.col("t").eqNullSafe(t)), 3, ["a"]), 3, "a").toPandas().set_index("cell_id")["a"]
+        mine = got[got["t"].isna() if t is None else got["t"] == t].set_index("cell_id")["a"]
+        mine, want = mine.sort_index(), want.sort_index()
+        assert len(mine) == 768 and (mine.isna() == want.isna()).all() and (mine - want).abs().max() < 1e-4
+
+
 def test_psf_gives_a_task_only_sums_per_cell(spark):
     pts = make(spark, 400, 3)
     many = pts.crossJoin(spark.range(4).select())
