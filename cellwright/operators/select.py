@@ -18,6 +18,7 @@ from pyspark.sql import window as W
 from ..functions import cells as C
 from ..functions import projection
 from ..functions.cells import SPHERE, Ellipsoid
+from ..sources.shared import materialize
 
 #: Below every radius of curvature of the Earth: angles from it are on the safe side.
 SMALL_RADIUS = 6_330_000.0
@@ -278,7 +279,67 @@ def coverage(spark, extent: Extent, level: int, ellipsoid: Ellipsoid = SPHERE) -
         within = (F.col("south") >= extent.south) & (F.col("north") <= extent.north) & (F.col("west") >= shift - half) & (F.col("east") <= shift + half)
         at = w.filter(meets).select("cell_id", within.alias("inside"))
         if l < level and l % 4 == 3:
-            from ..sources.shared import materialize
-
             at = materialize(at)
     return at
+
+
+def _crossings(sides: Column, px: Column, py: Column) -> Column:
+    """Whether a place is inside a polygon, by the number of its sides to one hand."""
+    turn = lambda s: (px - s["x1"]) * (s["y2"] - s["y1"]) - (py - s["y1"]) * (s["x2"] - s["x1"])
+    return F.size(F.filter(sides, lambda s: ((s["y1"] > py) != (s["y2"] > py)) & ((turn(s) < 0) == (s["y2"] > s["y1"])))) % 2 == 1
+
+
+def _cut(sides: Column, x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
+    """Whether a side of a polygon has a place in a box: their boxes meet, and the box isn't on one hand of it."""
+
+    def one(s: Column) -> Column:
+        turns = [(x - s["x1"]) * (s["y2"] - s["y1"]) - (y - s["y1"]) * (s["x2"] - s["x1"]) for x in (x0, x1) for y in (y0, y1)]
+        apart = (F.greatest(s["x1"], s["x2"]) < x0) | (F.least(s["x1"], s["x2"]) > x1) | (F.greatest(s["y1"], s["y2"]) < y0) | (F.least(s["y1"], s["y2"]) > y1)
+        return ~apart & (F.least(*turns) <= 0) & (F.greatest(*turns) >= 0)
+
+    return F.exists(sides, one)
+
+
+def polygon_coverage(spark, ring: Iterable[tuple[float, float]], level: int, ellipsoid: Ellipsoid = SPHERE, step: int = 4) -> DataFrame:
+    """Cells at ``level`` that share a place with a polygon: cell_id, inside (whether all of it lies within).
+
+    The polygon's sides are straight in longitude and latitude; it spans less than a turn, and its
+    longitudes go on beyond 180 where it goes across the antimeridian. From the base cells down, a
+    cell is out, in or cut by the box of its corners. What is in isn't looked at again, what is
+    cut is split, and at the last level held against the polygon itself: ``step`` places on each
+    side of the cell, the lines between them, and the polygon's own corners in it.
+    """
+    ring = _open(ring)
+    sides, ref = _side_column(ring), sum(x for x, _ in ring) / len(ring)
+    turned = lambda c: F.pmod(c - ref + 180.0, F.lit(360.0)) - 180.0 + ref
+    turns = F.array(*[F.lit(t) for t in (-360.0, 0.0, 360.0)])  # the box may reach the polygon from either side
+    steps = [*range(level % 2, level, 2), level]  # two levels at a time
+    at, whole, before = C.whole_sphere(spark, steps[0]), [], steps[0]
+    for l in steps:
+        if l > before:
+            at = C.children(at, l - before).select(F.col("child_id").alias("cell_id"))
+        before = l
+        margin = 0.0 if l == level else C.RADIUS * math.sqrt(math.pi / 3) / 2**l / 4
+        w = window_bounds(at, l, margin, ellipsoid).withColumn("x", turned(F.col("c_lon")))
+        box = lambda t: (F.col("x") + t + F.col("west"), F.col("x") + t + F.col("east"), F.col("south"), F.col("north"))
+        middle = lambda t: _crossings(sides, F.col("x") + t, (F.col("south") + F.col("north")) / 2)
+        told = w.select("cell_id", F.exists(turns, lambda t: _cut(sides, *box(t))).alias("cut"), F.exists(turns, middle).alias("in"))
+        told = materialize(told.filter("cut or in"))
+        whole.append(C.children(told.filter("in and not cut"), level - l).select(F.col("child_id").alias("cell_id"), F.lit(True).alias("inside")))
+        at = told.filter("cut").select("cell_id")
+    places = C.with_edge(at, level, step, ellipsoid)
+    edges = places.groupBy("cell_id").agg(F.sort_array(F.collect_list(F.struct("corner", "lon", "lat"))).alias("p"))  # 4 step places
+    first = turned(F.col("p")[0]["lon"])
+    edges = edges.withColumn("p", F.transform("p", lambda q: F.struct((first + F.pmod(q["lon"] - F.col("p")[0]["lon"] + 180.0, F.lit(360.0)) - 180.0).alias("x"), q["lat"].alias("y"))))
+    edges = edges.withColumn("e", F.zip_with("p", F.concat(F.slice("p", 2, 4 * step - 1), F.slice("p", 1, 1)), lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2"))))
+    hand = lambda s, x, y: (x - s["x1"]) * (s["y2"] - s["y1"]) - (y - s["y1"]) * (s["x2"] - s["x1"])
+    across = lambda s, e, t: (hand(s, e["x1"] + t, e["y1"]) * hand(s, e["x2"] + t, e["y2"]) < 0) & (hand(e, s["x1"] - t, s["y1"]) * hand(e, s["x2"] - t, s["y2"]) < 0)
+    crossed = F.exists(turns, lambda t: F.exists("e", lambda e: F.exists(sides, lambda s: across(s, e, t))))
+    some = F.exists(turns, lambda t: F.exists("p", lambda q: _crossings(sides, q["x"] + t, q["y"])))
+    every = F.exists(turns, lambda t: F.forall("p", lambda q: _crossings(sides, q["x"] + t, q["y"])))
+    corners = C.with_cell(spark.createDataFrame([(x, y) for x, y in ring], "lon double, lat double"), level, ellipsoid).select("cell_id", F.lit(True).alias("corner")).distinct()
+    held = edges.select("cell_id", crossed.alias("crossed"), some.alias("some"), every.alias("every")).join(corners, "cell_id", "left").withColumn("corner", F.coalesce("corner", F.lit(False)))
+    out = held.filter("crossed or some or corner").select("cell_id", F.expr("every and not crossed and not corner").alias("inside"))
+    for part in whole:
+        out = out.unionByName(part)
+    return out

@@ -454,6 +454,21 @@ def coverage_of_extent(spark, sf_dir):
     return select.coverage(spark, select.Extent(*box), 5)
 
 
+#: A polygon with the nations as corners: a star around (10, 35), its corners' distance by the nation's region.
+_CORNER = ("10e0 + (9 + 4 * n_regionkey) * cos(radians(n_nationkey * 14.4e0 + 3))", "35e0 + (6 + 3 * n_regionkey) * sin(radians(n_nationkey * 14.4e0 + 3))")
+_RING = f"(select n_nationkey as k, {_CORNER[0]} as x, {_CORNER[1]} as y from nation)"
+_SIDES = f"(select a.x as x1, a.y as y1, b.x as x2, b.y as y2 from {_RING} a join {_RING} b on b.k = (a.k + 1) % (select count(*) from nation))"
+_EDGE6 = C.steps_sql("(select cell_id, unnest(range(16)) as corner from (select unnest(range(49152)) as cell_id) z)", C.edge_steps("cell_id", 6, "corner", 4), ["lon", "lat"])
+_HAND = lambda s, x, y: f"(({x} - {s}x1) * ({s}y2 - {s}y1) - ({y} - {s}y1) * ({s}x2 - {s}x1))"
+
+
+@query(f"with s as materialized {_SIDES}, p as materialized (select cell_id, corner, lon, lat from {_EDGE6} q where lon between -50 and 70 and lat between 0 and 75), e as materialized (select a.cell_id, a.lon as ex1, a.lat as ey1, b.lon as ex2, b.lat as ey2 from p a join p b on a.cell_id = b.cell_id and b.corner = (a.corner + 1) % 16), i as (select cell_id, corner, sum(case when (s.y1 > lat) <> (s.y2 > lat) and ({_HAND('s.', 'lon', 'lat')} < 0) = (s.y2 > s.y1) then 1 else 0 end) % 2 = 1 as within from p cross join s group by 1, 2), c as (select distinct cell_id from e cross join s where {_HAND('s.', 'ex1', 'ey1')} * {_HAND('s.', 'ex2', 'ey2')} < 0 and {_HAND('e', 's.x1', 's.y1')} * {_HAND('e', 's.x2', 's.y2')} < 0), v as (select distinct cell_id from {C.steps_sql(_RING, C.cell_steps('x', 'y', 6), ['cell_id'])} r), t as (select cell_id, bool_or(within) as any_in, bool_and(within) as all_in, count(*) as n from i group by 1) select t.cell_id, all_in and c.cell_id is null and v.cell_id is null as inside from t left join c using (cell_id) left join v using (cell_id) where any_in or c.cell_id is not null or v.cell_id is not null")
+def polygon_coverage(spark, sf_dir):
+    """The level-6 cells that a polygon with nations as corners covers; the SQL tries all cells around."""
+    corners = read(spark, sf_dir, "nation").selectExpr("n_nationkey as k", f"{_CORNER[0]} as x", f"{_CORNER[1]} as y").orderBy("k").collect()  # the corners of one polygon
+    return select.polygon_coverage(spark, [(r["x"], r["y"]) for r in corners], 6)
+
+
 @query(f"select cell_id, case when price is not null then greatest(0e0, price - 150000) end as price from {CELLS} p")
 def clip_at_zero(spark, sf_dir):
     a = pyramid.nan_to_null(order_cells(spark, sf_dir).select("cell_id", "price"))

@@ -96,3 +96,52 @@ def test_copied_tables(spark):
         A.copy_table([a, a.limit(1)])
     with pytest.raises(ValueError):
         A.table_difference(a, a.drop("s"))
+
+
+def brute_coverage(spark, ring, level, step=4):
+    """Every cell's places and edges against the polygon, in plain Python."""
+    import math
+
+    def inside(x, y):
+        return sum((a[1] > y) != (b[1] > y) and ((x - a[0]) * (b[1] - a[1]) - (y - a[1]) * (b[0] - a[0]) < 0) == (b[1] > a[1]) for a, b in zip(ring, ring[1:] + ring[:1])) % 2 == 1
+
+    hand = lambda a, b, p: (p[0] - a[0]) * (b[1] - a[1]) - (p[1] - a[1]) * (b[0] - a[0])
+    cells = {}
+    for r in C.with_edge(C.whole_sphere(spark, level), level, step).collect():
+        cells.setdefault(r["cell_id"], {})[r["corner"]] = (r["lon"], r["lat"])
+    own = {r[0] for r in C.with_cell(spark.createDataFrame(ring, "lon double, lat double"), level).select("cell_id").collect()}
+    ref, out = sum(x for x, _ in ring) / len(ring), {}
+    for c, at in cells.items():
+        p = [at[k] for k in range(4 * step)]
+        x0 = (p[0][0] - ref + 180) % 360 - 180 + ref
+        p = [(x0 + (x - p[0][0] + 180) % 360 - 180, y) for x, y in p]
+        for t in (-360, 0, 360):
+            q = [(x + t, y) for x, y in p]
+            within = [inside(*v) for v in q]
+            cross = any(hand(a, b, u) * hand(a, b, v) < 0 and hand(u, v, a) * hand(u, v, b) < 0 for a, b in zip(ring, ring[1:] + ring[:1]) for u, v in zip(q, q[1:] + q[:1]))
+            if any(within) or cross:
+                out[c] = out.get(c, False) or all(within) and not cross
+    return {c: out.get(c, False) and c not in own for c in {*out, *own}}
+
+
+@pytest.mark.parametrize("ring", [
+    [(-20.0, 10.0), (35.0, 5.0), (40.0, 50.0), (10.0, 20.0), (-10.0, 55.0)], [(170.0, -10.0), (195.0, -20.0), (200.0, 15.0), (175.0, 12.0)], [(100.1, 3.1), (100.4, 3.2), (100.2, 3.4)], [(-60.0, 60.0), (60.0, 62.0), (50.0, 85.0), (-50.0, 84.0)],
+], ids=["star", "antimeridian", "within-a-cell", "high"])
+def test_polygon_coverage(spark, ring):
+    got = {r["cell_id"]: r["inside"] for r in S.polygon_coverage(spark, ring + ring[:1], 3).collect()}
+    assert got == brute_coverage(spark, ring, 3)
+
+
+def test_windows_on_axes(spark):
+    """Each chunk's window against all nodes, for a grid that goes round and one that doesn't."""
+    for west, n in ((0.5, 90), (150.0, 20)):
+        lons = spark.range(n).selectExpr("cast(id as int) as i", f"{west} + id * 4e0 as lon")
+        lats = spark.range(45).selectExpr("cast(id as int) as j", "88e0 - id * 4e0 as lat")
+        got = {r["cell_id"]: r for r in S.chunk_windows(lons, lats, C.whole_sphere(spark, 2), 2, 1000.0).collect()}
+        for b in S.window_bounds(C.whole_sphere(spark, 2), 2, 1000.0, step=(4.0, 4.0)).collect():
+            x = [(r, i) for i in range(n) if b["west"] <= (r := (west + 4 * i - b["c_lon"] + 180) % 360 - 180) <= b["east"]]
+            y = [j for j in range(45) if b["south"] <= 88 - 4 * j <= b["north"]]
+            r = got.get(b["cell_id"])
+            assert (r is not None) == bool(x and y)
+            if r is not None:
+                assert (r["i_west"], r["i_east"], r["n_i"]) == (min(x)[1], max(x)[1], len(x)) and (r["j_north"], r["j_south"], r["n_j"]) == (min(y), max(y), len(y))
