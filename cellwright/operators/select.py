@@ -300,6 +300,13 @@ def _cut(sides: Column, x0: Column, x1: Column, y0: Column, y1: Column) -> Colum
     return F.exists(sides, one)
 
 
+def outline(geometry) -> tuple[tuple[float, float], ...] | None:
+    """The outer ring of a GeoJSON polygon, which has no holes here; None for anything else."""
+    if isinstance(geometry, dict) and geometry.get("type") == "Polygon" and len(geometry["coordinates"]) == 1:
+        return tuple(_open([(p[0], p[1]) for p in geometry["coordinates"][0]]))
+    return None
+
+
 def polygon_coverage(spark, ring: Iterable[tuple[float, float]], level: int, ellipsoid: Ellipsoid = SPHERE, step: int = 4) -> DataFrame:
     """Cells at ``level`` that share a place with a polygon: cell_id, inside (whether all of it lies within).
 

@@ -454,6 +454,20 @@ def coverage_of_extent(spark, sf_dir):
     return select.coverage(spark, select.Extent(*box), 5)
 
 
+#: Sites of each nation within 25 degrees of a meridian of its own; some lie across the antimeridian.
+_NEAR_OWN = "((c_nationkey * 29 % 360) - 180 + (c_custkey * 7919 % 5000) / 100e0 - 25)"
+
+
+@query(f"with p as (select c_nationkey as nation, {_NEAR_OWN} - 360e0 * floor(({_NEAR_OWN} + 180e0) / 360e0) as lon, lat from customer join {SITES} s on s.point_idx = c_custkey), g as (select *, coalesce(lag(lon) over (partition by nation order by lon), max(lon) over (partition by nation) - 360e0) as before from p), x as (select nation, arg_max(lon, (lon - before, -lon)) as west, arg_max(before, (lon - before, -lon)) as e, min(lat) as south, max(lat) as north from g group by 1) select nation, round(west, 6) as west, south, round(case when e < west then e + 360e0 else e end, 6) as east, north from x")
+def input_extents(spark, sf_dir):
+    """The smallest box of each nation's sites, by the largest gap on the circle; the SQL looks at all gaps."""
+    from ..sources.grids import extents
+
+    own = read(spark, sf_dir, "customer").selectExpr("c_custkey as point_idx", "c_nationkey as nation", f"{_NEAR_OWN} as lon")
+    at = own.join(sites(spark, sf_dir).select("point_idx", "lat"), "point_idx")
+    return extents(at, ["nation"]).select("nation", F.round("west", 6).alias("west"), "south", F.round("east", 6).alias("east"), "north")
+
+
 #: A polygon with the nations as corners: a star around (10, 35), its corners' distance by the nation's region.
 _CORNER = ("10e0 + (9 + 4 * n_regionkey) * cos(radians(n_nationkey * 14.4e0 + 3))", "35e0 + (6 + 3 * n_regionkey) * sin(radians(n_nationkey * 14.4e0 + 3))")
 _RING = f"(select n_nationkey as k, {_CORNER[0]} as x, {_CORNER[1]} as y from nation)"

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -36,14 +36,23 @@ class Plan:
     groups: tuple[str, ...]
     settings: Settings
     extent: tuple[float, float, float, float] = (-180.0, -90.0, 180.0, 90.0)
+    #: The corners of a polygon within the extent, if the output is to cover no more.
+    polygon: tuple[tuple[float, float], ...] | None = None
 
     def to_json(self) -> str:
-        return json.dumps({"inputs": self.inputs, "groups": self.groups, "extent": self.extent, "settings": self.settings.to_dict()}, sort_keys=True)
+        return json.dumps({"inputs": self.inputs, "groups": self.groups, "extent": self.extent, "polygon": self.polygon, "settings": self.settings.to_dict()}, sort_keys=True)
 
     @classmethod
     def from_json(cls, text: str) -> "Plan":
         d = json.loads(text)
-        return cls(tuple(d["inputs"]), tuple(d["groups"]), Settings.from_dict(d["settings"]), tuple(d["extent"]))
+        polygon = d.get("polygon")
+        return cls(tuple(d["inputs"]), tuple(d["groups"]), Settings.from_dict(d["settings"]), tuple(d["extent"]), polygon and tuple(map(tuple, polygon)))
+
+    def covered(self, spark: SparkSession, level: int, ellipsoid: C.Ellipsoid) -> DataFrame:
+        """The cells of a level that the output has."""
+        if self.polygon:
+            return select.polygon_coverage(spark, self.polygon, level, ellipsoid).select("cell_id")
+        return select.coverage(spark, select.Extent(*self.extent), level, ellipsoid).select("cell_id")
 
 
 def plan(inputs: Sequence[str], settings: Settings, groups: Sequence[str], match: str | Sequence[str] | None = None, extent=None) -> Plan:
@@ -52,7 +61,26 @@ def plan(inputs: Sequence[str], settings: Settings, groups: Sequence[str], match
     for g in chosen:
         settings.for_group(g)
     box = select.Extent.of(extent) if extent is not None else select.Extent(-180.0, -90.0, 180.0, 90.0)
-    return Plan(tuple(inputs), tuple(chosen), settings, dataclasses.astuple(box))
+    return Plan(tuple(inputs), tuple(chosen), settings, dataclasses.astuple(box), select.outline(extent))
+
+
+def of_inputs(spark: SparkSession, p: Plan) -> Plan:
+    """The plan with the extent of its inputs' points, instead of the one it has: regional inputs give a regional output.
+
+    Inputs in a projection count by their degrees. The box is half a cell wider than the points.
+    """
+    boxes = []
+    for group in p.groups:
+        pts, _ = _points(spark, p, group, p.settings.for_group(group))
+        margin = math.degrees(math.sqrt(math.pi / 3) / 2 ** p.settings.for_group(group).grid.level) / 2
+        boxes.append(pts.select("lon", "lat", F.lit(margin).alias("margin")))
+    every = reduce(DataFrame.unionByName, boxes)
+    box, margin = grids.extents(every).first(), every.agg(F.max("margin")).first()[0]  # one row each
+    if box is None:
+        return p
+    wide = box["east"] - box["west"] + 2 * margin >= 360.0
+    south, north = max(-90.0, box["south"] - margin), min(90.0, box["north"] + margin)
+    return dataclasses.replace(p, extent=(-180.0 if wide else box["west"] - margin, south, 180.0 if wide else box["east"] + margin, north), polygon=None)
 
 
 def chunks(spark: SparkSession, p: Plan, group: str) -> DataFrame:
@@ -60,7 +88,7 @@ def chunks(spark: SparkSession, p: Plan, group: str) -> DataFrame:
     g = p.settings.for_group(group)
     if g.chunks.level is None:
         return spark.range(1).withColumnRenamed("id", "cell_id")
-    return select.coverage(spark, select.Extent(*p.extent), g.chunks.level, C.ELLIPSOIDS[g.grid.ellipsoid]).select("cell_id").orderBy("cell_id")
+    return p.covered(spark, g.chunks.level, C.ELLIPSOIDS[g.grid.ellipsoid]).orderBy("cell_id")
 
 
 def _points(spark: SparkSession, p: Plan, group: str, g: Group) -> tuple[DataFrame, str]:
@@ -161,7 +189,7 @@ def convert_group(spark: SparkSession, p: Plan, group: str, chunk_indices: Itera
     size = e.a * math.sqrt(math.pi / 3) / 2**level
     near, reach = None, 0.0
     if g.chunks.level is None:
-        wanted = select.coverage(spark, select.Extent(*p.extent), level, e).select("cell_id")
+        wanted = p.covered(spark, level, e)
     else:
         ids = _chosen([r[0] for r in chunks(spark, p, group).collect()], chunk_indices)  # chunks are few: jobs are dealt by them
         frame = spark.createDataFrame([(i,) for i in ids], "cell_id long")
@@ -241,17 +269,18 @@ def pyramids(spark: SparkSession, p: Plan, output: str, write: bool = True) -> d
     for path, pyr in p.settings.pyramids.items():
         native, made = p.settings.native(path), {}
         frames = {l: sinks.read_cells(spark, f"{output}/{_where(p, path, l)}").drop("chunk_id") for l in native}
-        coarsest = pyramid.coarsest_whole_level(frames[min(native)].select("cell_id"), min(native))
+        keys = tuple(dict.fromkeys(x.name for g in native.values() for x in g.extra))  # extra dimensions stay
+        coarsest = pyramid.coarsest_whole_level(frames[min(native)].select("cell_id").distinct(), min(native))
         chunk = next(iter(native.values())).chunks.level
         for level in sorted(pyr.levels, reverse=True):
             if level < coarsest:
                 raise ValueError(f"level {level} of {path!r} is coarser than the converted area allows ({coarsest})")
             sources: dict[int, list[str]] = {}
-            have = {l: [c for c in f.columns if c != "cell_id"] for l, f in frames.items()}
-            for v in {v for vs in have.values() for v in vs}:
+            have = {l: [c for c in f.columns if c != "cell_id" and c not in keys] for l, f in frames.items()}
+            for v in sorted({v for vs in have.values() for v in vs}):
                 sources.setdefault(pyramid.source_level(have, v, level, pyr.source == "nearest"), []).append(v)
-            parts = [pyramid.coarsen(frames[l].select("cell_id", *sorted(vs)), l, level, pyr.reduce) for l, vs in sorted(sources.items())]
-            made[level] = pyramid.merge_levels(parts)
+            parts = [pyramid.coarsen(frames[l].select("cell_id", *keys, *vs), l, level, pyr.reduce, keys) for l, vs in sorted(sources.items())]
+            made[level] = pyramid.merge_levels(parts, keys=keys)
             if write:
                 at = pyramid.derived_chunk_level(level, max(native), chunk, coarsest) if pyr.chunk_offset is None else pyramid.chunk_and_shard_levels(level, pyr.chunk_offset, pyr.shard_level, coarsest)[0]
                 sinks.write_cells(made[level], f"{output}/{path}/{level}", level, at)
@@ -276,14 +305,32 @@ def finalize(spark: SparkSession, p: Plan, output: str) -> DataFrame:
 
 
 def run(spark: SparkSession, inputs: Sequence[str], settings: Settings, groups: Sequence[str], output: str, match=None, extent=None, dry_run: bool = False) -> dict[str, dict]:
-    """All stages in one call. A dry run plans and describes, and writes nothing."""
-    p = plan(inputs, settings, groups, match, extent)
+    """All stages in one call. A dry run plans and describes, and writes nothing.
+
+    ``extent`` is a box, a GeoJSON geometry or "inputs", which takes that of the inputs' points.
+    Variables that have values in the inputs and none in the output get a warning.
+    """
+    p = plan(inputs, settings, groups, match, None if extent == "inputs" else extent)
+    if extent == "inputs":
+        p = of_inputs(spark, p)
     documents = prepare(spark, p, output, dry_run)
     if dry_run:
         return documents
     for g in p.groups:
         s = settings.for_group(g)
-        sinks.write_cells(convert_group(spark, p, g), f"{output}/{g}", s.grid.level, s.chunks.level, s.chunks.shard_level)
+        made = convert_group(spark, p, g)
+        seen = Observation()  # counted while the cells are written
+        variables = [c for c in made.columns if c not in ("chunk_id", "cell_id", *(x.name for x in s.extra))]
+        have = lambda v: F.count(F.when(F.col(f"`{v}`").isNotNull() & ~F.isnan(F.col(f"`{v}`").cast("double")), 1)).alias(v)
+        if variables:
+            made = made.observe(seen, *map(have, variables))
+        sinks.write_cells(made, f"{output}/{g}", s.grid.level, s.chunks.level, s.chunks.shard_level)
+        empty = [v for v in variables if not seen.get[v]]
+        if empty:  # only then the inputs are looked at
+            before = _points(spark, p, g, s)[0].agg(*map(have, empty)).first()
+            for v in empty:
+                if before[v]:
+                    log.warning("variable %r of %r has values in the inputs and none in the output", v, g)
     pyramids(spark, p, output)
     finalize(spark, p, output)
     return documents

@@ -135,6 +135,23 @@ def most_common_crs(codes: DataFrame, epsg: str = "epsg") -> int:
     return codes.groupBy(epsg).count().orderBy(F.desc("count"), epsg).first()[0]
 
 
+def extents(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The smallest box of the points of each input (or of all): ``by``, west, south, east, north.
+
+    In longitude it is all but the largest gap on the circle, so east is beyond 180 where a box goes
+    across the antimeridian. Points are summed up by whole degrees first: at most 360 rows an input
+    look for the gap. Of equal gaps the one with the lowest west end after it counts.
+    """
+    placed = points.filter("lon is not null and lat is not null").withColumn("__lon", F.pmod(F.col("lon") + 180.0, F.lit(360.0)) - 180.0)
+    bins = placed.groupBy(*by, F.floor("__lon").alias("__bin")).agg(F.min("__lon").alias("__w"), F.max("__lon").alias("__e"), F.min("lat").alias("south"), F.max("lat").alias("north"))
+    one = W.Window.partitionBy(*by)
+    before = F.coalesce(F.lag("__e").over(one.orderBy("__bin")), F.max("__e").over(one) - 360.0)
+    gaps = bins.withColumn("__gap", F.col("__w") - before).withColumn("__before", before)
+    box = gaps.groupBy(*by).agg(F.max_by(F.struct("__w", "__before"), F.struct("__gap", -F.col("__w"))).alias("__x"), F.min("south").alias("south"), F.max("north").alias("north"))
+    west, end = F.col("__x")["__w"], F.col("__x")["__before"]
+    return box.select(*by, west.alias("west"), "south", F.when(end < west, end + 360.0).otherwise(end).alias("east"), "north")
+
+
 def largest_step(axis: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """The largest distance between neighbouring nodes of each axis: ``by``, step."""
     nodes = axis.select(*by, value).distinct().withColumn("__next", F.lead(value).over(W.Window.partitionBy(*by).orderBy(value)))

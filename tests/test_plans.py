@@ -136,6 +136,28 @@ def test_some_chunks_come_out_as_among_all(spark, tmp_path, method, params, kind
         assert part[cell] == v or v != v and part[cell] != part[cell] or abs(part[cell] - v) < (1e-4 if method == "psf" else 1e-9), (cell, v, part[cell])
 
 
+def test_run_over_a_region_with_labels(spark, tmp_path, caplog):
+    """The output follows the inputs across the antimeridian, dimensions stay in pyramids, lost variables are named."""
+    pts = spark.range(900).selectExpr("id as point_idx", "pmod(172 + (id % 30) * 0.5 + 180, 360) - 180 as lon", "-7 + (id div 30) * 0.5e0 as lat", "explode(array('p', 'q')) as t")
+    pts.selectExpr("*", "lat + case when t = 'p' then 100 else 0 end as v").write.parquet(f"{tmp_path}/in/m/6")
+    g = Group(Grid(6, "sphere"), Chunks("dense", 4), Resampler("nearest"), extra=(ExtraDimension("t"),))
+    s = Settings({"m/6": g}, {"m": Pyramid((5,), "max")})
+    p = G.of_inputs(spark, G.plan([f"{tmp_path}/in"], s, ["m/6"]))
+    assert p.extent[0] == pytest.approx(172, abs=1) and p.extent[2] == pytest.approx(186.5, abs=1) and G.Plan.from_json(p.to_json()) == p
+    G.run(spark, [f"{tmp_path}/in"], s, ["m/6"], f"{tmp_path}/out", extent="inputs")
+    whole = sinks.read_cells(spark, f"{tmp_path}/out/m/6")
+    assert 0 < whole.select("chunk_id").distinct().count() < 48 and whole.filter("t = 'p'").count() * 2 == whole.count()
+    made = spark.read.parquet(f"{tmp_path}/out/m/5")
+    want = whole.groupBy(G.F.expr("cell_id >> 2").alias("cell_id"), "t").agg(G.F.max("v").alias("v"))
+    assert made.select("cell_id", "t", "v").exceptAll(want).count() == 0 and made.count() == whole.count() / 4 and not caplog.records
+    lost = Settings({"m/6": Group(Grid(6, "sphere"), Chunks("dense", 4), Resampler("bilinear", {"threshold": 2.0}), extra=(ExtraDimension("t"),))})
+    triangle = {"type": "Polygon", "coordinates": [[[172, -7], [180, -7], [176, 3], [172, -7]]]}
+    with caplog.at_level("WARNING"):
+        G.run(spark, [f"{tmp_path}/in"], lost, ["m/6"], f"{tmp_path}/lost", extent=triangle)
+    assert [r.args for r in caplog.records] == [("v", "m/6")]
+    assert 0 < sinks.read_cells(spark, f"{tmp_path}/lost/m/6").select("chunk_id").distinct().count() < whole.select("chunk_id").distinct().count()
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = spark.range(200).selectExpr("timestamp '2024-01-01' + make_interval(0,0,0,0,0,id) as ts", "id * 1.8 - 180 as lon", "id * 0.5 - 50 as lat", "cast(id as double) as v")
     rows.write.parquet(f"{tmp_path}/s")
