@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
+from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
@@ -360,15 +361,70 @@ def _quads(grid: DataFrame, xs: DataFrame, ys: DataFrame, variables: list[str])
     return at.groupBy("x_1", "y_1").agg(*[corner(v, a, b) for v in variables for a in (1, 2) for b in (1, 2)])
 
 
+@dataclass(frozen=True)
+class Axis:
+    """An axis of constant step: number of nodes, first and last value, and how indices follow values (``i`` of the first, +1 or -1)."""
+
+    n: int
+    first: float
+    last: float
+    i: int
+    way: int
+
+    @property
+    def step(self) -> float:
+        return (self.last - self.first) / (self.n - 1)
+
+
+def _regular(axis: DataFrame, index: str, value: str) -> Axis | None:
+    by = W.Window.orderBy("v")  # an axis: one of the two sides of a grid
+    nodes = axis.select(F.col(index).cast("long").alias("i"), F.col(value).cast("double").alias("v")).withColumns({"di": F.lead("i").over(by) - F.col("i"), "dv": F.lead("v").over(by) - F.col("v")})
+    r = nodes.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("first"), F.max("v").alias("last"), F.min_by("i", "v").alias("i"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("di", "dv") for f in (F.min, F.max)]).first()
+    if r["n"] < 2 or r["min_di"] != r["max_di"] or r["min_di"] not in (1, -1) or r["min_dv"] <= 0 or r["max_dv"] - r["min_dv"] > 1e-9 * r["max_dv"]:
+        return None
+    return Axis(r["n"], r["first"], r["last"], r["i"], r["min_di"])
+
+
+#: Meshes that are sent to all tasks, four values a variable each; more are joined.
+SENT_MESHES = 1 << 17
+
+
+def _regular_bilinear(grid: DataFrame, x: Axis, y: Axis, targets: DataFrame, level: int, variables: list[str], ellipsoid: Ellipsoid, min_weight: float) -> DataFrame:
+    """``grid_bilinear`` by arithmetic: meshes are numbered from the lowest longitude and latitude."""
+    closed = x.last - x.first + 1.5 * x.step >= 360.0
+    place = lambda a, i: (F.col(i).cast("long") - a.i) * a.way
+    # A node is a corner of up to four meshes: the grid is exploded, not the far more many targets.
+    left = F.when(F.col("p") > 0, F.col("p") - 1).otherwise(F.lit(x.n - 1 if closed else -1))
+    sides = F.array(*[F.struct(mx.alias("x_1"), F.lit(a).alias("a"), my.alias("y_1"), F.lit(b).alias("b")) for a, mx in ((1, F.col("p")), (2, left)) for b, my in ((1, F.col("q")), (2, F.col("q") - 1))])
+    at = float32(grid.select("i", "j", *variables), variables).withColumns({"p": place(x, "i"), "q": place(y, "j")}).withColumn("s", F.explode(sides)).select("s.*", *variables)
+    at = at.filter((F.col("x_1") >= 0) & (F.col("y_1") >= 0))
+    corner = lambda v, a, b: F.max(F.when((F.col("a") == a) & (F.col("b") == b), F.col(v))).alias(f"{v}__{a}{b}")
+    meshes = at.groupBy("x_1", "y_1").agg(*[corner(v, a, b) for v in variables for a in (1, 2) for b in (1, 2)])
+    c = C.with_center(targets.select("cell_id"), level, ellipsoid, lon="c_lon", lat="c_lat")
+    c = c.withColumn("c_lon", F.lit(x.first) + F.pmod(F.col("c_lon") - x.first, F.lit(360.0)))
+    inside = F.col("c_lat").between(y.first, y.last)
+    c = c.filter(inside if closed else inside & (F.col("c_lon") <= x.last))
+    number = lambda a, v: F.least(F.lit(a.n - 2), F.floor((F.col(v) - a.first) / a.step)).cast("long")
+    c = c.withColumns({"x_1": F.when(F.col("c_lon") > x.last, F.lit(x.n - 1).cast("long")).otherwise(number(x, "c_lon")), "y_1": number(y, "c_lat")})
+    gap = F.when(F.col("c_lon") > x.last, (F.col("c_lon") - x.last) / (360.0 - x.last + x.first))
+    c = c.select("cell_id", "x_1", "y_1", F.coalesce(gap, (F.col("c_lon") - x.first) / x.step - F.col("x_1")).alias("x_w"), ((F.col("c_lat") - y.first) / y.step - F.col("y_1")).alias("y_w"))
+    out = c.join(F.broadcast(meshes) if x.n * y.n * len(variables) <= SENT_MESHES else meshes, ["x_1", "y_1"], "left")
+    return out.select("cell_id", *[_blend(v, min_weight).alias(v) for v in variables])
+
+
 def grid_bilinear(grid: DataFrame, lon_axis: DataFrame, lat_axis: DataFrame, targets: DataFrame, level: int, variables: list[str], ellipsoid: Ellipsoid = SPHERE, min_weight: float = 0.5) -> DataFrame:
     """Bilinear interpolation between the four grid nodes around each cell centre.
 
     ``grid``: i, j, variables; ``lon_axis``: i, lon; ``lat_axis``: j, lat; either direction of an
     axis, and either convention of longitude. Exact on planes. Corners without a value give
     their weight up; a cell whose valid weight is under ``min_weight`` is missing. A cell outside
-    the grid has no row. A grid that goes round the globe is closed. Each target row meets both
-    axes and one mesh: three equi-joins, and no grouping of targets.
+    the grid has no row. A grid that goes round the globe is closed. On axes with a constant step a
+    target's mesh follows from its place, and it meets that mesh in one join; on other axes it is
+    looked up on each first. Targets are never grouped.
     """
+    regular = _regular(lon_axis, "i", "lon"), _regular(lat_axis, "j", "lat")
+    if all(regular):
+        return _regular_bilinear(grid, *regular, targets, level, variables, ellipsoid, min_weight)
     lon_axis = lon_axis.select("i", F.col("lon").cast("double").alias("lon"))
     spread = lon_axis.agg(F.min("lon").alias("start"), (F.max("lon") - F.min("lon")).alias("w"), F.count(F.lit(1)).alias("n")).first()
     start = spread["start"]

@@ -110,6 +110,20 @@ def test_grid_goes_round_and_weights_count(spark):
     assert len(got) == 768 and got["h"][got["lat"] > 31].isna().all() and got["h"][got["lat"] < 28].notna().all()
 
 
+@pytest.mark.parametrize("lons,lats", [(np.arange(-180, 180, 4), np.arange(-88, 89, 4)), (np.arange(350, 10, -5), np.arange(60, -61, -3)), (np.arange(100, 141, 2.5), np.arange(-10, 31, 2))])
+def test_regular_axes_give_what_a_search_gives(spark, monkeypatch, lons, lats):
+    nodes, lon, lat = grid(spark, lons, lats, lambda x, y: (x * 7 + y * 13) % 50 if (x + 3 * y) % 7 else float("nan"))
+    run = lambda: {r["cell_id"]: r["h"] for r in R.grid_bilinear(nodes, lon, lat, C.whole_sphere(spark, 4), 4, ["h"]).collect()}
+    assert R._regular(lon, "i", "lon") is not None
+    got = run()
+    monkeypatch.setattr(R, "SENT_MESHES", 0)
+    assert run() == got
+    monkeypatch.setattr(R, "_regular", lambda *a: None)
+    want = run()
+    assert got.keys() == want.keys() and len(got) > 50
+    assert all(got[c] is None and v is None or abs(got[c] - v) < 1e-9 for c, v in want.items())
+
+
 def test_mean_of_layers(spark):
     a = spark.createDataFrame([(1, 2.0), (2, float("nan"))], "cell_id long, v double")
     b = spark.createDataFrame([(1, 4.0), (2, None)], "cell_id long, v double")
