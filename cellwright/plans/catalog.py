@@ -156,9 +156,15 @@ def bin_mean_filled(spark, sf_dir):
     return filled.select("cell_id", F.round(F.col("balance").cast("double"), 2).alias("balance"))
 
 
-@query()
+_BIN3 = f"(select cell_id, cast(avg(floor(price)) as float) as v from {C.steps_sql(POINTS, C.cell_steps('lon', 'lat', 3, C.WGS84), ['cell_id'])} p group by 1)"
+_NEAR3 = f"(select cell_id, list_filter([{', '.join(_N)}], lambda x: x >= 0) as ns from " + C.steps_sql("(select unnest(range(768)) as cell_id)", C.neighbour_steps("cell_id", 3), _N) + " q)"
+
+
+@query(f"with recursive b as {_BIN3}, near as {_NEAR3}, r(i, vals) as (select 0::bigint, list(b.v order by g.i) from range(768) g(i) left join b on b.cell_id = g.i union all select i + 1, case when vals[i + 1] is not null then vals else list_concat(list_concat(vals[1:i], [cast(list_avg(list_filter(list_transform(ns, lambda x: vals[x + 1]::double), lambda y: y is not null)) as float)]), vals[i + 2:]) end from r join near on cell_id = i where i < 768) select unnest(range(768)) as cell_id, unnest(vals) as price from r where i = 768")
 def bin_mean_filled_in_order(spark, sf_dir):
-    return resample.fill_gaps(resample.bin_mean(points(spark, sf_dir), 3, ["price"], C.WGS84), 3, "price", exact=True)
+    """Gaps filled in ascending order, each from what is there by then; the SQL goes cell by cell. Whole prices: sums are exact in any order."""
+    whole = points(spark, sf_dir).withColumn("price", F.floor("price").cast("double"))
+    return resample.fill_gaps(resample.bin_mean(whole, 3, ["price"], C.WGS84), 3, "price", exact=True)
 
 
 def _pyramid(name: str, how: str, variable: str, sql: str):

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.cells import parent
 
 
+#: A task writes the cells of one cell so many levels up, about a million if it is dense.
+TASK_LEVELS = 10
+
+
 def chunk_column(level: int, chunk_level: int | None, cell: str = "cell_id"):
     return F.lit(0).cast("long") if chunk_level is None else F.expr(parent(cell, level - chunk_level))
 
@@ -18,11 +22,12 @@ def write_cells(df: DataFrame, path: str, level: int, chunk_level: int | None =
     """Parquet under ``path``, a folder a chunk (or shard), rows in the order of ids.
 
     Only the chunks at hand are replaced, so jobs may each write some. Sorted ids keep the files'
-    statistics tight, and delta encoding makes dense ids cost next to nothing.
+    statistics tight, and delta encoding makes dense ids cost next to nothing. A folder of more than
+    4^TASK_LEVELS cells is written by several tasks, each with cells side by side.
     """
     folder = shard_level if shard_level is not None else chunk_level
     out = df.withColumn("chunk_id", chunk_column(level, folder, cell))
-    spread = out.repartition("chunk_id") if folder is not None else out.repartitionByRange(cell)
+    spread = out.repartition("chunk_id", F.expr(parent(cell, min(level - folder, TASK_LEVELS)))) if folder is not None else out.repartitionByRange(cell)
     (
         spread.sortWithinPartitions("chunk_id", cell).write.mode(mode).option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
         .option("parquet.writer.version", "v2").partitionBy("chunk_id").parquet(path)
