@@ -107,20 +107,14 @@ def near_chunks(points: DataFrame, chunks: DataFrame, chunk_level: int, buffer:
     """Points in some chunks (cell_id) or within ``buffer`` metres of them, and some beyond, each once.
 
     Rectilinear grids, and any points if ``step`` asks for grid steps beside the buffer, are cut by
-    windows, whose limits reach the scan; other points are looked up by the cells of a ring.
+    windows, whose limits reach the scan; other points are looked up by the cells of a ring. Points
+    are told apart by all their columns.
     """
     if kind == "rectilinear" or step > (0.0, 0.0):
         return in_windows(points, window_bounds(chunks, chunk_level, buffer, ellipsoid, step))
-    if buffer <= 0:
-        return C.with_cell(points, chunk_level, ellipsoid, out="__chunk").join(chunks.select(F.col("cell_id").alias("__chunk")), "__chunk", "left_semi").drop("__chunk")
-    ring = C.ring_level(buffer)
-    if ring >= chunk_level:
-        own = C.children(chunks.select("cell_id"), ring - chunk_level).select(F.col("child_id").alias("cell_id"))
-    else:
-        own = chunks.select(F.expr(C.parent("cell_id", chunk_level - ring)).alias("cell_id"))
-    near = C.kth_ring(own, ring).select(F.col("cell_id").alias("__ring"))
-    placed = C.add_steps(points, C.cell_steps("lon", "lat", ring, ellipsoid, "__ring"), ["__ring"])
-    return placed.join(near, "__ring", "left_semi").drop("__ring")
+    # The ring is explored around each point: fine cells of a chunk are too many to list.
+    near = points_by_chunk(points, chunk_level, buffer, ellipsoid).join(chunks.select(F.col("cell_id").alias("chunk_id")), "chunk_id", "left_semi")
+    return near.drop("chunk_id").dropDuplicates(points.columns)
 
 
 def _bins(first: Column, last: Column) -> Column:

@@ -221,8 +221,8 @@ def convert_group(spark: SparkSession, p: Plan, group: str, chunk_indices: Itera
         if method == "psf":
             kw["by"] = by
         one = resampler(method)(part, wanted, g, variables, e, **kw)
-        if g.chunks.kind == "sparse":
-            one = one.join(wanted, "cell_id", "left_semi")
+        if g.chunks.kind == "sparse":  # by chunk: fine cells of a chunk are too many to list
+            one = one.withColumn("__chunk", F.expr(C.parent("cell_id", level - g.chunks.level))).join(frame.select(F.col("cell_id").alias("__chunk")), "__chunk", "left_semi").drop("__chunk")
         elif method != "cell-point":
             cells = wanted.withColumn("__of", F.explode(F.array(*[F.struct(*[F.lit(s[d]).alias(d) for d in dims]) for s in slices]))).select("cell_id", "__of.*") if by else wanted
             one = resample.dense(one, cells, by=by)
