@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .cells import WGS84, Ellipsoid
+from .crs import TransverseMercator
 
 SCALE, FALSE_EASTING, FALSE_NORTHING = 0.9996, 500_000.0, 10_000_000.0
 
@@ -53,20 +54,42 @@ def krueger(ellipsoid: Ellipsoid) -> tuple[float, list[float]]:
     return radius, beta
 
 
+def utm(epsg: int, ellipsoid: Ellipsoid = WGS84) -> TransverseMercator:
+    """A UTM zone as the transverse Mercator projection that it is."""
+    zone, south = utm_zone(epsg)
+    return TransverseMercator(6.0 * zone - 183.0, 0.0, SCALE, FALSE_EASTING, FALSE_NORTHING if south else 0.0, ellipsoid)
+
+
+def equator_northing(tm: TransverseMercator) -> float:
+    """The northing of the equator on the central meridian: the false one less the arc up to the latitude of origin."""
+    if tm.lat0 == 0.0:
+        return tm.y0
+    e, s = math.sqrt(tm.ellipsoid.e2), math.sin(math.radians(tm.lat0))
+    chi = math.atan(math.sinh(math.asinh(math.tan(math.radians(tm.lat0))) - e * math.atanh(e * s)))
+    f = 1 / tm.ellipsoid.inverse_flattening
+    xi = chi + sum(a * math.sin(2 * i * chi) for i, a in enumerate(krueger_forward(f / (2 - f)), 1))
+    return tm.y0 - tm.scale * tm.ellipsoid.a * krueger(tm.ellipsoid)[0] * xi
+
+
 def utm_steps(epsg: int, x: str = "x", y: str = "y", lon: str = "lon", lat: str = "lat", ellipsoid: Ellipsoid = WGS84) -> list[dict[str, str]]:
+    """Easting and northing of a UTM zone to degrees, as steps."""
+    return tmerc_steps(utm(epsg, ellipsoid), x, y, lon, lat)
+
+
+def tmerc_steps(tm: TransverseMercator, x: str = "x", y: str = "y", lon: str = "lon", lat: str = "lat") -> list[dict[str, str]]:
     """Easting and northing to degrees, as steps (see ``cells``)."""
-    zone, south = utm_zone(epsg)
+    ellipsoid = tm.ellipsoid
     radius, beta = krueger(ellipsoid)
-    k = SCALE * ellipsoid.a * radius
+    k = tm.scale * ellipsoid.a * radius
     e2 = ellipsoid.e2
     e = math.sqrt(e2)
     xi = " - ".join(["t_x", *(f"{b!r} * sin({2 * i}e0 * t_x) * cosh({2 * i}e0 * t_y)" for i, b in enumerate(beta, 1))])
     eta = " - ".join(["t_y", *(f"{b!r} * cos({2 * i}e0 * t_x) * sinh({2 * i}e0 * t_y)" for i, b in enumerate(beta, 1))])
     steps = [
-        {"t_x": f"({y} - {FALSE_NORTHING if south else 0.0!r}) / {k!r}", "t_y": f"({x} - {FALSE_EASTING!r}) / {k!r}"},
+        {"t_x": f"({y} - {equator_northing(tm)!r}) / {k!r}", "t_y": f"({x} - {tm.x0!r}) / {k!r}"},
         {"t_u": xi, "t_v": eta},
         {"t_s": "sinh(t_v)", "t_c": "cos(t_u)"},
-        {lon: f"degrees(atan2(t_s, t_c)) + {6.0 * zone - 183.0!r}", "t_w": "sin(t_u) / sqrt(t_s * t_s + t_c * t_c)", "t_t": "sin(t_u) / sqrt(t_s * t_s + t_c * t_c)"},
+        {lon: f"degrees(atan2(t_s, t_c)) + {tm.lon0!r}", "t_w": "sin(t_u) / sqrt(t_s * t_s + t_c * t_c)", "t_t": "sin(t_u) / sqrt(t_s * t_s + t_c * t_c)"},
     ]
     # Newton steps on the tangent of the conformal latitude (Karney 2011, equations 19 to 21).
     for _ in range(3):
@@ -95,13 +118,18 @@ REACH = 80.0
 
 
 def utm_forward_steps(epsg: int, lon: str = "lon", lat: str = "lat", x: str = "x", y: str = "y", ellipsoid: Ellipsoid = WGS84) -> list[dict[str, str]]:
+    """Degrees to easting and northing of a UTM zone, as steps."""
+    return tmerc_forward_steps(utm(epsg, ellipsoid), lon, lat, x, y)
+
+
+def tmerc_forward_steps(tm: TransverseMercator, lon: str = "lon", lat: str = "lat", x: str = "x", y: str = "y") -> list[dict[str, str]]:
     """Degrees to easting and northing, as steps; null beyond REACH."""
-    zone, south = utm_zone(epsg)
+    ellipsoid = tm.ellipsoid
     f = 1 / ellipsoid.inverse_flattening
     radius, _ = krueger(ellipsoid)
     alpha = krueger_forward(f / (2 - f))
-    k, e = SCALE * ellipsoid.a * radius, math.sqrt(ellipsoid.e2)
-    turned = f"({lon}) - ({6.0 * zone - 183.0!r}e0) + 180e0"
+    k, e = tm.scale * ellipsoid.a * radius, math.sqrt(ellipsoid.e2)
+    turned = f"({lon}) - ({tm.lon0!r}e0) + 180e0"
     xi = " + ".join(["t_x", *(f"{a!r} * sin({2 * i}e0 * t_x) * cosh({2 * i}e0 * t_y)" for i, a in enumerate(alpha, 1))])
     eta = " + ".join(["t_y", *(f"{a!r} * cos({2 * i}e0 * t_x) * sinh({2 * i}e0 * t_y)" for i, a in enumerate(alpha, 1))])
     return [
@@ -110,7 +138,7 @@ def utm_forward_steps(epsg: int, lon: str = "lon", lat: str = "lat", x: str = "x
         {"t_d": f"case when abs(t_d) <= {REACH!r}e0 then radians(t_d) end", "t_q": f"sinh({e!r} * atanh({e!r} * t_s))"},
         {"t_u": "t_s * sqrt(1e0 + t_q * t_q) - t_q", "t_v": "t_o * cos(t_d)", "t_w": "t_o * sin(t_d)"},
         {"t_x": "atan2(t_u, t_v)", "t_y": "asinh(t_w / sqrt(t_u * t_u + t_v * t_v))"},
-        {x: f"{FALSE_EASTING!r} + {k!r} * ({eta})", y: f"{FALSE_NORTHING if south else 0.0!r} + {k!r} * ({xi})"},
+        {x: f"{tm.x0!r} + {k!r} * ({eta})", y: f"{equator_northing(tm)!r} + {k!r} * ({xi})"},
     ]
 
 
@@ -126,21 +154,25 @@ def web_mercator_steps(x: str = "x", y: str = "y", lon: str = "lon", lat: str =
     return [{lon: f"degrees({x} / {a!r})", lat: f"degrees(2e0 * atan(exp({y} / {a!r})) - {math.pi / 2!r})"}]
 
 
-def to_degrees(df: DataFrame, epsg: int, x: str = "x", y: str = "y", lon: str = "lon", lat: str = "lat") -> DataFrame:
-    """Adds lon and lat: EPSG:4326 as it is, 3857, and the UTM zones."""
+def _tmerc(system: int | TransverseMercator) -> TransverseMercator:
+    return system if isinstance(system, TransverseMercator) else utm(system)
+
+
+def to_degrees(df: DataFrame, epsg: int | TransverseMercator, x: str = "x", y: str = "y", lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """Adds lon and lat: EPSG:4326 as it is, 3857, the UTM zones, and any transverse Mercator projection."""
     from .cells import add_steps
 
     if epsg == 4326:
         return df.withColumns({lon: F.col(x).cast("double"), lat: F.col(y).cast("double")})
-    steps = web_mercator_steps(x, y, lon, lat) if epsg == 3857 else utm_steps(epsg, x, y, lon, lat)
+    steps = web_mercator_steps(x, y, lon, lat) if epsg == 3857 else tmerc_steps(_tmerc(epsg), x, y, lon, lat)
     return add_steps(df, steps, [lon, lat])
 
 
-def from_degrees(df: DataFrame, epsg: int, lon: str = "lon", lat: str = "lat", x: str = "x", y: str = "y") -> DataFrame:
+def from_degrees(df: DataFrame, epsg: int | TransverseMercator, lon: str = "lon", lat: str = "lat", x: str = "x", y: str = "y") -> DataFrame:
     """Adds x and y: the opposite of ``to_degrees``; null where the projection doesn't reach."""
     from .cells import add_steps
 
     if epsg == 4326:
         return df.withColumns({x: F.col(lon).cast("double"), y: F.col(lat).cast("double")})
-    steps = web_mercator_forward_steps(lon, lat, x, y) if epsg == 3857 else utm_forward_steps(epsg, lon, lat, x, y)
+    steps = web_mercator_forward_steps(lon, lat, x, y) if epsg == 3857 else tmerc_forward_steps(_tmerc(epsg), lon, lat, x, y)
     return add_steps(df, steps, [x, y])

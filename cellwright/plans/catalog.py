@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import cells as C
-from ..functions import projection, text
+from ..functions import crs, projection, text
 from ..operators import align, psf, pyramid, resample, select
 from . import metadata, products
 
@@ -411,6 +411,57 @@ def utm_forward(spark, sf_dir):
     return projection.from_degrees(near, 32631).selectExpr(*KEYS.split(", "), "round(x, 4) as x", "round(y, 4) as y")
 
 
+#: A national grid whose origin is off the equator, as its files describe it.
+NATIONAL_GRID = """PROJCRS["OSGB36 / British National Grid", BASEGEOGCRS["OSGB36", DATUM["Ordnance Survey of Great Britain 1936",
+    ELLIPSOID["Airy 1830", 6377563.396, 299.3249646, LENGTHUNIT["metre", 1]]], PRIMEM["Greenwich", 0, ANGLEUNIT["degree", 0.0174532925199433]]],
+  CONVERSION["British National Grid", METHOD["Transverse Mercator", ID["EPSG", 9807]],
+    PARAMETER["Latitude of natural origin", 49, ANGLEUNIT["degree", 0.0174532925199433], ID["EPSG", 8801]],
+    PARAMETER["Longitude of natural origin", -2, ANGLEUNIT["degree", 0.0174532925199433], ID["EPSG", 8802]],
+    PARAMETER["Scale factor at natural origin", 0.9996012717, SCALEUNIT["unity", 1], ID["EPSG", 8805]],
+    PARAMETER["False easting", 400000, LENGTHUNIT["metre", 1], ID["EPSG", 8806]],
+    PARAMETER["False northing", -100000, LENGTHUNIT["metre", 1], ID["EPSG", 8807]]],
+  CS[Cartesian, 2], AXIS["(E)", east, ORDER[1], LENGTHUNIT["metre", 1]], AXIS["(N)", north, ORDER[2], LENGTHUNIT["metre", 1]], ID["EPSG", 27700]]"""
+
+
+def _national_sql() -> str:
+    """The same grid from its figures: the arc up to 49 degrees by quadrature, latitudes by the direct series in the conformal one."""
+    a, f = 6377563.396, 1 / 299.3249646
+    n, e2 = f / (2 - f), f * (2 - f)
+    curve = lambda t: a * (1 - e2) / (1 - e2 * math.sin(t) ** 2) ** 1.5
+    steps, top = 2000, math.radians(49)
+    arc = math.fsum(curve(top * i / steps) * (1 if i in (0, steps) else 4 if i % 2 else 2) for i in range(steps + 1)) * top / steps / 3
+    k = 0.9996012717 * a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    back = [
+        n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360 - 81 * n**5 / 512,
+        n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440 + 46 * n**5 / 105,
+        17 * n**3 / 480 - 37 * n**4 / 840 - 209 * n**5 / 4480,
+        4397 * n**4 / 161280 - 11 * n**5 / 504,
+        4583 * n**5 / 161280,
+    ]
+    direct = [
+        2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45 + 26 * n**5 / 45,
+        7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45 + 2704 * n**5 / 315,
+        56 * n**3 / 15 - 136 * n**4 / 35 - 1262 * n**5 / 105,
+        4279 * n**4 / 630 - 332 * n**5 / 35,
+        4174 * n**5 / 315,
+    ]
+    xi = "".join(f" - {b!r}::double * sin({2 * i} * p) * cosh({2 * i} * q)" for i, b in enumerate(back, 1))
+    eta = "".join(f" - {b!r}::double * cos({2 * i} * p) * sinh({2 * i} * q)" for i, b in enumerate(back, 1))
+    lat = "".join(f" + {d!r}::double * sin({2 * i} * c)" for i, d in enumerate(direct, 1))
+    source = "select c_custkey, (c_custkey * 7919 % 7000) * 100e0 as x, (c_custkey * 15013 % 13000) * 100e0 as y from customer"
+    scaled = f"select *, (y + 100000 + {0.9996012717 * arc!r}::double) / {k!r}::double as p, (x - 400000) / {k!r}::double as q from ({source}) a"
+    series = f"select *, p{xi} as u, q{eta} as v from ({scaled}) b"
+    conformal = f"select *, asin(sin(u) / cosh(v)) as c from ({series}) d"
+    return f"select c_custkey, x, y, round(degrees(atan2(sinh(v), cos(u))) - 2, 8) as lon, round(degrees(c{lat}), 8) as lat from ({conformal}) e"
+
+
+@query(_national_sql())
+def national_grid(spark, sf_dir):
+    """Easting and northing of a transverse Mercator grid that its WKT2 describes, to degrees."""
+    pts = read(spark, sf_dir, "customer").selectExpr("c_custkey", "(c_custkey * 7919 % 7000) * 100e0 as x", "(c_custkey * 15013 % 13000) * 100e0 as y")
+    return projection.to_degrees(pts, crs.read(NATIONAL_GRID)).select("c_custkey", "x", "y", F.round("lon", 8).alias("lon"), F.round("lat", 8).alias("lat"))
+
+
 @query(f"select {KEYS}, round(x, 5) as x, round(y, 5) as y from {_UTM_SRC} p")
 def utm_round_trip(spark, sf_dir):
     """There and back: what was given comes out again, to hundredths of a millimetre."""
@@ -739,6 +790,22 @@ def chunk_pruning(spark, sf_dir):
     return read_cells(spark, path, [1, 3]).selectExpr("cast(chunk_id as bigint) as chunk_id", "cell_id", "price")
 
 
+_OLD, _NEW = (f"(select o_orderkey as cell_id, case when o_orderpriority <> '4-NOT SPECIFIED' then floor({p}) end as price from orders where o_orderstatus {s})" for p, s in (("o_totalprice", "<> 'P'"), ("case when o_orderpriority = '3-MEDIUM' and o_orderstatus = 'F' then o_totalprice + 1 else o_totalprice end", "<> 'O' or o_orderpriority > '2-HIGH'")))
+_SETS = ", ".join(f"{n} as (select cell_id >> 2 as chunk_id, list_sort(list(struct_pack(c := cell_id, p := price))) as rows from {t} t group by 1)" for n, t in (("a", _OLD), ("b", _NEW)))
+
+
+@query(f"with {_SETS} select chunk_id, case when a.rows is null then 'added' when b.rows is null then 'gone' else 'changed' end as change, coalesce(len(a.rows), 0) as n_before, coalesce(len(b.rows), 0) as n_after from a full join b using (chunk_id) where a.rows is distinct from b.rows")
+def changed_chunks(spark, sf_dir):
+    """Orders before and after a day's work: the chunks of four cells that a second conversion has to write or remove."""
+    from ..sources.sinks import chunk_changes
+
+    orders = read(spark, sf_dir, "orders")
+    cells = lambda df: df.selectExpr("o_orderkey as cell_id", "case when o_orderpriority <> '4-NOT SPECIFIED' then cast(floor(price) as double) end as price")
+    old = cells(orders.filter("o_orderstatus <> 'P'").withColumn("price", F.col("o_totalprice")))
+    new = cells(orders.filter("o_orderstatus <> 'O' or o_orderpriority > '2-HIGH'").withColumn("price", F.expr("case when o_orderpriority = '3-MEDIUM' and o_orderstatus = 'F' then o_totalprice + 1 else o_totalprice end")))
+    return chunk_changes(old, new, LEVEL, LEVEL - 1)
+
+
 @query(f"select cell_id, price from {CELLS} p where (cell_id >> 4) = 77")
 def parent_range(spark, sf_dir):
     return C.where_parent(pyramid.nan_to_null(order_cells(spark, sf_dir).select("cell_id", "price")), 77, 2)

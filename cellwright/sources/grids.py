@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ..functions import projection
+from ..functions import crs, projection
 
 
 def open_group(spark: SparkSession, root: str, group: str, options: dict[str, str] | None = None) -> DataFrame:
@@ -57,15 +57,24 @@ def find_coordinates(df: DataFrame) -> tuple[str, str, bool]:
     return found["longitude"].name, found["latitude"].name, all("axis" in (f.metadata or {}) for f in found.values())
 
 
-def find_crs(attributes: dict) -> int:
-    """The EPSG code that ``proj:`` attributes state (default 4326); an error if they disagree."""
+def find_crs(attributes: dict) -> int | crs.TransverseMercator:
+    """What ``proj:`` attributes state (default 4326): an EPSG code that is known, or the projection
+    that WKT2 or PROJJSON describe. An error if they disagree.
+
+    A code that isn't known goes by the description beside it, if there is one.
+    """
     codes = set()
     if (e := attributes.get("proj:epsg")) is not None:
         codes.add(int(e))
     if (c := attributes.get("proj:code")) is not None:
         codes.add(int(str(c).rpartition(":")[2]))
+    described = {crs.read(attributes[k]) for k in ("proj:wkt2", "proj:projjson") if attributes.get(k)}
+    if described and not any(map(crs.known, codes)):
+        codes = described
+    else:
+        codes |= described
     if len(codes) > 1:
-        raise ValueError(f"the coordinate reference systems disagree: {sorted(codes)}")
+        raise ValueError(f"the coordinate reference systems disagree: {sorted(map(str, codes))}")
     return codes.pop() if codes else 4326
 
 
@@ -78,7 +87,7 @@ class Spatial:
     """How the points of a group are placed: one kind, and for each input a reference system and two columns."""
 
     kind: str  # projected, rectilinear or points
-    epsg: tuple[int, ...]
+    epsg: tuple[int | crs.TransverseMercator, ...]
     columns: tuple[tuple[str, str], ...]
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellwright.functions import cells as C
+from cellwright.functions import crs
 from cellwright.functions import projection as J
 from cellwright.operators import resample as R
 from cellwright.operators import select as S
@@ -140,3 +141,51 @@ def test_conventions(spark):
         with pytest.raises(ValueError):
             bad()
     assert math.isclose(J.krueger_forward(0.0)[0], 0.0)
+
+
+def test_reference_systems_from_descriptions(spark):
+    from cellwright.plans.catalog import NATIONAL_GRID as wkt
+
+    tm = crs.read(wkt)
+    assert (tm.lon0, tm.lat0, tm.scale, tm.x0, tm.y0) == (-2.0, 49.0, 0.9996012717, 400000.0, -100000.0) and tm.ellipsoid == C.Ellipsoid("Airy 1830", 6377563.396, 299.3249646)
+    # The worked example that the Ordnance Survey publishes.
+    lon, lat = 1 + 43 / 60 + 4.5177 / 3600, 52 + 39 / 60 + 27.2531 / 3600
+    at = J.from_degrees(spark.createDataFrame([(lon, lat)], "lon double, lat double"), tm)
+    assert abs(at.first()["x"] - 651409.903) < 0.001 and abs(at.first()["y"] - 313177.270) < 0.001
+    back = J.to_degrees(at.select("x", "y"), tm).first()
+    assert abs(back["lon"] - lon) < 1e-11 and abs(back["lat"] - lat) < 1e-11
+    as_json = {
+        "type": "ProjectedCRS", "name": "grid",
+        "base_crs": {"datum": {"ellipsoid": {"name": "Airy 1830", "semi_major_axis": 6377563.396, "inverse_flattening": 299.3249646}}},
+        "conversion": {"method": {"name": "Transverse Mercator"}, "parameters": [
+            {"name": "Latitude of natural origin", "value": 49, "unit": "degree"}, {"name": "Longitude of natural origin", "value": -2, "unit": "degree"},
+            {"name": "Scale factor at natural origin", "value": 0.9996012717, "unit": "unity"},
+            {"name": "False easting", "value": 400000, "unit": "metre"}, {"name": "False northing", "value": -100000, "unit": {"type": "LinearUnit", "name": "metre", "conversion_factor": 1}}]},
+        "coordinate_system": {"axis": [{"direction": "east", "unit": "metre"}, {"direction": "north", "unit": "metre"}]},
+    }
+    assert crs.read(as_json) == tm
+    assert grids.find_crs({"proj:wkt2": wkt, "proj:projjson": as_json}) == tm == grids.find_crs({"proj:code": "EPSG:27700", "proj:wkt2": wkt})
+    assert crs.read(wkt.replace('ID["EPSG", 27700]', 'ID["EPSG", 32630]')) == 32630
+    with pytest.raises(ValueError, match="disagree"):
+        grids.find_crs({"proj:epsg": 32631, "proj:wkt2": wkt})
+    for part, other, reason in (
+        ("9807", "9808", "method"), ("299.3249646", "0", "ellipsoid"), ('LENGTHUNIT["metre", 1], ID["EPSG", 8806]', 'LENGTHUNIT["foot", 0.3048], ID["EPSG", 8806]', "metres"),
+        ('"Greenwich", 0', '"Paris", 2.33722917', "Greenwich"), ("east, ORDER", "west, ORDER", "west"), ("PROJCRS", "GEOGCRS", "projected"), ('ID["EPSG", 8805]]', 'ID["EPSG", 1]]', "missing"),
+    ):
+        with pytest.raises(ValueError, match=reason):
+            crs.read(wkt.replace(part, other))
+    for bad in ("PROJCRS[", "x]", 'A["b"] B["c"]', "[1]"):
+        with pytest.raises(ValueError, match="WKT"):
+            crs.wkt_tree(bad)
+
+
+def test_described_inputs_are_converted(spark, tmp_path):
+    """Points in a grid known by its description alone come out as the same points in degrees."""
+    from cellwright.plans.catalog import NATIONAL_GRID as wkt
+
+    pts = spark.createDataFrame([(i, 1e5 + 7919.0 * i % 5e5, 1e5 + 15013.0 * i % 8e5, float(i)) for i in range(200)], "point_idx long, x double, y double, v double")
+    pts.withColumn("x", F.col("x").alias("x", metadata={"proj:wkt2": wkt})).write.parquet(str(tmp_path / "a/g"))
+    J.to_degrees(pts, crs.read(wkt)).drop("x", "y").write.parquet(str(tmp_path / "b/g"))
+    s = Settings({"g": Group(Grid(6), Chunks("dense", 1), Resampler("nearest"))})
+    a, b = (G.convert_group(spark, G.plan([str(tmp_path / n)], s, ["g"], extent=(-8, 49, 2, 61)), "g") for n in "ab")
+    assert a.count() > 0 and a.exceptAll(b).count() == 0 == b.exceptAll(a).count()

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from cellwright.plans import metadata as M
 from cellwright.plans import staging as G
@@ -211,3 +212,28 @@ def test_grid_bilinear_conversion_is_exact_on_planes(spark, tmp_path):
     far = G.C.with_center(G.resample.grids_bilinear(tiles[3].withColumn("input_id", G.F.lit(0)), G.C.whole_sphere(spark, 7), 7, ["h"]), 7).filter("h is not null").collect()
     assert {r["lon"] < 0 for r in far} == {True, False} and max(abs(r["h"] - (100 + 3 * (r["lon"] % 360) - 2 * r["lat"])) for r in far) < 1e-3
     assert G.plan([f"{tmp_path}/in0"], predefined("dem-glo30"), ["dem/glo30"]).groups == ("dem/glo30",)
+
+
+def test_only_changed_chunks_are_written(spark, tmp_path):
+    path, schema = str(tmp_path / "cells"), "cell_id long, v double, name string"
+    rows = [(i, float(i), "a") for i in range(64)]
+    first = sinks.update_cells(spark.createDataFrame(rows, schema), path, 3, 1)
+    assert sorted(map(tuple, first.collect())) == [(c, "added", 0, 16) for c in range(4)]
+    files = lambda: {f: f.stat().st_mtime_ns for f in (tmp_path / "cells").glob("chunk_id=*/*.parquet")}
+    had = files()
+    assert sinks.update_cells(spark.createDataFrame(rows[::-1], schema).select("name", "cell_id", "v"), path, 3, 1).count() == 0 and files() == had
+    # Chunk 0 as before, one value of 1 now null, 2 gone, 3 with a row twice, 4 new.
+    new = rows[:17] + [(17, None, "a")] + rows[18:32] + rows[48:] + [rows[50]] + [(64, 1.0, None)]
+    changes = sinks.update_cells(spark.createDataFrame(new, schema), path, 3, 1)
+    assert sorted(map(tuple, changes.collect())) == [(1, "changed", 16, 16), (2, "gone", 16, 0), (3, "changed", 16, 17), (4, "added", 0, 1)]
+    kept = {f: t for f, t in had.items() if "chunk_id=0" in str(f)}
+    assert kept.items() <= files().items() and not (tmp_path / "cells/chunk_id=2").exists()
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(map(tuple, sinks.read_cells(spark, path).select("cell_id", "v", "name").collect()), key=key) == sorted(new, key=key)
+    # A null that moves to another column, and a column of another type, are changes.
+    moved = spark.createDataFrame([(0, None, 1)], "cell_id long, a int, b int"), spark.createDataFrame([(0, 1, None)], "cell_id long, a int, b int")
+    assert sinks.chunk_changes(*moved, 3, 1).count() == 1 and sinks.chunk_changes(moved[0], moved[0].withColumn("b", F.col("b").cast("long")), 3, 1).count() == 1
+    assert sinks.chunk_changes(moved[0], moved[0].repartition(2), 3, None).count() == 0
+    # An interrupted removal is made good, and an empty level removes all.
+    assert sinks.update_cells(spark.createDataFrame([], schema), path, 3, 1).count() == 4 and not files()
+    assert sinks.update_cells(spark.createDataFrame(rows[:1], schema), path, 3, 1).count() == 1
