@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +22,7 @@ from pyspark.sql import window as W
 
 from ..functions import cells as C
 from ..functions.cells import SPHERE, Ellipsoid
-from ..sources.shared import materialize
+from ..sources.shared import materialize, scratch
 from .pyramid import nan_to_null
 
 #: Resamplers whose result has the input's type; the others give float64.
@@ -272,13 +273,12 @@ def null_safe(a: DataFrame, b: DataFrame, on: Iterable[str], how: str = "inner")
     return a.join(right, equal, how).drop(*[f"__{c}" for c in on])
 
 
-def fill_gaps(binned: DataFrame, level: int, variable: str, exact: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+def fill_gaps(binned: DataFrame, level: int, variable: str, exact: bool = False, by: tuple[str, ...] = (), block_levels: int | None = None) -> DataFrame:
     """All cells of the sphere: an empty one gets the mean of its neighbours that have a value.
 
     The quick form looks at the values that were there, at each label of the dimensions ``by``.
-    The exact form fills in ascending order, with earlier fills counting for later ones: wave after
-    wave, a cell is filled once the empty neighbours with lower ids are done, so there are as many
-    waves as the longest chain of them. It has no labels.
+    The exact form fills in ascending order, with earlier fills counting for later ones
+    (``fill_in_order``). It has no labels.
     """
     have = binned.filter(F.col(variable).isNotNull()).select("cell_id", *by, F.col(variable).cast("float").alias(variable))
     every = every_cell(binned.select(*by).distinct(), level) if by else C.whole_sphere(binned.sparkSession, level)
@@ -291,14 +291,71 @@ def fill_gaps(binned: DataFrame, level: int, variable: str, exact: bool = False,
 
     if not exact:
         return null_safe(every, have.unionByName(filled(around, have)), ["cell_id", *by], "left").select("cell_id", *by, variable)
-    around = materialize(around)
-    known, todo = materialize(have), materialize(empty)
+    return have.unionByName(fill_in_order(have, around, variable, FILL_LEVELS if block_levels is None else block_levels)).join(C.whole_sphere(binned.sparkSession, level), "cell_id", "right")
+
+
+#: Gaps are filled in order by blocks of 4^FILL_LEVELS cells, each in one task.
+FILL_LEVELS = 8
+
+
+def fill_in_order(have: DataFrame, around: DataFrame, variable: str, levels: int = FILL_LEVELS) -> DataFrame:
+    """The cells of ``around`` (cell_id, near) filled in ascending order: cell_id, ``variable``.
+
+    A cell gets the mean of its neighbours that have a value by then. Cells of a block are filled in
+    one task; a block waits for those with lower ids that hold empty neighbours of its cells. Blocks
+    that wait for none are worked on together, wave after wave: there are as many waves as the longest
+    chain of blocks, which is about 2^levels times shorter than that of cells. A wave reads its own
+    edges alone. Cells whose neighbours get no value have no row.
+    """
+    spark = have.sparkSession
+    of = lambda c: F.expr(C.parent(c, levels))
+    empty = around.select(F.col("cell_id").alias("near"), F.lit(True).alias("empty")).distinct()
+    known = have.select(F.col("cell_id").alias("near"), F.col(variable).alias("value"))
+    edges = around.filter("near >= 0").join(empty, "near", "left").filter("empty is null or near < cell_id").join(known, "near", "left").filter("empty or value is not null")
+    edges = materialize(edges.select(of("cell_id").alias("block"), "cell_id", "near", "value"))
+    # An edge without a value comes from an empty cell; what is left of those in other blocks are waits.
+    waits = materialize(edges.filter(F.col("value").isNull()).select("block", of("near").alias("before")).filter("before < block").distinct())
+    waves, fills = scratch(spark, "waves"), scratch(spark, "fills")
+    todo, wave = materialize(edges.select("block").distinct()), 0
     while not todo.isEmpty():
-        lower = around.join(todo.withColumnRenamed("cell_id", "near"), "near", "left_semi").filter("near < cell_id").select("cell_id").distinct()
-        ready = materialize(todo.join(lower, "cell_id", "left_anti"))
-        known = materialize(known.unionByName(filled(around.join(ready, "cell_id", "left_semi"), known)))
-        todo = materialize(todo.join(ready, "cell_id", "left_anti"))
-    return known.join(C.whole_sphere(binned.sparkSession, level), "cell_id", "right")
+        held = waits.join(todo.withColumnRenamed("block", "before"), "before", "left_semi").select("block").distinct()
+        later = materialize(todo.join(held, "block", "left_semi"))
+        todo.join(later, "block", "left_anti").write.parquet(f"{waves}/wave={wave}")
+        todo, wave = later, wave + 1
+    shape = T.StructType([T.StructField("cell_id", T.LongType()), T.StructField(variable, T.FloatType())])
+    if wave == 0:
+        return spark.createDataFrame([], shape)
+    numbered = scratch(spark, "edges")
+    edges.join(spark.read.schema("block long, wave int").parquet(waves), "block").repartition("wave", "block").write.mode("overwrite").partitionBy("wave").parquet(numbered)
+
+    def fill(block):
+        import pandas as pd
+
+        block = block.sort_values(["cell_id", "near"], kind="stable")
+        made: dict[int, float] = {}
+        cell, total, n = None, 0.0, 0
+
+        def end():
+            if n:
+                made[cell] = float(np.float32(total / n))
+
+        for at, near, value in zip(block["cell_id"].to_numpy(), block["near"].to_numpy(), block["value"].to_numpy()):
+            if at != cell:
+                end()
+                cell, total, n = at, 0.0, 0
+            v = made.get(near) if value != value else float(value)
+            if v is not None:
+                total, n = total + v, n + 1
+        end()
+        return pd.DataFrame({"cell_id": list(made), variable: np.fromiter(made.values(), dtype=np.float32)}).astype({"cell_id": "int64"})
+
+    for i in range(wave):
+        mine = spark.read.schema("block long, cell_id long, near long, value float, wave int").parquet(numbered).filter(f"wave = {i}").drop("wave")
+        if i:
+            before = spark.read.schema(T.StructType([*shape, T.StructField("wave", T.IntegerType())])).parquet(fills).select(F.col("cell_id").alias("near"), F.col(variable).alias("__made"))
+            mine = mine.join(before, "near", "left").select("block", "cell_id", "near", F.coalesce("value", "__made").alias("value"))
+        mine.groupBy("block").applyInPandas(fill, shape).write.parquet(f"{fills}/wave={i}")
+    return spark.read.schema(T.StructType([*shape, T.StructField("wave", T.IntegerType())])).parquet(fills).drop("wave")
 
 
 def clip_to_source(cells: DataFrame, points: DataFrame, variable: str, by: tuple[str, ...] = ()) -> DataFrame:

@@ -167,6 +167,16 @@ def bin_mean_filled_in_order(spark, sf_dir):
     return resample.fill_gaps(resample.bin_mean(whole, 3, ["price"], C.WGS84), 3, "price", exact=True)
 
 
+_BINSITE = f"(select cell_id, cast(avg(floor(balance)) as float) as v from {C.steps_sql(SITES, C.cell_steps('lon', 'lat', 3, C.WGS84), ['cell_id'])} p group by 1)"
+
+
+@query(f"with recursive b as {_BINSITE}, near as {_NEAR3}, r(i, vals) as (select 0::bigint, list(b.v order by g.i) from range(768) g(i) left join b on b.cell_id = g.i union all select i + 1, case when vals[i + 1] is not null then vals else list_concat(list_concat(vals[1:i], [cast(list_avg(list_filter(list_transform(ns, lambda x: vals[x + 1]::double), lambda y: y is not null)) as float)]), vals[i + 2:]) end from r join near on cell_id = i where i < 768) select unnest(range(768)) as cell_id, unnest(vals) as balance from r where i = 768")
+def sites_filled_in_order(spark, sf_dir):
+    """The same for few sites, so that there are gaps, in blocks of 16 cells that wait for each other."""
+    whole = sites(spark, sf_dir).withColumn("balance", F.floor("balance").cast("double"))
+    return resample.fill_gaps(resample.bin_mean(whole, 3, ["balance"], C.WGS84), 3, "balance", exact=True, block_levels=2)
+
+
 def _pyramid(name: str, how: str, variable: str, sql: str):
     def f(spark, sf_dir):
         return pyramid.coarsen(order_cells(spark, sf_dir).select("cell_id", variable), LEVEL, LEVEL - 2, how)

@@ -84,6 +84,13 @@ def test_gap_filling_in_order(spark):
                 want[c] = float(np.float32(np.mean(np.array(vs, dtype=np.float32), dtype=np.float64)))
     got = {r["cell_id"]: r["v"] for r in R.fill_gaps(binned, level, "v", exact=True).collect()}
     assert len(got) == 192 and all(got[c] == pytest.approx(want.get(c), rel=1e-5) for c in got)
+    # The same with blocks of four cells, which wait for each other.
+    around = C.with_neighbours(C.whole_sphere(spark, level).join(binned, "cell_id", "left_anti"), level).select("cell_id", F.explode("neighbours").alias("near"))
+    small = {r["cell_id"]: r["v"] for r in R.fill_in_order(binned, around, "v", levels=1).collect()}
+    assert small == {c: v for c, v in got.items() if c not in have and v is not None}
+    whole = C.with_neighbours(C.whole_sphere(spark, 1), 1).select("cell_id", F.explode("neighbours").alias("near"))
+    assert R.fill_gaps(C.whole_sphere(spark, 1).selectExpr("cell_id", "cast(1 as float) as v"), 1, "v", exact=True).filter("v = 1").count() == 48
+    assert R.fill_in_order(binned.limit(0), whole, "v").count() == 0
 
 
 def grid(spark, lons, lats, f):
