@@ -97,6 +97,15 @@ def cell_children(spark, sf_dir):
     return C.children(order_cells(spark, sf_dir).select("cell_id"), 2)
 
 
+@query(f"select cell_id >> 6 as ancestor, cell_id, unnest(range(cell_id * 4, cell_id * 4 + 4)) as child_id, (2 * cell_id + 1) << {58 - 2 * LEVEL} as zuniq from {CELLS} p")
+def cells_in_sql(spark, sf_dir):
+    """Cells by the functions of Spark SQL alone."""
+    from ..functions import sql
+
+    sql.register(spark)
+    return spark.sql(f"select cell_parent(cell_id, 3) as ancestor, cell_id, child_id, cell_zuniq(cell_id, {LEVEL}) as zuniq from {{cells}}, lateral cell_children(cell_id, 1)", cells=order_cells(spark, sf_dir).select("cell_id"))
+
+
 @query(f"select cell_id, cell_id >> 4 as parent_id from {CELLS} p")
 def cell_parent(spark, sf_dir):
     return order_cells(spark, sf_dir).selectExpr("cell_id", f"{C.parent('cell_id', 2)} as parent_id")

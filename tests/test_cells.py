@@ -65,3 +65,21 @@ def test_children_parents_and_chunk_ring(spark):
     assert C.chunk_ring(spark, 6, 2, 3).count() == 16  # 4 cells and 12 around
     z = spark.sql(f"select {C.zuniq('cast(77 as bigint)', 4)} as z").selectExpr("z", f"{C.zuniq_level('z')} as l").first()
     assert z["l"] == 4 and ((z["z"] >> (2 * 25)) - 1) // 2 == 77
+
+
+def test_functions_in_sql(spark):
+    from cellwright.functions import sql
+
+    assert {"cell_children", "cell_parent"} <= set(sql.register(spark))
+    some = spark.range(0, 768, 7).withColumnRenamed("id", "cell_id")
+    some.createOrReplaceTempView("some_cells")
+    got, want = spark.sql("select cell_id, child_id from some_cells, lateral cell_children(cell_id, 2)"), C.children(some, 2)
+    assert got.exceptAll(want).count() == 0 == want.exceptAll(got).count()
+    assert spark.sql("select * from some_cells, lateral cell_children(cell_id, 2) where cell_parent(child_id, 2) <> cell_id").count() == 0
+    z = spark.sql("select zuniq_level(cell_zuniq(cell_id, 3)) as level, zuniq_cell(cell_zuniq(cell_id, 3)) as cell, cell_id from some_cells")
+    assert z.filter("level <> 3 or cell <> cell_id").count() == 0
+    assert spark.sql("select cell_resolution(100000D)").first()[0] == C.resolution_level(100000)
+    assert spark.sql("select * from cell_children(null, 1)").count() == 0 and spark.sql("select cell_parent(null, 1)").first()[0] is None
+    # In place of its call: no Python, no join.
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Join" not in plan
