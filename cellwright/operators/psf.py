@@ -318,6 +318,9 @@ def psf_batch(points: DataFrame, level: int, chunk_level: int, variables: list[s
     ``TOGETHER`` fields of a chunk in step. The plan is the same for any number of labels. A cell
     that a field doesn't cover has null there; one that none covers has no row.
     """
+    # Dimensions go by names of their own inside: one of them may be called "variable".
+    inside = {c: f"__by{k}" for k, c in enumerate(by)}
+    points, by = points.withColumnsRenamed(inside), tuple(inside.values())
     known = materialize(masks(points, variables, by))
     label = F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit("{}")
     located = C.with_cell(points.filter("lon is not null and lat is not null").withColumns({"lon": F.col("lon").cast("double"), "lat": F.col("lat").cast("double")}), level, ellipsoid)
@@ -354,7 +357,7 @@ def psf_batch(points: DataFrame, level: int, chunk_level: int, variables: list[s
 
     solved = left.groupBy("mask", "chunk", "slice").cogroup(right.groupBy("mask", "chunk", "slice")).applyInPandas(solve, "cell_id long, __label string, variable string, value double")
     wide = solved.groupBy("cell_id", "__label").agg(*[F.max(F.when(F.col("variable") == v, F.col("value"))).alias(v) for v in variables])
-    return wide.join(told.select("__label", *by).distinct(), "__label").select("cell_id", *by, *variables)
+    return wide.join(told.select("__label", *by).distinct(), "__label").select("cell_id", *[F.col(n).alias(c) for c, n in inside.items()], *variables)
 
 
 def _masked_sums(placed: DataFrame, level: int, chunk_level: int, n_cells: int, e: C.Ellipsoid) -> DataFrame:
