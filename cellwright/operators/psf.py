@@ -4,9 +4,10 @@ Each observation is modelled as a Gaussian mean of the ``n_cells`` cells nearest
 width of half a cell; weights are corrected so that their centroid is the observation's place,
 which makes the model exact for fields that are linear nearby. Cell values solve
 (A'A + lam I) x = A'd. The kernel is this engine's own.
-The sums in A'A and A'd are made where the points are read and added up by an aggregation; a task
-solves one chunk from these sums alone, whose number the cells of the chunk and its halo bound,
-however many points there are.
+Points of one cell stand for the same nine cells at most, so what they add to A'A and A'd is one
+small table for each cell, made where the points are read and added up by an aggregation. The tables
+are spread over chunks and their halos, and a task solves one chunk from these sums alone, whose
+number the cells of the chunk and its halo bound, however many points there are.
 """
 
 from __future__ import annotations
@@ -27,8 +28,12 @@ from ..functions import cells as C
 from ..sources.shared import materialize
 from .resample import fields_of, masks
 
-#: Sums that a task holds before it adds them up, and those it keeps after that before it hands them on.
-HELD, FLUSH = 1 << 21, 1 << 20
+#: Points that a task sorts by cell at once, and those of them that it weighs at once.
+SORTED, WEIGHED = 1 << 17, 1 << 13
+#: Cells' tables that a task holds before it adds them up, and those it keeps after that before it hands them on.
+HELD, FLUSH = 1 << 17, 1 << 16
+#: Columns of a table after the weights' products with each of the nine cells: A'd, A'1 and the coverage.
+AROUND, COLUMNS = 9, 12
 
 
 def _solve(i: np.ndarray, j: np.ndarray, ww: np.ndarray, wd: np.ndarray, w: np.ndarray, n: int, lam: float, max_iter: int, tol: float) -> np.ndarray:
@@ -54,19 +59,6 @@ def _solve(i: np.ndarray, j: np.ndarray, ww: np.ndarray, wd: np.ndarray, w: np.n
     return x + mean
 
 
-def _centred(rows: np.ndarray, w: np.ndarray, off: np.ndarray, n: int) -> np.ndarray:
-    """Weights whose first moment around each observation vanishes, with sum 1."""
-    first = np.stack([np.bincount(rows, w * off[:, a], n) for a in range(3)], axis=1)
-    second = np.stack([np.bincount(rows, w * off[:, a] * off[:, b], n) for a in range(3) for b in range(3)], axis=1).reshape(n, 3, 3)
-    second += np.eye(3) * 1e-6 * (1 + np.trace(second, axis1=1, axis2=2))[:, None, None]
-    slope = np.linalg.solve(second, -first[:, :, None])[:, :, 0]
-    fixed = w * (1 + (slope[rows] * off).sum(axis=1))
-    total = np.bincount(rows, fixed, n)
-    fine = total > 0.05 * np.bincount(rows, w, n)
-    fixed = np.where(fine[rows], fixed, w)
-    return fixed / np.maximum(np.bincount(rows, fixed, n), 1e-300)[rows]
-
-
 def _packed(x: np.ndarray) -> np.ndarray:
     """Every second bit of each number."""
     x = x & 0x5555555555555555
@@ -124,108 +116,249 @@ def centres(cells: np.ndarray, level: int, e: C.Ellipsoid) -> np.ndarray:
     return _ecef(np.sin(lat), np.cos(lat), lon, e)
 
 
-def _links(lon: np.ndarray, lat: np.ndarray, cells: np.ndarray, rows: np.ndarray, level: int, n_cells: int, e: C.Ellipsoid):
-    """The cells that each point stands for, at most ``n_cells``: row, cell, centred weight, share."""
-    known, at = np.unique(cells, return_inverse=True)
+def _near(cells: np.ndarray, level: int) -> np.ndarray:
+    """``around``, sorted, each cell once: small levels meet a neighbour twice."""
+    near = np.sort(around(cells, level), axis=1)
+    near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
+    return near
+
+
+def _weights(lon: np.ndarray, lat: np.ndarray, near: np.ndarray, of: np.ndarray, level: int, n_cells: int, e: C.Ellipsoid) -> tuple[np.ndarray, np.ndarray]:
+    """Centred weights and shares of points, a row for each of the cells in ``near[of]``; 0 for cells beyond the ``n_cells`` nearest."""
+    width = e.a * math.sqrt(math.pi / 3) / 2**level  # two sigma
+    centre = centres(np.maximum(near, 0).ravel(), level, e).reshape(*near.shape, 3) / width
+    centre[near < 0] = 100.0 * 2**level  # so far away that the weight is 0
     lat = np.radians(lat)
-    sigma = e.a * math.sqrt(math.pi / 3) / 2**level / 2
-    off = (centres(known, level, e)[at] - _ecef(np.sin(lat), np.cos(lat), np.radians(lon), e)[rows]) / (2 * sigma)
-    w = np.exp(-2 * (off * off).sum(axis=1))
-    order = np.lexsort((-cells, -w, rows))
-    nth = np.arange(len(rows)) - np.searchsorted(rows, rows)  # place within the point's cells, which are side by side
-    keep = order[nth < n_cells]
-    rows, cells, w, off = rows[keep], cells[keep], w[keep], off[keep]
-    return rows, cells, _centred(rows, w, off, len(lon)), w / np.maximum(np.bincount(rows, w, len(lon)), 1e-300)[rows]
-
-
-def _sums(key: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each key once, and the values' sums."""
-    order = np.argsort(key)
-    key, values = key[order], values[order]
-    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
-    return key[first], np.add.reduceat(values, first, axis=0) if len(key) else values
-
-
-def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Several tables of (chunk, i, j) and values as one with each entry once."""
-    keys, values = map(np.concatenate, zip(*parts))
-    known, at = np.unique(keys[:, 1:], return_inverse=True)
-    chunks, of = np.unique(keys[:, 0], return_inverse=True)
-    n, at = len(known), at.reshape(-1, 2)
-    key, values = _sums((of * n + at[:, 0]) * n + at[:, 1], values)
-    return np.stack([chunks[key // (n * n)], known[key // n % n], known[key % n]], axis=1), values
-
-
-def _batch_sums(level: int, chunk_level: int, n_cells: int, e: C.Ellipsoid):
-    """A function of points' lon, lat, cell and value: (chunk, i, j) rows and the sums ww, wd, w, share of each."""
-    shift = 2 * (level - chunk_level)
+    place = _ecef(np.sin(lat), np.cos(lat), np.radians(lon), e) / width
+    x, y, z = (np.ascontiguousarray(centre[:, :, a].T)[:, of] - place[:, a] for a in range(3))
+    w = np.exp(-2 * (x * x + y * y + z * z))
+    if n_cells < near.shape[1]:
+        nth = np.lexsort((-near[of], -w.T), axis=-1)
+        np.put_along_axis(w, nth[:, n_cells:].T, 0.0, axis=0)
+    total = w.sum(axis=0)
+    # The slope that makes the first moment around the place vanish, by the second moments' LDL' factors.
+    mx, my, mz = w * x, w * y, w * z
+    xx, xy, xz, yy, yz, zz = ((m * o).sum(axis=0) for m, o in ((mx, x), (mx, y), (mx, z), (my, y), (my, z), (mz, z)))
+    ridge = 1e-6 * (1 + xx + yy + zz)
+    d1 = xx + ridge
+    l2, l3 = xy / d1, xz / d1
+    d2, t = yy + ridge - l2 * xy, yz - l3 * xy
+    l4 = t / d2
+    d3 = zz + ridge - l3 * xz - l4 * t
+    bx = -mx.sum(axis=0)
+    by = -my.sum(axis=0) - l2 * bx
+    bz = -mz.sum(axis=0) - l3 * bx - l4 * by
+    sz = bz / d3
+    sy = by / d2 - l4 * sz
+    sx = bx / d1 - l2 * sy - l3 * sz
+    fixed = w * (1 + sx * x + sy * y + sz * z)
+    fixed = np.where(fixed.sum(axis=0) > 0.05 * total, fixed, w)
+    return fixed / np.maximum(fixed.sum(axis=0), 1e-300), w / np.maximum(total, 1e-300)
+
+
+def _links(lon: np.ndarray, lat: np.ndarray, cells: np.ndarray, rows: np.ndarray, level: int, n_cells: int, e: C.Ellipsoid):
+    """``_weights`` with the cells of each point side by side, and the cells used: row, cell, centred weight, share."""
+    near = np.full((len(lon), AROUND), -1)
+    near[rows, np.arange(len(rows)) - np.searchsorted(rows, rows)] = cells
+    w, share = (x.T for x in _weights(lon, lat, near, np.arange(len(lon)), level, n_cells, e))
+    used = share > 0
+    return np.nonzero(used)[0], near[used], w[used], share[used]
+
 
-    def run(lon: np.ndarray, lat: np.ndarray, cell_id: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        base, of = np.unique(cell_id, return_inverse=True)
-        near = np.sort(around(base, level), axis=1)  # small levels meet a neighbour twice
-        near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
-        wide = near[of]
-        all_rows, all_cells = np.nonzero(wide >= 0)[0], wide[wide >= 0]
-        rows, cells, w, share = _links(lon, lat, all_cells, all_rows, level, n_cells, e)
-        start = np.searchsorted(rows, np.arange(len(lon) + 1))
-        known, at = np.unique(cells, return_inverse=True)
-        chunks, of = np.unique(all_cells >> shift, return_inverse=True)
-        member = np.unique(all_rows * len(chunks) + of)  # each point with its chunks
-        point, chunk = member // max(1, len(chunks)), member % max(1, len(chunks))
-        n, size = len(known), start[1:] - start[:-1]
-        keys, values = [], []
-        for x in range(int(size.max(initial=0))):
-            for y in range(x, int(size.max())):
-                has = y < size[point]
-                p, c = start[point[has]] + x, start[point[has]] + y
-                i, j, own = np.minimum(at[p], at[c]), np.maximum(at[p], at[c]), float(x == y)
-                keys.append((chunk[has] * n + i) * n + j)
-                values.append(np.stack([w[p] * w[c], own * w[p] * d[point[has]], own * w[p], own * share[p]], axis=1))
-        key, value = _sums(np.concatenate(keys), np.concatenate(values))
-        return np.stack([chunks[key // (n * n)], known[key // n % n], known[key % n]], axis=1), value
-
-    return run
-
-
-def normal_sums(placed: DataFrame, level: int, chunk_level: int, n_cells: int, e: C.Ellipsoid) -> DataFrame:
-    """A'A by its entries i <= j, and by cell (i = j) A'd, A'1 and the coverage, for each chunk.
-
-    ``placed``: lon, lat, d, cell_id. A point takes part in every chunk that holds its cell or one
-    around it, with all of its cells: the halo.
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where rows sorted by some keys begin a new one."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = reduce(np.logical_or, [k[1:] != k[:-1] for k in keys])
+    return new
+
+
+#: Tables by a number (of a label or a field) and a cell: the numbers, the cells, and a row for each of the nine cells around.
+Tables = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _added(parts: list[Tables]) -> Tables:
+    """Several sets of tables as one with each number and cell once."""
+    of, base, values = map(np.concatenate, zip(*parts))
+    order = np.lexsort((base, of))
+    of, base = of[order], base[order]
+    first = np.flatnonzero(_starts(of, base))
+    return of[first], base[first], np.add.reduceat(values[order], first, axis=0) if len(of) else values
+
+
+def _tables(code: np.ndarray, cell: np.ndarray, lon: np.ndarray, lat: np.ndarray, d: np.ndarray, first: np.ndarray, level: int, n_cells: int, e: C.Ellipsoid, right: bool) -> tuple[Tables | None, Tables | None]:
+    """What some points add to the equations of the fields that are ``first``, and, if ``right``, to A'd of all variables of a label.
+
+    ``d``, ``first``: a row for each variable; NaN is no value. A field's number is that of its label
+    times the number of variables, and its variable's place.
+    """
+    n_variables = len(d)
+    leads = first & ~np.isnan(d)
+    pattern = np.zeros(len(code), np.int64)
+    for k, row in enumerate(leads):
+        pattern = 2 * pattern + row
+        if k % 32 == 31:
+            pattern = np.unique(pattern, return_inverse=True)[1]
+    order = np.lexsort((pattern, cell, code))
+    code, cell, lon, lat, pattern, d, leads = code[order], cell[order], lon[order], lat[order], pattern[order], np.nan_to_num(d[:, order]), leads[:, order]
+    new = _starts(code, cell)
+    place, at = np.flatnonzero(new), np.cumsum(new) - 1
+    near = _near(cell[place], level)
+    w, share = np.empty((AROUND, len(code))), np.empty((AROUND, len(code)))
+    for start in range(0, len(code), WEIGHED):
+        s, lo = slice(start, start + WEIGHED), at[start]
+        own = near[lo : at[s][-1] + 1]
+        w[:, s], share[:, s] = _weights(lon[s], lat[s], own, at[s] - lo, level, n_cells, e)
+    to_right = None
+    if right:
+        values = np.empty((len(place), AROUND, n_variables))
+        for x in range(AROUND):
+            for k in range(n_variables):
+                values[:, x, k] = np.add.reduceat(w[x] * d[k], place)
+        to_right = code[place], cell[place], values
+    lead = np.flatnonzero(leads.any(axis=0))
+    if not len(lead):
+        return None, to_right
+    if len(lead) < len(code):
+        code, cell, pattern, d, leads, w, share = code[lead], cell[lead], pattern[lead], d[:, lead], leads[:, lead], w[:, lead], share[:, lead]
+    group = np.flatnonzero(_starts(code, cell, pattern))
+    code, cell, leads = code[group], cell[group], leads[:, group]
+    shared = np.zeros((len(group), AROUND, COLUMNS))
+    for x in range(AROUND):
+        for y in range(x, AROUND):
+            shared[:, x, y] = np.add.reduceat(w[x] * w[y], group)
+        shared[:, x, AROUND + 1], shared[:, x, AROUND + 2] = np.add.reduceat(w[x], group), np.add.reduceat(share[x], group)
+    parts = []
+    for k in np.flatnonzero(leads.any(axis=1)):
+        for x in range(AROUND):
+            shared[:, x, AROUND] = np.add.reduceat(w[x] * d[k], group)
+        mine = leads[k]
+        begin = np.flatnonzero(_starts(code[mine], cell[mine]))
+        parts.append((code[mine][begin] * n_variables + k, cell[mine][begin], np.add.reduceat(shared[mine], begin, axis=0)))
+    return tuple(map(np.concatenate, zip(*parts))), to_right
+
+
+def cell_sums(placed: DataFrame, n_variables: int, level: int, n_cells: int, e: C.Ellipsoid, right: bool) -> DataFrame:
+    """The sums of ``_tables``, a row for each cell around a cell: equations (or A'd of variables), of, base, x, v0 and on.
+
+    ``placed``: code, cell_id, lon, lat, d0 and on (null: no value), f0 and on (whether that field is first).
     """
-    names = ["chunk", "i", "j", "ww", "wd", "w", "share"]
-    per_batch = _batch_sums(level, chunk_level, n_cells, e)
+    names = ["equations", "of", "base", "x", *[f"v{k}" for k in range(max(COLUMNS, n_variables))]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def give():
-            keys, values = held[0]
-            return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in (*keys.T, *values.T))], names=names)
+        waiting: list[pa.RecordBatch] = []
+        held: dict[bool, list[Tables]] = {True: [], False: []}
+
+        def take():
+            column = lambda c: np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in waiting])
+            d, first = (np.stack([column(f"{c}{k}").astype(kind) for k in range(n_variables)]) for c, kind in (("d", float), ("f", bool)))
+            made = _tables(column("code"), column("cell_id"), column("lon"), column("lat"), d, first, level, n_cells, e, right)
+            for kind, tables in zip((True, False), made):
+                if tables is not None:
+                    held[kind].append(tables)
+
+        def give(kind: bool) -> Iterator[pa.RecordBatch]:
+            for start in range(0, len(held[kind][0][0]), WEIGHED):
+                of, base, values = (x[start : start + WEIGHED] for x in held[kind][0])
+                there = (_near(base, level) >= 0).ravel()
+                n = len(base)
+                keys = [np.full(n * AROUND, kind), np.repeat(of, AROUND), np.repeat(base, AROUND), np.tile(np.arange(AROUND, dtype=np.int32), n)]
+                values = values.reshape(n * AROUND, -1)
+                empty = pa.nulls(int(there.sum()), pa.float64())
+                sums = [pa.array(values[there, k]) if k < values.shape[1] else empty for k in range(len(names) - 4)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(k[there]) for k in keys), *sums], names=names)
+            held[kind] = []
 
         for b in batches:
             if b.num_rows:
-                held.append(per_batch(*(b.column(c).to_numpy(zero_copy_only=False) for c in ("lon", "lat", "cell_id", "d"))))
-            if sum(len(k) for k, _ in held) > HELD:
-                held = [_added(held)]
-                if len(held[0][0]) > FLUSH:
-                    yield give()
-                    held = []
-        if held:
-            held = [_added(held)]
-            yield give()
+                waiting.append(b)
+            if sum(b.num_rows for b in waiting) >= SORTED:
+                take()
+                waiting = []
+                for kind in (True, False):
+                    if sum(len(t[0]) for t in held[kind]) > HELD:
+                        held[kind] = [_added(held[kind])]
+                        if len(held[kind][0][0]) > FLUSH:
+                            yield from give(kind)
+        if waiting:
+            take()
+        for kind in (True, False):
+            if held[kind]:
+                held[kind] = [_added(held[kind])]
+                yield from give(kind)
+
+    kinds = "equations boolean, of long, base long, x int, " + ", ".join(f"{n} double" for n in names[4:])
+    asked = ["code", "cell_id", "lon", "lat", *[f"{c}{k}" for c in "df" for k in range(n_variables)]]
+    return placed.select(*asked).mapInArrow(run, kinds).groupBy(*names[:4]).agg(*[F.sum(n).alias(n) for n in names[4:]])
+
+
+def at_work(scan: DataFrame) -> DataFrame:
+    """A scan of few row groups would leave most cores without work."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def _halo(near: np.ndarray, shift: int) -> np.ndarray:
+    """The chunks that each row of cells takes part in, each once, -1 for the rest."""
+    chunks = np.sort(np.where(near < 0, -1, near >> shift), axis=1)
+    chunks[:, 1:][chunks[:, 1:] == chunks[:, :-1]] = -1
+    return chunks
+
+
+def normal_sums(sums: DataFrame, level: int, chunk_level: int) -> DataFrame:
+    """A'A of fields by its entries i <= j, and by cell (i = j) A'd, A'1 and the coverage, for each chunk: of, chunk, i, j, ww, wd, w, share.
+
+    ``sums``: ``cell_sums``. A point takes part in every chunk that holds its cell or one around it,
+    with all of its cells: the halo.
+    """
+    shift, names = 2 * (level - chunk_level), ["of", "chunk", "i", "j", "ww", "wd", "w", "share"]
 
-    kinds = ", ".join(f"{n} {'long' if n in ('chunk', 'i', 'j') else 'double'}" for n in names)
-    return placed.select("lon", "lat", "d", "cell_id").mapInArrow(run, kinds).groupBy("chunk", "i", "j").agg(*[F.sum(c).alias(c) for c in names[3:]])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            of, base, x = (b.column(c).to_numpy() for c in ("of", "base", "x"))
+            values = np.stack([b.column(f"v{k}").to_numpy() for k in range(COLUMNS)], axis=1)
+            near = _near(base, level)
+            ww, cover = values[:, :AROUND], values[:, AROUND + 2]
+            y = np.arange(AROUND)
+            # A cell that no point stands for has no equation.
+            row, y = np.nonzero((near >= 0) & np.where(y == x[:, None], cover[:, None] > 0, (y > x[:, None]) & (ww != 0)))
+            chunks = _halo(near, shift)[row]
+            each, c = np.nonzero(chunks >= 0)
+            row, y, chunk = row[each], y[each], chunks[each, c]
+            own = y == x[row]
+            rest = (np.where(own, values[row, AROUND + k], 0.0) for k in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in (of[row], chunk, near[row, x[row]], near[row, y], ww[row, y], *rest)], names=names)
+
+    kinds = ", ".join(f"{n} {'long' if n in names[:4] else 'double'}" for n in names)
+    entries = sums.filter("equations").select("of", "base", "x", *[f"v{k}" for k in range(COLUMNS)]).mapInArrow(run, kinds)
+    return entries.groupBy(*names[:4]).agg(*[F.sum(c).alias(c) for c in names[4:]])
+
+
+def right_sums(sums: DataFrame, n_variables: int, level: int, chunk_level: int) -> DataFrame:
+    """A'd of the variables of labels, in the chunks of ``normal_sums``: code, chunk, i, d0 and on."""
+    shift, names = 2 * (level - chunk_level), ["code", "chunk", "i", *[f"d{k}" for k in range(n_variables)]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            near, x = _near(b.column("base").to_numpy(), level), b.column("x").to_numpy()
+            chunks = _halo(near, shift)
+            row, c = np.nonzero(chunks >= 0)
+            rest = (b.column(f"v{k}").to_numpy()[row] for k in range(n_variables))
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in (b.column("of").to_numpy()[row], chunks[row, c], near[row, x[row]], *rest)], names=names)
+
+    kinds = ", ".join(f"{n} {'long' if n in names[:3] else 'double'}" for n in names)
+    entries = sums.filter("not equations").select("of", "base", "x", *[f"v{k}" for k in range(n_variables)]).mapInArrow(run, kinds)
+    return entries.groupBy(*names[:3]).agg(*[F.sum(c).alias(c) for c in names[3:]])
 
 
 def psf(points: DataFrame, level: int, chunk_level: int, variable: str, n_cells: int = 9, lam: float = 1e-3, threshold: float = 0.01, max_iter: int = 100, tol: float = 1e-8, ellipsoid: C.Ellipsoid = C.SPHERE) -> DataFrame:
     """cell_id, variable (double) for the cells whose coverage, the sum of their weights, reaches ``threshold``."""
-    # A scan of few row groups would leave most cores without work.
-    cores = points.sparkSession.sparkContext.defaultParallelism
-    points = points.repartition(cores) if points.rdd.getNumPartitions() < cores else points
-    placed = C.with_cell(points.select("lon", "lat", F.col(variable).cast("float").cast("double").alias("d")).filter("d is not null and not isnan(d)"), level, ellipsoid)
-    sums = normal_sums(placed.filter("cell_id is not null"), level, chunk_level, n_cells, ellipsoid)
+    known = points.select(F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"), F.col(variable).cast("float").cast("double").alias("d0")).filter("d0 is not null and not isnan(d0)")
+    placed = C.with_cell(at_work(known), level, ellipsoid).filter("cell_id is not null").withColumns({"code": F.lit(0).cast("long"), "f0": F.lit(True)})
+    sums = normal_sums(cell_sums(placed, 1, level, n_cells, ellipsoid, right=False), level, chunk_level)
     shift = 2 * (level - chunk_level)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -243,44 +376,8 @@ def psf(points: DataFrame, level: int, chunk_level: int, variable: str, n_cells:
 
 #: Fields that one task solves together.
 TOGETHER = 64
-
-
-def _weighted(placed: DataFrame, level: int, chunk_level: int, n_cells: int, variables: list[str], e: C.Ellipsoid) -> DataFrame:
-    """A'd of several variables at once: __label, chunk, i and a sum for each variable.
-
-    ``placed``: __label, lon, lat, cell_id, and variables where a missing value is null. A point's
-    weights are made once for all its variables.
-    """
-    shift = 2 * (level - chunk_level)
-    names = ["__label", "chunk", "i", *[f"d{k}" for k in range(len(variables))]]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cells = b.column("cell_id").to_numpy(zero_copy_only=False)
-            near = np.sort(around(cells, level), axis=1)
-            near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
-            rows, cells = np.nonzero(near >= 0)[0], near[near >= 0]
-            lon, lat = (b.column(c).to_numpy(zero_copy_only=False) for c in ("lon", "lat"))
-            d = np.stack([np.nan_to_num(b.column(f"d{k}").to_numpy(zero_copy_only=False).astype(float)) for k in range(len(variables))], axis=1)
-            of_point, at, w, _ = _links(lon, lat, cells, rows, level, n_cells, e)
-            label, code = np.unique(np.array(b.column("__label").to_pylist(), dtype=str), return_inverse=True)
-            # Each point with each chunk that its own cell or one around it is in, and with all of its cells.
-            known, chunk = np.unique(cells >> shift, return_inverse=True)
-            member = np.unique(rows * len(known) + chunk)
-            start = np.searchsorted(of_point, np.arange(b.num_rows + 1))
-            point, chunk = member // max(1, len(known)), member % max(1, len(known))
-            size = start[point + 1] - start[point]
-            link = np.repeat(start[point] - np.cumsum(size) + size, size) + np.arange(size.sum())
-            point, chunk = np.repeat(point, size), np.repeat(chunk, size)
-            every, cell = np.unique(at, return_inverse=True)
-            key, value = _sums((code[point].astype(np.int64) * len(known) + chunk) * max(1, len(every)) + cell[link], w[link][:, None] * d[point])
-            n = max(1, len(every))
-            columns = [pa.array(label[key // (n * max(1, len(known)))].tolist(), pa.string()), pa.array(known[key // n % max(1, len(known))]), pa.array(every[key % n]), *(pa.array(np.ascontiguousarray(c)) for c in value.T)]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    kinds = "__label string, chunk long, i long, " + ", ".join(f"{n} double" for n in names[3:])
-    sums = placed.select("__label", "lon", "lat", "cell_id", *[F.col(f"`{v}`").alias(f"d{k}") for k, v in enumerate(variables)]).mapInArrow(run, kinds)
-    return sums.groupBy("__label", "chunk", "i").agg(*[F.sum(n).alias(n) for n in names[3:]])
+#: Labels that are broadcast to the points; beyond, they are joined.
+LABELS = 1 << 16
 
 
 def _solve_many(i: np.ndarray, j: np.ndarray, ww: np.ndarray, wd: np.ndarray, w: np.ndarray, lam: float, max_iter: int, tol: float) -> np.ndarray:
@@ -313,67 +410,49 @@ def _solve_many(i: np.ndarray, j: np.ndarray, ww: np.ndarray, wd: np.ndarray, w:
 def psf_batch(points: DataFrame, level: int, chunk_level: int, variables: list[str], by: tuple[str, ...] = (), n_cells: int = 9, lam: float = 1e-3, threshold: float = 0.01, max_iter: int = 100, tol: float = 1e-8, ellipsoid: C.Ellipsoid = C.SPHERE) -> DataFrame:
     """``psf`` of several variables at all labels of the dimensions ``by``: cell_id, ``by``, variables (double).
 
-    ``points``: input_id, point_idx, lon, lat, ``by``, variables. A'A is made once for all fields
-    that are known at the same points, A'd for all fields of a row at once, and a task solves up to
-    ``TOGETHER`` fields of a chunk in step. The plan is the same for any number of labels. A cell
+    ``points``: input_id, point_idx, lon, lat, ``by``, variables. A point is weighed once for all its
+    variables; A'A is made once for all fields that are known at the same points, A'd for all fields
+    of a row at once, and a task solves up to ``TOGETHER`` fields of a chunk in step. The plan is the same for any number of labels. A cell
     that a field doesn't cover has null there; one that none covers has no row.
     """
     # Dimensions go by names of their own inside: one of them may be called "variable".
     inside = {c: f"__by{k}" for k, c in enumerate(by)}
-    points, by = points.withColumnsRenamed(inside), tuple(inside.values())
+    points, by, n = points.withColumnsRenamed(inside), tuple(inside.values()), len(variables)
     known = materialize(masks(points, variables, by))
-    label = F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit("{}")
-    located = C.with_cell(points.filter("lon is not null and lat is not null").withColumns({"lon": F.col("lon").cast("double"), "lat": F.col("lat").cast("double")}), level, ellipsoid)
-    same = reduce(and_, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*by, "variable")])
-    first = fields_of(located, variables, by).alias("l").join(known.filter("first").alias("r"), same).select("r.mask", "l.lon", "l.lat")
-    first = C.with_cell(first, level, ellipsoid)
-    gram = _masked_sums(first, level, chunk_level, n_cells, ellipsoid)
-    clean = {v: F.when(~F.isnan(F.col(f"`{v}`").cast("double")), F.col(f"`{v}`").cast("float").cast("double")) for v in variables}
-    sums = _weighted(located.withColumns(clean).withColumn("__label", label), level, chunk_level, n_cells, variables, ellipsoid)
-    each = F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), F.col(f"d{k}").alias("wd")) for k, v in enumerate(variables)]))
-    told = known.withColumn("__label", label).withColumn("nth", F.row_number().over(W.Window.partitionBy("mask").orderBy("__label", "variable")) - 1)
-    told = told.withColumns({"slice": F.floor(F.col("nth") / TOGETHER), "slices": F.ceil(F.count(F.lit(1)).over(W.Window.partitionBy("mask")) / TOGETHER)})
-    told = materialize(told.select("__label", "variable", "mask", "slice", "slices", *by))
-    right = sums.select("__label", "chunk", "i", each.alias("__f")).select("__label", "chunk", "i", "__f.*").join(told.select("__label", "variable", "mask", "slice"), ["__label", "variable"])
-    left = gram.join(told.select("mask", "slices").distinct(), "mask").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).drop("slices")
+    leads = [F.coalesce(F.max(F.col("first") & (F.col("variable") == v)), F.lit(False)).alias(f"f{k}") for k, v in enumerate(variables)]
+    labels = materialize(known.groupBy(*by).agg(*leads).withColumn("code", F.monotonically_increasing_id()))
+    same = reduce(and_, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by], F.lit(True))
+    # A field's number is that of its label and its variable; the first field of a mask stands for all of them.
+    told = known.alias("l").join(labels.alias("r"), same).select("l.mask", "l.first", "r.code", (F.array_position(F.array(*map(F.lit, variables)), F.col("l.variable")) - 1).alias("k"))
+    alike = W.Window.partitionBy("mask")
+    told = told.withColumns({"of": F.max(F.when(F.col("first"), F.col("code") * n + F.col("k"))).over(alike), "nth": F.row_number().over(alike.orderBy("code", "k")) - 1})
+    told = materialize(told.select("code", "k", "of", F.floor(F.col("nth") / TOGETHER).alias("slice"), F.ceil(F.count(F.lit(1)).over(alike) / TOGETHER).alias("slices")))
+    clean = [F.when(~F.isnan(F.col(f"`{v}`").cast("double")), F.col(f"`{v}`").cast("float").cast("double")).alias(f"d{k}") for k, v in enumerate(variables)]
+    located = points.filter("lon is not null and lat is not null").select(F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"), *by, *clean)
+    located = C.with_cell(located, level, ellipsoid).filter("cell_id is not null")
+    placed = located.alias("l").join(F.broadcast(labels.alias("r")) if labels.count() <= LABELS else labels.alias("r"), same).drop(*by)
+    sums = materialize(cell_sums(placed, n, level, n_cells, ellipsoid, right=True))
+    each = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.col(f"d{k}").alias("wd")) for k in range(n)]))
+    right = right_sums(sums, n, level, chunk_level).select("code", "chunk", "i", each.alias("__f")).select("code", "chunk", "i", "__f.*").join(told.drop("slices"), ["code", "k"])
+    left = normal_sums(sums, level, chunk_level).drop("wd").join(told.select("of", "slices").distinct(), "of").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).drop("slices")
     shift = 2 * (level - chunk_level)
 
     def solve(a: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(d):
-            return pd.DataFrame({"cell_id": np.zeros(0, np.int64), "__label": np.zeros(0, object), "variable": np.zeros(0, object), "value": np.zeros(0)})
+            return pd.DataFrame({"cell_id": np.zeros(0, np.int64), "code": np.zeros(0, np.int64), "k": np.zeros(0, np.int64), "value": np.zeros(0)})
         own = a[a["i"] == a["j"]].sort_values("i")
         cells = own["i"].to_numpy()
         i, j = np.searchsorted(cells, a["i"]), np.searchsorted(cells, a["j"])
-        names, of = np.unique([f"{a}\n{b}" for a, b in zip(d["__label"], d["variable"])], return_inverse=True)
+        fields, of = np.unique(d["code"].to_numpy() * n + d["k"].to_numpy(), return_inverse=True)
         at = np.searchsorted(cells, d["i"].to_numpy())
         there = (at < len(cells)) & (cells[np.minimum(at, len(cells) - 1)] == d["i"].to_numpy())
-        wd = np.zeros((len(cells), len(names)))
+        wd = np.zeros((len(cells), len(fields)))
         wd[at[there], of[there]] = d["wd"].to_numpy()[there]
         x = _solve_many(i, j, a["ww"].to_numpy(), wd, own["w"].to_numpy(), lam, max_iter, tol)
         mine = (cells >> shift == a["chunk"].iloc[0]) & (own["share"].to_numpy() >= threshold)
-        n = int(mine.sum())
-        label, variable = (pd.Series(np.repeat(np.array([x.rsplit("\n", 1)[k] for x in names], dtype=object), n), dtype=object) for k in (0, 1))
-        return pd.DataFrame({"cell_id": np.tile(cells[mine], len(names)), "__label": label, "variable": variable, "value": x[mine].T.ravel()})
-
-    solved = left.groupBy("mask", "chunk", "slice").cogroup(right.groupBy("mask", "chunk", "slice")).applyInPandas(solve, "cell_id long, __label string, variable string, value double")
-    wide = solved.groupBy("cell_id", "__label").agg(*[F.max(F.when(F.col("variable") == v, F.col("value"))).alias(v) for v in variables])
-    return wide.join(told.select("__label", *by).distinct(), "__label").select("cell_id", *[F.col(n).alias(c) for c, n in inside.items()], *variables)
+        field = np.repeat(fields, int(mine.sum()))
+        return pd.DataFrame({"cell_id": np.tile(cells[mine], len(fields)), "code": field // n, "k": field % n, "value": x[mine].T.ravel()})
 
-
-def _masked_sums(placed: DataFrame, level: int, chunk_level: int, n_cells: int, e: C.Ellipsoid) -> DataFrame:
-    """``normal_sums`` for each mask: mask, chunk, i, j, ww, w, share. ``placed``: mask, lon, lat, cell_id."""
-    names = ["mask", "chunk", "i", "j", "ww", "w", "share"]
-    per_batch = _batch_sums(level, chunk_level, n_cells, e)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            mask = np.array(b.column("mask").to_pylist(), dtype=object)
-            arrays = {c: b.column(c).to_numpy(zero_copy_only=False) for c in ("lon", "lat", "cell_id")}
-            for m in dict.fromkeys(mask):
-                own = mask == m
-                keys, values = per_batch(*(arrays[c][own] for c in ("lon", "lat", "cell_id")), np.zeros(int(own.sum())))
-                columns = [pa.array([m] * len(keys), pa.string()), *(pa.array(np.ascontiguousarray(c)) for c in keys.T), *(pa.array(np.ascontiguousarray(values[:, k])) for k in (0, 2, 3))]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    kinds = "mask string, chunk long, i long, j long, ww double, w double, share double"
-    return placed.select("mask", "lon", "lat", "cell_id").mapInArrow(run, kinds).groupBy("mask", "chunk", "i", "j").agg(*[F.sum(c).alias(c) for c in names[4:]])
+    solved = left.groupBy("of", "chunk", "slice").cogroup(right.groupBy("of", "chunk", "slice")).applyInPandas(solve, "cell_id long, code long, k long, value double")
+    wide = solved.groupBy("cell_id", "code").agg(*[F.max(F.when(F.col("k") == k, F.col("value"))).alias(v) for k, v in enumerate(variables)])
+    return wide.join(labels.select("code", *by), "code").select("cell_id", *[F.col(c).alias(name) for name, c in inside.items()], *variables)

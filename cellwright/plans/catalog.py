@@ -344,7 +344,7 @@ def psf_resample(spark, sf_dir):
 def psf_batch(spark, sf_dir):
     """Price and discount by line number, in one plan: fields that are known at the same points share their equations."""
     lines = read(spark, sf_dir, "lineitem").selectExpr("0 as input_id", "l_orderkey * 8 + l_linenumber as point_idx", f"{LON} as lon", f"{LAT} as lat", "l_linenumber % 3 as label", "l_extendedprice as price", "case when l_discount > 0 then l_discount end as discount")
-    return psf.psf_batch(lines, 4, 1, ["price", "discount"], ("label",))
+    return psf.psf_batch(psf.at_work(lines), 4, 1, ["price", "discount"], ("label",))
 
 
 _MASKED = "(select c_custkey as point_idx, c_nationkey % 3 as label, 'balance' as variable, cast(cast(c_acctbal as float) as double) as d from customer where c_acctbal > 0 union all select c_custkey, c_nationkey % 3, 'debt', cast(cast(-c_acctbal as float) as double) from customer where c_acctbal <= 0 union all select c_custkey, c_nationkey % 3, 'nation', cast(c_nationkey as double) from customer where c_acctbal > 0)"

@@ -272,3 +272,64 @@ def test_psf_is_the_least_squares_solution(spark):
         d = np.array([x[0] for x in mine])
         want = np.linalg.solve(a.T @ a + lam * np.eye(192), a.T @ (d - d.mean())) + d.mean()
         assert np.abs([got[c] - want[c] for c in range(16 * chunk, 16 * chunk + 16)]).max() < 1e-6
+
+
+@pytest.mark.parametrize("level,n_cells,ellipsoid", [(0, 9, C.SPHERE), (2, 4, C.SPHERE), (3, 9, C.WGS84), (12, 6, C.WGS84)])
+def test_weights_are_those_of_points_one_by_one(level, n_cells, ellipsoid):
+    rng = np.random.default_rng(level)
+    cells = rng.integers(0, 12 * 4**level, 40)
+    near = Q._near(cells, level)
+    at = np.array([rng.choice(row[row >= 0]) for row in near])
+    lat = rng.uniform(-0.3, 0.3, 40) * 60 / 2**level
+    x, y, z = Q.centres(at, level, ellipsoid).T
+    lon, lat = np.degrees(np.arctan2(y, x)) + rng.uniform(-20, 20, 40) / 2**level, np.clip(np.degrees(np.arctan2(z, np.hypot(x, y))) + lat, -90, 90)
+    w, share = Q._weights(lon, lat, near, np.arange(40), level, n_cells, ellipsoid)
+    place = Q._ecef(np.sin(np.radians(lat)), np.cos(np.radians(lat)), np.radians(lon), ellipsoid)
+    for p in range(40):
+        off = (Q.centres(near[p], level, ellipsoid) - place[p]) / (ellipsoid.a * np.sqrt(np.pi / 3) / 2**level)
+        g = np.where(near[p] >= 0, np.exp(-2 * (off * off).sum(axis=1)), 0)
+        g[np.lexsort((-near[p], -g))[n_cells:]] = 0
+        second = (off * g[:, None]).T @ off
+        fixed = g * (1 + off @ np.linalg.solve(second + np.eye(3) * 1e-6 * (1 + np.trace(second)), -(g @ off)))
+        fixed = fixed if fixed.sum() > 0.05 * g.sum() else g
+        assert np.allclose(w[:, p], fixed / fixed.sum(), rtol=0, atol=1e-7) and np.allclose(share[:, p], g / g.sum(), rtol=0, atol=1e-7)
+
+
+def test_tables_of_cells_are_the_sums_over_points():
+    rng = np.random.default_rng(1)
+    n, level, v = 700, 1, 3
+    code, cell = rng.integers(0, 3, n), rng.integers(0, 48, n)
+    x, y, z = Q.centres(cell, level, C.SPHERE).T / C.SPHERE.a
+    lon, lat = np.degrees(np.arctan2(y, x)) + rng.uniform(-5, 5, n), np.degrees(np.arcsin(z))
+    d = np.where(rng.random((v, n)) < 0.7, rng.random((v, n)), np.nan)
+    first = np.array([[True, False, True], [True, False, False], [False, False, True]])[:, code]
+    parts = [Q._tables(code[s], cell[s], lon[s], lat[s], d[:, s], first[:, s], level, 9, C.SPHERE, True) for s in (slice(0, 300), slice(300, 301), slice(301, n))]
+    equations, right = ({(o, b): t for o, b, t in zip(*Q._added([p[k] for p in parts if p[k] is not None]))} for k in (0, 1))
+    w, share = Q._weights(lon, lat, Q._near(cell, level), np.arange(n), level, 9, C.SPHERE)
+    want = {}, {}
+    for p in range(n):
+        of = want[1].setdefault((code[p], cell[p]), np.zeros((9, v)))
+        of += np.outer(w[:, p], np.nan_to_num(d[:, p]))
+        for k in range(v):
+            if first[k, p] and not np.isnan(d[k, p]):
+                of = want[0].setdefault((code[p] * v + k, cell[p]), np.zeros((9, 12)))
+                of += np.column_stack([np.triu(np.outer(w[:, p], w[:, p])), w[:, p] * d[k, p], w[:, p], share[:, p]])
+    for got, told in zip((equations, right), want):
+        assert got.keys() == told.keys() and all(np.allclose(got[k], told[k], atol=1e-12) for k in told)
+
+
+def test_psf_hands_on_tables_of_cells_not_of_points(spark):
+    pts = C.with_cell(make(spark, 3000, 3), 2).withColumns({"code": F.col("point_idx") % 2, "d0": F.col("v"), "f0": F.lit(True)})
+
+    def handed(df):
+        made = Q.cell_sums(df.coalesce(1), 1, 2, 9, C.SPHERE, True)
+        return spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, made._jdf.queryExecution().analyzed().children().head()).count()
+
+    once, often = handed(pts), handed(pts.crossJoin(spark.range(20).select()))
+    assert 0 < once == often <= 2 * 2 * 192 * 9
+
+
+def test_psf_of_more_variables_than_a_table_has_columns(spark):
+    pts = make(spark, 200, 3).withColumns({f"v{k}": F.col("v") * (k + 1) for k in range(14)})
+    got = Q.psf_batch(pts, 1, 0, [f"v{k}" for k in range(14)], lam=0.1, max_iter=2000, tol=1e-13).toPandas()
+    assert len(got) == 48 and all(np.allclose(got[f"v{k}"], got["v0"] * (k + 1), rtol=1e-5) for k in range(14))
