@@ -31,7 +31,7 @@ from .resample import fields_of, masks
 #: Points that a task sorts by cell at once, and those of them that it weighs at once.
 SORTED, WEIGHED = 1 << 17, 1 << 13
 #: Cells' tables that a task holds before it adds them up, and those it keeps after that before it hands them on.
-HELD, FLUSH = 1 << 17, 1 << 16
+HELD, FLUSH = 1 << 16, 1 << 15
 #: Columns of a table after the weights' products with each of the nine cells: A'd, A'1 and the coverage.
 AROUND, COLUMNS = 9, 12
 
